@@ -109,9 +109,12 @@ def policy_construction_key(c: Column | str) -> Column:
     return lookup(POLICY_CONSTRUCTION_ALIASES, search_text(c))
 
 
-def construction_tokens(title: Column | str) -> Column:
-    """Array of the constructions named in a title."""
-    padded = F.concat(F.lit(" "), text_key(title), F.lit(" "))
+def construction_tokens(key: Column | str) -> Column:
+    """Array of the constructions named in a title; takes its ``text_key`` as a column.
+
+    The key is tested many times, so it has to be a column that is already computed.
+    """
+    padded = F.concat(F.lit(" "), col(key), F.lit(" "))
     found = []
     for name, tokens in CONSTRUCTION_TITLE_TOKENS.items():
         hit = F.lit(False)
@@ -176,14 +179,13 @@ def word_ngrams(key: Column | str, max_words: int) -> Column:
     """Distinct runs of 1..max_words words: the exact block keys for phrase containment."""
     words = F.split(col(key), " ")
     n = F.size(words)
-    runs = [
-        F.when(
-            n >= k,
-            F.transform(F.sequence(F.lit(1), n - k + 1), lambda i, k=k: F.array_join(F.slice(words, i, k), " ")),
-        ).otherwise(F.array().cast("array<string>"))
-        for k in range(1, max_words + 1)
-    ]
-    return F.array_distinct(F.concat(*runs))
+
+    def runs(k: int) -> Column:
+        starts = F.sequence(F.lit(1), n - k + 1)
+        found = F.transform(starts, lambda i: F.array_join(F.slice(words, i, k), " "))
+        return F.when(n >= k, found).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[runs(k) for k in range(1, max_words + 1)]))
 
 
 def split_tail(name: Column | str, patterns: Sequence[str]) -> Column:

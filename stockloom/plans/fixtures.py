@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BRANDS = tuple(f"Brand#{i}" for i in range(25))
+BRANDS = tuple(f"Brand#{i}" for i in range(1, 26))
 SUPPORTED = ("Maker 0", "Maker 1", "Maker 2")
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 WIDE_REGIONS = ("ASIA",)

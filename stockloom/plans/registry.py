@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_movement",)
+MODULES = ("q_movement", "q_linkage")
 
 
 def _collect(attribute: str) -> dict:
