@@ -138,10 +138,10 @@ def clamp_pct(c: Column) -> Column:
 
 
 def avg_pct(*cols: Column) -> Column:
-    """Mean of the non-null values, one decimal; NULL when there are none."""
+    """Mean of the non-null values, two decimals; NULL when there are none."""
     total = sum((F.coalesce(c, F.lit(0.0)) for c in cols), F.lit(0.0))
     n = sum((c.isNotNull().cast("int") for c in cols), F.lit(0))
-    return F.when(n > 0, F.round(total / n, 1))
+    return F.when(n > 0, F.round(total / n, 2))
 
 
 def neighbour_lengths(inches: Column | str) -> Column:

@@ -64,7 +64,7 @@ def reconcile_brands(listings: DataFrame, aliases: DataFrame, words: int | None
     n = words or max_words(aliases, T.text_key("alias"))
     runs = F.array_union(T.word_ngrams(T.text_key("title"), n), T.word_ngrams(T.text_key("normalised_title"), n))
     hits = (
-        listings.select(ID, F.explode(runs).alias("run")).join(a, "run")
+        listings.select(ID, F.explode_outer(runs).alias("run")).join(a, "run")
         .groupBy(ID).agg(F.max_by("_b", "position").alias("reconciled_brand_id"))
     )
     out = listings.join(hits, ID, "left")
@@ -125,7 +125,7 @@ def model_candidates(listings: DataFrame, models: DataFrame, words: int | None =
     blocks = F.array_distinct(F.concat(T.word_ngrams("_raw", n), T.word_ngrams("_norm", n), leads, F.array("_hint")))
     lst = lst.withColumn("_blocks", blocks)
     keys = m.withColumn("block", F.explode(F.array_distinct(F.array("model_key", "tolerant_key"))))
-    pairs = lst.select("*", F.explode("_blocks").alias("block")).join(keys, ["brand_id", "block"])
+    pairs = lst.select("*", F.explode_outer("_blocks").alias("block")).join(keys, ["brand_id", "block"])
     once = (F.col("block") == F.col("model_key")) | ~F.array_contains("_blocks", F.col("model_key"))
     score = model_score(F.col("_raw"), F.col("_norm"), F.col("_hint"), F.col("model_key"), F.col("tolerant_key"), F.col("is_generic"))
     return (
@@ -169,7 +169,7 @@ def contained_models(listings: DataFrame, brands: DataFrame, models: DataFrame,
         .select("model_id", "model_name", "brand_id", T.text_key("model_name").alias("run"), T.text_key("alias").alias("brand_key"))
     )
     n = words or max_words(models, T.text_key("model_name"))
-    t = listings.select(ID, T.text_key("title").alias("_t")).withColumn("run", F.explode(T.word_ngrams("_t", n)))
+    t = listings.select(ID, T.text_key("title").alias("_t")).withColumn("run", F.explode_outer(T.word_ngrams("_t", n)))
     return t.join(m, "run").filter(T.contains_key(F.col("_t"), F.col("brand_key"))).select(ID, "brand_id", "model_id", "model_name")
 
 
@@ -190,11 +190,11 @@ def link_model_fuzzy(rows: DataFrame, models: DataFrame, words: int | None = Non
     rest = r.join(equal, ID, "left_anti")
     n = words or max(max_words(m, F.col("_mk")), max_words(r, F.col("_rk")))
     in_row = (
-        rest.withColumn("run", F.explode(T.word_ngrams("_rk", n)))
+        rest.withColumn("run", F.explode_outer(T.word_ngrams("_rk", n)))
         .join(m.withColumnRenamed("_mk", "run"), ["brand_id", "run"]).select(ID, "model_id", "model_name")
     )
     in_model = (
-        m.withColumn("run", F.explode(T.word_ngrams("_mk", n)))
+        m.withColumn("run", F.explode_outer(T.word_ngrams("_mk", n)))
         .join(rest.withColumnRenamed("_rk", "run"), ["brand_id", "run"]).select(ID, "model_id", "model_name")
     )
     fuzzy = longest_first(in_row.unionByName(in_model)).select(ID, "model_id")

@@ -23,6 +23,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
+    """Use all cores when a small file yields fewer scan tasks than there are cores.
+
+    A large table has more splits than cores and is left as it is.  ``scan`` is the base
+    table to look at when ``df`` is derived from it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if (scan or df).rdd.getNumPartitions() < cores else df
+
+
 def _brand_no(c: str = "p_brand"):
     return F.substring_index(F.col(c), "#", -1).cast("int")
 
@@ -93,6 +103,7 @@ def inventory(spark, sf) -> DataFrame:
     raw = table(spark, sf, "part").select("p_partkey", "p_brand")
     j = (li.join(z, li.l_partkey == z.size_id).join(raw, li.l_partkey == raw.p_partkey)
            .join(r, li.l_suppkey == r.retailer_id))
+    j = spread(j, li)
     k = (F.col("l_orderkey") + F.col("l_linenumber")).cast("long")
     volume = (F.col("volume") + (((F.col("l_linenumber") + F.col("l_quantity")) % 5).cast("int") * 5 / 100).cast("decimal(10,2)")).cast("decimal(10,2)")
     shape = k % 4
@@ -156,7 +167,7 @@ def job_events(spark, sf) -> DataFrame:
 
 def feed_text(spark, sf) -> DataFrame:
     """Raw listings made from document texts with price and size words appended."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     i = F.col("doc_id")
     words = ["surfboard", "pyzel shortboard", "board bag", "surf lesson", "fins", "used fish", "epoxy", "fcs ii"]
     word = F.element_at(F.array(*[F.lit(w) for w in words]), (i % 8 + 1).cast("int"))

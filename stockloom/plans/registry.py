@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_movement", "q_linkage")
+MODULES = ("q_movement", "q_linkage", "q_dedupe")
 
 
 def _collect(attribute: str) -> dict:
