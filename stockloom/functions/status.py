@@ -32,7 +32,7 @@ def in_order(c: Column | str, values: Sequence[str]) -> Column:
 
 
 def age_hours(ts: Column | str, now: Column) -> Column:
-    return (F.unix_micros(now) - F.unix_micros(col(ts))) / F.lit(3.6e9)
+    return (F.unix_micros(now) - F.unix_micros(col(ts).cast("timestamp"))) / F.lit(3.6e9)
 
 
 def source_status(applicability, latest, rows, now, green_hours: int = 24, yellow_hours: int = 48) -> Column:

@@ -131,7 +131,10 @@ def grouped_index(listings: DataFrame, keys: Sequence[str], listing_keys: Sequen
     nested into one row, since a group may hold any share of the table; ``group_items``
     returns them as rows with the same keys.
     """
-    raw = listings.groupBy(*keys).agg(F.count("*").alias("raw_count"))
+    raw = listings.groupBy(*[F.col(k).alias(f"_r_{k}") for k in keys]).agg(F.count("*").alias("raw_count"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
     items = group_items(listings, keys, listing_keys, order)
     g = items.groupBy(*keys).agg(
         F.count("*").alias("available_count"), F.countDistinct("retailer_name").alias("retailer_count"),
@@ -139,7 +142,7 @@ def grouped_index(listings: DataFrame, keys: Sequence[str], listing_keys: Sequen
         F.min(F.when(F.col("price").isNotNull(), F.struct("price", order, "retailer_name", "product_url"))).alias("_c"),
         F.min(F.struct(order, "title", "image_url")).alias("_s"),
     )
-    return g.join(raw, list(keys)).select(
+    return g.join(raw, same).select(
         *keys, "raw_count", "available_count", "retailer_count", "min_price", "max_price",
         F.col("_c.retailer_name").alias("cheapest_retailer"), F.col("_c.product_url").alias("cheapest_url"), F.col("_s.title").alias("title"),
     )

@@ -136,6 +136,31 @@ def inventory(spark, sf) -> DataFrame:
     )
 
 
+def direct(spark, sf) -> DataFrame:
+    """Manufacturer-direct rows: one per (part, region) that was ever shipped."""
+    li = table(spark, sf, "lineitem")
+    s = table(spark, sf, "supplier").join(regions(spark, sf), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "region_code")
+    g = li.join(s, li.l_suppkey == s.s_suppkey).groupBy("l_partkey", "region_code").agg(
+        F.count("*").alias("n"), F.max("l_shipdate").alias("scraped_at"), F.max("l_returnflag").alias("flag"),
+        F.min(F.floor(F.col("l_extendedprice") / F.col("l_quantity"))).cast("double").alias("price"))
+    z = sizes(spark, sf).withColumnRenamed("size_id", "true_size_id").withColumnRenamed("model_id", "true_model_id")
+    k = F.col("true_size_id")
+    return g.join(z, g.l_partkey == z.true_size_id).select(
+        F.concat_ws("-", "true_size_id", "region_code").alias("direct_id"), "region_code", "brand_id", "brand_name", "model_name",
+        F.when(k % 5 != 0, F.col("true_model_id")).alias("model_id"), F.when(k % 3 != 0, k).alias("size_id"), "true_size_id",
+        F.when(k % 13 != 0, F.col("length")).alias("length"), "width", "thickness",
+        (F.col("volume") + (F.col("n") % 3).cast("decimal(10,2)") * 5 / 100).cast("decimal(10,2)").alias("volume"),
+        F.when(k % 7 != 0, F.col("construction")).alias("construction"), "fin_setup", "price", (F.col("flag") != "R").alias("is_available"),
+        F.lit(True).alias("is_active"), "scraped_at", F.concat(F.lit("https://maker.example.com/p/"), k).alias("product_url"))
+
+
+def targets(spark, sf) -> DataFrame:
+    """Search requests: every catalogue size in every region."""
+    return sizes(spark, sf).select(
+        "*", F.explode(F.array(*[F.lit(r) for r in REGIONS])).alias("region_code")
+    ).withColumn("target_id", F.concat_ws("@", "size_id", "region_code"))
+
+
 def snapshots(spark, sf) -> DataFrame:
     """Available listings by quarter, with the keys of the movement job."""
     li = table(spark, sf, "lineitem").filter(F.col("l_returnflag") != "R")
@@ -239,6 +264,15 @@ CTE: dict[str, tuple[str, tuple[str, ...]]] = {
         "CASE WHEN l_returnflag = 'A' THEN ' In Stock ' END AS stock_status "
         "FROM lineitem JOIN parts ON l_partkey = size_id JOIN supplier ON l_suppkey = s_suppkey JOIN regions ON s_nationkey = n_nationkey "
         "WHERE l_returnflag <> 'R'", ("parts", "regions")),
+    "direct": (
+        "SELECT true_size_id || '-' || region_code AS direct_id, region_code, brand_id, brand_name, model_name, CASE WHEN true_size_id % 5 <> 0 THEN true_model_id END AS model_id, "
+        "CASE WHEN true_size_id % 3 <> 0 THEN true_size_id END AS size_id, true_size_id, CASE WHEN true_size_id % 13 <> 0 THEN length END AS length, width, thickness, "
+        "CAST(volume + CAST(n % 3 AS DECIMAL(10,2)) * 5 / 100 AS DECIMAL(10,2)) AS volume, CASE WHEN true_size_id % 7 <> 0 THEN construction END AS construction, fin_setup, price, "
+        "flag <> 'R' AS is_available, true AS is_active, scraped_at, 'https://maker.example.com/p/' || true_size_id AS product_url FROM "
+        "(SELECT l_partkey, region_code, count(*) AS n, max(l_shipdate) AS scraped_at, max(l_returnflag) AS flag, min(floor(l_extendedprice / l_quantity)) AS price "
+        "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN regions ON s_nationkey = n_nationkey GROUP BY ALL) "
+        "JOIN (SELECT * EXCLUDE (size_id, model_id), size_id AS true_size_id, model_id AS true_model_id FROM sizes) ON l_partkey = true_size_id", ("sizes", "regions")),
+    "targets": ("SELECT z.*, r_name AS region_code, size_id || '@' || r_name AS target_id FROM sizes z, region", ("sizes",)),
     "job_events": (
         "SELECT event_id, ts, user_id, (['AFRICA','AMERICA','ASIA','EUROPE','MIDDLE EAST'])[user_id % 5 + 1] AS region, "
         "event_type AS event, 'svc' || (user_id % 4) AS service, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status, "

@@ -105,7 +105,7 @@ def _index(where: str) -> str:
     return sql("inventory", """SELECT i.brand_name, i.true_model_id, i.length, (SELECT count(*) FROM live l WHERE l.brand_name IS NOT DISTINCT FROM i.brand_name AND l.true_model_id = i.true_model_id AND l.length IS NOT DISTINCT FROM i.length) AS raw_count,
 count(*) AS available_count, count(DISTINCT retailer_name) AS retailer_count, min(price) AS min_price, max(price) AS max_price,
 first(retailer_name ORDER BY price, inventory_id) AS cheapest_retailer, first(product_url ORDER BY price, inventory_id) AS cheapest_url, first(title ORDER BY inventory_id) AS title
-FROM items i WHERE brand_name IS NOT NULL AND length IS NOT NULL GROUP BY ALL""", live=live, items=items)
+FROM items i GROUP BY ALL""", live=live, items=items)
 
 
 ORACLE = {
