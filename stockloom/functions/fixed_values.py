@@ -88,3 +88,88 @@ GENERIC_MODELS = (
 # fixed values: stock texts that mean "available"
 AVAILABLE_STATUSES = ("in stock", "instock", "in_stock", "available", "true")
 SNAPSHOT_STATUSES = ("in stock", "instock", "available", "true")
+
+# fixed values: listing classifier word lists
+BOARD_TYPES = (
+    "surfboard", "surfboards", "surf board", "surf boards", "shortboard", "shortboards", "longboard", "longboards",
+    "mid length", "midlength", "step up", "step-up", "softboard", "softboards", "foamie", "foam board", "funboard",
+    "fun board", "malibu", "mini mal", "mini-mal", "gun", "fish", "twin fin", "twinfin", "performance board",
+    "performance boards", "hybrid board", "hybrid boards",
+)
+BOARD_CATEGORIES = (
+    "surfboards", "surfboard", "surf-surfboards", "performance_boards", "performance boards", "fun_boards", "fun boards",
+    "longboards", "shortboards", "softboards", "midlengths", "mid lengths",
+)
+LISTING_BRANDS = (
+    "js", "js industries", "al merrick", "channel islands", "ci surfboards", "lost", "lost surfboards", "mayhem", "pyzel",
+    "firewire", "slater designs", "dhd", "haydenshapes", "hayden shapes", "sharp eye", "sharpeye", "chilli", "rusty",
+    "album", "christenson", "pukas", "torq", "softlite", "mick fanning", "mick fanning softboards", "nsp", "aloha", "misfit",
+    "dms", "simon anderson", "chemistry", "mctavish", "thunderbolt", "takayama", "walden", "bennetts", "creative army",
+    "modern", "superbrand", "stacey", "dhdsurf",
+)
+USED_TERMS = ("second", "second hand", "used", "pre loved", "pre-loved")
+CONSTRUCTION_TERMS = (
+    "hyfi", "hyfi 3.0", "spinetek", "helium", "lft", "timbertek", "thunderbolt", "futureflex", "dark arts", "carbotune", "pu",
+    "poly", "eps", "epoxy", "pe", "carbon", "soft tech", "softtech", "ibolic", "volcanic",
+)
+FIN_SYSTEMS = (
+    "futures", "fcs", "fcs ii", "fcs2", "single fin", "2 plus 1", "thruster", "quad", "twin", "five fin", "5 fin",
+)
+HARD_EXCLUDE_TERMS = (
+    "boardshort", "board short", "brdshrt", "wetsuit", "spring suit", "springsuit", "steamer", "rash vest", "rashguard",
+    "rash guard", "tee", "t-shirt", "shirt", "singlet", "hood", "hoodie", "fleece", "jumper", "jacket", "pants", "shorts",
+    "dress", "bikini", "cap", "hat", "beanie", "sunscreen", "zinc", "wax", "comb", "legrope", "leg rope", "leash", "tail pad",
+    "traction", "deck grip", "grip pad", "sticker", "towel", "poncho", "sock", "board sock", "cover", "stretch cover",
+    "board cover", "board bag", "day bag", "travel bag", "coffin", "accessory", "accessories", "strap", "tie down",
+    "roof rack", "wall rack", "board sling", "skate", "skateboard", "snowboard", "sunglasses", "watch", "gift card", "voucher",
+    "repair kit", "ding repair", "ding all",
+)
+SERVICE_TERMS = (
+    "board hire", "hire board", "hire boards", "surfboard hire", "board rental", "rental board", "rental boards",
+    "surfboard rental", "surf lesson", "surf lessons", "lesson package", "lesson packages", "repair service",
+    "repair services", "board repair", "board repairs", "surf trip", "surf trips", "trip package", "trip packages",
+    "board storage", "storage locker",
+)
+FIN_ACCESSORY_TERMS = (
+    "fins", "fin set", "keel fin", "thruster fin", "quad fin", "single fin", "centre fin", "center fin", "side fins",
+    "replacement fin",
+)
+
+# fixed values: listing classifier patterns
+LENGTH_RX = r"(?i)\b(?:[4-9]|1[0-2])\s*(?:'|’|ft)\s*\d{0,2}\b"
+DECIMAL_LENGTH_RX = r"\b(?:[4-9]|1[0-2])\.(?:0|1|2|3|4|5|6|7|8|9|10|11|12)\b"
+COMPACT_LENGTH_RX = r"\b(?:[4-9]|1[0-2])(?:0|1|2|3|4|5|6|7|8|9|10|11|12)\b"
+FULL_DIMENSION_RX = (
+    r"(?i)\b(?:[4-9]|1[0-2])\s*(?:'|’|ft)\s*\d{0,2}\s*(?:\"|in)?\s*[x*]\s*"
+    r"\d{1,2}(?:\s+\d{1,2}/\d{1,2})?(?:\.\d+)?\s*(?:\"|in)?\s*[x*]\s*"
+    r"\d(?:\s+\d{1,2}/\d{1,2})?(?:\.\d+)?"
+)
+LITRE_RX = r"(?i)\b(?:1[5-9]|[2-7]\d|8[0-5])(?:\.\d{1,2})?\s*(?:l|ltr|litre|litres)\b"
+BOARD_URL_RX = r"(?i)(surfboard|surfboards|shortboard|longboard|midlength|mid-length|softboard|foamie)"
+
+# fixed values: catalogue admission word lists
+GUARD_HARD_NEGATIVE = (
+    "art", "book", "ceramic", "event", "gift card", "jewellery", "jewelry", "poster", "pottery", "print", "sticker", "vase",
+)
+GUARD_SOFT_NEGATIVE = (
+    "accessory", "apparel", "bag", "beanie", "cap", "fin", "fins", "hat", "hoodie", "leash", "merch", "shirt", "sunscreen",
+    "tee", "towel", "traction", "wax",
+)
+GUARD_POSITIVE = (
+    "surfboard", "surf board", "shortboard", "longboard", "midlength", "mid length", "mid-length", "fish", "twin fin",
+    "step up", "gun", "groveler", "groveller", "single fin", "performance board", "board models", "step-up", "glider",
+    "thruster", "quad", "keel", "rocker", "concave", "rail", "tail",
+)
+GUARD_URL_POSITIVE = ("/surfboards", "/boards", "/board-models")
+GUARD_DIMENSION_RX = (
+    r"(?i)\b([4-9]|1[0-1])\s*(?:'|’|ft)\s*\d{1,2}(?:\s*(?:\"|''))?\s*x\s*\d{1,2}(?:\s+\d/\d|(?:\.\d+)?)?"
+    r"\s*x\s*\d(?:\s+\d/\d|(?:\.\d+)?)?"
+)
+GUARD_LENGTH_RX = r"(?i)\b([4-9]|1[0-1])\s*(?:'|’|ft)\s*\d{1,2}\b"
+GUARD_VOLUME_RX = r"(?i)\b\d{1,2}(?:\.\d+)?\s*l(?:iters|itres)?\b"
+
+# fixed values: products left out of link projections, first match decides
+EXCLUDED_PRODUCTS = (
+    ("used_board", r"\bused\b"), ("consignment_board", r"\bconsignment\b"), ("trade_in_board", r"\btrade[\s-]*in\b"),
+    ("wall_art", r"\bwall art\b"), ("custom_deposit", r"\bcustom deposit\b"), ("kneeboard", r"\bkneeboard\b"),
+)

@@ -14,7 +14,8 @@ from stockloom.functions import text as T
 from stockloom.functions.status import age_hours
 
 # fixed values: payload keys whose values are never kept
-SENSITIVE_KEYS = ("password", "secret", "token", "authorization", "connection_string", "api_key")
+SENSITIVE_KEY_RX = r"(?i)(password|secret|token|api[_-]?key|connection[_-]?string|authorization)"
+PROTECTED_KEYS = ("message", "user_message", "prompt", "page_context", "conversation", "request_body", "content")
 
 
 def event_fields(df: DataFrame, schema: str, payload: str = "payload") -> DataFrame:
@@ -29,11 +30,15 @@ def parse_list(c: Column | str) -> Column:
     return F.filter(F.transform(F.coalesce(raw, F.array().cast("array<string>")), F.trim), lambda x: x.isNotNull() & (x != ""))
 
 
-def redact(df: DataFrame, payload: str = "payload", keys: Sequence[str] = SENSITIVE_KEYS) -> DataFrame:
+def redact(df: DataFrame, payload: str = "payload", protected: Sequence[str] = ()) -> DataFrame:
     """Payload as map<string,string> with the values of sensitive keys replaced."""
     m = F.from_json(payload, "map<string,string>")
-    hidden = lambda k: F.exists(F.array(*[F.lit(x) for x in keys]), lambda x: F.lower(k).contains(x))
-    return df.withColumn(payload, F.transform_values(m, lambda k, v: F.when(hidden(k), "[redacted]").otherwise(v)))
+    names = [*PROTECTED_KEYS, *[p.lower() for p in protected]]
+
+    def hide(k: Column, v: Column) -> Column:
+        return F.when(F.lower(k).isin(*names) | k.rlike(SENSITIVE_KEY_RX), "[REDACTED]").otherwise(v)
+
+    return df.withColumn(payload, F.transform_values(m, hide))
 
 
 def service_events(df: DataFrame, service: str) -> DataFrame:
@@ -107,8 +112,22 @@ def saved_items(items: DataFrame, sizes: DataFrame, models: DataFrame, brands: D
     return j.join(models.select("model_id", "brand_id", "model_name"), "model_id", "left").join(brands, "brand_id", "left")
 
 
-def profile_strength(df: DataFrame, fields: Sequence[str], strong: int = 6, partial: int = 1) -> DataFrame:
-    """Number of useful fields and strong / partial / none."""
-    n = sum((F.coalesce(~T.blank(f), F.lit(False)).cast("int") for f in fields), F.lit(0))
-    return df.withColumn("useful_fields", n).withColumn(
-        "strength", F.when(F.col("useful_fields") >= strong, "strong").when(F.col("useful_fields") >= partial, "partial").otherwise("none"))
+def profile_strength(df: DataFrame, fields: Sequence[str | Sequence[str]], required: Sequence[str | Sequence[str]], partial: int = 3) -> DataFrame:
+    """Number of useful fields and strong / partial / none.
+
+    An entry that is a list counts when any of its columns is filled.  A profile is strong
+    when every required entry is filled, partial from ``partial`` useful fields on.
+    """
+    def filled(entry) -> Column:
+        names = [entry] if isinstance(entry, str) else list(entry)
+        out = F.lit(False)
+        for n in names:
+            out = out | ~T.blank(n)
+        return out
+
+    n = sum((filled(f).cast("int") for f in fields), F.lit(0))
+    strong = F.lit(True)
+    for r in required:
+        strong = strong & filled(r)
+    d = df.withColumn("useful_fields", n)
+    return d.withColumn("strength", F.when(strong, "strong").when(F.col("useful_fields") >= partial, "partial").otherwise("none"))
