@@ -150,7 +150,7 @@ def model_hint(title: Column | str, brand: Column | str, aliases: Sequence[str])
     ``aliases`` is the fixed list of brand spellings; the row's own brand name is tried too.
     """
     title, brand = clean(title), col(brand)
-    parts = F.filter(F.transform(F.split(title, r"\s+-\s+"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(title, r"\s+-\s+"), lambda x: F.trim(x)), lambda x: x != "")
     first = F.try_element_at(parts, F.lit(1))
     structured = (
         (F.size(parts) >= 2) & first.rlike(r"(?i)^.+?\s+surfboards?$") & ~first.rlike(r"\d\s*['’]")

@@ -27,7 +27,7 @@ def parse_list(c: Column | str) -> Column:
     """JSON array or comma-separated text → array of trimmed, non-empty strings."""
     c = T.clean(c)
     raw = F.when(c.startswith("["), F.from_json(c, "array<string>")).otherwise(F.split(c, ","))
-    return F.filter(F.transform(F.coalesce(raw, F.array().cast("array<string>")), F.trim), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(F.coalesce(raw, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
 def redact(df: DataFrame, payload: str = "payload", protected: Sequence[str] = ()) -> DataFrame:
