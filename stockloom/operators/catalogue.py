@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stockloom.functions import dims as D
 from stockloom.functions import text as T
+from stockloom.operators.dedupe import dedupe_first
 from stockloom.operators.linkage import squash_quotes
 
 # --------------------------------------------------------------------------- browsing
@@ -79,8 +80,6 @@ def _signature(df: DataFrame) -> DataFrame:
 
 def new_sizes(existing: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
     """Incoming sizes whose eight-part signature is new, once each."""
-    from stockloom.operators.dedupe import dedupe_first
-
     keys = [f"_s_{c}" for c in _SIGNATURE]
     fresh = _signature(incoming).join(_signature(existing).select(*keys).distinct(), keys, "left_anti")
     return dedupe_first(fresh, keys, [order]).drop(*keys)
@@ -89,7 +88,8 @@ def new_sizes(existing: DataFrame, incoming: DataFrame, order: str) -> DataFrame
 def merge_entities(seed: DataFrame, found: DataFrame, name: str = "name") -> DataFrame:
     """Seed plus the found entities whose name key is not known yet, once each."""
     known = seed.select(T.text_key(name).alias("_k")).distinct()
-    fresh = found.withColumn("_k", T.text_key(name)).join(known, "_k", "left_anti").dropDuplicates(["_k"]).drop("_k")
+    fresh = found.withColumn("_k", T.text_key(name)).join(known, "_k", "left_anti")
+    fresh = dedupe_first(fresh, ["_k"], [name]).drop("_k")
     return seed.unionByName(fresh, allowMissingColumns=True)
 
 
@@ -101,8 +101,6 @@ def split_tail(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
 def clean_nested(models: DataFrame, constructions: dict[str, str], default: str, order: str) -> DataFrame:
     """Nested models (slug, sizes array, constructions array): first row per slug, distinct
     sizes, mapped distinct constructions or the default, and how many sizes went away."""
-    from stockloom.operators.dedupe import dedupe_first
-
     first = dedupe_first(models, ["slug"], [order])
     sizes = F.array_distinct("sizes")
     mapped = F.array_sort(F.array_distinct(F.transform("constructions", lambda c: T.lookup(constructions, F.lower(F.trim(c))))))
@@ -170,7 +168,7 @@ def parity_audit(direct: DataFrame, models: DataFrame) -> DataFrame:
     not exact, is a duplicate representation.
     """
     names = direct.groupBy("brand_name", "model_name").agg(F.count("*").alias("rows")).withColumn("_k", T.model_key("model_name")).withColumn("_t", T.tolerant_model_key("model_name"))
-    c = models.select("brand_name", T.model_key("model_name").alias("_k"), F.col("model_name").alias("_exact")).dropDuplicates(["brand_name", "_k"])
+    c = models.select("brand_name", T.model_key("model_name").alias("_k"), F.col("model_name").alias("_exact")).groupBy("brand_name", "_k").agg(F.min("_exact").alias("_exact"))
     t = models.select("brand_name", T.tolerant_model_key("model_name").alias("_t"), "model_name").distinct().groupBy("brand_name", "_t").agg(
         F.count("*").alias("_n"), F.min("model_name").alias("_alias"))
     j = names.join(c, ["brand_name", "_k"], "left").join(t, ["brand_name", "_t"], "left")
