@@ -85,14 +85,15 @@ def contains_phrase(text: Column | str, phrase: Column | str) -> Column:
     return contains_key(text_key(text), text_key(phrase))
 
 
+def phrase_key(*texts: Column | str) -> Column:
+    """Words of one or more texts in which an apostrophe is a word of its own."""
+    both = search_text(F.concat_ws(" ", *[F.coalesce(col(t), F.lit("")) for t in texts]))
+    return F.trim(F.regexp_replace(F.replace(both, F.lit("'"), F.lit(" ' ")), " +", " "))
+
+
 def title_contains_phrase(title: Column | str, normalised: Column | str, phrase: Column | str) -> Column:
     """Phrase in either title, at letter or digit boundaries; an apostrophe ends a word."""
-    both = search_text(F.concat_ws(" ", F.coalesce(col(title), F.lit("")), F.coalesce(col(normalised), F.lit(""))))
-    p = search_text(phrase)
-    spaced = F.replace(both, F.lit("'"), F.lit(" ' "))
-    wanted = F.replace(p, F.lit("'"), F.lit(" ' "))
-    squeeze = lambda x: F.trim(F.regexp_replace(x, " +", " "))
-    return contains_key(squeeze(spaced), squeeze(wanted))
+    return contains_key(phrase_key(title, normalised), phrase_key(phrase))
 
 
 def model_family(c: Column | str) -> Column:

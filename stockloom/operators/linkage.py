@@ -458,6 +458,10 @@ def construction_compatible(pairs: DataFrame) -> DataFrame:
     Title words beat the stated field; an unknown side passes.
     """
     p = with_constructions(pairs).withColumn("_ckey", T.construction_key("t_construction"))
+    return _compatibility(p).drop("_tokens", "_stated", "_ckey")
+
+
+def _compatibility(prepared: DataFrame) -> DataFrame:
     c, r = F.col("_ckey"), F.col("_stated")
     named = F.size("_tokens") > 0
     reason = (
@@ -468,24 +472,28 @@ def construction_compatible(pairs: DataFrame) -> DataFrame:
         .when(r != "", "construction_mismatch")
         .otherwise("construction_unknown")
     )
-    p = p.withColumn("compatibility", reason).withColumn("compatible", ~F.col("compatibility").endswith("_mismatch"))
-    return p.drop("_tokens", "_stated", "_ckey")
+    return prepared.withColumn("compatibility", reason).withColumn("compatible", ~F.col("compatibility").endswith("_mismatch"))
 
 
-def classify_exact(pairs: DataFrame) -> DataFrame:
-    """Add ``exact`` and ``reason`` to (listing, size) pairs.
+def prepare_listing_side(listings: DataFrame) -> DataFrame:
+    """Everything the exact policy needs from a listing, parsed once per listing."""
+    p = with_constructions(source_dimensions(listings))
+    return p.withColumn("_inches", F.when(T.blank("_len_text"), D.length_inches("title")).otherwise(F.col("_inches"))).drop("_len_text")
 
-    Columns: brand_matches, model_matches, strong_title, title, length, width, thickness,
-    volume, construction, size_id and the size's t_length, t_width, t_thickness, t_volume,
-    t_construction, t_size_id.  The first rule that applies decides.
-    """
-    p = source_dimensions(pairs)
-    p = p.withColumn("_inches", F.when(T.blank("_len_text"), D.length_inches("title")).otherwise(F.col("_inches")))
-    p = construction_compatible(p)
-    p = (
-        p.withColumn("_tin", D.length_inches("t_length")).withColumn("_tw", D.parse_measurement("t_width"))
-        .withColumn("_tt", D.parse_measurement("t_thickness")).withColumn("_tv", D.parse_measurement("t_volume"))
-    )
+
+def prepare_target_side(targets: DataFrame) -> DataFrame:
+    """The same for a catalogue size (columns t_length, t_width, t_thickness, t_volume, t_construction)."""
+    return targets.withColumns({
+        "_tin": D.length_inches("t_length"), "_tw": D.parse_measurement("t_width"), "_tt": D.parse_measurement("t_thickness"),
+        "_tv": D.parse_measurement("t_volume"), "_ckey": T.construction_key("t_construction")})
+
+
+_PREPARED = ("_inches", "_w", "_t", "_v", "_tokens", "_stated", "_tin", "_tw", "_tt", "_tv", "_ckey", "compatible", "compatibility")
+
+
+def exact_verdict(prepared: DataFrame) -> DataFrame:
+    """Add ``exact`` and ``reason`` to pairs whose two sides are prepared; first rule decides."""
+    p = _compatibility(prepared)
     no_w, no_t, no_v = F.col("_w").isNull(), F.col("_t").isNull(), F.col("_v").isNull()
     equivalent = D.equivalent_dimensions(*[F.col(c) for c in ("_inches", "_w", "_t", "_v", "_tin", "_tw", "_tt", "_tv")])
     reason = (
@@ -500,11 +508,18 @@ def classify_exact(pairs: DataFrame) -> DataFrame:
         .when(no_w | no_t, "missing_width_or_thickness")
         .otherwise("dimensions_outside_tolerance")
     )
-    return (
-        p.withColumn("reason", reason)
-        .withColumn("exact", F.col("reason").isin("board_size_id", "equivalent_dimensions", "length_volume_strong_model"))
-        .drop("_inches", "_w", "_t", "_v", "_len_text", "compatible", "compatibility", "_tin", "_tw", "_tt", "_tv")
-    )
+    return p.withColumn("reason", reason).withColumn(
+        "exact", F.col("reason").isin("board_size_id", "equivalent_dimensions", "length_volume_strong_model")).drop(*_PREPARED)
+
+
+def classify_exact(pairs: DataFrame) -> DataFrame:
+    """Add ``exact`` and ``reason`` to (listing, size) pairs.
+
+    Columns: brand_matches, model_matches, strong_title, title, length, width, thickness,
+    volume, construction, size_id and the size's t_length, t_width, t_thickness, t_volume,
+    t_construction, t_size_id.
+    """
+    return exact_verdict(prepare_target_side(prepare_listing_side(pairs)))
 
 
 def policy_diff(pairs: DataFrame) -> DataFrame:
