@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes that a task turns into arrays at once; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -63,7 +64,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             at = stop
 
 
-def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
+def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, text: str = "text") -> DataFrame:
     """``function`` on every slice, in Arrow; rows are neither shuffled nor gathered."""
 
     def task(batches):

@@ -22,8 +22,9 @@ import hashlib
 from array import array
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from stockloom.llm.common import LOWER_TABLE, map_slices, saved, utf8
 
@@ -227,6 +228,23 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of every text that stays, with all its columns; of rows equal in id and text one stays.
+
+    Rows meet the index by digest and id together, so a hot text is spread over all tasks.
+    """
+    def task(batch):
+        data, rows = utf8(batch, text_col)
+        whole, ends = data.tobytes().translate(LOWER_TABLE), rows.tolist()
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([hashlib.sha256(whole[a:b]).digest() for a, b in zip(ends, ends[1:])], pa.binary())], names=[*batch.schema.names, "_digest"])
+
+    marked = map_slices(docs, task, StructType([*docs.schema.fields, StructField("_digest", BinaryType())]), text_col)
+    index = build_index(saved(digests(docs, id_col, text_col))).select(F.col("digest").alias("_held"), F.col("keep_id").alias("_keep"))
+    first = Window.partitionBy("_digest", id_col).orderBy(F.lit(0))
+    met = marked.join(index, (F.col("_digest") == F.col("_held")) & F.col(id_col).eqNullSafe(F.col("_keep")))
+    return met.withColumn("_row", F.row_number().over(first)).filter("_row = 1").select(*docs.columns)
+
+
 def op10_cuckoo_dedup(spark, sf_dir) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

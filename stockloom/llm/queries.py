@@ -2,13 +2,35 @@
 
 from __future__ import annotations
 
-from stockloom.llm import bpe_tree, cuckoo_dedup
+from stockloom.llm import (
+    bpe_tree,
+    centroid_language,
+    cuckoo_dedup,
+    licence_scan,
+    quality_nbsvm,
+    scaled_sketch,
+    secret_crf,
+    set_join,
+    source_raking,
+    trie_counts,
+)
 
 QUERIES = {
+    "op1_quality_nbsvm": quality_nbsvm.op1_quality_nbsvm,
+    "op2_scaled_sketch": scaled_sketch.op2_scaled_sketch,
+    "op3_secret_crf": secret_crf.op3_secret_crf,
+    "op4_centroid_language": centroid_language.op4_centroid_language,
+    "op5_trie_counts": trie_counts.op5_trie_counts,
+    "op6_source_raking": source_raking.op6_source_raking,
+    "op7_licence_scan": licence_scan.op7_licence_scan,
     "op8_bpe_tree": bpe_tree.op8_bpe_tree,
+    "op9_set_join": set_join.op9_set_join,
     "op10_cuckoo_dedup": cuckoo_dedup.op10_cuckoo_dedup,
 }
 
 ORACLE = {
+    "op2_scaled_sketch": scaled_sketch.ORACLE,
+    "op6_source_raking": source_raking.ORACLE,
+    "op9_set_join": set_join.ORACLE,
     "op10_cuckoo_dedup": cuckoo_dedup.ORACLE,
 }
