@@ -233,6 +233,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows meet the index by digest and id together, so a hot text is spread over all tasks.
     """
+    docs = docs.drop("_digest", "_held", "_keep", "_row")
+
     def task(batch):
         data, rows = utf8(batch, text_col)
         whole, ends = data.tobytes().translate(LOWER_TABLE), rows.tolist()

@@ -19,10 +19,13 @@ links found so contract near copies into clusters; members of one cluster have t
 and are not compared again.  Jaccard distance is a metric, so two members whose distances to
 the pivot differ by more than 0.25 are skipped as well.
 
-*Skipping inside lists.*  The rest of a list is joined in blocks by set size (neighbouring
-blocks only) and a position test: what stands before and after the shared shingle bounds the
-overlap.  A parity bitmap of 512 bits bounds the symmetric difference from below and drops
-pairs without reading their sets.  What remains is verified on the whole sets.
+*Skipping inside lists.*  A linked pair meets at its first common shingle, and there all that
+stands before it is not shared: with position p of n shingles, a partner has at most
+(4 n - 7 p) / 3.  So the rest of a list is joined in blocks of set size, and a member only
+visits the blocks that its position leaves; far positions, as those of passages that many
+documents share, visit none.  A parity bitmap of 512 bits bounds the symmetric difference
+from below and drops pairs without reading their sets.  What remains is verified on the
+whole sets.
 
 Frequent shingles are those at least ``max(HOT_ROWS, rows / MAX_HOT)`` lists rows share, hence at most
 ``MAX_HOT``.  Null and empty texts, and texts without words, have an empty set and link with
@@ -45,7 +48,9 @@ from stockloom.llm.components import components
 
 WIDTH = 5
 MISS = 32.0
-HOT_ROWS = 64
+HOT_ROWS = 16
+#: Ratio of the sizes in a block of a list.
+BLOCK = 1.05
 MAX_HOT = 1_000_000
 #: Bits of the filter that tells a verification scan which documents to open; wrong hits only cost time.
 DOOR_BITS = 1 << 26
@@ -176,6 +181,11 @@ def _enough(common, a, b):
     return 100 * common >= 75 * (a + b - common)
 
 
+def _block(n):
+    """Number of the size block of n shingles."""
+    return F.floor(F.log(n.cast("double")) / math.log(BLOCK)).cast("int")
+
+
 def _bitmap_allows(left: str, right: str):
     apart = sum((F.bit_count(F.col(f"{left}.{b}").bitwiseXOR(F.col(f"{right}.{b}"))) for b in _BITS[1:]),
                 F.bit_count(F.col(f"{left}.b0").bitwiseXOR(F.col(f"{right}.b0"))))
@@ -225,16 +235,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_rows = saved(
         labelled.join(mixed, "token").join(distance, ["cid", "pivot"], "left")
         .withColumn("apart", F.when(F.col("cid") == F.col("pivot"), 0.0).otherwise(F.col("apart")))
-        .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(4 / 3)).cast("int")))
-    small = open_rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("cid", "n", "pos", "cluster", "apart")], F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    large = open_rows.select("token", "band", *[F.col(c).alias(f"{c}_b") for c in ("cid", "n", "pos", "cluster", "apart")])
-    overlap = F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+        .join(classes.select("cid", *_BITS), "cid"))
+    most = F.floor((4 * F.col("n") - 7 * F.col("pos")) / 3)
+    small = open_rows.withColumn("most", most).filter("most >= n").withColumn("block", F.explode(F.sequence(_block(F.col("n")), _block(F.col("most"))))).alias("l")
+    large = open_rows.withColumn("block", _block(F.col("n"))).alias("r")
     rest = (
-        small.join(large, ["token", "band"])
-        .filter("cluster_a <> cluster_b AND (n_a < n_b OR n_a = n_b AND cid_a < cid_b) AND 3 * n_b <= 4 * n_a")
-        .filter(_enough(overlap, F.col("n_a"), F.col("n_b")))
-        .filter("apart_a IS NULL OR apart_b IS NULL OR abs(apart_a - apart_b) <= 0.2500001")
-        .select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct())
+        small.join(large, (F.col("l.token") == F.col("r.token")) & (F.col("l.block") == F.col("r.block"))
+                   & F.expr("l.cluster <> r.cluster AND (l.n < r.n OR l.n = r.n AND l.cid < r.cid) AND r.n <= l.most AND 3 * (l.n + r.n) <= 7 * (r.n - r.pos)")
+                   & F.expr("l.apart IS NULL OR r.apart IS NULL OR abs(l.apart - r.apart) <= 0.2500001") & _bitmap_allows("l", "r"))
+        .select(F.col("l.cid").alias("a"), F.col("r.cid").alias("b")).distinct())
     more = verified(docs, rest, classes)
     links = more.filter(linked).select("a", "b").unionByName(clusters.select("a", "b"))
     roots = components(links).select(F.col("a").alias("cid"), F.col("b").alias("root"))

@@ -13,7 +13,7 @@ Only cells (combinations that occur) are shuffled after the first aggregation, n
 A null source or language is a category of its own; null and empty texts weigh 0 tokens and
 take the probability of their cell, and a cell of mass 0 is sampled with probability ``RATE``.
 Rows of one id are drawn alike.  Columns of the input keep their names; those added start
-with ``mix_``.
+with ``mix_`` and replace columns that have their names.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ TOLERANCE = 1e-10
 SWEEPS = 5
 MAX_ROUNDS = 40
 DIMS = tuple(EXPONENTS)
+ADDED = (*DIMS, "mix_tokens", "mix_factor", "mix_probability", "mix_selected")
 
 
 def topic(text: Column) -> Column:
@@ -99,13 +100,13 @@ def draw(doc_id: Column, seed: str = "mix") -> Column:
 
 def mix(docs: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """Documents with mix_source, mix_lang, mix_topic, mix_tokens, mix_factor, mix_probability, mix_selected."""
+    docs = docs.drop(*ADDED)
     rows = with_cells(docs, text_col, source_col, lang_col)
     cells = saved(rows.groupBy(*DIMS).agg(F.sum("mix_tokens").alias("mass")))
     table = saved(calibrated(rake(flattened_targets(cells.filter("mass > 0"))), rate).select(*DIMS, F.col("factor").alias("mix_factor"), F.col("probability").alias("mix_probability")))
     joined = rows.join(table, list(DIMS), "left")
     chance = F.coalesce("mix_probability", F.lit(rate))
-    added = [*DIMS, "mix_tokens"]
-    return joined.select(*[joined[c] for c in docs.columns], *added, "mix_factor", chance.alias("mix_probability"), (draw(F.col(id_col)) < chance).alias("mix_selected"))
+    return joined.select(*docs.columns, *DIMS, "mix_tokens", "mix_factor", chance.alias("mix_probability"), (draw(F.col(id_col)) < chance).alias("mix_selected"))
 
 
 def op6_source_raking(spark, sf_dir) -> DataFrame:
