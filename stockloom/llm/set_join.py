@@ -7,14 +7,15 @@ five-word shingles.  The result is the component of every document.
 are compared, so copies are never expanded into pairs.
 
 *Lists.*  Shingles are ordered: those outside a set of very frequent ones first, each part by
-hash.  Two linked sets share a shingle among the first ``floor(n / 4) + 1`` of both.  When at
-most a part of a set is frequent, far fewer suffice: among the shingles of the union that
-come first, each is common with a chance of at least ``1 - n / (4 u)`` (n shingles, u of them not
-frequent), so the first ``MISS / ln(4 u / n)`` miss a link with a chance below exp(-MISS) ~ 1e-14,
-that of a collision of hashes; texts do not choose the order.  Sets that are mostly frequent
-shingles keep the full prefix.
-
-*Skipping between answers.*  In every list the members are first compared with one pivot.  The
+hash.  Two linked sets share a shingle among the first ``floor(n / 4) + 1`` of both.  Of large
+sets far fewer suffice.  At most n / 4 of n shingles are not common to a linked set, so of a
+part of u shingles, each that comes first is common with a chance of at least
+``1 - n / (4 u)``, and the first ``MISS / ln(4 u / n)`` miss a link with a chance below
+exp(-MISS) ~ 1e-14, that of a collision of hashes; texts do not choose the order.  That many are
+kept of the part that has half of the set or more, after all of a smaller part before it.
+
+*Skipping between answers.*  In every list the members are first compared with one pivot, the
+member whose lists are the longest, which stands in the middle of a group of copies.  The
 links found so contract near copies into clusters; members of one cluster have their answer
 and are not compared again.  Jaccard distance is a metric, so two members whose distances to
 the pivot differ by more than 0.25 are skipped as well.
@@ -23,7 +24,8 @@ the pivot differ by more than 0.25 are skipped as well.
 stands before it is not shared: with position p of n shingles, a partner has at most
 (4 n - 7 p) / 3.  So the rest of a list is joined in blocks of set size, and a member only
 visits the blocks that its position leaves; far positions, as those of passages that many
-documents share, visit none.  A parity bitmap of 512 bits bounds the symmetric difference
+documents share, visit none.  Pairs whose last two shingles before the position have one in
+common have met already.  A parity bitmap of 512 bits bounds the symmetric difference
 from below and drops pairs without reading their sets.  What remains is verified on the
 whole sets.
 
@@ -82,10 +84,8 @@ def shingle_sets(data: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
 
 def prefix_size(n: int, rare: int) -> int:
     """How many shingles of a set of n, of them ``rare`` not frequent, its lists need."""
-    full = n // 4 + 1
-    if 4 * rare <= n:
-        return full
-    return min(full, math.ceil(MISS / math.log(4 * rare / n)))
+    before, part = (0, rare) if 2 * rare >= n else (rare, n - rare)
+    return min(n // 4 + 1, before + math.ceil(MISS / math.log(4 * part / n)))
 
 
 def class_id(values: np.ndarray) -> bytes:
@@ -217,9 +217,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), *[F.first(b).alias(b) for b in _BITS]))
 
     # lists with their pivot; lists of one member have nothing to compare
-    rows = classes.select("cid", "n", F.posexplode("sig").alias("pos", "token"))
-    pivots = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("cid").alias("pivot")).filter("members > 1").select("token", "pivot")
-    lists = saved(rows.join(pivots, "token"))
+    rows = classes.select("cid", "n", "sig", F.posexplode("sig").alias("pos", "token")).select(
+        "cid", "n", "pos", "token", F.get("sig", F.col("pos") - 1).alias("p1"), F.get("sig", F.col("pos") - 2).alias("p2"))
+    shared = rows.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1")
+    met = saved(rows.join(shared, "token"))
+    central = met.groupBy("cid").agg(F.sum("members").alias("central"))
+    pivots = met.select("token", "cid").join(central, "cid").groupBy("token").agg(F.max(F.struct("central", "cid")).alias("p")).select("token", F.col("p.cid").alias("pivot"))
+    lists = saved(met.drop("members").join(pivots, "token"))
 
     pivot_pairs = (lists.filter("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b"), "n").distinct()
                    .join(classes.select(F.col("cid").alias("b"), F.col("n").alias("m")), "b").filter("3 * greatest(n, m) <= 4 * least(n, m)").select("a", "b"))
@@ -242,6 +246,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rest = (
         small.join(large, (F.col("l.token") == F.col("r.token")) & (F.col("l.block") == F.col("r.block"))
                    & F.expr("l.cluster <> r.cluster AND (l.n < r.n OR l.n = r.n AND l.cid < r.cid) AND r.n <= l.most AND 3 * (l.n + r.n) <= 7 * (r.n - r.pos)")
+                   & F.expr("NOT coalesce(l.p1 IN (r.p1, r.p2) OR l.p2 IN (r.p1, r.p2), false)")
                    & F.expr("l.apart IS NULL OR r.apart IS NULL OR abs(l.apart - r.apart) <= 0.2500001") & _bitmap_allows("l", "r"))
         .select(F.col("l.cid").alias("a"), F.col("r.cid").alias("b")).distinct())
     more = verified(docs, rest, classes)
