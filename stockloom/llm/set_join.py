@@ -84,6 +84,8 @@ def shingle_sets(data: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
 
 def prefix_size(n: int, rare: int) -> int:
     """How many shingles of a set of n, of them ``rare`` not frequent, its lists need."""
+    if n == 0:
+        return 0
     before, part = (0, rare) if 2 * rare >= n else (rare, n - rare)
     return min(n // 4 + 1, before + math.ceil(MISS / math.log(4 * part / n)))
 
