@@ -89,25 +89,38 @@ def equivalent_dimensions(
 
 
 def slug_dimensions(c: Column | str) -> Column:
-    """Dash text such as ``510-19-2-5-28-5l`` → struct (length, width, thickness, volume).
+    """Dash text such as ``510-19-1-4-2-3-8-28-5l``, or ``5'10 | 19 1/2 | 2 1/2 | 30L`` → struct
+    (length, width, thickness, volume).
 
-    The volume is the trailing number that ends in ``l``; feet and inches are one token
-    (``510``) or two (``5-10``); the next numbers are width and thickness, the latter
-    possibly with one decimal token.
+    In dash text feet and inches are one token (``510``) or two (``5-10``); width and
+    thickness are a whole number, with a fraction where two tokens make a proper one in
+    halves to sixteenths, else with one decimal token; the volume ends in ``l``.
     """
-    t = F.lower(F.regexp_replace(F.trim(col(c)), r"[|/_\s]+", "-"))
-    vol = F.regexp_extract(t, r"(?:^|-)(\d{2,3}(?:-\d{1,2})?)-?l(?:itres?|iters?)?(?:-|$)", 1)
-    compact = r"(?:^|-)([4-9])(\d{1,2})-(\d{2})(?:-(\d{1,2})-(\d{1,2}))?-([1-4])-(\d{1,2})(?:-|$)"
-    feet = F.regexp_extract(t, compact, 1)
-    inch = F.regexp_extract(t, compact, 2).try_cast("int")
-    ok = (feet != "") & (inch < 12)
-    width = F.regexp_extract(t, compact, 3)
-    thick = F.concat(F.regexp_extract(t, compact, 6), F.lit("."), F.regexp_extract(t, compact, 7))
+    t = F.lower(F.trim(col(c)))
+    dash = F.regexp_replace(t, r"[|/_\s]+", "-")
+    fraction = r"(?:-(\d{1,2})-(2|4|8|16)|-(\d{1,2}))?"
+    sizes = r"(?:^|-)([4-9])-?(\d{1,2})-(\d{2})" + fraction + r"-([1-4])" + fraction
+    # with the volume first: it tells where the thickness ends
+    whole, short = sizes + r"-(\d{2,3}(?:-\d{1,2})?)-?l(?:itres?|iters?)?(?:-|$)", sizes + "(?:-|$)"
+    lone = F.regexp_extract(dash, r"(?:^|-)(\d{2,3}(?:-\d{1,2})?)-?l(?:itres?|iters?)?(?:-|$)", 1)
+    g = lambda i: F.when(dash.rlike(whole), F.regexp_extract(dash, whole, i)).otherwise(F.regexp_extract(dash, short, i) if i < 11 else F.lit(""))
+    inch = g(2).try_cast("int")
+    ok = (g(1) != "") & (inch < 12)
+
+    def measure(whole: int, top: int, below: int, decimal: int) -> Column:
+        proper = g(top).try_cast("int") < g(below).try_cast("int")
+        return F.when(g(below) != "", F.when(proper, F.concat(g(whole), F.lit(" "), g(top), F.lit("/"), g(below)))).when(
+            g(decimal) != "", F.concat(g(whole), F.lit("."), g(decimal))).otherwise(g(whole))
+
+    parts = F.transform(F.split(t, r"\s*\|\s*"), lambda x: F.trim(x))
+    piped = (F.size(parts) >= 3) & length_inches(parts[0]).isNotNull()
+    volume = F.when(g(11) != "", g(11)).otherwise(lone)
+    stated = F.regexp_extract(F.try_element_at(parts, F.lit(4)), r"^(\d+(?:[.,]\d+)?)\s*l", 1)
     return F.struct(
-        F.when(ok, F.concat(feet, F.lit("'"), inch.cast("string"))).alias("length"),
-        F.when(ok, width).alias("width"),
-        F.when(ok, thick).alias("thickness"),
-        F.when(vol != "", F.replace(vol, F.lit("-"), F.lit("."))).alias("volume"),
+        F.when(piped, length_text(length_inches(parts[0]))).when(ok, F.concat(g(1), F.lit("'"), inch.cast("string"))).alias("length"),
+        F.when(piped, parts[1]).when(ok, measure(3, 4, 5, 6)).alias("width"),
+        F.when(piped, parts[2]).when(ok, measure(7, 8, 9, 10)).alias("thickness"),
+        F.when(piped, F.when(stated != "", F.replace(stated, F.lit(","), F.lit(".")))).when(volume != "", F.replace(volume, F.lit("-"), F.lit("."))).alias("volume"),
     )
 
 

@@ -26,13 +26,13 @@ CONSTRUCTION_ALIASES = {
 # fixed values: construction words recognised in titles
 CONSTRUCTION_TITLE_TOKENS = {
     "carbotune": ("carbotune", "carbon tune"),
-    "hyfi": ("hyfi", "hyfi 3", "hyfi 3 0"),
-    "ibolic": ("ibolic", "i bolic"),
-    "pu": ("pu", "polyester", "pu stringer"),
-    "pe": ("pe",),
-    "eps": ("eps",),
-    "spinetek": ("spine tek", "spinetek"),
-    "ectcarbon": ("ect carbon",),
+    "hyfi": ("hyfi", "hyfi 3", "hyfi 3.0"),
+    "ibolic": ("ibolic", "i-bolic", "i bolic"),
+    "pu": (" pu ", "polyester", "pu stringer"),
+    "pe": (" pe ",),
+    "eps": (" eps ",),
+    "spinetek": ("spine-tek", "spine tek", "spinetek"),
+    "ectcarbon": ("ect-carbon", "ect carbon"),
     "futureflex": ("futureflex", "future flex", "ff"),
     "helium": ("helium",),
     "blacksheep": ("black sheep",),
@@ -43,12 +43,13 @@ CONSTRUCTION_TITLE_TOKENS = {
 
 # fixed values: construction spellings used by the search policy
 POLICY_CONSTRUCTION_ALIASES = {
-    "hyfi": "hyfi 3 0", "hyfi 3": "hyfi 3 0", "carbon tune": "carbotune", "poly": "pu",
-    "polyester": "pu", "ect": "ect carbon", "spinetek": "spine tek", "ibolic": "i bolic",
+    "hyfi": "hyfi 3 0", "hyfi 3": "hyfi 3 0", "hyfi 3 0": "hyfi 3 0", "carbotune": "carbotune", "carbon tune": "carbotune",
+    "pu": "pu", "pe": "pe", "poly": "pu", "polyester": "pu", "eps": "eps", "ect": "ect carbon", "ect carbon": "ect carbon",
+    "spine tek": "spine tek", "spinetek": "spine tek", "standard": "standard", "i bolic": "i bolic", "ibolic": "i bolic",
     "i bolic 2 0": "i bolic", "ibolic 2 0": "i bolic",
     "i bolic core with fiberglass lamination": "i bolic",
     "ibolic core with fiberglass lamination": "i bolic",
-    "ibolic volcanic": "i bolic volcanic",
+    "i bolic volcanic": "i bolic volcanic", "ibolic volcanic": "i bolic volcanic",
 }
 
 # fixed values: trailing words that do not tell model families apart
@@ -173,3 +174,14 @@ EXCLUDED_PRODUCTS = (
     ("used_board", r"\bused\b"), ("consignment_board", r"\bconsignment\b"), ("trade_in_board", r"\btrade[\s-]*in\b"),
     ("wall_art", r"\bwall art\b"), ("custom_deposit", r"\bcustom deposit\b"), ("kneeboard", r"\bkneeboard\b"),
 )
+
+# fixed values: words in image addresses that speak against and for a product photo, and title words without meaning
+IMAGE_REJECT_TERMS = (
+    "leash", "legrope", "leg-rope", "traction", "tail-pad", "tailpad", "grip", "wax", "fin", "fins", "cover", "bag", "sock",
+    "strap", "tie-down", "wetsuit", "steamer", "rash", "oe-6ft-flex", "diamond-flex", "regular-diamond", "premium-one-xt",
+)
+IMAGE_PREFERRED_TERMS = (
+    "monsta", "xero", "gravity", "fusion", "black-baron", "baron", "raging-bull", "bull", "blak-box", "air-17",
+    "golden-child", "sub-xero", "surfboard", "board", "main",
+)
+IMAGE_TITLE_STOPS = ("the", "and", "with", "fcs", "fcsii", "fcs2", "pu", "eps")

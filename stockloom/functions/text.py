@@ -110,6 +110,11 @@ def policy_construction_key(c: Column | str) -> Column:
     return lookup(POLICY_CONSTRUCTION_ALIASES, search_text(c))
 
 
+def _words(token: str) -> str:
+    """A fixed token in the form of a text key."""
+    return " ".join(re.findall("[a-z0-9]+", token.lower()))
+
+
 def construction_tokens(key: Column | str) -> Column:
     """Array of the constructions named in a title; takes its ``text_key`` as a column.
 
@@ -119,7 +124,7 @@ def construction_tokens(key: Column | str) -> Column:
     found = []
     for name, tokens in CONSTRUCTION_TITLE_TOKENS.items():
         hit = F.lit(False)
-        for token in tokens:
+        for token in dict.fromkeys(_words(t) for t in tokens):
             hit = hit | padded.contains(f" {token} ")
         found.append(F.when(hit, F.lit(name)))
     return F.array_compact(F.array(*found))

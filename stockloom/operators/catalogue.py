@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stockloom.functions import dims as D
 from stockloom.functions import text as T
 from stockloom.operators.dedupe import dedupe_first
-from stockloom.operators.linkage import squash_quotes
+from stockloom.operators.linkage import max_words, squash_quotes
 
 # --------------------------------------------------------------------------- browsing
 
@@ -50,15 +50,16 @@ def build_models(catalogue: DataFrame, fields: Sequence[str], order: str) -> Dat
 
 
 def missing_models(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    e = existing.select(F.trim("model_name").alias("model_name")).filter("model_name <> ''")
-    return e.subtract(incoming.select(F.trim("model_name").alias("model_name")))
+    """(brand_name, model_name) that a brand had and its incoming catalogue lacks."""
+    names = lambda d: d.select("brand_name", F.trim("model_name").alias("model_name")).filter("model_name <> ''")
+    return names(existing).distinct().join(names(incoming).distinct(), ["brand_name", "model_name"], "left_anti")
 
 
 def missing_guard(existing: DataFrame, incoming: DataFrame, most: int = 5, ratio: float = 0.2, from_size: int = 10) -> DataFrame:
-    """One row: number missing, number existing and whether the load must stop."""
-    m = missing_models(existing, incoming).agg(F.count("*").alias("missing")).withColumn("one", F.lit(1))
-    e = existing.select(F.trim("model_name").alias("n")).filter("n <> ''").distinct().agg(F.count("*").alias("existing")).withColumn("one", F.lit(1))
-    j = e.join(m, "one").drop("one")
+    """Per brand: number of models, number missing and whether its load must stop."""
+    m = missing_models(existing, incoming).groupBy("brand_name").agg(F.count("*").alias("missing"))
+    e = existing.filter(F.trim("model_name") != "").groupBy("brand_name").agg(F.countDistinct(F.trim("model_name")).alias("existing"))
+    j = e.join(m, "brand_name", "left").withColumn("missing", F.coalesce("missing", F.lit(0)))
     stop = (F.col("missing") > most) | ((F.col("existing") >= from_size) & (F.col("missing") > F.col("existing") * ratio))
     return j.withColumn("blocked", stop)
 
@@ -147,9 +148,9 @@ def catalogue_health(models: DataFrame, sizes: DataFrame, diff: DataFrame, field
     return j.withColumn("indicators", ind)
 
 
-def coverage_counts(inv: DataFrame, regions: Sequence[str]) -> DataFrame:
-    """Rows by brand with one column per region."""
-    return inv.groupBy("brand_name").pivot("region_code", list(regions)).count().fillna(0)
+def coverage_counts(inv: DataFrame) -> DataFrame:
+    """Rows by brand and region, every region that occurs."""
+    return inv.groupBy("brand_name", "region_code").agg(F.count("*").alias("rows"))
 
 
 # fixed values: words that betray an unclean model name, first match decides
@@ -263,15 +264,27 @@ def link_direct(rows: DataFrame, sizes: DataFrame, policy: DataFrame) -> DataFra
     return g.filter(keep).select("direct_id", "linked_size_id", "candidates")
 
 
-def link_diagnostics(rows: DataFrame, models: DataFrame, other: DataFrame) -> DataFrame:
-    """Direct rows with the model they match or the reason they match none."""
-    key = lambda d: d.select("brand_name", T.model_key("model_name").alias("_k")).filter("_k <> ''").distinct()
+def link_diagnostics(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """Direct rows of all regions with the model they match or the reason they match none.
+
+    A model that a row of another region also names is told apart from one that none does.
+    """
     r = rows.withColumn("_k", T.model_key("model_name"))
-    j = r.join(key(models).withColumn("_m", F.lit(True)), ["brand_name", "_k"], "left").join(key(other).withColumn("_o", F.lit(True)), ["brand_name", "_k"], "left")
+    known = models.select("brand_name", T.model_key("model_name").alias("_k")).filter("_k <> ''").distinct().withColumn("_m", F.lit(True))
+    named = r.filter("_k <> ''").groupBy("brand_name", "_k").agg(F.min("region_code").alias("_r0"), F.max("region_code").alias("_r1"))
+    j = r.join(known, ["brand_name", "_k"], "left").join(named, ["brand_name", "_k"], "left")
+    elsewhere = (F.col("_r0") != F.col("region_code")) | (F.col("_r1") != F.col("region_code"))
     blocker = (
-        F.when(F.col("_m"), None).when(T.blank("model_name"), "parsed_model_empty").when(F.col("_o"), "other_region_model_not_in_canonical_catalogue")
+        F.when(F.col("_m"), None).when(T.blank("model_name"), "parsed_model_empty").when(elsewhere, "other_region_model_not_in_canonical_catalogue")
         .otherwise("model_not_in_canonical_catalogue"))
-    return j.withColumn("blocker", blocker).drop("_k", "_m", "_o")
+    return j.withColumn("blocker", blocker).drop("_k", "_m", "_r0", "_r1")
+
+
+def top_blockers(diagnosed: DataFrame) -> DataFrame:
+    """Rows per region, brand and blocker, with the rank of the blocker within region and brand."""
+    g = diagnosed.filter("blocker IS NOT NULL").groupBy("region_code", "brand_name", "blocker").agg(F.count("*").alias("rows"))
+    w = Window.partitionBy("region_code", "brand_name").orderBy(F.desc("rows"), "blocker")
+    return g.withColumn("rank", F.row_number().over(w))
 
 
 def match_variants(rows: DataFrame, variants: DataFrame) -> DataFrame:
@@ -311,16 +324,25 @@ def prefer_stock(stock: DataFrame, fallback: DataFrame, keys: Sequence[str]) ->
     return stock.unionByName(rest)
 
 
-def match_catalogue(inv: DataFrame, catalogue: DataFrame, words: int, threshold: int = 65) -> DataFrame:
+def match_catalogue(inv: DataFrame, catalogue: DataFrame, threshold: int = 65) -> DataFrame:
     """Best catalogue record per listing: model 45, length 20, volume 20, construction 10, fins 5.
 
-    65 points need the model (without it 55 is the most), so candidates are blocked by the
-    word runs of the title and nothing above the threshold is missed.
+    65 points need the model (without it 55 is the most) and besides it the length or the
+    volume (without both 60 is the most).  So candidates meet by a word run of the title and
+    the length, or by the run and the volume in buckets; nothing above the threshold is missed.
     """
+    if threshold < 65:
+        raise ValueError("candidates are only complete from 65 points on")
     c = catalogue.select(F.col("size_id").alias("record_id"), T.text_key("model_name").alias("run"), F.col("length").alias("_l"), F.col("volume").cast(D.DEC).alias("_v"),
                          T.text_key("construction").alias("_c"), T.text_key("fin_setup").alias("_f"))
     i = inv.select("inventory_id", T.text_key("title").alias("_t"), "length", F.col("volume").cast(D.DEC).alias("volume"), T.text_key("construction").alias("con"), T.text_key("fin_setup").alias("fin"))
-    p = i.select("*", F.explode_outer(T.word_ngrams("_t", words)).alias("run")).join(c, "run")
+    words = max_words(c, F.col("run"))
+    i = i.select("*", F.explode_outer(T.word_ngrams("_t", words)).alias("run"))
+    bucket = lambda v: F.floor(v / D.dec("0.15")).cast("long")
+    by_length = i.join(c, [i.run == c.run, i.length == c._l]).drop("run")
+    near = c.withColumn("_b", F.explode(F.array(bucket(F.col("_v")) - 1, bucket(F.col("_v")), bucket(F.col("_v")) + 1)))
+    by_volume = i.join(near, [i.run == near.run, bucket(i.volume) == near._b]).drop("run", "_b")
+    p = by_length.unionByName(by_volume)
     pts = lambda cond, n: F.when(F.coalesce(cond, F.lit(False)), n).otherwise(0)
     score = F.lit(45) + pts(F.col("length") == F.col("_l"), 20) + pts(F.abs(F.col("volume") - F.col("_v")) <= D.dec("0.15"), 20) + pts(
         (F.col("_c") != "") & (F.col("_c") == F.col("con")), 10) + pts((F.col("_f") != "") & (F.col("_f") == F.col("fin")), 5)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.functions import text as T
+from stockloom.functions.fixed_values import IMAGE_PREFERRED_TERMS, IMAGE_REJECT_TERMS, IMAGE_TITLE_STOPS
 from stockloom.functions.status import is_available_status
 
 
@@ -107,20 +108,28 @@ def merge_sources(sources: Sequence[tuple[DataFrame, int]], keys: Sequence[str],
     return dedupe_first(out, keys, ["preference", *order])
 
 
-def image_score(url: Column | str) -> Column:
-    """Product photos above thumbnails, logos and icons."""
-    u = F.lower(F.coalesce(T.col(url), F.lit("")))
-    return (
-        F.when(u.rlike(r"\.(?:jpe?g|png|webp)(?:\?|$)"), 10).otherwise(0)
-        + F.when(u.contains("product"), 5).otherwise(0)
-        - F.when(u.rlike(r"thumb|small|icon|logo|placeholder"), 20).otherwise(0)
-    )
+def title_tokens(title: Column | str) -> Column:
+    """Words of three or more letters that tell a product's images apart."""
+    words = F.split(F.regexp_replace(F.lower(T.clean(title)), "[^a-z0-9]+", "-"), "-")
+    return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*IMAGE_TITLE_STOPS))
+
+
+def image_score(url: Column | str, title: Column | str) -> Column:
+    """Uploads, the title's words, front and back views and large files above accessories and thumbnails."""
+    u = F.lower(T.col(url))
+    any_of = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: u.contains(w))
+    pts = lambda cond, n: F.when(cond, n).otherwise(0)
+    score = (
+        pts(u.contains("/wp-content/uploads/"), 20) - pts(any_of(IMAGE_REJECT_TERMS), 80) + pts(any_of(IMAGE_PREFERRED_TERMS), 20)
+        + 15 * F.size(F.filter(title_tokens(title), lambda w: u.contains(w))) + pts(u.contains("main"), 8) + pts(u.contains("front"), 6) + pts(u.contains("back"), 4)
+        - pts(u.contains("346x461") | u.contains("300x300"), 5) + pts(u.contains("1536") | u.contains("2048"), 5))
+    return F.when(T.blank(url), -1000).otherwise(score)
 
 
-def rank_images(df: DataFrame, key: str, url: str, n: int = 1) -> DataFrame:
-    """The ``n`` best image urls per key by score, then shorter, then alphabetical."""
-    w = Window.partitionBy(key).orderBy(F.desc("image_score"), F.length(url), F.col(url))
-    scored = df.select(key, url).filter(~T.blank(url)).distinct().withColumn("image_score", image_score(url))
+def rank_images(df: DataFrame, key: str, url: str, title: str, n: int = 1) -> DataFrame:
+    """The ``n`` best image urls per key by score, then alphabetical."""
+    scored = df.select(key, url, image_score(url, title).alias("image_score")).filter(~T.blank(url)).groupBy(key, url).agg(F.max("image_score").alias("image_score"))
+    w = Window.partitionBy(key).orderBy(F.desc("image_score"), F.col(url))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 

@@ -276,7 +276,8 @@ def region_health(retail: DataFrame, direct: DataFrame, states: DataFrame, now:
 
 
 def pipeline_stages(overview: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Per stage: the worst colour over regions, the regions that have it, rows handled."""
+    """Per stage: the worst colour over regions, rows handled, and of a yellow or red stage the first
+    region by name that has the colour, with the issue in words."""
     stages = [("retailer_inventory", "retailer_status", "retail_rows"), ("manufacturer_direct", "direct_status", "direct_rows"),
               ("search_linkage", "search_status", "supported_rows"), ("coverage", "coverage_status", "no_stock_anywhere")]
     each = F.array(*[F.struct(F.lit(s).alias("stage"), F.col(c).alias("color"), F.col(m).cast("long").alias("metric")) for s, c, m in stages])
@@ -284,8 +285,11 @@ def pipeline_stages(overview: DataFrame, jobs: DataFrame) -> DataFrame:
     j = jobs.select("region_code", F.lit("jobs").alias("stage"), "color", F.lit(1).cast("long").alias("metric"))
     worst = long.unionByName(j).groupBy("stage").agg(
         F.max(F.struct(severity("color").alias("s"), F.col("color").alias("c"))).alias("w"), F.sum("metric").alias("metric"),
-        F.max(F.struct(severity("color").alias("s"), F.col("region_code").alias("r"))).alias("i"))
-    return worst.select("stage", F.col("w.c").alias("color"), "metric", F.col("i.r").alias("worst_region"))
+        F.min(F.struct((-severity("color")).alias("s"), F.col("region_code").alias("r"))).alias("i"))
+    bad = F.col("w.c").isin("yellow", "red")
+    return worst.select(
+        "stage", F.col("w.c").alias("color"), "metric", F.when(bad, F.col("i.r")).alias("worst_region"),
+        F.when(bad, F.concat_ws(": ", "i.r", "w.c")).otherwise("All expected regions are healthy.").alias("issue"))
 
 
 # --------------------------------------------------------------------------- guards

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from stockloom.functions import dims as D
 from stockloom.functions import text as T
 from stockloom.functions.fixed_values import GENERIC_MODELS, TOL_THICKNESS, TOL_VOLUME, TOL_WIDTH
+from stockloom.session import saved
 
 ID = "inventory_id"
 
@@ -29,7 +30,7 @@ def max_words(df: DataFrame, key: Column) -> int:
 # --------------------------------------------------------------------------- brands
 
 
-def resolve_brand(listings: DataFrame, aliases: DataFrame, words: int | None = None) -> DataFrame:
+def resolve_brand(listings: DataFrame, aliases: DataFrame) -> DataFrame:
     """Add ``parsed_brand_id`` and ``parsed_brand`` from the stated brand, else from the title.
 
     A title names a brand when it starts with an alias (after an optional "surfboards").
@@ -40,7 +41,7 @@ def resolve_brand(listings: DataFrame, aliases: DataFrame, words: int | None = N
         aliases.select(T.text_key("brand_name").alias("key"), "brand_id", "brand_name")
     )
     table = both.filter("key <> ''").groupBy("key").agg(F.min(F.struct("brand_id", "brand_name")).alias("_hit"))
-    n = words or max_words(aliases, T.text_key("alias"))
+    n = max_words(table, F.col("key"))
     title = F.regexp_replace(T.text_key("title"), r"^surfboards?\s+", "")
     w = F.col("_w")
     out = listings.withColumn("_w", F.split(title, " ")).withColumn("_k0", T.text_key("brand_name"))
@@ -55,13 +56,13 @@ def resolve_brand(listings: DataFrame, aliases: DataFrame, words: int | None = N
     )
 
 
-def reconcile_brands(listings: DataFrame, aliases: DataFrame, words: int | None = None) -> DataFrame:
+def reconcile_brands(listings: DataFrame, aliases: DataFrame) -> DataFrame:
     """Brand named anywhere in a title; the alias with the highest ``position`` wins.
 
     ``aliases`` has alias, brand_id, position.  Adds ``reconciled_brand_id`` and ``changed``.
     """
     a = aliases.select(T.text_key("alias").alias("run"), F.col("brand_id").alias("_b"), "position")
-    n = words or max_words(aliases, T.text_key("alias"))
+    n = max_words(aliases, T.text_key("alias"))
     runs = F.array_union(T.word_ngrams(T.text_key("title"), n), T.word_ngrams(T.text_key("normalised_title"), n))
     hits = (
         listings.select(ID, F.explode_outer(runs).alias("run")).join(a, "run")
@@ -107,7 +108,7 @@ def with_hint(listings: DataFrame, aliases: Sequence[str]) -> DataFrame:
     return listings.withColumn("hint", T.model_hint("title", brand, aliases))
 
 
-def model_candidates(listings: DataFrame, models: DataFrame, words: int | None = None) -> DataFrame:
+def model_candidates(listings: DataFrame, models: DataFrame) -> DataFrame:
     """Scored (listing, model) pairs of the same brand.
 
     Block keys of a listing: every word run of its two titles, every leading run of its
@@ -115,7 +116,7 @@ def model_candidates(listings: DataFrame, models: DataFrame, words: int | None =
     reached by both is kept once, through its own key.
     """
     m = prepare_models(models)
-    n = words or max_words(m, F.col("model_key"))
+    n = max_words(m, F.col("model_key"))
     raw, norm = T.model_key("title"), T.model_key("normalised_title")
     hint = T.tolerant_model_key("hint")
     lst = listings.filter("brand_id IS NOT NULL").select(
@@ -162,23 +163,23 @@ def longest_first(candidates: DataFrame, name: str = "model_name", ident: str =
     ).select(ID, F.col(f"_b.{name}").alias(name), F.col(f"_b.{ident}").alias(ident))
 
 
-def contained_models(listings: DataFrame, brands: DataFrame, models: DataFrame, words: int | None = None) -> DataFrame:
+def contained_models(listings: DataFrame, brands: DataFrame, models: DataFrame) -> DataFrame:
     """(listing, model) pairs whose title names both the model and its brand as whole words."""
     m = (
         models.drop("brand_name").join(brands, "brand_id")
         .select("model_id", "model_name", "brand_id", T.text_key("model_name").alias("run"), T.text_key("alias").alias("brand_key"))
     )
-    n = words or max_words(models, T.text_key("model_name"))
+    n = max_words(models, T.text_key("model_name"))
     t = listings.select(ID, T.text_key("title").alias("_t")).withColumn("run", F.explode_outer(T.word_ngrams("_t", n)))
     return t.join(m, "run").filter(T.contains_key(F.col("_t"), F.col("brand_key"))).select(ID, "brand_id", "model_id", "model_name")
 
 
-def link_by_contains(listings: DataFrame, brands: DataFrame, models: DataFrame, words: int | None = None) -> DataFrame:
+def link_by_contains(listings: DataFrame, brands: DataFrame, models: DataFrame) -> DataFrame:
     """Unlinked listings → the longest model name found in the title with its brand."""
-    return longest_first(contained_models(listings.filter("model_id IS NULL"), brands, models, words))
+    return longest_first(contained_models(listings.filter("model_id IS NULL"), brands, models))
 
 
-def link_model_fuzzy(rows: DataFrame, models: DataFrame, words: int | None = None) -> DataFrame:
+def link_model_fuzzy(rows: DataFrame, models: DataFrame) -> DataFrame:
     """Equal name first; else containment in either direction, longest catalogue name first.
 
     Containment is by whole words, found through word runs on either side.  Only rows
@@ -188,7 +189,8 @@ def link_model_fuzzy(rows: DataFrame, models: DataFrame, words: int | None = Non
     r = rows.select(ID, "brand_id", T.text_key("model_text").alias("_rk")).filter("_rk <> ''")
     equal = r.join(m, [r._rk == m._mk, r.brand_id == m.brand_id]).groupBy(ID).agg(F.min("model_id").alias("model_id"))
     rest = r.join(equal, ID, "left_anti")
-    n = words or max(max_words(m, F.col("_mk")), max_words(r, F.col("_rk")))
+    # a row contains a model, or is contained in one, through runs no longer than a model's name
+    n = max_words(m, F.col("_mk"))
     in_row = (
         rest.withColumn("run", F.explode_outer(T.word_ngrams("_rk", n)))
         .join(m.withColumnRenamed("_mk", "run"), ["brand_id", "run"]).select(ID, "model_id", "model_name")
@@ -347,6 +349,9 @@ def project_links(
 ) -> DataFrame:
     """Listings with everything the linker would set.
 
+    The named listings are written once; several joins read them.  Models are looked for once
+    per distinct (brand, titles, hint), since titles repeat.
+
     Adds new_brand_id, new_model_id, new_size_id, hint, ambiguous, candidate_count,
     has_family and effective_model_id.  Ambiguous models are left out unless asked for.
     """
@@ -356,12 +361,15 @@ def project_links(
         named = named.filter(F.col("effective_brand").isin(*supported))
     named = named.withColumn("new_brand_id", F.when(F.col("brand_id").isNull(), F.col("parsed_brand_id")))
     named = with_hint(named, alias_texts)
-    todo = named.filter("model_id IS NULL").withColumn("brand_id", F.coalesce("brand_id", "new_brand_id"))
-    best = select_model(model_candidates(todo, models)).select(
-        ID, "linked_model_id", "linked_model", "ambiguous", "candidate_count")
+    inputs = [F.coalesce("brand_id", "new_brand_id"), F.coalesce("title", F.lit("")), F.coalesce("normalised_title", F.lit("")), F.coalesce("hint", F.lit(""))]
+    named = saved(named.withColumn("_input", F.when(F.col("model_id").isNull(), F.sha2(F.to_json(F.struct(*inputs)), 256))))
+    distinct = named.filter("_input IS NOT NULL").groupBy(F.col("_input").alias(ID)).agg(
+        F.first(F.coalesce("brand_id", "new_brand_id")).alias("brand_id"), *[F.first(c).alias(c) for c in ("title", "normalised_title", "hint")])
+    best = select_model(model_candidates(distinct, models)).select(
+        F.col(ID).alias("_input"), "linked_model_id", "linked_model", "ambiguous", "candidate_count")
     take = F.lit(True) if apply_ambiguous else ~F.col("ambiguous")
-    linked = named.join(best, ID, "left").withColumn("new_model_id", F.when(take, F.col("linked_model_id")))
-    linked = linked.withColumn("effective_model_id", F.coalesce("model_id", "new_model_id"))
+    linked = named.join(best, "_input", "left").drop("_input").withColumn("new_model_id", F.when(take, F.col("linked_model_id")))
+    linked = saved(linked.withColumn("effective_model_id", F.coalesce("model_id", "new_model_id")))
     chosen = link_sizes(linked.filter("size_id IS NULL"), sizes, "effective_model_id").select(
         ID, F.col("linked_size_id").alias("new_size_id"), "has_family")
     return linked.join(chosen, ID, "left")

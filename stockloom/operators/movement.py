@@ -11,6 +11,8 @@ from stockloom.functions.fixed_values import SNAPSHOT_STATUSES
 from stockloom.functions.status import is_available_status
 
 KEYS = ("retailer_name", "product_url", "length")
+#: Parts into which the rows of one key are split.
+SALTS = 4
 
 
 def _key(name: str) -> Column:
@@ -44,10 +46,10 @@ def write_snapshot(df: DataFrame, path: str) -> None:
 
 def snapshot_dates(snapshots: DataFrame) -> DataFrame:
     """One row: the latest date and the one before it."""
-    dates = snapshots.groupBy("snapshot_date").agg(F.lit(1).alias("_"))
-    return dates.agg(F.sort_array(F.collect_set("snapshot_date"), asc=False).alias("d")).select(
-        F.try_element_at("d", F.lit(1)).alias("current_date"), F.try_element_at("d", F.lit(2)).alias("previous_date")
-    )
+    two = snapshots.select("snapshot_date").distinct().orderBy(F.desc("snapshot_date")).limit(2)
+    return two.agg(
+        F.max("snapshot_date").alias("current_date"),
+        F.when(F.count("snapshot_date") == 2, F.min("snapshot_date")).alias("previous_date"))
 
 
 def date_pairs(snapshots: DataFrame) -> DataFrame:
@@ -62,17 +64,19 @@ def date_pairs(snapshots: DataFrame) -> DataFrame:
     ).filter("previous_date IS NOT NULL")
 
 
-def _against(rows: DataFrame, other: DataFrame, date: str) -> DataFrame:
-    """Rows whose key is absent from ``other`` on the date in column ``date``.
+def _against(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows whose key is absent from ``other`` in the same pair of dates.
 
     ``other`` is reduced to its distinct keys before the shuffle, so a key that holds many
-    listings costs one row on that side; the many rows of a hot key on the left are split
-    by the adaptive skew join.
+    listings costs one row on that side, given to every salt; the rows of a hot key on the left
+    are spread over the salts.
     """
-    present = other.select(F.col("snapshot_date").alias(date), *[_key(k) for k in KEYS]).distinct()
-    keyed = rows.select("*", *[_key(k) for k in KEYS])
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("_salt")
+    present = other.select("current_date", *[_key(k) for k in KEYS]).distinct().select("*", salts)
+    salt = F.pmod(F.xxhash64("inventory_id", "price"), F.lit(SALTS)).cast("int").alias("_salt")
+    keyed = rows.select("*", *[_key(k) for k in KEYS], salt)
     names = [f"_k_{k}" for k in KEYS]
-    return keyed.join(present, [date, *names], "left_anti").drop(*names)
+    return keyed.join(present, ["current_date", *names, "_salt"], "left_anti").drop(*names, "_salt")
 
 
 def _event(df: DataFrame, kind: str, previous_price: Column, current_price: Column, prev_s: Column, cur_s: Column) -> DataFrame:
@@ -85,25 +89,28 @@ def _event(df: DataFrame, kind: str, previous_price: Column, current_price: Colu
 
 
 def sold_out(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Rows of the previous snapshot (with its ``current_date``) gone from the current one."""
+    """Rows of the previous snapshot gone from the current one; both carry their pair of dates."""
     none = F.lit(None)
-    gone = _against(previous, current, "current_date")
+    gone = _against(previous, current)
     return _event(gone, "SOLD_OUT", F.col("price"), none.cast("double"), F.col("stock_status"), none.cast("string"))
 
 
 def new_stock(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Rows of the current snapshot (with its ``previous_date``) not in the previous one."""
+    """Rows of the current snapshot not in the previous one; both carry their pair of dates."""
     none = F.lit(None)
-    fresh = _against(current, previous, "previous_date")
+    fresh = _against(current, previous)
     return _event(fresh, "NEW_STOCK", none.cast("double"), F.col("price"), none.cast("string"), F.col("stock_status"))
 
 
 def all_deltas(snapshots: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """Events of every consecutive date pair (or of the pairs given) in one plan."""
+    """Events of every consecutive date pair (or of the pairs given) in one plan.
+
+    Both sides of the comparison are cut to the dates of the pairs first.
+    """
     pairs = date_pairs(snapshots) if pairs is None else pairs
     as_previous = snapshots.join(pairs, snapshots.snapshot_date == pairs.previous_date).drop("snapshot_date")
     as_current = snapshots.join(pairs, snapshots.snapshot_date == pairs.current_date).drop("snapshot_date")
-    return sold_out(as_previous, snapshots).unionByName(new_stock(snapshots, as_current))
+    return sold_out(as_previous, as_current).unionByName(new_stock(as_previous, as_current))
 
 
 def latest_deltas(snapshots: DataFrame) -> DataFrame:
@@ -129,13 +136,10 @@ def delta_counts(deltas: DataFrame) -> DataFrame:
 
 def delta_summary(snapshots: DataFrame, deltas: DataFrame) -> DataFrame:
     """One row: latest and previous date, rows of the latest date, its event counts."""
-    per_date = snapshots.groupBy("snapshot_date").agg(F.count("*").alias("n")).select(
-        F.lit(1).alias("one"), "snapshot_date", "n")
-    top = (
-        per_date.groupBy("one")
-        .agg(F.sort_array(F.collect_list(F.struct("snapshot_date", "n")), asc=False).alias("d"))
-        .select("one", F.col("d")[0].alias("cur"), F.try_element_at("d", F.lit(2)).alias("prev"))
-    )
+    two = snapshots.groupBy("snapshot_date").agg(F.count("*").alias("n")).orderBy(F.desc("snapshot_date")).limit(2)
+    row = F.struct("snapshot_date", "n")
+    top = two.groupBy().agg(F.max(row).alias("cur"), F.min(row).alias("low"), F.count("*").alias("k")).filter("k > 0").select(
+        "cur", F.when(F.col("k") == 2, F.col("low")).alias("prev"))
     counts = delta_counts(deltas)
     return top.join(counts, F.col("cur.snapshot_date") == F.col("event_date"), "left").select(
         F.col("cur.snapshot_date").alias("current_date"), F.col("prev.snapshot_date").alias("previous_date"),
@@ -177,6 +181,6 @@ def latest_vs_previous(snapshots: DataFrame, by: str = "region_code") -> DataFra
     )
 
 
-def inventory_drop(snapshots: DataFrame, by: str = "region_code", threshold: float = 50.0) -> DataFrame:
-    """Regions whose latest snapshot lost more than ``threshold`` percent of its rows."""
+def inventory_drop(snapshots: DataFrame, by: str = "region_code", threshold: float = 0.0) -> DataFrame:
+    """Marks regions whose latest snapshot lost more than ``threshold`` percent of its rows: by default any drop."""
     return latest_vs_previous(snapshots, by).withColumn("is_drop", F.col("drop_pct") > threshold)

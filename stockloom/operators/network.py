@@ -83,10 +83,14 @@ def dealer_manufacturers(dealers: DataFrame) -> DataFrame:
 
 
 def score_dealers(dealers: DataFrame, high: Sequence[str], future: Sequence[str]) -> DataFrame:
-    """Status of a merged dealer (columns blocked, running, configured, enabled) and score 1–5."""
+    """Status of a merged dealer (columns known, blocked, running, configured, enabled) and score 1–5.
+
+    ``known`` tells whether a retailer matches; the other flags are that retailer's.  A dealer
+    that no retailer matches is a candidate when it has a site, else left to manual review.
+    """
     status = (
         F.when(F.col("blocked"), "Blocked").when(F.col("running"), "Already running").when(F.col("configured") & F.col("enabled"), "Configured but inactive")
-        .when(F.col("configured"), "Known but disabled").otherwise("Manual review"))
+        .when(F.col("configured"), "Known but disabled").when(~F.col("known") & ~T.blank("website"), "Candidate").otherwise("Manual review"))
     hi = F.coalesce(F.col("region_code").isin(*high), F.lit(False))
     fu = F.coalesce(F.col("region_code").isin(*future), F.lit(False))
     base = (
@@ -163,11 +167,24 @@ def filter_candidate_names(df: DataFrame, name: str, banned: Sequence[str], bann
     return dedupe_first(d.filter(ok), ["_k"], [name]).drop("_k")
 
 
-def classify_discovery(products: DataFrame, pages: DataFrame, region: str, least: int = 10) -> DataFrame:
-    """Per site: off-region goes to review; ready with enough visible priced products."""
-    n = products.groupBy("site").agg(F.sum((F.col("price").isNotNull() & ~T.blank("title")).cast("long")).alias("priced"), F.count("*").alias("found"))
-    j = pages.join(n, "site", "left").withColumn("priced", F.coalesce("priced", F.lit(0)))
-    return j.withColumn("status", F.when(F.col("region_code") != region, "manual_review_off_region").when(F.col("priced") >= least, "ready").when(F.col("priced") > 0, "manual_review_few_products").otherwise("no_products"))
+def classify_discovery(results: DataFrame) -> DataFrame:
+    """Recommended status, reason, confidence and priority of a discovery result.
+
+    ``results``: urls (category and product examples), platform, approx_count, price_visible,
+    stock_visible, current_status, review_reason, priority.  A catalogue under ``/us/`` goes to
+    review; one platform is ready when enough boards, prices and stock show; the rest keep
+    what they had.
+    """
+    off = F.coalesce(F.exists("urls", lambda u: F.lower(u).contains("/us/")), F.lit(False))
+    count = F.coalesce("approx_count", F.lit(0))
+    ready = F.coalesce((F.col("platform") == "bigcommerce") & (count >= 10) & F.col("price_visible") & F.col("stock_visible"), F.lit(False))
+    had = F.coalesce("priority", F.lit(0))
+    pick = lambda a, b, c: F.when(off, a).when(ready, b).otherwise(c)
+    return results.withColumns({
+        "status": pick("manual_review", "ready_bigcommerce", F.when(T.blank("current_status"), "manual_review").otherwise(F.col("current_status"))),
+        "reason": pick("non_au_catalogue_surface", "", F.coalesce("review_reason", F.lit(""))),
+        "confidence": pick("medium", "high", F.when(count != 0, "medium").otherwise("low")),
+        "priority": pick(F.least(had, F.lit(30)), F.greatest(had, F.lit(65)), had)})
 
 
 def group_entities(df: DataFrame, name: str = "name", brand: str = "brand") -> DataFrame:
@@ -201,26 +218,59 @@ def group_by_site(records: DataFrame, fields: Sequence[str]) -> DataFrame:
     return long.join(pri, "site")
 
 
-def governance(rows: DataFrame) -> DataFrame:
-    """Per retailer slug: in how many source files it appears, and its state."""
-    g = rows.groupBy("slug").agg(
-        F.countDistinct("source_file").alias("files"), F.max((F.col("source_file") == "active").cast("int")).alias("active"), F.max((F.col("source_file") == "blocked").cast("int")).alias("blocked"),
-        F.max((F.col("source_file") == "seed").cast("int")).alias("seed"), F.count("*").alias("rows"))
-    return g.withColumn("state", F.when((F.col("active") == 1) & (F.col("blocked") == 1), "conflict").when(F.col("active") == 1, "active").when(F.col("blocked") == 1, "blocked").when(F.col("seed") == 1, "seed_only").otherwise("unknown"))
+# fixed values: health words of a retailer, worst first, and the states with their reasons
+HEALTH_LADDER = ("failed", "poor", "warning", "fair", "missing")
+GOVERNANCE_REASONS = {
+    "production": "Producing available surfboard inventory",
+    "stock_status_review": "Surfboards identified but no available inventory",
+    "parser_review": "Products scraped but surfboard filter did not identify boards",
+    "endpoint_review": "No raw products returned from scrape output",
+    "technical_review": "Unhealthy scrape result",
+    "review": "Needs manual review",
+}
+
 
+def governance(health: DataFrame, active: DataFrame, disabled: dict[str, str]) -> DataFrame:
+    """Per retailer slug: sums over its source rows, its health, and its state with the reason.
 
-def expand_categories(edges: DataFrame, roots: DataFrame, max_depth: int = 20) -> DataFrame:
-    """Root categories and all their descendants.
+    ``health``: slug, platform, raw, verified, available, normalised, duplicates, health.
+    ``active``: slug, platform of the active targets; one without health rows counts as missing.
+    ``disabled``: slug → reason, a decision of the business that comes before all others.
+    """
+    sums = ("raw", "verified", "available", "normalised", "duplicates")
+    word = lambda w: F.max((F.col("health") == w).cast("int")).alias(f"_{w}")
+    platform = F.when(T.blank("platform"), "unknown").otherwise(F.trim("platform"))
+    g = health.groupBy("slug").agg(
+        *[F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in sums], F.count("*").alias("source_rows"), *[word(w) for w in HEALTH_LADDER],
+        F.array_join(F.array_sort(F.collect_set(platform)), ", ").alias("platform"))
+    a = active.groupBy("slug").agg(F.min(platform).alias("_own"))
+    j = g.join(a, "slug", "full").withColumn("active_target", F.col("_own").isNotNull()).withColumn("platform", F.coalesce("platform", "_own")).withColumn(
+        "_missing", F.when(F.col("source_rows").isNull(), 1).otherwise(F.col("_missing"))).fillna(0, [*sums, "source_rows"])
+    ladder = F.when(F.col("available") > 0, "good")
+    for w in HEALTH_LADDER:
+        ladder = ladder.when(F.col(f"_{w}") == 1, w)
+    j = j.withColumn("health", ladder.otherwise("unknown"))
+    state = (
+        F.when(F.col("slug").isin(*disabled), "business_disabled").when((F.col("available") > 0) & (F.col("verified") > 0), "production")
+        .when((F.col("verified") > 0) & (F.col("available") == 0), "stock_status_review").when((F.col("raw") > 0) & (F.col("verified") == 0), "parser_review")
+        .when(F.col("raw") == 0, "endpoint_review").when(F.col("health").isin("failed", "poor"), "technical_review").otherwise("review"))
+    reasons = F.create_map(*[F.lit(x) for kv in GOVERNANCE_REASONS.items() for x in kv])
+    own = F.create_map(*[F.lit(x) for kv in disabled.items() for x in kv]) if disabled else F.lit(None).cast("map<string,string>")
+    return j.withColumn("state", state).withColumn("reason", F.coalesce(F.element_at(own, F.col("slug")), F.element_at(reasons, F.col("state")))).drop(
+        "_own", *[f"_{w}" for w in HEALTH_LADDER])
+
+
+def expand_categories(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Root categories and all their descendants, however deep.
 
     ``edges``: category_id, parent_id.  Every round joins only the newest level, drops what
-    is known already (cycles end) and cuts its lineage.
+    is known already (cycles end) and cuts its lineage; it ends at an empty level.
     """
     level = checkpointed(roots.select("category_id").distinct())
     seen = level
-    for _ in range(max_depth):
+    while True:
         nxt = edges.join(level.select(F.col("category_id").alias("parent_id")), "parent_id").select("category_id").distinct()
         level = checkpointed(nxt.join(seen, "category_id", "left_anti"))
         if level.isEmpty():
-            break
+            return seen
         seen = checkpointed(seen.unionByName(level))
-    return seen

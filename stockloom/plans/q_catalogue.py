@@ -47,12 +47,17 @@ def _incoming(spark, sf):
     return fx.models(spark, sf).filter(F.col("model_id") % 7 != 3)
 
 
+def _after_drop(spark, sf):
+    """Two brands lose their red models; the others keep them."""
+    return fx.models(spark, sf).filter(~(F.col("model_name").startswith("red ") & F.col("brand_id").isin(0, 1)))
+
+
 def st3(spark, sf):
-    return cg.missing_models(fx.models(spark, sf), fx.models(spark, sf).filter(~F.col("model_name").startswith("red ")))
+    return cg.missing_models(fx.models(spark, sf), _after_drop(spark, sf))
 
 
 def st3g(spark, sf):
-    return cg.missing_guard(fx.models(spark, sf), fx.models(spark, sf).filter(~F.col("model_name").startswith("red "))).select("existing", "missing", F.col("blocked").cast("int").alias("blocked"))
+    return cg.missing_guard(fx.models(spark, sf), _after_drop(spark, sf)).select("brand_name", "existing", "missing", F.col("blocked").cast("int").alias("blocked"))
 
 
 def st2(spark, sf):
@@ -100,7 +105,7 @@ def ag11(spark, sf):
 
 
 def ag19(spark, sf):
-    return cg.coverage_counts(fx.inventory(spark, sf), ["AFRICA", "ASIA", "EUROPE"])
+    return cg.coverage_counts(fx.inventory(spark, sf))
 
 
 def _named_direct(spark, sf):
@@ -113,10 +118,16 @@ def lk22(spark, sf):
     return cg.parity_audit(_named_direct(spark, sf), fx.models(spark, sf).filter(F.col("model_id") % 6 != 0))
 
 
+def _diagnosed(spark, sf):
+    return cg.link_diagnostics(_named_direct(spark, sf), fx.models(spark, sf).filter(F.col("model_id") % 6 != 0))
+
+
 def lk27(spark, sf):
-    d = _named_direct(spark, sf)
-    m = fx.models(spark, sf).filter(F.col("model_id") % 6 != 0)
-    return cg.link_diagnostics(d.filter(F.col("region_code") == "ASIA"), m, d.filter(F.col("region_code") == "EUROPE")).select("direct_id", "blocker")
+    return _diagnosed(spark, sf).select("direct_id", "blocker")
+
+
+def lk27t(spark, sf):
+    return cg.top_blockers(_diagnosed(spark, sf))
 
 
 def _projected(spark, sf, sup=None):
@@ -124,7 +135,7 @@ def _projected(spark, sf, sup=None):
 
 
 def lk21(spark, sf):
-    d = L.with_hint(L.resolve_brand(fx.inventory(spark, sf), fx.aliases(spark, sf), 2), fx.BRANDS)
+    d = L.with_hint(L.resolve_brand(fx.inventory(spark, sf), fx.aliases(spark, sf)), fx.BRANDS)
     return cg.gap_ranking(cg.gap_analysis(d, fx.models(spark, sf), fx.sizes(spark, sf)))
 
 
@@ -153,12 +164,12 @@ def lk30p(spark, sf):
 
 
 def jn13(spark, sf):
-    return cg.match_catalogue(fx.inventory(spark, sf), fx.sizes(spark, sf).filter(F.col("brand_id") == 2), 2)
+    return cg.match_catalogue(fx.inventory(spark, sf), fx.sizes(spark, sf))
 
 
 def jn13u(spark, sf):
     i = fx.inventory(spark, sf)
-    m = cg.match_catalogue(i, fx.sizes(spark, sf).filter(F.col("brand_id") == 2), 2)
+    m = cg.match_catalogue(i, fx.sizes(spark, sf))
     return i.join(m, "inventory_id", "left_anti").select("inventory_id")
 
 
@@ -196,7 +207,7 @@ def lk24(spark, sf):
 QUERIES = {
     "pf1_list_brands": pf1b, "pf1_list_models": pf1m, "pf1_list_constructions": pf1c, "pf2_list_sizes": pf2, "jn1_official_sizes": jn1, "ag12_build_models": ag12, "st3_missing_models": st3,
     "st3_missing_guard": st3g, "st2_new_sizes": st2, "st5_merge_entities": st5, "tx21_split_tail": tx21, "ag26_clean_nested": ag26, "st4_catalogue_diff": st4, "ag11_catalogue_health": ag11,
-    "ag19_coverage_counts": ag19, "lk22_parity_audit": lk22, "lk27_link_diagnostics": lk27, "lk21_gap_analysis": lk21, "lk26_link_direct": lk26, "lk29_match_variants": lk29,
+    "ag19_coverage_counts": ag19, "lk22_parity_audit": lk22, "lk27_link_diagnostics": lk27, "lk27_top_blockers": lk27t, "lk21_gap_analysis": lk21, "lk26_link_direct": lk26, "lk29_match_variants": lk29,
     "lk30_stock_dimension_pairs": lk30, "lk30_prefer_stock": lk30p, "jn13_match_catalogue": jn13, "jn13_unmatched": jn13u, "jn15_multi_size_models": jn15, "jn18_link_audit": jn18,
     "lk25_project_brand_model": lk25, "lk24_quality_report": lk24,
 }
@@ -217,6 +228,8 @@ AND (contains(txt, regexp_replace(regexp_replace(CAST(r.volume AS VARCHAR), '0+$
 contains(txt, r.length) AS bl FROM sizes r JOIN (SELECT *, CASE WHEN size_id % 2 = 0 THEN length || 'x' || replace(width,' ','') || 'x' || replace(thickness,' ','') || volume || 'l' ELSE length || 'board' END AS txt FROM sizes) v ON r.model_id = v.model_id"""
 _AUD = """SELECT d.brand_name, CASE WHEN k % 10 = 9 THEN 0 ELSE 1 END AS fnd, CASE WHEN k % 4 = 0 THEN model_id END AS m0, CASE WHEN k % 4 = 0 THEN size_id END AS s0, model_id AS m1, size_id AS s1, length FROM (SELECT *, true_size_id AS k FROM direct) d"""
 
+_BLOCK = """SELECT d.direct_id, d.region_code, brand_name, CASE WHEN m.model_name IS NOT NULL THEN NULL WHEN EXISTS (SELECT 1 FROM nd e WHERE e.brand_name = d.brand_name AND e.model_name = d.model_name AND e.region_code <> d.region_code) THEN 'other_region_model_not_in_canonical_catalogue'
+ELSE 'model_not_in_canonical_catalogue' END AS blocker FROM nd d LEFT JOIN (SELECT brand_name, model_name FROM models WHERE model_id % 6 <> 0) m USING (brand_name, model_name)"""
 ORACLE = {
     "pf1_list_brands": sql("brands", "SELECT * FROM brands"),
     "pf1_list_models": sql("models", "SELECT model_id, model_name FROM models WHERE brand_name = 'Maker 2'"),
@@ -226,8 +239,8 @@ FROM sizes GROUP BY model_id, construction, length, width, thickness, volume""")
     "jn1_official_sizes": sql("sizes", "SELECT size_id, model_name, brand_name, length FROM sizes"),
     "ag12_build_models": sql("parts", """SELECT brand_name || ' ' || model_name AS model_name, arg_min(construction, size_id) FILTER (size_id % 3 = 0) AS board_category, arg_min('text ' || size_id, size_id) FILTER (size_id % 5 = 0) AS description,
 bool_and(size_id % 97 <> 0)::INT AS is_active FROM parts GROUP BY 1"""),
-    "st3_missing_models": sql("models", "SELECT DISTINCT model_name FROM models WHERE model_name LIKE 'red %'"),
-    "st3_missing_guard": sql("models", "SELECT count(DISTINCT model_name) AS existing, count(DISTINCT model_name) FILTER (model_name LIKE 'red %') AS missing, (count(DISTINCT model_name) FILTER (model_name LIKE 'red %') > 5)::INT AS blocked FROM models"),
+    "st3_missing_models": sql("models", "SELECT DISTINCT brand_name, model_name FROM models WHERE model_name LIKE 'red %' AND brand_id IN (0, 1)"),
+    "st3_missing_guard": sql("models", "SELECT brand_name, existing, missing, (missing > 5 OR (existing >= 10 AND missing > existing * 0.2))::INT AS blocked FROM (SELECT brand_name, count(DISTINCT model_name) AS existing, count(DISTINCT model_name) FILTER (model_name LIKE 'red %' AND brand_id IN (0, 1)) AS missing FROM models GROUP BY 1)"),
     "st2_new_sizes": sql("sizes", """SELECT size_id, CAST(volume + 1 AS DOUBLE) AS volume FROM sizes z WHERE size_id % 4 = 0 AND NOT EXISTS (SELECT 1 FROM sizes y WHERE y.model_id = z.model_id AND y.length = z.length AND y.width = z.width AND y.thickness = z.thickness
 AND y.volume = z.volume + 1 AND y.construction = z.construction AND y.fin_setup = z.fin_setup) QUALIFY row_number() OVER (PARTITION BY model_id, length, width, thickness, volume, construction, fin_setup ORDER BY size_id) = 1"""),
     "st5_merge_entities": """SELECT upper(replace(s_name, '#', ' ')) AS name FROM supplier UNION SELECT 'SUPPLIER ' || lpad(CAST(c_custkey % 300 AS VARCHAR), 9, '0') FROM customer""",
@@ -245,10 +258,10 @@ sum((SELECT count(*) FROM sizes z WHERE z.model_id = m.model_id))::BIGINT AS siz
 (SELECT count(*) FROM diff d WHERE d.brand_name = m.brand_name AND kind='alias') AS alias_models,
 round((count(*) FILTER (model_id % 3 = 0) + count(*) FILTER (model_id % 33 = 0))*100.0/(count(*) + count(*) FILTER (model_id % 11 = 0)), 2) AS description_pct,
 round((count(*) FILTER (model_id % 2 = 0) + count(*) FILTER (model_id % 22 = 0))*100.0/(count(*) + count(*) FILTER (model_id % 11 = 0)), 2) AS url_pct FROM can m GROUP BY 1)""", src=_SRC, can=_CAN, ali=_ALI, diff=_DIFF),
-    "ag19_coverage_counts": sql("inventory", """SELECT brand_name, count(*) FILTER (region_code='AFRICA') AS "AFRICA", count(*) FILTER (region_code='ASIA') AS "ASIA", count(*) FILTER (region_code='EUROPE') AS "EUROPE" FROM inventory GROUP BY 1"""),
+    "ag19_coverage_counts": sql("inventory", "SELECT brand_name, region_code, count(*) AS rows FROM inventory GROUP BY ALL"),
     "lk22_parity_audit": sql("direct models", """SELECT brand_name, model_name, rows, canonical, CASE WHEN class <> 'exact' AND count(*) OVER (PARTITION BY brand_name, coalesce(canonical, model_name)) > 1 THEN 'duplicate' ELSE class END AS class FROM par""", nd=_ND, par=_PAR),
-    "lk27_link_diagnostics": sql("direct models", """SELECT d.direct_id, CASE WHEN m.model_name IS NOT NULL THEN NULL WHEN (brand_name, d.model_name) IN (SELECT (brand_name, model_name) FROM nd WHERE region_code='EUROPE') THEN 'other_region_model_not_in_canonical_catalogue'
-ELSE 'model_not_in_canonical_catalogue' END AS blocker FROM nd d LEFT JOIN (SELECT brand_name, model_name FROM models WHERE model_id % 6 <> 0) m USING (brand_name, model_name) WHERE region_code = 'ASIA'""", nd=_ND),
+    "lk27_link_diagnostics": sql("direct models", f"SELECT direct_id, blocker FROM ({_BLOCK})", nd=_ND),
+    "lk27_top_blockers": sql("direct models", f"SELECT *, row_number() OVER (PARTITION BY region_code, brand_name ORDER BY rows DESC, blocker) AS rank FROM (SELECT region_code, brand_name, blocker, count(*) AS rows FROM ({_BLOCK}) WHERE blocker IS NOT NULL GROUP BY ALL)", nd=_ND),
     "lk21_gap_analysis": linker("""SELECT kind, brand_name, gap, count(*) AS rows FROM (SELECT bn AS brand_name, 'model' AS kind, CASE WHEN model_id IS NOT NULL THEN NULL WHEN old_brand_id IS NULL AND parsed_brand_id IS NOT NULL THEN 'alias_failure'
 WHEN coalesce(old_brand_id, parsed_brand_id) IS NULL THEN 'unknown_brand_or_alias_failure' WHEN mm THEN 'exact_catalogue_model_not_linked'
 WHEN regexp_matches(hint, '\\b[4-9]\\s*[''’]\\s*[0-9]') THEN 'parsing_failure:length_left_in_model' WHEN regexp_matches(hk, '\\b(white|black|blue|red|orange|pink|sand|grey|gray)\\b') THEN 'parsing_failure:colour_left_in_model'
@@ -287,7 +300,7 @@ SELECT coalesce(rname,'<missing>') AS rn, r.true_model_id % 50 = 1 AS dup, {_REA
 r.title LIKE '% used %' AS exc, coalesce(p.effective_brand IN ('Maker 0','Maker 1','Maker 2'), false) AS elig, p.new_model_id AS nm, p.new_size_id AS ns FROM reg r JOIN projected p USING (inventory_id)))\nSELECT 'total'""", 1),
 }
 _JM = f"""SELECT inventory_id, size_id AS record_id, score FROM (SELECT i.inventory_id, z.size_id, 45 + CASE WHEN i.length = z.length THEN 20 ELSE 0 END + CASE WHEN abs(i.volume - z.volume) <= 0.15 THEN 20 ELSE 0 END
-+ CASE WHEN i.construction = z.construction THEN 10 ELSE 0 END + CASE WHEN i.fin_setup = z.fin_setup THEN 5 ELSE 0 END AS score FROM inventory i JOIN sizes z ON z.brand_id = 2 AND contains(' '||{key('i.title')}||' ', ' '||z.model_name||' ')) WHERE score >= 65
++ CASE WHEN i.construction = z.construction THEN 10 ELSE 0 END + CASE WHEN i.fin_setup = z.fin_setup THEN 5 ELSE 0 END AS score FROM (SELECT *, ' '||{key('title')}||' ' AS tk FROM inventory) i JOIN (SELECT DISTINCT model_name FROM sizes) m ON contains(i.tk, ' '||m.model_name||' ') JOIN sizes z ON z.model_name = m.model_name) WHERE score >= 65
 QUALIFY row_number() OVER (PARTITION BY inventory_id ORDER BY score DESC, size_id) = 1"""
 for _k in ("jn13_match_catalogue", "jn13_unmatched"):
     ORACLE[_k] = ORACLE[_k].replace("{JM}", _JM)

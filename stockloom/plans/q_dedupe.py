@@ -60,10 +60,14 @@ def wn10(spark, sf):
     return dd.merge_sources([(b, 1), (a, 2)], ["brand_id", "model_name"], ["size_id"]).select("brand_id", "model_name", "size_id", "preference")
 
 
+_URLS = ("https://i.x/wp-content/uploads/red-front-1536.jpg", "https://i.x/Board-300x300.png", "https://i.x/fins/widget.svg", "https://i.x/b-main-back.webp?v=1", " ")
+
+
 def wn11(spark, sf):
-    u = F.element_at(F.array(*[F.lit(x) for x in ("https://i.x/product/a.jpg", "https://i.x/thumb.png", "https://i.x/logo.svg", "https://i.x/b.webp?v=1")]), (F.col("l_linenumber") % 4 + 1).cast("int"))
-    li = fx.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("part"), F.concat(u, F.when(F.col("l_orderkey") % 2 == 0, "").otherwise("&z")).alias("url"))
-    return dd.rank_images(li, "part", "url").select("part", "url", "image_score")
+    u = F.element_at(F.array(*[F.lit(x) for x in _URLS]), (F.col("l_linenumber") % 5 + 1).cast("int"))
+    li = fx.table(spark, sf, "lineitem").select("l_partkey", F.concat(u, F.when((F.col("l_orderkey") % 2 == 0) | (F.col("l_linenumber") % 5 == 4), "").otherwise("&z")).alias("url"))
+    p = fx.table(spark, sf, "part").select("p_partkey", F.concat(F.lit("The "), "p_name", F.lit(" FCS")).alias("title"))
+    return dd.rank_images(li.join(p, li.l_partkey == p.p_partkey).withColumnRenamed("l_partkey", "part"), "part", "url", "title").select("part", "url", "image_score")
 
 
 _G = ["brand_name", "true_model_id", "length"]
@@ -124,10 +128,9 @@ arg_min(stock_status, inventory_id) FILTER (stock_status IS NOT NULL) AS stock_s
 count(*) FILTER (retailer_id <> keep_id) AS moved FROM pl GROUP BY region_code""", d=_DUPS, pl=_PLAN),
     "wn10_merge_sources": sql("parts", """SELECT brand_id, model_name, size_id, CASE WHEN size_id % 2 = 1 THEN 1 ELSE 2 END AS preference FROM parts
 QUALIFY row_number() OVER (PARTITION BY brand_id, model_name ORDER BY size_id % 2 DESC, size_id) = 1"""),
-    "wn11_rank_images": """SELECT part, url, image_score FROM (SELECT DISTINCT part, url, CASE WHEN regexp_matches(url, '[.](jpe?g|png|webp)([?]|$)') THEN 10 ELSE 0 END
-+ CASE WHEN url LIKE '%product%' THEN 5 ELSE 0 END - CASE WHEN url LIKE '%thumb%' OR url LIKE '%logo%' THEN 20 ELSE 0 END AS image_score FROM (SELECT l_partkey AS part,
-(['https://i.x/product/a.jpg','https://i.x/thumb.png','https://i.x/logo.svg','https://i.x/b.webp?v=1'])[l_linenumber % 4 + 1] || CASE WHEN l_orderkey % 2 = 0 THEN '' ELSE '&z' END AS url FROM lineitem))
-QUALIFY row_number() OVER (PARTITION BY part ORDER BY image_score DESC, length(url), url) = 1""",
+    "wn11_rank_images": f"""SELECT part, url, s AS image_score FROM (SELECT DISTINCT l_partkey AS part, url, CASE WHEN contains(url, 'uploads') THEN 20 + 6 + 5 ELSE 0 END + CASE WHEN contains(url, 'fins') THEN -80 ELSE 0 END + CASE WHEN contains(url, 'Board') THEN 20 - 5 ELSE 0 END
++ CASE WHEN contains(url, 'main') THEN 20 + 8 + 4 ELSE 0 END + 15 * len(list_filter(string_split(p_name, ' '), lambda w: length(w) >= 3 AND contains(lower(url), w))) AS s FROM (SELECT *, ({list(_URLS)})[l_linenumber % 5 + 1] || CASE WHEN l_orderkey % 2 = 0 THEN '' ELSE '&z' END AS url FROM lineitem WHERE l_linenumber % 5 <> 4)
+JOIN part ON p_partkey = l_partkey) QUALIFY row_number() OVER (PARTITION BY part ORDER BY s DESC, url) = 1""",
     "ag1_grouped_index": _index(_LIVE),
     "ag1_group_items": sql("inventory", f"""SELECT brand_name, true_model_id, length, inventory_id, price FROM inventory WHERE {_LIVE}
 QUALIFY row_number() OVER (PARTITION BY brand_name, true_model_id, length, retailer_name, product_url ORDER BY price, inventory_id) = 1"""),

@@ -80,9 +80,9 @@ def ag24l(spark, sf):
 
 
 def jn3(spark, sf):
-    o = fx.table(spark, sf, "orders").withColumn("pk", F.col("o_orderkey") % 2000)
-    items = o.select(F.col("o_orderkey").alias("item_id"), F.when(F.col("o_orderkey") % 3 != 0, F.col("pk")).alias("size_id"),
-                     F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 64).alias("model_id"))
+    k = F.col("l_orderkey")
+    items = fx.table(spark, sf, "lineitem").select(
+        F.concat_ws("-", k, "l_linenumber").alias("item_id"), F.when(k % 3 != 0, F.col("l_partkey")).alias("size_id"), F.when(k % 2 == 0, F.col("l_partkey")).alias("model_id"))
     return ev.saved_items(items, fx.sizes(spark, sf), fx.models(spark, sf), fx.brands(spark, sf)).select("item_id", "model_name", "brand_name", "length")
 
 
@@ -112,8 +112,8 @@ count(*) FILTER (status='failed' AND g = 0) AS consecutive_failures FROM (SELECT
     "ag24_user_activity": sql("job_events", "SELECT user_id, event_id, event, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM job_events QUALIFY rank <= 5"),
     "ag24_event_counts": sql("job_events", "SELECT user_id, event, count(*) AS events FROM job_events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY ALL"),
     "ag24_latest_consent": sql("job_events", "SELECT user_id, event, arg_max(status, (ts, event_id)) AS value FROM job_events GROUP BY ALL"),
-    "jn3_saved_items": sql("sizes models brands", """SELECT o_orderkey AS item_id, m.model_name, b.brand_name, z.length FROM orders LEFT JOIN sizes z ON o_orderkey % 3 <> 0 AND z.size_id = o_orderkey % 2000
-LEFT JOIN models m ON m.model_id = coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 64 END, z.model_id) LEFT JOIN brands b ON b.brand_id = m.brand_id"""),
+    "jn3_saved_items": sql("sizes models brands", """SELECT l_orderkey || '-' || l_linenumber AS item_id, m.model_name, b.brand_name, z.length FROM lineitem LEFT JOIN sizes z ON l_orderkey % 3 <> 0 AND z.size_id = l_partkey
+LEFT JOIN models m ON m.model_id = coalesce(CASE WHEN l_orderkey % 2 = 0 THEN l_partkey END, z.model_id) LEFT JOIN brands b ON b.brand_id = m.brand_id"""),
     "pf22_profile_strength": """SELECT user_id, h + w + a + v AS useful_fields, CASE WHEN h + w + a + v = 4 THEN 'strong' WHEN h + w + a + v >= 3 THEN 'partial' ELSE 'none' END AS strength FROM (
 SELECT c_custkey AS user_id, (c_custkey % 2 = 0)::INT AS h, (c_custkey % 3 = 0)::INT AS w, (c_custkey % 5 <> 0)::INT AS a, (c_custkey % 7 = 0 OR c_custkey % 4 = 0)::INT AS v FROM customer)""",
 }

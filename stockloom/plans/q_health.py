@@ -132,12 +132,12 @@ def ob8(spark, sf):
 
 
 def tk5(spark, sf):
-    return H.order_by_severity(_rh(spark, sf), "color", "active_rows", "retailer_name").limit(20).select("retailer_name", "color", "active_rows")
+    return H.order_by_severity(_rh(spark, sf), "color", "active_rows", "retailer_name").select("retailer_name", "color", "active_rows")
 
 
 def tk4(spark, sf):
     r = _rm(spark, sf)
-    return r.orderBy(in_order("region_code", ("EUROPE", "ASIA")), "region_code").limit(3).select("region_code", "active_rows")
+    return r.orderBy(in_order("region_code", ("EUROPE", "ASIA")), "region_code").select("region_code", "active_rows")
 
 
 def _jobs(spark, sf):
@@ -305,8 +305,8 @@ count(*) FILTER (color='grey') AS not_applicable, sum(active_rows)::BIGINT AS ac
 count(*) FILTER (coalesce(model_pct<60,false) OR coalesce(family_pct<60,false) OR coalesce(size_pct<60,false)) AS low_linkage
 FROM matrix m LEFT JOIN (SELECT * FROM link WHERE level='retailer') k ON m.region_code = k.region_code AND m.retailer_name = k.retailer_name WHERE applicability <> 'not_applicable' GROUP BY 1""", "rs", "link", "e", "matrix"),
     "tk5_order_by_severity": h("""SELECT retailer_name, color, active_rows FROM matrix WHERE applicability <> 'not_applicable'
-ORDER BY CASE color WHEN 'red' THEN 3 WHEN 'yellow' THEN 2 WHEN 'green' THEN 1 ELSE 0 END DESC, active_rows DESC, retailer_name LIMIT 20""", "rs", "e", "matrix"),
-    "tk4_order_regions": h("SELECT region_code, active_rows FROM rm ORDER BY CASE region_code WHEN 'EUROPE' THEN 0 WHEN 'ASIA' THEN 1 ELSE 99 END, region_code LIMIT 3", "rm"),
+ORDER BY CASE color WHEN 'red' THEN 3 WHEN 'yellow' THEN 2 WHEN 'green' THEN 1 ELSE 0 END DESC, active_rows DESC, retailer_name""", "rs", "e", "matrix"),
+    "tk4_order_regions": h("SELECT region_code, active_rows FROM rm ORDER BY CASE region_code WHEN 'EUROPE' THEN 0 WHEN 'ASIA' THEN 1 ELSE 99 END, region_code", "rm"),
     "ob10_job_health": h("SELECT job_name, region_code, age_hours, color, consecutive_failures FROM jobs", "st", "jobs"),
     "ob9_alerts": h(f"""SELECT region_code, category, alert_group, color, {_SEV} AS severity, count(*) AS alerts FROM (
 SELECT region_code, 'retailer_inventory' AS category, 'stale_sources' AS alert_group, retailer_status AS color FROM ov WHERE retailer_status IN {_BAD}
@@ -322,10 +322,11 @@ SELECT region_code, r.active_rows AS retail_rows, round(r.linked_model_rows*100.
 d.active_rows AS direct_rows, round(d.linked_model_rows*100.0/d.active_rows,2) AS direct_model_rate, round(d.linked_size_rows*100.0/d.active_rows,2) AS direct_size_rate, last_status, consecutive_failures,
 {_FRESH.format(t='r.latest', a=_age('r.latest'), h=240)} AS inventory_status, {_FRESH.format(t='d.latest', a=_age('d.latest'), h=24)} AS direct_status FROM rm r JOIN dm d USING (region_code)
 JOIN (SELECT region AS region_code, arg_max(status, (ts, event_id)) AS last_status, count(*) % 4 AS consecutive_failures FROM job_events GROUP BY 1) s USING (region_code))""", "rm", "dm"),
-    "ob15_pipeline_stages": h("""SELECT stage, arg_max(color, sv) AS color, sum(metric)::BIGINT AS metric, max_by(region_code, (sv, region_code)) AS worst_region FROM (SELECT *, CASE color WHEN 'red' THEN 3 WHEN 'yellow' THEN 2 WHEN 'green' THEN 1 ELSE 0 END AS sv FROM (
+    "ob15_pipeline_stages": h("""SELECT stage, color, metric, CASE WHEN color IN ('yellow','red') THEN r END AS worst_region, CASE WHEN color IN ('yellow','red') THEN r || ': ' || color ELSE 'All expected regions are healthy.' END AS issue
+FROM (SELECT stage, arg_max(color, sv) AS color, sum(metric)::BIGINT AS metric, min_by(region_code, (-sv, region_code)) AS r FROM (SELECT *, CASE color WHEN 'red' THEN 3 WHEN 'yellow' THEN 2 WHEN 'green' THEN 1 ELSE 0 END AS sv FROM (
 SELECT region_code, 'retailer_inventory' AS stage, retailer_status AS color, retail_rows AS metric FROM ov UNION ALL SELECT region_code, 'manufacturer_direct', direct_status, direct_rows FROM ov
 UNION ALL SELECT region_code, 'search_linkage', search_status, supported_rows FROM ov UNION ALL SELECT region_code, 'coverage', coverage_status, no_stock_anywhere FROM ov
-UNION ALL SELECT region_code, 'jobs', color, 1 FROM jobs)) GROUP BY stage""", "rm", "dm", "link", "gaps", "ov", "st", "jobs"),
+UNION ALL SELECT region_code, 'jobs', color, 1 FROM jobs)) GROUP BY stage)""", "rm", "dm", "link", "gaps", "ov", "st", "jobs"),
     "ob12_minimums": sql("inventory retailers", "SELECT retailer_id, 620 AS minimum, count(inventory_id) AS rows FROM retailers LEFT JOIN inventory USING (retailer_id) GROUP BY 1 HAVING count(inventory_id) < 620"),
     "ob13_failure_budget": sql("inventory", """SELECT *, CASE WHEN accepted <= 0 OR failures > budget THEN 'hard' ELSE 'soft' END AS verdict FROM (SELECT *, least(20, greatest(1, ceil(accepted*0.01)))::BIGINT AS budget FROM (
 SELECT retailer_id, count(size_id) AS accepted, count(*) FILTER (true_size_id % 1000 = 7) AS failures FROM inventory GROUP BY 1)) WHERE failures > 0"""),

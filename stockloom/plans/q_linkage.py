@@ -9,12 +9,10 @@ from stockloom.operators import linkage as L
 from stockloom.plans import fixtures as fx
 from stockloom.plans.fixtures import sql
 
-#: alias texts and part names have two words at most in the driver tables
-_W = 2
 
 
 def _named(spark, sf):
-    return L.resolve_brand(fx.inventory(spark, sf), fx.aliases(spark, sf), _W)
+    return L.resolve_brand(fx.inventory(spark, sf), fx.aliases(spark, sf))
 
 
 def _projected(spark, sf, supported=None, ambiguous=False):
@@ -105,7 +103,7 @@ def wn4(spark, sf):
 
 def lk23(spark, sf):
     a = fx.aliases(spark, sf).select("alias", "brand_id", F.substring_index("alias", "#", -1).cast("int").alias("position"))
-    return L.reconcile_brands(fx.inventory(spark, sf), a, _W).select(
+    return L.reconcile_brands(fx.inventory(spark, sf), a).select(
         "inventory_id", "reconciled_brand_id", F.col("changed").cast("int").alias("changed"))
 
 
@@ -113,7 +111,7 @@ def lk28(spark, sf):
     name = F.when(F.col("size_id") % 3 == 0, F.col("model_name")).when(
         F.col("size_id") % 3 == 1, F.concat(F.col("model_name"), F.lit(" pro"))).otherwise(F.substring_index("model_name", " ", -1))
     rows = fx.parts(spark, sf).select(F.col("size_id").alias("inventory_id"), "brand_id", name.alias("model_text"))
-    return L.link_model_fuzzy(rows, fx.models(spark, sf), 3)
+    return L.link_model_fuzzy(rows, fx.models(spark, sf))
 
 
 def _pairs(spark, sf):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stockloom.operators import movement as mv
 from stockloom.plans import fixtures as fx
 from stockloom.plans.fixtures import sql
+from stockloom.session import shared_folder
+from stockloom.streaming.movement import read_movement, stream_movement
 
 _DELTA_COLS = ["event_type", "region_code", "inventory_id", "retailer_name", "brand_name", "model_name", "product_url",
                "length", "price", "previous_price", "current_price", "previous_status", "current_status"]
@@ -44,6 +48,16 @@ def _one_side(kind):
     return run
 
 
+def ev10(spark, sf):
+    """The stream over the snapshots, which arrive in several files with rows of every date."""
+    path = f"{shared_folder(spark)}/movement-{uuid.uuid4().hex}"
+    s = fx.snapshots(spark, sf)
+    s.repartition(3, "inventory_id").write.parquet(f"{path}/feed")
+    arriving = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/feed")
+    stream_movement(arriving, f"{path}/store", f"{path}/progress").awaitTermination()
+    return _shape(read_movement(spark, f"{path}/store"))
+
+
 def ag9(spark, sf):
     return mv.delta_counts(mv.all_deltas(fx.snapshots(spark, sf))).select(
         F.col("event_date").cast("string").alias("event_date"), "sold_out", "new_stock")
@@ -79,7 +93,7 @@ def wn1(spark, sf):
 
 QUERIES = {
     "jn2_denormalise": jn2, "ev1_snapshot": ev1, "ev2_snapshot_dates": ev2, "ev3_all_deltas": ev3,
-    "jn4_sold_out": _one_side("SOLD_OUT"), "jn5_new_stock": _one_side("NEW_STOCK"), "ag9_delta_counts": ag9,
+    "ev10_stream_movement": ev10, "jn4_sold_out": _one_side("SOLD_OUT"), "jn5_new_stock": _one_side("NEW_STOCK"), "ag9_delta_counts": ag9,
     "ag10_delta_summary": ag10, "tk2_movement_by_retailer": _by("retailer_name"), "tk2_movement_by_brand": _by("brand_name"),
     "tk3_latest_events": tk3, "jn6_latest_vs_previous": jn6, "wn1_inventory_drop": wn1,
 }
@@ -119,7 +133,7 @@ FROM inventory i JOIN retailers r ON i.retailer_id = r.retailer_id LEFT JOIN bra
 WHERE is_active AND product_url IS NOT NULL AND (stock_status IS NULL OR lower(trim(stock_status)) IN ('in stock','instock','available','true')) GROUP BY ALL"""),
     "ev2_snapshot_dates": sql("snapshots", """SELECT CAST(max(snapshot_date) AS VARCHAR) AS "current_date",
 CAST((SELECT max(snapshot_date) FROM snapshots WHERE snapshot_date < (SELECT max(snapshot_date) FROM snapshots)) AS VARCHAR) AS previous_date FROM snapshots"""),
-    "ev3_all_deltas": _d(f"SELECT {_EV} FROM deltas"),
+    "ev3_all_deltas": _d(f"SELECT {_EV} FROM deltas"), "ev10_stream_movement": _d(f"SELECT {_EV} FROM deltas"),
     "jn4_sold_out": _d(f"SELECT {_EV} FROM deltas WHERE event_type = 'SOLD_OUT' AND {_LATEST}"),
     "jn5_new_stock": _d(f"SELECT {_EV} FROM deltas WHERE event_type = 'NEW_STOCK' AND {_LATEST}"),
     "ag9_delta_counts": _d("""SELECT CAST(event_date AS VARCHAR) AS event_date, count(*) FILTER (event_type='SOLD_OUT') AS sold_out,
@@ -136,5 +150,5 @@ CAST(b.snapshot_date AS VARCHAR) AS previous_date, b.n AS previous_rows,
 CASE WHEN b.n > 0 THEN round((b.n - a.n) * 100.0 / b.n, 2) ELSE 0.0 END AS drop_pct FROM c a LEFT JOIN c b ON a.region_code = b.region_code AND b.rn = 2 WHERE a.rn = 1""", c=_DROP),
     "wn1_inventory_drop": sql("snapshots", """SELECT a.region_code, a.n AS latest_rows, b.n AS previous_rows,
 CASE WHEN b.n > 0 THEN round((b.n - a.n) * 100.0 / b.n, 2) ELSE 0.0 END AS drop_pct,
-CASE WHEN (b.n - a.n) * 100.0 / b.n > 50 THEN 1 ELSE 0 END AS is_drop FROM c a LEFT JOIN c b ON a.region_code = b.region_code AND b.rn = 2 WHERE a.rn = 1""", c=_DROP),
+CASE WHEN b.n > 0 AND a.n < b.n THEN 1 ELSE 0 END AS is_drop FROM c a LEFT JOIN c b ON a.region_code = b.region_code AND b.rn = 2 WHERE a.rn = 1""", c=_DROP),
 }

@@ -57,7 +57,7 @@ def ag16(spark, sf):
 
 def pf19(spark, sf):
     k = F.col("sources")
-    d = _merged(spark, sf).withColumns({"blocked": k % 7 == 0, "running": k % 5 == 0, "configured": k % 3 == 0, "enabled": k % 2 == 0, "dealer_type": F.when(F.col("manufacturers") == 1, "distributor")})
+    d = _merged(spark, sf).withColumns({"known": k % 4 != 1, "blocked": k % 7 == 0, "running": k % 5 == 0, "configured": k % 3 == 0, "enabled": k % 2 == 0, "dealer_type": F.when(F.col("manufacturers") == 1, "distributor")})
     return nw.score_dealers(d, ["AU", "US"], ["EU"]).select("dealer_group", "status", "score")
 
 
@@ -120,10 +120,12 @@ def pf24s(spark, sf):
 
 
 def pf17(spark, sf):
-    d = _dealers(spark, sf).withColumn("site", nw.site_key("website")).filter("site IS NOT NULL")
-    p = d.select("site", F.when(F.col("dealer_id") % 2 == 0, F.lit(1.0)).alias("price"), F.col("dealer_name").alias("title"))
-    pages = d.groupBy("site").agg(F.min("region_code").alias("region_code"))
-    return nw.classify_discovery(p, pages, "AU", 2).select("site", "priced", "status")
+    k = F.col("dealer_id")
+    r = _dealers(spark, sf).select(
+        "dealer_id", F.array(F.lit("https://a.example.com/boards"), F.when(k % 9 == 0, "https://a.example.com/US/p").when(k % 9 == 1, "https://a.example.com/usa/p")).alias("urls"),
+        F.when(k % 2 == 0, "bigcommerce").when(k % 3 == 0, "shopify").alias("platform"), F.when(k % 11 != 0, (k % 25).cast("int")).alias("approx_count"), (k % 5 != 0).alias("price_visible"), F.when(k % 13 != 0, k % 4 != 2).alias("stock_visible"),
+        F.when(k % 4 == 0, "ready_shopify").when(k % 4 == 1, " ").alias("current_status"), F.when(k % 3 == 1, "few").alias("review_reason"), F.when(k % 6 != 0, (k % 90).cast("int")).alias("priority"))
+    return nw.classify_discovery(r).select("dealer_id", "status", "reason", "confidence", "priority")
 
 
 def ag25(spark, sf):
@@ -132,9 +134,15 @@ def ag25(spark, sf):
 
 
 def ag23(spark, sf):
-    d = _dealers(spark, sf)
-    src = F.element_at(F.array(F.lit("active"), F.lit("blocked"), F.lit("seed"), F.lit("other")), (F.col("dealer_id") % 4 + 1).cast("int"))
-    return nw.governance(d.select(nw.slug(F.concat(F.lit("S "), F.col("dealer_id") % 333)).alias("slug"), src.alias("source_file"))).select("slug", "files", "rows", "state")
+    d, k = _dealers(spark, sf), F.col("dealer_id")
+    s = k % 333
+    n = lambda c, m: F.when(c, (k % m).cast("int"))
+    rows = d.select(
+        nw.slug(F.concat(F.lit("S "), s)).alias("slug"), F.when(k % 4 == 0, " shopify ").when(k % 4 == 1, "wix").alias("platform"), n(s % 5 != 0, 7).alias("raw"), n((s % 5 != 0) & (s % 3 != 0), 5).alias("verified"),
+        n((s % 3 == 1) & (s % 2 == 0), 3).alias("available"), n(s % 2 == 0, 4).alias("normalised"), n(k % 2 == 0, 6).alias("duplicates"),
+        F.element_at(F.array(*[F.lit(x) for x in ("failed", "poor", "warning", "fair", "good", "odd")]), (s % 6 + 1).cast("int")).alias("health"))
+    active = d.select(nw.slug(F.concat(F.lit("S "), k % 500)).alias("slug"), F.lit("wix").alias("platform")).filter(k % 3 != 0)
+    return nw.governance(rows, active, {"s-5": "Closed", "s-7": "Moved"}).select("slug", "platform", "raw", "verified", "available", "normalised", "duplicates", "source_rows", "active_target", "health", "state", "reason")
 
 
 def tx20(spark, sf):
@@ -170,7 +178,7 @@ ORACLE = {
 FROM m JOIN d ON d.g = m.dealer_group GROUP BY ALL)) WHERE rank <= 3"""),
     "pf19_score_dealers": n("""SELECT dealer_group, status, CASE status WHEN 'Blocked' THEN 1 WHEN 'Already running' THEN 5 WHEN 'Known but disabled' THEN CASE WHEN region_code IN ('AU','US') THEN 4 ELSE 3 END WHEN 'Configured but inactive' THEN 4
 ELSE greatest(1, least(5, 1 + CASE WHEN region_code IN ('AU','US') THEN 2 WHEN region_code = 'EU' THEN 1 ELSE 0 END + (manufacturers >= 2)::INT + (site IS NOT NULL)::INT - (manufacturers = 1)::INT)) END AS score FROM (SELECT *, CASE WHEN sources % 7 = 0 THEN 'Blocked' WHEN sources % 5 = 0 THEN 'Already running'
-WHEN sources % 3 = 0 AND sources % 2 = 0 THEN 'Configured but inactive' WHEN sources % 3 = 0 THEN 'Known but disabled' ELSE 'Manual review' END AS status FROM m)"""),
+WHEN sources % 3 = 0 AND sources % 2 = 0 THEN 'Configured but inactive' WHEN sources % 3 = 0 THEN 'Known but disabled' WHEN sources % 4 = 1 AND site IS NOT NULL THEN 'Candidate' ELSE 'Manual review' END AS status FROM m)"""),
     "pf20_coverage_candidates": n("""SELECT id AS dealer_id, status, CASE WHEN status LIKE 'ready%' AND coalesce(p,0) >= 10 THEN 1 WHEN status LIKE 'ready%' THEN 2 WHEN status = 'manual_review' THEN 3 ELSE 4 END AS priority, decided_by FROM (SELECT id, CASE WHEN q < 20 THEN 'blocked' WHEN q >= 10 AND q < 60 THEN 'ready'
 WHEN q IS NULL THEN 'missing_site' WHEN id % 2 = 0 THEN 'ready_to_probe' ELSE 'manual_review' END AS status, CASE WHEN q < 20 THEN 'override' WHEN q >= 10 AND q < 60 THEN 'discovery' ELSE 'default' END AS decided_by, CASE WHEN q >= 10 AND q < 60 THEN q END AS p FROM (SELECT id, CASE WHEN site IS NOT NULL THEN id % 250 END AS q FROM d))"""),
     "pf12_activation_status": n("""SELECT id AS dealer_id, CASE WHEN reason = 'supported_retailer' THEN 'active' ELSE 'excluded' END AS status, reason FROM (SELECT id, CASE WHEN country <> 'Australia' THEN 'foreign_country' WHEN id % 11 = 0 THEN 'manufacturer_or_brand' WHEN id % 4 <> 0 AND id % 13 = 0 THEN 'not_hardboard_retailer'
@@ -183,8 +191,16 @@ FROM (SELECT doc_id, ' ' || lower(trim(coalesce(text,''))) || ' ' AS p FROM docu
     "ag17_group_entities": n("SELECT lower(name) AS entity, count(DISTINCT brand) AS brand_count, count(*) AS mentions FROM nm GROUP BY 1"),
     "pf24_review_entities": n("SELECT DISTINCT name FROM (SELECT CASE WHEN id % 5 = 2 THEN upper(name) ELSE name END AS name FROM nm WHERE id % 5 >= 2) WHERE NOT (name = upper(name) AND length(name) > 12) AND lower(name) <> 'joe 3' QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY name) = 1"),
     "pf24_clean_seed": n("SELECT id AS dealer_id FROM nm WHERE id % 3 = 0 OR lower(name) = 'joe 4'"),
-    "pf17_classify_discovery": n("""SELECT site, priced, CASE WHEN r <> 'AU' THEN 'manual_review_off_region' WHEN priced >= 2 THEN 'ready' WHEN priced > 0 THEN 'manual_review_few_products' ELSE 'no_products' END AS status FROM (SELECT site, count(*) FILTER (id % 2 = 0) AS priced, min(region_code) AS r FROM d WHERE site IS NOT NULL GROUP BY 1)"""),
+    "pf17_classify_discovery": n("""SELECT dealer_id, CASE WHEN off THEN 'manual_review' WHEN ready THEN 'ready_bigcommerce' WHEN dealer_id % 4 = 0 THEN 'ready_shopify' ELSE 'manual_review' END AS status, CASE WHEN off THEN 'non_au_catalogue_surface' WHEN ready OR dealer_id % 3 <> 1 THEN '' ELSE 'few' END AS reason,
+CASE WHEN off THEN 'medium' WHEN ready THEN 'high' WHEN c <> 0 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN off THEN least(p, 30) WHEN ready THEN greatest(p, 65) ELSE p END AS priority FROM (SELECT id AS dealer_id, id % 9 = 0 AS off, c, p, id % 2 = 0 AND c >= 10 AND id % 5 <> 0 AND id % 13 <> 0 AND id % 4 <> 2 AS ready
+FROM (SELECT id, CASE WHEN id % 11 = 0 THEN 0 ELSE id % 25 END AS c, CASE WHEN id % 6 = 0 THEN 0 ELSE id % 90 END AS p FROM d))"""),
     "ag25_group_by_site": n("""SELECT DISTINCT site, field, value, min(p) OVER (PARTITION BY site) AS priority FROM (SELECT site, id % 5 AS p, unnest(['city','country','manufacturer']) AS field, unnest([city, country, manufacturer]) AS value FROM d WHERE site IS NOT NULL)"""),
-    "ag23_governance": n("""SELECT slug, files, rows, CASE WHEN a AND b THEN 'conflict' WHEN a THEN 'active' WHEN b THEN 'blocked' WHEN s THEN 'seed_only' ELSE 'unknown' END AS state FROM (SELECT 's-' || (id % 333) AS slug, count(DISTINCT id % 4) AS files, count(*) AS rows, bool_or(id % 4 = 0) AS a, bool_or(id % 4 = 1) AS b, bool_or(id % 4 = 2) AS s FROM d GROUP BY 1)"""),
+    "ag23_governance": n("""SELECT slug, platform, raw, verified, available, normalised, duplicates, source_rows, active_target, health, CASE WHEN slug IN ('s-5','s-7') THEN 'business_disabled' ELSE st END AS state, CASE slug WHEN 's-5' THEN 'Closed' WHEN 's-7' THEN 'Moved' ELSE CASE st
+WHEN 'production' THEN 'Producing available surfboard inventory' WHEN 'stock_status_review' THEN 'Surfboards identified but no available inventory' WHEN 'parser_review' THEN 'Products scraped but surfboard filter did not identify boards' WHEN 'endpoint_review' THEN 'No raw products returned from scrape output' END END AS reason
+FROM (SELECT *, CASE WHEN available > 0 AND verified > 0 THEN 'production' WHEN verified > 0 THEN 'stock_status_review' WHEN raw > 0 THEN 'parser_review' ELSE 'endpoint_review' END AS st FROM (SELECT coalesce(h.slug, a.slug) AS slug, coalesce(h.platform, 'wix') AS platform, coalesce(raw, 0) AS raw, coalesce(verified, 0) AS verified,
+coalesce(available, 0) AS available, coalesce(normalised, 0) AS normalised, coalesce(duplicates, 0) AS duplicates, coalesce(source_rows, 0) AS source_rows, a.slug IS NOT NULL AS active_target, CASE WHEN h.slug IS NULL THEN 'missing' WHEN available > 0 THEN 'good' WHEN x < 4 THEN (['failed','poor','warning','fair'])[x + 1] ELSE 'unknown' END AS health
+FROM (SELECT 's-' || s AS slug, any_value(s % 6) AS x, string_agg(DISTINCT p, ', ' ORDER BY p) AS platform, coalesce(sum(id % 7) FILTER (s % 5 <> 0), 0) AS raw, coalesce(sum(id % 5) FILTER (s % 5 <> 0 AND s % 3 <> 0), 0) AS verified, coalesce(sum(id % 3) FILTER (s % 3 = 1 AND s % 2 = 0), 0) AS available,
+coalesce(sum(id % 4) FILTER (s % 2 = 0), 0) AS normalised, coalesce(sum(id % 6) FILTER (id % 2 = 0), 0) AS duplicates, count(*) AS source_rows FROM (SELECT id, id % 333 AS s, CASE id % 4 WHEN 0 THEN 'shopify' WHEN 1 THEN 'wix' ELSE 'unknown' END AS p FROM d) GROUP BY s) h
+FULL JOIN (SELECT DISTINCT 's-' || (id % 500) AS slug FROM d WHERE id % 3 <> 0) a ON h.slug = a.slug))"""),
     "tx20_expand_categories": "WITH RECURSIVE t AS (SELECT p_partkey AS category_id FROM part WHERE p_partkey IN (5, 11) UNION SELECT p.p_partkey FROM part p JOIN t ON p.p_partkey // 3 = t.category_id) SELECT category_id FROM t",
 }

@@ -15,7 +15,7 @@ _ARTICLE_LINK = ("/The", "/la", "ä")
 
 
 def _pages(spark, sf):
-    return fx.spread(fx.table(spark, sf, "pages")).select("page_id", "url", "html")
+    return fx.table(spark, sf, "pages").select("page_id", "url", "html")
 
 
 def _feed(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_movement", "q_linkage", "q_dedupe", "q_health", "q_listings", "q_events", "q_catalogue", "q_search", "q_sources", "q_network")
+MODULES = ("q_movement", "q_linkage", "q_dedupe", "q_health", "q_listings", "q_events", "q_catalogue", "q_search", "q_sources", "q_network", "q_expressions")
 
 
 def _collect(attribute: str) -> dict:

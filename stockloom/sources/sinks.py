@@ -33,19 +33,23 @@ def upsert_inventory(existing: DataFrame, incoming: DataFrame, keys: Sequence[st
     """Incoming rows with the stored id they update, and untouched stored rows; ``action`` tells.
 
     A row is found by its keys and volume, else by its keys where the stored volume is
-    missing.  A stored row is matched by one incoming row at most (exact keys first).
+    missing.  Incoming rows of equal keys and volume are one row (the first by all columns).  A
+    stored row is matched by one incoming row at most: the bare one goes to the smallest
+    volume of its keys that has no full match.
     """
     k = [f"_k_{c}" for c in keys]
-    keyed = lambda d: d.withColumns({f"_k_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys})
+    keyed = lambda d: d.withColumns({**{f"_k_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys}, "_v": F.coalesce(F.col(volume).cast("string"), F.lit(""))})
     ex = keyed(existing)
-    full = ex.filter(F.col(volume).isNotNull()).groupBy(*k, volume).agg(F.min(ident).alias("_full"))
+    full = ex.filter(F.col(volume).isNotNull()).groupBy(*k, "_v").agg(F.min(ident).alias("_full"))
     bare = ex.filter(F.col(volume).isNull()).groupBy(*k).agg(F.min(ident).alias("_bare"))
-    inc = keyed(incoming.drop(ident)).join(full, [*k, volume], "left").join(bare, k, "left")
-    w = Window.partitionBy("_bare").orderBy(F.col(volume).asc_nulls_first())
-    first_bare = F.row_number().over(w) == 1
-    inc = inc.withColumn("_fb", F.col("_full").isNull() & F.col("_bare").isNotNull()).withColumn("_one", first_bare)
-    inc = inc.withColumn(ident, F.coalesce("_full", F.when(F.col("_fb") & F.col("_one"), F.col("_bare"))))
-    inc = inc.withColumn("action", F.when(F.col(ident).isNotNull(), "update").otherwise("insert")).drop(*k, "_full", "_bare", "_fb", "_one")
+    rows = keyed(incoming.drop(ident))
+    one = Window.partitionBy(*k, "_v").orderBy(*[F.col(c).cast("string") for c in incoming.columns if c != ident])
+    inc = rows.withColumn("_one", F.row_number().over(one)).filter("_one = 1").join(full, [*k, "_v"], "left")
+    # the candidates for bare rows are ranked by themselves, by keys that are never null
+    open_rows = inc.filter("_full IS NULL").groupBy(*k).agg(F.min(F.struct(F.col(volume).isNotNull().alias("a"), F.col(volume).alias("b"), F.col("_v").alias("v"))).alias("_w"))
+    chosen = open_rows.join(bare, k).select(*k, F.col("_w.v").alias("_v"), "_bare")
+    inc = inc.join(chosen, [*k, "_v"], "left").withColumn(ident, F.coalesce("_full", "_bare"))
+    inc = inc.withColumn("action", F.when(F.col(ident).isNotNull(), "update").otherwise("insert")).drop(*k, "_v", "_full", "_bare", "_one")
     kept = existing.join(inc.filter("action = 'update'").select(ident), ident, "left_anti").withColumn("action", F.lit("keep"))
     return inc.unionByName(kept, allowMissingColumns=True)
 
@@ -77,6 +81,7 @@ def report_rows(df: DataFrame, order: Sequence[Column | str], cap: int = 5000) -
 
 
 def write_report(accepted: DataFrame, rejected: DataFrame, path: str, order: Sequence[str], cap: int = 5000, fmt: str = "json") -> None:
-    """Accepted rows whole; the rejected sample is capped, as a report is."""
+    """Accepted and rejected rows whole, and beside them the capped sample that a report shows."""
     accepted.write.mode("overwrite").format(fmt).save(f"{path}/accepted")
-    report_rows(rejected, order, cap).write.mode("overwrite").format(fmt).save(f"{path}/rejected")
+    rejected.write.mode("overwrite").format(fmt).save(f"{path}/rejected")
+    report_rows(rejected, order, cap).write.mode("overwrite").format(fmt).save(f"{path}/rejected_sample")

@@ -25,7 +25,8 @@ def process_batch(batch: DataFrame, batch_id: int, path: str) -> None:
     store = spark.read.schema(batch.schema.add("batch_id", "long")).parquet(f"{path}/snapshots")
     touched = store.filter(F.col("batch_id") == batch_id).select("snapshot_date").distinct()
     pairs = mv.date_pairs(store.select("snapshot_date"))
-    hit = pairs.join(touched, (pairs.current_date == touched.snapshot_date) | (pairs.previous_date == touched.snapshot_date), "left_semi")
+    hit = pairs.join(touched, pairs.current_date == touched.snapshot_date, "left_semi").unionByName(
+        pairs.join(touched, pairs.previous_date == touched.snapshot_date, "left_semi")).distinct()
     events = mv.all_deltas(store.drop("batch_id"), hit)
     _write(events.withColumn("batch_id", F.lit(batch_id)), f"{path}/events", "event_date", "batch_id")
     _write(hit.select(F.col("current_date").alias("event_date"), F.lit(batch_id).alias("batch_id")), f"{path}/log", "batch_id")

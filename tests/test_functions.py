@@ -30,8 +30,11 @@ def test_title_dimensions(spark):
 
 
 def test_slug_dimensions(spark):
-    got = value(spark, D.slug_dimensions, "510-19-2-5-28-5l")
-    assert (got["length"], got["width"], got["thickness"], got["volume"]) == ("5'10", "19", "2.5", "28.5")
+    read = lambda text: tuple(value(spark, D.slug_dimensions, text)[c] for c in ("length", "width", "thickness", "volume"))
+    assert read("510-19-2-5-28-5l") == ("5'10", "19", "2.5", "28.5")
+    assert read("510-19-1-4-2-3-8-28-5l") == ("5'10", "19 1/4", "2 3/8", "28.5")
+    assert read("5'10 | 19 1/2 | 2 1/2 | 30L") == ("5'10", "19 1/2", "2 1/2", "30")
+    assert read("nothing here") == (None, None, None, None)
 
 
 @pytest.mark.parametrize("text,expected", [("€ 1.234,50", 1234.5), ("1,234.50", 1234.5), ("749,00 EUR", 749.0), ("$899", 899.0), ("POA", None)])

@@ -64,8 +64,8 @@ def test_links_never_overwrite(spark, sf):
 def test_linkage_plans_have_no_nested_loops_or_python(spark, sf):
     inv = fx.inventory(spark, sf)
     p = L.project_links(inv, fx.aliases(spark, sf), fx.BRANDS, fx.models(spark, sf), fx.sizes(spark, sf))
-    e = se.search_exact(fx.targets(spark, sf), inv, fx.models(spark, sf), words=2)
-    for df in (p, L.linkage_report(p), e, se.search_close(fx.targets(spark, sf), inv, fx.models(spark, sf), e, words=2)):
+    e = se.search_exact(fx.targets(spark, sf), inv, fx.models(spark, sf))
+    for df in (p, L.linkage_report(p), e, se.search_close(fx.targets(spark, sf), inv, fx.models(spark, sf), e)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython"):
             assert bad not in plan
@@ -99,7 +99,37 @@ def test_report_files(spark, tmp_path):
     df = spark.range(10)
     sk.write_report(df, df, str(tmp_path / "r"), ["id"], cap=3, fmt="json")
     assert spark.read.json(str(tmp_path / "r/accepted")).count() == 10
-    assert spark.read.json(str(tmp_path / "r/rejected")).count() == 3
+    assert spark.read.json(str(tmp_path / "r/rejected")).count() == 10
+    assert spark.read.json(str(tmp_path / "r/rejected_sample")).count() == 3
+
+
+def test_upsert_uses_bare_rows_once(spark):
+    schema = "inventory_id string, url string, volume double, price double"
+    old = spark.createDataFrame([("s1", "u", 28.0, 1.0), ("s2", "u", None, 1.0), ("s3", None, None, 1.0), ("s4", "x", 5.0, 1.0)], schema)
+    new = spark.createDataFrame([(None, "u", 28.0, 2.0), (None, "u", 30.0, 2.0), (None, "u", 31.0, 2.0), (None, "u", 28.0, 3.0), (None, None, 9.0, 2.0), (None, "y", None, 2.0)], schema)
+    got = {(r.inventory_id, r.url, r.volume, r.price, r.action) for r in sk.upsert_inventory(old, new, ["url"]).collect()}
+    assert got == {("s1", "u", 28.0, 2.0, "update"), ("s2", "u", 30.0, 2.0, "update"), (None, "u", 31.0, 2.0, "insert"), ("s3", None, 9.0, 2.0, "update"), (None, "y", None, 2.0, "insert"), ("s4", "x", 5.0, 1.0, "keep")}
+
+
+def test_close_search_without_a_target_volume(spark, sf):
+    t = fx.targets(spark, sf).filter("region_code = 'EUROPE'").withColumn("volume", F.lit(None).cast("decimal(10,2)"))
+    none = fx.inventory(spark, sf).filter("false")
+    e = none.select(F.lit("").alias("target_id"), "inventory_id")
+    found = se.search_close(t, fx.inventory(spark, sf), fx.models(spark, sf), e)
+    assert found.count() > 0 and found.filter("volume IS NOT NULL").count() == 0
+
+
+def test_three_word_names_are_found(spark):
+    m = spark.createDataFrame([(1, 7, "hypto krypto twin"), (1, 8, "hypto krypto")], "brand_id int, model_id int, model_name string")
+    i = spark.createDataFrame([("a", 1, "B hypto krypto twin 5'6", None), ("b", 1, "B hypto krypto 5'6", None)], "inventory_id string, brand_id int, title string, normalised_title string")
+    assert sorted((r.inventory_id, r.model_id) for r in se.title_models(i, m).collect()) == [("a", 7), ("a", 8), ("b", 8)]
+
+
+def test_categories_of_any_depth(spark):
+    from stockloom.operators import network as nw
+
+    edges = spark.range(1, 31).select("id", (F.col("id") - 1).alias("p")).toDF("category_id", "parent_id")
+    assert nw.expand_categories(edges, edges.filter("category_id = 1").select("category_id")).count() == 30
 
 
 def test_movement_stream_equals_batch_and_survives_replay(spark, snaps, tmp_path):
