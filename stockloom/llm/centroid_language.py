@@ -26,7 +26,7 @@ from stockloom.llm.common import map_slices, train_remainder, utf8
 
 DIMENSIONS = 1 << 13
 CENTROIDS = 3
-SAMPLE = 6000
+SAMPLE = 3000
 ROUNDS = 12
 REJECT = 0.005
 _FOLD = np.frombuffer(bytes(b + 32 if 65 <= b <= 90 else 0x20 if b < 0x41 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256)), np.uint8)
@@ -64,13 +64,14 @@ def _normal(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm == 0, 1, norm)
 
 
-def fit(counts: np.ndarray, languages: list[str]) -> Model | None:
-    """Model from training counts, one row per text."""
+def fit(x: np.ndarray, languages: list[str]) -> Model | None:
+    """Model from damped training counts (float32, one row per text), which are overwritten."""
     if not languages:
         return None
-    seen = (counts > 0).sum(axis=0)
-    idf = np.log((1 + len(counts)) / (1 + seen)).astype(np.float32) + np.float32(1)
-    x = _normal(np.log1p(counts).astype(np.float32) * idf)
+    seen = np.count_nonzero(x, axis=0)
+    idf = np.log((1 + len(x)) / (1 + seen)).astype(np.float32) + np.float32(1)
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), np.float32(1e-9))[:, None]
     names, centroids, limits = [], [], []
     labels = np.array(languages)
     for name in sorted(set(languages)):
@@ -108,17 +109,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for text, lang, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), gram_counts(*utf8(batch))):
             if has_letter(text):
                 kept.append(lang)
-                counts.append(np.minimum(own, 65535).astype(np.uint16).tobytes())
+                hit = np.flatnonzero(own)
+                counts.append(np.concatenate([hit, np.minimum(own[hit], 65535)]).astype(np.uint16).tobytes())
         return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array(counts, pa.binary())], names=["lang", "counts"])
 
     # at most SAMPLE ids, so the broadcast is bounded
     got = map_slices(fair.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang"), task, "lang string, counts binary").toArrow()
     if not got.num_rows:
         return None
-    counts = np.stack([np.frombuffer(x, np.uint16) for x in got.column("counts").to_pylist()])
-    languages = got.column("lang").to_pylist()
-    order = sorted(range(len(languages)), key=lambda i: (languages[i], counts[i].tobytes()))
-    return fit(counts[order], [languages[i] for i in order])
+    rows = sorted(zip(got.column("lang").to_pylist(), got.column("counts").to_pylist()))
+    del got
+    x = np.zeros((len(rows), DIMENSIONS), np.float32)
+    for i, (_, packed) in enumerate(rows):
+        hit, count = np.frombuffer(packed, np.uint16).reshape(2, -1)
+        x[i, hit] = np.log1p(count.astype(np.float32))
+    return fit(x, [lang for lang, _ in rows])
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
