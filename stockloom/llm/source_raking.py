@@ -27,7 +27,7 @@ RATE = 0.6
 EXPONENTS = {"mix_source": 0.5, "mix_lang": 0.7, "mix_topic": 0.8}
 TOLERANCE = 1e-10
 SWEEPS = 5
-MAX_ROUNDS = 40
+MAX_ROUNDS = 12
 DIMS = tuple(EXPONENTS)
 ADDED = (*DIMS, "mix_tokens", "mix_factor", "mix_probability", "mix_selected")
 
