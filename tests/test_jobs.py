@@ -119,6 +119,46 @@ def test_close_search_without_a_target_volume(spark, sf):
     assert found.count() > 0 and found.filter("volume IS NOT NULL").count() == 0
 
 
+def _direct_case(spark):
+    """Targets of a generic and of a strict brand, and direct rows with every kind of model id and name."""
+    t = spark.createDataFrame(
+        [("g", "EU", 3, "Maker 3", 30, "Happy Everyday", 300), ("s", "EU", 0, "Maker 0", 10, "Happy Everyday", 100)],
+        "target_id string, region_code string, brand_id int, brand_name string, model_id int, model_name string, size_id int").selectExpr(
+        "*", """"5'10" AS length""", "70 AS length_inches", "'19' AS width", "'2' AS thickness", "CAST(30 AS DECIMAL(10,2)) AS volume", "'PU' AS construction", "'FCS' AS fin_setup")
+    rows = [("same_model", 30, "x", "5'10", 30.0, "EU"), ("null_model", None, " happy everyday ", "5'10", 30.5, "EU"), ("other_model", 77, "Happy Everyday Round", "5'10", None, "EU"),
+            ("inside", None, "Happy", "5'10", 30.0, "EU"), ("part_of_a_word", None, "Every", "5'10", 30.0, "EU"), ("across_words", None, "py Ev", "5'10", 30.0, "EU"),
+            ("own_size", 77, "Happy Everyday", "5'11", 30.0, "EU"), ("no_name", None, None, "5'10", 30.0, "EU"), ("other_name", None, "Happy Everyyear", "5'10", 30.0, "EU"),
+            ("other_length", None, "Happy", "5'11", 30.0, "EU"), ("too_big", None, "Happy", "5'10", 31.0, "EU"), ("other_region", None, "Happy", "5'10", 30.0, "AU")]
+    d = [(f"{b}-{i}", r, b, f"Maker {b}", m, n, 300 if i == "own_size" and b == 3 else None, ln, v, 1.0, True, True) for b in (3, 0) for i, m, n, ln, v, r in rows]
+    d = spark.createDataFrame(d, "direct_id string, region_code string, brand_id int, brand_name string, model_id int, model_name string, size_id int, length string, volume double, price double, is_available boolean, is_active boolean").selectExpr(
+        "* EXCEPT (volume)", "CAST(volume AS DECIMAL(10,2)) AS volume", "'18' AS width", "'2' AS thickness", "'PU' AS construction", "'FCS' AS fin_setup", "'u' AS product_url")
+    return t, d
+
+
+def test_direct_rows_of_generic_brands_by_name(spark):
+    from stockloom.plans.q_search import _policy
+
+    t, d = _direct_case(spark)
+    got = {(r.target_id, r.direct_id): r.match_rank for r in se.search_direct(t, d, _policy(spark)).collect()}
+    assert got == {("g", "3-same_model"): 1, ("g", "3-own_size"): 0} | {("g", f"3-{n}"): 3 for n in ("null_model", "other_model", "inside", "part_of_a_word", "across_words")}
+
+
+def test_direct_by_name_against_sql_of_the_reference(spark, duck, sf):
+    """Every generic row of the query by the rule of the reference, written as a condition over all pairs of a brand."""
+    from stockloom.plans.q_search import QUERIES, s as search_sql
+
+    body = """SELECT t.target_id, d.direct_id FROM targets t JOIN pol USING (brand_name) JOIN direct d ON d.region_code = t.region_code AND d.brand_id = t.brand_id WHERE mode = 'generic' AND direct_enabled AND (d.size_id = t.size_id OR (d.length = t.length
+    AND (d.model_id = t.model_id AND (abs(d.volume - t.volume) <= 0.75 OR (d.width = t.width AND d.thickness = t.thickness)) OR (d.model_id = t.model_id OR contains(lower(trim(d.model_name)), lower(trim(t.model_name)))
+    OR contains(lower(trim(t.model_name)), lower(trim(d.model_name)))) AND (d.volume IS NULL OR t.volume IS NULL OR abs(d.volume - t.volume) <= 0.75))))"""
+    want = set(duck.execute(search_sql(body)).fetchall())
+    df = QUERIES["lk11_search_direct"](spark, sf)
+    generic = fx.targets(spark, sf).filter("brand_name = 'Maker 3'").select("target_id")
+    got = {(r.target_id, r.direct_id) for r in df.join(generic, "target_id").collect()}
+    assert got == want and want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any(bad in plan for bad in ("BroadcastNestedLoopJoin", "CartesianProduct"))
+
+
 def test_three_word_names_are_found(spark):
     m = spark.createDataFrame([(1, 7, "hypto krypto twin"), (1, 8, "hypto krypto")], "brand_id int, model_id int, model_name string")
     i = spark.createDataFrame([("a", 1, "B hypto krypto twin 5'6", None), ("b", 1, "B hypto krypto 5'6", None)], "inventory_id string, brand_id int, title string, normalised_title string")
