@@ -50,8 +50,16 @@ def sketch(text: Column) -> Column:
 
 
 def merge(*sketches: Column) -> Column:
-    """Sketch of several texts taken together."""
-    return F.array_sort(F.array_distinct(F.flatten(F.array(*sketches))))
+    """Sketch of the shingles of several texts taken together.
+
+    The smallest hash of a text that keeps none leaves as soon as another text keeps one;
+    where none does, the smallest of all stays.
+    """
+
+    def of_all(hashes: Column) -> Column:
+        return bound(F.filter(hashes, lambda h: h < f"{FRACTION:x}"), lambda k: F.when(F.size(k) > 0, k).otherwise(F.slice(hashes, 1, 1)))
+
+    return bound(F.array_sort(F.array_distinct(F.flatten(F.array(*sketches)))), of_all)
 
 
 def containment(a: Column, b: Column) -> Column:

@@ -13,6 +13,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stockloom.llm import bpe_tree, centroid_language, common, licence_scan, quality_nbsvm, scaled_sketch, secret_crf, trie_counts
 from stockloom.llm.cuckoo_dedup import CuckooFilter, LiveIndex, build_index, digests, update_index
@@ -162,6 +163,26 @@ def test_sketches_merge_and_estimate(spark):
     assert 350 < len(s[1]) < 650
 
 
+def test_short_sketches_merge(spark):
+    """Merged sketches of 5 to 30 words are the sketch of all their shingles, whether or not a text keeps a hash."""
+    rng = random.Random(6)
+
+    def hashes(text):
+        w = text.split()
+        return {hashlib.md5(" ".join(w[i:i + 5]).encode()).hexdigest()[:16] for i in range(max(1, len(w) - 4))}
+
+    def plain(hashes):
+        return sorted({h for h in hashes if h < "2"} or {min(hashes)})
+
+    texts = [sentence(rng, n) for n in range(5, 31) for _ in range(4)]
+    pairs = list(zip(texts, texts[1:]))
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    got = {r.i: r.m for r in rows.select("i", scaled_sketch.merge(scaled_sketch.sketch(F.col("a")), scaled_sketch.sketch(F.col("b"))).alias("m")).collect()}
+    assert got == {i: plain(hashes(a) | hashes(b)) for i, (a, b) in enumerate(pairs)}
+    kept = [any(h < "2" for h in hashes(t)) for t in texts]
+    assert {(x, y) for x, y in zip(kept, kept[1:])} == {(x, y) for x in (True, False) for y in (True, False)}
+
+
 # --- licences ---------------------------------------------------------------------------
 
 
