@@ -220,10 +220,15 @@ def union_feeds(feeds: dict[str, DataFrame]) -> DataFrame:
 
 
 def retailer_quality(raw: DataFrame, verified: DataFrame, normalised: DataFrame, key: str = "retailer_id") -> DataFrame:
-    """Raw, verified, normalised, available and duplicate counts per retailer, with a band."""
+    """Raw, verified, normalised, available and duplicate counts per retailer, with a band.
+
+    A retailer of the verified feed that has no raw rows counts with raw 0; one that only the
+    normalised feed has is no scraped retailer and is left out.
+    """
     dup = normalised.groupBy(key, "_dup").agg(F.count("*").alias("n"), F.sum("available").alias("a"))
     n = dup.groupBy(key).agg(F.sum("n").alias("normalised"), F.sum("a").alias("available"), F.sum(F.col("n") - 1).alias("duplicates"))
-    j = raw.groupBy(key).agg(F.count("*").alias("raw")).join(verified.groupBy(key).agg(F.count("*").alias("verified")), key, "left").join(n, key, "left")
+    v = verified.filter(~T.blank(key)).groupBy(key).agg(F.count("*").alias("verified"))
+    j = raw.groupBy(key).agg(F.count("*").alias("raw")).join(v, key, "full").join(n, key, "left")
     z = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("raw", "verified", "normalised", "available", "duplicates")}
     ratio = F.when(z["raw"] > 0, z["verified"] / z["raw"]).otherwise(F.lit(0.0))
     band = (
@@ -232,6 +237,13 @@ def retailer_quality(raw: DataFrame, verified: DataFrame, normalised: DataFrame,
     return j.select(key, *[c.alias(k) for k, c in z.items()], F.round(ratio, 4).alias("ratio"), band.alias("health"))
 
 
+def retailer_quality_totals(report: DataFrame) -> DataFrame:
+    """One row: retailers, retailers by band, and summed counts of ``retailer_quality``."""
+    bands = [F.count_if(F.col("health") == b).alias(b) for b in ("healthy", "review", "poor", "failed")]
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(f"total_{c}") for c in ("raw", "verified", "available", "duplicates")]
+    return report.agg(F.count("*").alias("total_retailers"), *bands, *sums)
+
+
 def inventory_quality(df: DataFrame) -> DataFrame:
     filled = lambda c: F.sum((~T.blank(c)).cast("long")).alias(f"with_{c}")
     return df.agg(F.count("*").alias("rows"), *[filled(c) for c in ("length", "width", "thickness", "volume", "price", "image_url", "construction")],

@@ -78,6 +78,13 @@ def ag13(spark, sf):
     return ls.retailer_quality(i, i.filter(F.col("true_size_id") % 12 == 0), n)
 
 
+def ag13t(spark, sf):
+    """Retailers 4, 12, 20, … have no raw rows, retailers 8, 16, … only normalised ones."""
+    i = fx.inventory(spark, sf)
+    n = i.filter("size_id IS NOT NULL").select("retailer_id", F.concat_ws("|", "product_url", "length").alias("_dup"), is_available_status("stock_status").cast("long").alias("available"))
+    return ls.retailer_quality_totals(ls.retailer_quality(i.filter("retailer_id % 4 <> 0"), i.filter("true_size_id % 12 = 0 AND retailer_id % 8 <> 0"), n))
+
+
 def ag14(spark, sf):
     return ls.inventory_quality(fx.inventory(spark, sf))
 
@@ -121,7 +128,7 @@ def tx13(spark, sf):
 
 QUERIES = {"pf4_score_listings": pf4, "pf5_price_check": pf5, "pf6_classify_candidates": pf6, "pf7_guard_catalogue": pf7, "pf8_reject_reasons": pf8,
            "pf9_excluded_product_type": pf9, "pf10_exclude_retailers": pf10, "pf11_fallback_exclusions": pf11, "tx9_normalise_listings": tx9, "tx10_normalise_regional": tx10,
-           "ag13_retailer_quality": ag13, "ag14_inventory_quality": ag14, "ag20_funnel": ag20, "ag21_import_report": ag21, "ag21_recommendation": ag21r,
+           "ag13_retailer_quality": ag13, "ag13_retailer_quality_totals": ag13t, "ag14_inventory_quality": ag14, "ag20_funnel": ag20, "ag21_import_report": ag21, "ag21_recommendation": ag21r,
            "st6_union_feeds": st6, "ag22_build_catalogue": ag22, "tx13_direct_rows": tx13}
 
 
@@ -205,6 +212,11 @@ CASE WHEN title LIKE '% Surfboards - %' THEN split_part(title,' - ',2) ELSE trim
 FROM (SELECT retailer_id, count(*) AS raw, count(*) FILTER (true_size_id % 12 = 0) AS verified, count(size_id) AS normalised, count(*) FILTER (size_id IS NOT NULL AND {_AV}) AS available,
 count(size_id) - count(DISTINCT CASE WHEN size_id IS NOT NULL THEN coalesce(product_url || '|', '') || coalesce(length,'') END) AS duplicates,
 count(*) FILTER (true_size_id % 12 = 0)/count(*) AS ratio0, round(count(*) FILTER (true_size_id % 12 = 0)/count(*), 4) AS ratio FROM inventory GROUP BY 1)""").replace("SELECT *, CASE WHEN raw=0", "SELECT * EXCLUDE (ratio0), CASE WHEN raw=0"),
+    "ag13_retailer_quality_totals": sql("inventory", f"""SELECT count(*) AS total_retailers, count(*) FILTER (health = 'healthy') AS healthy, count(*) FILTER (health = 'review') AS review, count(*) FILTER (health = 'poor') AS poor,
+count(*) FILTER (health = 'failed') AS failed, sum(raw) AS total_raw, sum(verified) AS total_verified, sum(available) AS total_available, sum(duplicates) AS total_duplicates
+FROM (SELECT *, CASE WHEN raw = 0 THEN 'failed' WHEN verified = 0 OR available = 0 OR verified / raw < 0.02 THEN 'poor' WHEN verified / raw < 0.08 THEN 'review' ELSE 'healthy' END AS health
+FROM (SELECT retailer_id, count(*) FILTER (retailer_id % 4 <> 0) AS raw, count(*) FILTER (true_size_id % 12 = 0 AND retailer_id % 8 <> 0) AS verified, count(*) FILTER (size_id IS NOT NULL AND {_AV}) AS available,
+count(size_id) - count(DISTINCT CASE WHEN size_id IS NOT NULL THEN coalesce(product_url || '|', '') || coalesce(length, '') END) AS duplicates FROM inventory GROUP BY 1) WHERE raw > 0 OR verified > 0)"""),
     "ag14_inventory_quality": sql("inventory", """SELECT count(*) AS rows, count(length) AS with_length, count(width) AS with_width, count(thickness) AS with_thickness, count(volume) AS with_volume, count(price) AS with_price,
 count(image_url) AS with_image_url, count(construction) AS with_construction, count(DISTINCT retailer_name) AS retailers, count(DISTINCT brand_name) AS brands FROM inventory"""),
     "ag20_funnel": sql("inventory", "SELECT retailer_name, count(*) AS discovered, count(length) AS normalised, count(model_id) AS imported, count(size_id) AS stored, round(count(size_id)*100.0/count(*),2) AS kept_pct FROM inventory GROUP BY 1"),

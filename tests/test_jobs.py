@@ -159,6 +159,18 @@ def test_direct_by_name_against_sql_of_the_reference(spark, duck, sf):
     assert not any(bad in plan for bad in ("BroadcastNestedLoopJoin", "CartesianProduct"))
 
 
+def test_retailers_without_raw_rows_are_reported(spark):
+    from stockloom.operators import listings as ls
+
+    feed = lambda *names: spark.createDataFrame([(n,) for n in names], "retailer_id string")
+    n = spark.createDataFrame([("a", "u", 1), ("a", "u", 1), ("b", "u", 1), ("c", "u", 1)], "retailer_id string, _dup string, available long")
+    report = ls.retailer_quality(feed("a", "a", "d"), feed("a", "b", "b", None, " "), n)
+    got = {r.retailer_id: (r.raw, r.verified, r.normalised, r.available, r.duplicates, r.health) for r in report.collect()}
+    assert got == {"a": (2, 1, 2, 2, 1, "healthy"), "b": (0, 2, 1, 1, 0, "failed"), "d": (1, 0, 0, 0, 0, "poor")}
+    total = ls.retailer_quality_totals(report).first()
+    assert tuple(total) == (3, 1, 0, 1, 1, 3, 3, 3, 1)
+
+
 def test_three_word_names_are_found(spark):
     m = spark.createDataFrame([(1, 7, "hypto krypto twin"), (1, 8, "hypto krypto")], "brand_id int, model_id int, model_name string")
     i = spark.createDataFrame([("a", 1, "B hypto krypto twin 5'6", None), ("b", 1, "B hypto krypto 5'6", None)], "inventory_id string, brand_id int, title string, normalised_title string")
