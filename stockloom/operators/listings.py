@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from stockloom.functions import dims as D
 from stockloom.functions import fixed_values as V
@@ -47,17 +48,38 @@ def price_check(price: Column) -> Column:
     )
 
 
-_TEXT_FIELDS = ("title", "vendor", "product_type", "description", "url", "length", "width", "thickness", "volume_litres")
+_TEXT_FIELDS = ("title", "variant_title", "variant", "vendor", "product_type", "categories", "tags", "description", "short_description", "sku", "handle", "url", "product_url",
+                "length", "width", "thickness", "volume_litres")
+_TITLE_FIELDS = ("title", "variant_title", "variant", "handle", "product_url", "url")
+
+
+def _words_of(c: Column, kind: DataType) -> Column:
+    """Text of a column, of a list's items or of a structure's values; NULL when blank."""
+    if isinstance(kind, MapType):
+        c, kind = F.map_values(c), ArrayType(kind.valueType)
+    if isinstance(kind, ArrayType):
+        text = F.concat_ws(" ", F.transform(c, lambda x: _words_of(x, kind.elementType)))
+    elif isinstance(kind, StructType):
+        text = F.concat_ws(" ", *[_words_of(c[f.name], f.dataType) for f in kind])
+    else:
+        text = F.lower(F.trim(c.cast("string")))
+    return F.when(text != "", text)
+
+
+def _feed_blob(df: DataFrame, *names: str) -> Column:
+    """Text of the named columns; a feed may lack some of them."""
+    return F.concat_ws(" ", *[_words_of(F.col(n), df.schema[n].dataType) for n in names if n in df.columns])
 
 
 def score_listings(df: DataFrame) -> DataFrame:
     """Add ``confidence``, ``is_board``, ``reasons`` and ``reject_reason``.
 
     Five rejections apply in order; then weighted evidence must reach 6 and one strong
-    combination must hold.
+    combination must hold.  Text columns that the feed lacks count as empty.
     """
-    d = df.withColumn("_text", _blob(*_TEXT_FIELDS)).withColumn("_title", _blob("title", "url"))
-    d = d.withColumn("_cat", _blob("product_type")).withColumn("_price", feed_price("price"))
+    d = df.withColumn("_text", _feed_blob(df, *_TEXT_FIELDS)).withColumn("_title", _feed_blob(df, *_TITLE_FIELDS))
+    d = d.withColumn("_cat", _feed_blob(df, "product_type", "categories")).withColumn("_price", feed_price("price"))
+    url = F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("url", "product_url") if c in df.columns], F.lit(""))
     d = d.withColumn("_filled", sum(((~T.blank(c)).cast("int") for c in ("length", "width", "thickness", "volume_litres")), F.lit(0)))
     flags = {
         "full_dimensions": F.col("_text").rlike(V.FULL_DIMENSION_RX), "length": F.col("_text").rlike(V.LENGTH_RX),
@@ -65,7 +87,7 @@ def score_listings(df: DataFrame) -> DataFrame:
         "litres": F.col("_text").rlike(V.LITRE_RX), "structured_dimensions": F.col("_filled") >= 2,
         "board_type": has_term("_text", V.BOARD_TYPES), "category_board_signal": has_term("_cat", V.BOARD_CATEGORIES),
         "brand": has_term("_text", V.LISTING_BRANDS), "construction": has_term("_text", V.CONSTRUCTION_TERMS),
-        "fin_system": has_term("_text", V.FIN_SYSTEMS), "url_board_hint": F.coalesce(F.col("url").rlike(V.BOARD_URL_RX), F.lit(False)),
+        "fin_system": has_term("_text", V.FIN_SYSTEMS), "url_board_hint": url.rlike(V.BOARD_URL_RX),
         "used": has_term("_text", V.USED_TERMS),
     }
     d = d.withColumns({f"_f_{k}": v for k, v in flags.items()})

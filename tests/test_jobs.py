@@ -159,6 +159,33 @@ def test_direct_by_name_against_sql_of_the_reference(spark, duck, sf):
     assert not any(bad in plan for bad in ("BroadcastNestedLoopJoin", "CartesianProduct"))
 
 
+def test_listing_evidence_in_any_text_column(spark):
+    """Each row has its evidence in one column that is neither title, vendor, description nor product_type."""
+    from stockloom.operators import listings as ls
+
+    cases = {
+        "plain": ({}, ("low_confidence_or_missing_board_identity", "price_ok")),
+        "category": ({"categories": ["Sale", "Surfboards"]}, (None, "price_ok,board_type,category_board_signal")),
+        "accessory_category": ({"categories": ["Fins"], "vendor": "pyzel surfboard"}, ("fin_accessory_not_board", "")),
+        "lesson_category": ({"categories": ["Surf Lessons"], "vendor": "pyzel surfboard"}, ("service_or_rental_listing", "")),
+        "tags": ({"tags": [{"name": "Pyzel"}, {"name": "Shortboard"}]}, (None, "price_ok,board_type,brand")),
+        "variant_title": ({"variant_title": "6'0 x 19 x 2.5 Pyzel"}, (None, "price_ok,full_dimensions,length,brand")),
+        "variant": ({"variant": "Pyzel longboard"}, (None, "price_ok,board_type,brand")),
+        "short_description": ({"short_description": "pyzel shortboard"}, (None, "price_ok,board_type,brand")),
+        "sku": ({"sku": "PYZEL-SHORTBOARD"}, (None, "price_ok,board_type,brand")),
+        "handle": ({"handle": "dakine-leash", "vendor": "pyzel surfboard"}, ("hard_excluded_product_type", "")),
+        "product_url": ({"product_url": "https://x.example/pyzel-surfboards/1"}, (None, "price_ok,board_type,brand,url_board_hint")),
+        "excluded_url": ({"product_url": "https://x.example/wetsuit/1", "vendor": "pyzel surfboard"}, ("hard_excluded_product_type", "")),
+    }
+    schema = ("id string, title string, vendor string, product_type string, description string, url string, length string, width string, thickness string, volume_litres string, price string, "
+              "variant_title string, variant string, categories array<string>, tags array<struct<name string>>, short_description string, sku string, handle string, product_url string")
+    names = [c.split()[0] for c in schema.split(", ")]
+    rows = [tuple(({"id": k, "title": "Ghost", "price": "$900"} | given).get(n) for n in names) for k, (given, _) in cases.items()]
+    got = {r.id: (r.reject_reason, ",".join(r.reasons), r.is_board) for r in ls.score_listings(spark.createDataFrame(
+        [tuple([(x["name"],) for x in v] if n == "tags" and v else v for n, v in zip(names, row)) for row in rows], schema)).collect()}
+    assert got == {k: (*want, want[0] is None) for k, (_, want) in cases.items()}
+
+
 def test_retailers_without_raw_rows_are_reported(spark):
     from stockloom.operators import listings as ls
 
