@@ -6,12 +6,15 @@ from stockloom.llm import (
     bpe_tree,
     centroid_language,
     cuckoo_dedup,
+    importance_quickselect,
     licence_scan,
+    middle_cuts,
     quality_nbsvm,
     scaled_sketch,
     secret_crf,
     set_join,
     source_raking,
+    threshold_topk,
     trie_counts,
 )
 
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_bpe_tree": bpe_tree.op8_bpe_tree,
     "op9_set_join": set_join.op9_set_join,
     "op10_cuckoo_dedup": cuckoo_dedup.op10_cuckoo_dedup,
+    "op11_middle_cuts": middle_cuts.op11_middle_cuts,
+    "op12_importance_quickselect": importance_quickselect.op12_importance_quickselect,
+    "op13_threshold_topk": threshold_topk.op13_threshold_topk,
 }
 
 ORACLE = {
@@ -33,4 +39,7 @@ ORACLE = {
     "op6_source_raking": source_raking.ORACLE,
     "op9_set_join": set_join.ORACLE,
     "op10_cuckoo_dedup": cuckoo_dedup.ORACLE,
+    "op11_middle_cuts": middle_cuts.ORACLE,
+    "op12_importance_quickselect": importance_quickselect.ORACLE,
+    "op13_threshold_topk": threshold_topk.ORACLE,
 }

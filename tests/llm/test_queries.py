@@ -12,7 +12,7 @@ from tests.test_oracle import rows
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op13_threshold_topk"}))
 def test_edge_tables(spark, edge_dir, name):
     got = QUERIES[name](spark, edge_dir["edge"]).select("doc_id").collect()
     given = spark.read.parquet(f"{edge_dir['edge']}/documents.parquet").select("doc_id").collect()
@@ -36,10 +36,14 @@ def test_edge_tables_match_sql(spark, edge_dir, name):
 
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{edge_dir['edge']}/documents.parquet/*.parquet' WHERE doc_id <> 11 AND coalesce(length(text), 0) < 10000")
+    for other in ("benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {other} AS SELECT * FROM '{edge_dir['edge']}/{other}.parquet/*.parquet'")
     result = con.execute(ORACLE[name])
     names = [d[0] for d in result.description]
     folder = common.scratch(spark)
     spark.read.parquet(f"{edge_dir['edge']}/documents.parquet").filter("doc_id <> 11 AND coalesce(length(text), 0) < 10000").write.parquet(f"{folder}/documents.parquet")
+    for other in ("benchmark", "embeddings"):
+        spark.read.parquet(f"{edge_dir['edge']}/{other}.parquet").write.parquet(f"{folder}/{other}.parquet")
     df = QUERIES[name](spark, folder)
     assert rows(df.columns, df.collect()) == rows(names, result.fetchall())
 
