@@ -1,4 +1,8 @@
-"""Connected components by alternating large and small stars."""
+"""Connected components by alternating large and small stars.
+
+The smallest neighbours are a table of their own in every step, so that the join with all
+neighbours has two plain shuffles and Spark can split the one that holds a hub.
+"""
 
 from __future__ import annotations
 
@@ -11,14 +15,14 @@ from stockloom.llm.common import saved
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node gives its larger neighbours to the smallest of its neighbourhood."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    low = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     return both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node gives its smaller neighbours and itself to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
+    low = saved(down.groupBy("a").agg(F.min("b").alias("m")))
     rest = down.join(low, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return rest.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 

@@ -7,12 +7,15 @@ five-word shingles.  The result is the component of every document.
 are compared, so copies are never expanded into pairs.
 
 *Lists.*  Shingles are ordered: those outside a set of very frequent ones first, each part by
-hash.  Two linked sets share a shingle among the first ``floor(n / 4) + 1`` of both.  Of large
-sets far fewer suffice.  At most n / 4 of n shingles are not common to a linked set, so of a
-part of u shingles, each that comes first is common with a chance of at least
+a second hash.  Two linked sets share a shingle among the first ``floor(n / 4) + 1`` of both.
+Of large sets far fewer suffice.  At most n / 4 of n shingles are not common to a linked set,
+so of a part of u shingles, each that comes first is common with a chance of at least
 ``1 - n / (4 u)``, and the first ``MISS / ln(4 u / n)`` miss a link with a chance below
-exp(-MISS) ~ 1e-14, that of a collision of hashes; texts do not choose the order.  That many are
-kept of the part that has half of the set or more, after all of a smaller part before it.
+exp(-MISS) ~ 1e-14, that of a collision of hashes.  That many are kept of the part that has
+half of the set or more, after all of a smaller part before it.  The bound holds whatever the
+texts are and however often they occur: which shingles are frequent follows from the first
+hash alone, and the order inside a part from the second alone.  ``miss=None`` keeps the whole
+prefix, at about three times the rows.
 
 *Skipping between answers.*  In every list the members are first compared with one pivot, the
 member whose lists are the longest, which stands in the middle of a group of copies.  The
@@ -58,6 +61,8 @@ MAX_HOT = 1_000_000
 DOOR_BITS = 1 << 26
 _WORD = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
 _TURNS = mix(np.arange(1, WIDTH + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Turns the first hash of a shingle into the second, which orders the lists.
+_SECOND = np.uint64(0xD6E8FEB86659FD93)
 _BITS = [f"b{i}" for i in range(8)]
 
 
@@ -82,12 +87,12 @@ def shingle_sets(data: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def prefix_size(n: int, rare: int) -> int:
+def prefix_size(n: int, rare: int, miss: float | None = MISS) -> int:
     """How many shingles of a set of n, of them ``rare`` not frequent, its lists need."""
-    if n == 0:
-        return 0
+    if n == 0 or miss is None:
+        return n and n // 4 + 1
     before, part = (0, rare) if 2 * rare >= n else (rare, n - rare)
-    return min(n // 4 + 1, before + math.ceil(MISS / math.log(4 * part / n)))
+    return min(n // 4 + 1, before + math.ceil(miss / math.log(4 * part / n)))
 
 
 def class_id(values: np.ndarray) -> bytes:
@@ -96,16 +101,21 @@ def class_id(values: np.ndarray) -> bytes:
     return mix(sums + _TURNS[1:3] * np.uint64(len(values))).tobytes()
 
 
-def ordered_prefix(values: np.ndarray, hot: np.ndarray) -> np.ndarray:
+def _least(values: np.ndarray, k: int) -> np.ndarray:
+    """The k smallest, sorted."""
+    return np.sort(np.partition(values, k)[:k] if k < len(values) else values)
+
+
+def ordered_prefix(values: np.ndarray, hot: np.ndarray, miss: float | None = MISS) -> np.ndarray:
+    """Second hashes of the first shingles of a set (of first hashes), frequent ones last."""
+    order = mix(values ^ _SECOND)
+    frequent = np.zeros(len(values), bool)
     if len(hot):
-        at = np.minimum(np.searchsorted(hot, values), len(hot) - 1)
-        frequent = hot[at] == values
-        rare = int(len(values) - frequent.sum())
-        k = prefix_size(len(values), rare)
-        if rare >= k:
-            return values[~frequent][:k]
-        return np.concatenate([values[~frequent], values[frequent][: k - rare]])
-    return values[: prefix_size(len(values), len(values))]
+        frequent = hot[np.minimum(np.searchsorted(hot, values), len(hot) - 1)] == values
+    rare = int(len(values) - frequent.sum())
+    k = prefix_size(len(values), rare, miss)
+    first = _least(order[~frequent], min(k, rare))
+    return first if rare >= k else np.concatenate([first, _least(order[frequent], k - rare)])
 
 
 def parity_bitmap(values: np.ndarray) -> np.ndarray:
@@ -123,10 +133,10 @@ def _longs(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles that many list prefixes hold, at most ``MAX_HOT`` of them."""
+    """Shingles that the least first hashes of many sets hold, at most ``MAX_HOT`` of them."""
 
     def task(batch):
-        values = [ordered_prefix(s, np.zeros(0, np.uint64)) for s in shingle_sets(*utf8(batch))]
+        values = [s[: prefix_size(len(s), len(s))] for s in shingle_sets(*utf8(batch))]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64))], names=["token"])
 
     counts = saved(map_slices(docs, task, "token long").groupBy("token").agg(F.count("*").alias("rows")).filter("rows > 1"))
@@ -136,7 +146,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(found.astype(np.int64).view(np.uint64))
 
 
-def signatures(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+def signatures(docs: DataFrame, hot: np.ndarray, miss: float | None = MISS) -> DataFrame:
     """doc_id, n, class, list prefix and bitmap of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -144,7 +154,7 @@ def signatures(docs: DataFrame, hot: np.ndarray) -> DataFrame:
         sets = shingle_sets(*utf8(batch))
         bits = np.array([parity_bitmap(s) for s in sets])
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) for s in sets], pa.binary()), _longs([ordered_prefix(s, shared.value) if len(s) else s for s in sets]),
+            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) for s in sets], pa.binary()), _longs([ordered_prefix(s, shared.value, miss) for s in sets]),
              *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(8)]], names=["doc_id", "n", "cid", "sig", *_BITS])
 
     return map_slices(docs, task, "doc_id long, n long, cid binary, sig array<long>, " + ", ".join(f"{b} long" for b in _BITS))
@@ -211,10 +221,10 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame
     return saved(both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s", "t")).cast("long").alias("common")).distinct())
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", miss: float | None = MISS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     docs = _plain(docs, id_col, text_col)
-    marked = saved(signatures(docs, frequent_shingles(docs)))
+    marked = saved(signatures(docs, frequent_shingles(docs), miss))
     classes = saved(marked.filter("n > 0").groupBy("cid").agg(
         F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), *[F.first(b).alias(b) for b in _BITS]))
 
@@ -256,7 +266,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = components(links).select(F.col("a").alias("cid"), F.col("b").alias("root"))
 
     rooted = saved(classes.select("cid", "first_id").join(roots, "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"), "first_id"))
-    names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    names = saved(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     named = rooted.join(names, "root").select("cid", "component_id")
     alone = marked.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return marked.filter("n > 0").select("doc_id", "n", "cid").join(named, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
