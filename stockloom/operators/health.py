@@ -215,12 +215,18 @@ def retailer_health(matrix: DataFrame, linkage: DataFrame, low: float = 60.0) ->
     return j.withColumn("low_linkage", flag).withColumn("severity", severity("color"))
 
 
+def _mean_pct(name: str) -> Column:
+    """Mean of percentages with two decimals, from whole hundredths, so that it depends on no order of rows; halves go up."""
+    total, n = F.sum(F.round(F.col(name) * 100).cast("long")), F.count(name)
+    return F.when(n > 0, F.floor((total * 2 + n) / (n * 2)) / 100.0)
+
+
 def retailer_health_summary(health: DataFrame) -> DataFrame:
     c = F.col("color")
     return health.groupBy("region_code").agg(
         F.count("*").alias("retailers"), _n(c == "green").alias("healthy"), _n(c == "yellow").alias("stale"), _n(c == "red").alias("failing"),
         _n(c == "grey").alias("not_applicable"), F.sum("active_rows").alias("active_rows"), F.sum("available_rows").alias("available_rows"),
-        F.round(F.avg("model_pct"), 2).alias("avg_model_pct"), F.round(F.avg("size_pct"), 2).alias("avg_size_pct"), _n(F.col("low_linkage")).alias("low_linkage"))
+        _mean_pct("model_pct").alias("avg_model_pct"), _mean_pct("size_pct").alias("avg_size_pct"), _n(F.col("low_linkage")).alias("low_linkage"))
 
 
 def order_by_severity(df: DataFrame, color: str, size: str, name: str) -> DataFrame:

@@ -301,7 +301,7 @@ FROM rm r JOIN dm d USING (region_code) JOIN (SELECT * FROM inventory WHERE is_a
     "ob7_search_quality": h("""SELECT region_code, supported_rows, model_pct, family_pct, size_pct, supported_rows - model_rows AS unlinked_models, model_rows - size_rows AS models_without_size,
 CASE WHEN model_pct >= 85 AND family_pct >= 60 THEN 'green' WHEN model_pct >= 75 AND family_pct >= 40 THEN 'yellow' ELSE 'red' END AS status FROM link WHERE level = 'region'""", "link"),
     "ob8_retailer_health": h("""SELECT m.region_code, count(*) AS retailers, count(*) FILTER (color='green') AS healthy, count(*) FILTER (color='yellow') AS stale, count(*) FILTER (color='red') AS failing,
-count(*) FILTER (color='grey') AS not_applicable, sum(active_rows)::BIGINT AS active_rows, sum(available_rows)::BIGINT AS available_rows, round(avg(model_pct),2) AS avg_model_pct, round(avg(size_pct),2) AS avg_size_pct,
+count(*) FILTER (color='grey') AS not_applicable, sum(active_rows)::BIGINT AS active_rows, sum(available_rows)::BIGINT AS available_rows, (2 * sum(CAST(round(model_pct * 100) AS BIGINT)) + count(model_pct)) // (2 * count(model_pct)) / 100.0 AS avg_model_pct, (2 * sum(CAST(round(size_pct * 100) AS BIGINT)) + count(size_pct)) // (2 * count(size_pct)) / 100.0 AS avg_size_pct,
 count(*) FILTER (coalesce(model_pct<60,false) OR coalesce(family_pct<60,false) OR coalesce(size_pct<60,false)) AS low_linkage
 FROM matrix m LEFT JOIN (SELECT * FROM link WHERE level='retailer') k ON m.region_code = k.region_code AND m.retailer_name = k.retailer_name WHERE applicability <> 'not_applicable' GROUP BY 1""", "rs", "link", "e", "matrix"),
     "tk5_order_by_severity": h("""SELECT retailer_name, color, active_rows FROM matrix WHERE applicability <> 'not_applicable'
