@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from stockloom.functions.text import col
 DEC = "decimal(12,4)"
 
 
+def once(value: Column, function: Callable[[Column], Column]) -> Column:
+    """``function`` of a value that is computed once, however often the function reads it: a lambda is not inlined."""
+    return F.transform(F.array(value), function)[0]
+
+
 def dec(x: float | str) -> Column:
     return F.lit(str(x)).cast(DEC)
 
@@ -33,18 +40,29 @@ def parse_measurement(c: Column | str) -> Column:
     return F.aggregate(F.split(t, " "), dec(0), lambda a, p: (a + part(p)).cast(DEC))
 
 
+def _groups(c: Column, rx: str, n: int) -> Column:
+    """Texts of the ``n`` groups of the first match, empty where there is none; the pattern runs on ``c`` once.
+
+    The groups are taken from the match alone, so ``rx`` must not look at what surrounds it
+    but for digits.
+    """
+    found = F.regexp_extract(c, rx, 0)
+    return F.split(F.regexp_replace(found, rx, "\u0001".join(f"${i}" for i in range(1, n + 1))), "\u0001", n)
+
+
 def length_inches(c: Column | str) -> Column:
     """``5'11``, ``5ft11``, ``5"11`` → inches; NULL when the inches part is 12 or more."""
-    t = clean_dimension(c)
     feet_first = r"(?i)(?<!\d)(\d+)\s*(?:'|ft|feet)\s*(\d{1,2})?\s*(?:in|\")?"
     quote_first = r"(?<!\d)(\d+)\s*\"\s*(\d{1,2})(?!\d)"
 
-    def inches(rx: str) -> Column:
-        feet = F.regexp_extract(t, rx, 1).try_cast("int")
-        rest = F.coalesce(F.regexp_extract(t, rx, 2).try_cast("int"), F.lit(0))
-        return F.when(rest < 12, feet * 12 + rest)
+    def inches(g: Column) -> Column:
+        rest = F.coalesce(F.get(g, F.lit(1)).try_cast("int"), F.lit(0))
+        return F.when(rest < 12, F.get(g, F.lit(0)).try_cast("int") * 12 + rest)
+
+    def either(t: Column) -> Column:
+        return once(_groups(t, feet_first, 2), lambda g: F.when(F.get(g, F.lit(0)) != "", inches(g)).otherwise(once(_groups(t, quote_first, 2), inches)))
 
-    return F.when(t.rlike(feet_first), inches(feet_first)).when(t.rlike(quote_first), inches(quote_first))
+    return once(clean_dimension(c), either)
 
 
 def length_text(inches: Column | str) -> Column:
@@ -61,13 +79,8 @@ def title_dimensions(c: Column | str) -> Column:
         + r")\s*\"?(?:\s*[x×-]\s*(\d+(?:[\.,]\d+)?)\s*l)?"
     )
 
-    def group(i: int) -> Column:
-        g = F.regexp_extract(t, rx, i)
-        return F.when(g != "", g)
-
-    return F.struct(
-        group(1).alias("length"), group(2).alias("width"), group(3).alias("thickness"), group(4).alias("volume")
-    )
+    names = ("length", "width", "thickness", "volume")
+    return once(_groups(t, rx, 4), lambda g: F.struct(*[F.nullif(F.get(g, F.lit(i)), F.lit("")).alias(name) for i, name in enumerate(names)]))
 
 
 def within(a: Column, b: Column, tol: float | str) -> Column:

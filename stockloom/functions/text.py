@@ -116,18 +116,18 @@ def _words(token: str) -> str:
 
 
 def construction_tokens(key: Column | str) -> Column:
-    """Array of the constructions named in a title; takes its ``text_key`` as a column.
-
-    The key is tested many times, so it has to be a column that is already computed.
-    """
-    padded = F.concat(F.lit(" "), col(key), F.lit(" "))
-    found = []
-    for name, tokens in CONSTRUCTION_TITLE_TOKENS.items():
-        hit = F.lit(False)
-        for token in dict.fromkeys(_words(t) for t in tokens):
-            hit = hit | padded.contains(f" {token} ")
-        found.append(F.when(hit, F.lit(name)))
-    return F.array_compact(F.array(*found))
+    """Array of the constructions named in a title; takes its ``text_key``, which is computed once."""
+
+    def named(padded: Column) -> Column:
+        found = []
+        for name, tokens in CONSTRUCTION_TITLE_TOKENS.items():
+            hit = F.lit(False)
+            for token in dict.fromkeys(_words(t) for t in tokens):
+                hit = hit | padded.contains(f" {token} ")
+            found.append(F.when(hit, F.lit(name)))
+        return F.array_compact(F.array(*found))
+
+    return F.transform(F.array(F.concat(F.lit(" "), col(key), F.lit(" "))), named)[0]
 
 
 def clean_model_hint(c: Column | str) -> Column:

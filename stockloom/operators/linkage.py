@@ -469,10 +469,11 @@ def construction_compatible(pairs: DataFrame) -> DataFrame:
     return _compatibility(p).drop("_tokens", "_stated", "_ckey")
 
 
-def _compatibility(prepared: DataFrame) -> DataFrame:
+def compatibility() -> Column:
+    """Why a listing's constructions (``_tokens``, ``_stated``) fit a size's (``_ckey``) or not."""
     c, r = F.col("_ckey"), F.col("_stated")
     named = F.size("_tokens") > 0
-    reason = (
+    return (
         F.when(c == "", "canonical_construction_unknown")
         .when(named & F.array_contains("_tokens", c), "title_construction_match")
         .when(named, "title_construction_mismatch")
@@ -480,7 +481,10 @@ def _compatibility(prepared: DataFrame) -> DataFrame:
         .when(r != "", "construction_mismatch")
         .otherwise("construction_unknown")
     )
-    return prepared.withColumn("compatibility", reason).withColumn("compatible", ~F.col("compatibility").endswith("_mismatch"))
+
+
+def _compatibility(prepared: DataFrame) -> DataFrame:
+    return prepared.withColumn("compatibility", compatibility()).withColumn("compatible", ~F.col("compatibility").endswith("_mismatch"))
 
 
 def prepare_listing_side(listings: DataFrame) -> DataFrame:
@@ -496,28 +500,37 @@ def prepare_target_side(targets: DataFrame) -> DataFrame:
         "_tv": D.parse_measurement("t_volume"), "_ckey": T.construction_key("t_construction")})
 
 
-_PREPARED = ("_inches", "_w", "_t", "_v", "_tokens", "_stated", "_tin", "_tw", "_tt", "_tv", "_ckey", "compatible", "compatibility")
+_PREPARED = ("_inches", "_w", "_t", "_v", "_tokens", "_stated", "_tin", "_tw", "_tt", "_tv", "_ckey")
 
 
-def exact_verdict(prepared: DataFrame) -> DataFrame:
-    """Add ``exact`` and ``reason`` to pairs whose two sides are prepared; first rule decides."""
-    p = _compatibility(prepared)
+EXACT_REASONS = ("board_size_id", "equivalent_dimensions", "length_volume_strong_model")
+
+
+def same_inches_reason(strong: Column) -> Column:
+    """Outcome of a prepared pair whose brand, model and inches agree; ``strong``: the title names the model."""
+    fit = compatibility()
     no_w, no_t, no_v = F.col("_w").isNull(), F.col("_t").isNull(), F.col("_v").isNull()
     equivalent = D.equivalent_dimensions(*[F.col(c) for c in ("_inches", "_w", "_t", "_v", "_tin", "_tw", "_tt", "_tv")])
-    reason = (
-        F.when(~F.col("brand_matches"), "brand_mismatch")
-        .when(~F.col("model_matches"), "model_mismatch")
-        .when(~F.col("_inches").eqNullSafe(F.col("_tin")), "length_mismatch")
-        .when(~F.col("compatible"), F.col("compatibility"))
+    return (
+        F.when(fit.endswith("_mismatch"), fit)
         .when(F.coalesce(F.col("size_id") == F.col("t_size_id"), F.lit(False)), "board_size_id")
         .when(equivalent, "equivalent_dimensions")
-        .when(no_w & no_t & F.col("strong_title") & D.within(F.col("_v"), F.col("_tv"), TOL_VOLUME), "length_volume_strong_model")
+        .when(no_w & no_t & strong & D.within(F.col("_v"), F.col("_tv"), TOL_VOLUME), "length_volume_strong_model")
         .when(no_v, "missing_volume")
         .when(no_w | no_t, "missing_width_or_thickness")
         .otherwise("dimensions_outside_tolerance")
     )
-    return p.withColumn("reason", reason).withColumn(
-        "exact", F.col("reason").isin("board_size_id", "equivalent_dimensions", "length_volume_strong_model")).drop(*_PREPARED)
+
+
+def exact_verdict(prepared: DataFrame) -> DataFrame:
+    """Add ``exact`` and ``reason`` to pairs whose two sides are prepared; first rule decides."""
+    reason = (
+        F.when(~F.col("brand_matches"), "brand_mismatch")
+        .when(~F.col("model_matches"), "model_mismatch")
+        .when(~F.col("_inches").eqNullSafe(F.col("_tin")), "length_mismatch")
+        .otherwise(same_inches_reason(F.col("strong_title")))
+    )
+    return prepared.withColumn("reason", reason).withColumn("exact", F.col("reason").isin(*EXACT_REASONS)).drop(*_PREPARED)
 
 
 def classify_exact(pairs: DataFrame) -> DataFrame:
@@ -530,16 +543,99 @@ def classify_exact(pairs: DataFrame) -> DataFrame:
     return exact_verdict(prepare_target_side(prepare_listing_side(pairs)))
 
 
-def policy_diff(pairs: DataFrame) -> DataFrame:
-    """Per brand: listings exact under the older title policy and under ``classify_exact``."""
-    p = classify_exact(pairs)
-    name_ok = T.title_contains_phrase("title", "normalised_title", "model_name") | T.title_contains_phrase(
-        "title", "normalised_title", T.model_family("model_name"))
-    same = F.lower(F.trim(F.coalesce("construction", F.lit("")))) == F.lower(F.trim(F.coalesce("t_construction", F.lit(""))))
-    vol_ok = F.col("volume").isNull() | F.col("t_volume").isNull() | D.within(
-        D.parse_measurement("volume"), D.parse_measurement("t_volume"), TOL_VOLUME)
-    before = name_ok & F.col("length").eqNullSafe(F.col("t_length")) & (T.blank("t_construction") | same) & vol_ok
-    per = p.groupBy("brand_name", ID).agg(F.max(before).alias("b"), F.max("exact").alias("a"))
-    g = per.groupBy("brand_name").agg(
-        F.count("*").alias("evaluated"), F.sum(F.col("b").cast("long")).alias("before_exact"), F.sum(F.col("a").cast("long")).alias("after_exact"))
-    return g.withColumn("net_exact", F.col("after_exact") - F.col("before_exact"))
+# --------------------------------------------------------------------------- pair policy by counting joins
+#
+# A model has many listings and many sizes, and their pairs grow with the product of both.
+# Outcomes that follow from keys alone are counted by products of group sizes; only pairs of
+# equal inches are looked at, and only those of the result are rows.
+
+
+def policy_listings(listings: DataFrame, model: str = "model_id") -> DataFrame:
+    """The listing side: key ``_m``, parsed dimensions and constructions, and its titles' words."""
+    return prepare_listing_side(listings).withColumn("_m", F.col(model)).withColumn("_st", T.phrase_key("title", "normalised_title")).filter("_m IS NOT NULL")
+
+
+def policy_sizes(sizes: DataFrame, model: str = "model_id") -> DataFrame:
+    """The catalogue side of sizes with length, width, thickness, volume, construction and model_name."""
+    t = sizes.select(F.col(model).alias("_m"), F.col("size_id").alias("t_size_id"), "model_name", *[F.col(c).alias(f"t_{c}") for c in ("length", "width", "thickness", "volume", "construction")])
+    return prepare_target_side(t).withColumn("_tm", T.phrase_key("model_name"))
+
+
+_LISTING = (ID, "brand_name", "_m", "_inches", "_w", "_t", "_v", "_tokens", "_stated", "_st", "size_id")
+_SIZE = ("_m", "_tin", "_tw", "_tt", "_tv", "_ckey", "_tm", "t_size_id")
+
+
+def _same_inches(listings: DataFrame, sizes: DataFrame, how: str = "inner", keep: Column | None = None) -> DataFrame:
+    """Prepared pairs of equal model and inches (two unknown lengths are equal, as in the policy)."""
+    left, right = listings.select(*_LISTING), sizes.select(*_SIZE).withColumnRenamed("_m", "_sm")
+    on = (F.col("_m") == F.col("_sm")) & F.col("_inches").eqNullSafe(F.col("_tin"))
+    return left.join(right, on if keep is None else on & keep, how)
+
+
+def outcome_counts(listings: DataFrame, sizes: DataFrame) -> DataFrame:
+    """reason, exact, pairs, listings over all (listing, size) pairs of a model.
+
+    ``listings`` comes from ``policy_listings`` with brand_matches and model_matches, which
+    hold for a listing whatever the size; ``sizes`` from ``policy_sizes``.  Listing ids are unique.
+    """
+    per_model = sizes.groupBy("_m").agg(F.count("*").alias("_all"))
+    per_inches = sizes.groupBy(F.col("_m").alias("_im"), "_tin").agg(F.count("*").alias("_same"))
+    groups = listings.groupBy("_m", "_inches", "brand_matches", "model_matches").agg(F.count("*").alias("_n"))
+    g = groups.join(per_model, "_m").join(per_inches, (F.col("_m") == F.col("_im")) & F.col("_inches").eqNullSafe(F.col("_tin")), "left")
+    other = F.col("_all") - F.when(F.col("brand_matches") & F.col("model_matches"), F.coalesce("_same", F.lit(0))).otherwise(0)
+    by_key = g.select(
+        F.when(~F.col("brand_matches"), "brand_mismatch").when(~F.col("model_matches"), "model_mismatch").otherwise("length_mismatch").alias("reason"),
+        (F.col("_n") * other).alias("pairs"), F.col("_n").alias("listings")).filter("pairs > 0")
+    pairs = _same_inches(listings.filter(F.col("brand_matches") & F.col("model_matches")), sizes)
+    per_listing = pairs.select(ID, same_inches_reason(T.contains_key(F.col("_st"), F.col("_tm"))).alias("reason")).groupBy(ID, "reason").agg(F.count("*").alias("pairs"))
+    both = by_key.unionByName(per_listing.select("reason", "pairs", F.lit(1).cast("long").alias("listings")))
+    return both.groupBy("reason", F.col("reason").isin(*EXACT_REASONS).alias("exact")).agg(F.sum("pairs").alias("pairs"), F.sum("listings").alias("listings"))
+
+
+def compatibility_counts(listings: DataFrame, sizes: DataFrame) -> DataFrame:
+    """reason, ok, pairs over all (listing, size) pairs of a model, from groups of equal constructions.
+
+    A model has as many groups as there are constructions, not as there are listings.
+    """
+    left = listings.groupBy("_m", F.array_sort("_tokens").alias("_tokens"), "_stated").agg(F.count("*").alias("_n"))
+    right = sizes.groupBy("_m", "_ckey").agg(F.count("*").alias("_k"))
+    g = left.join(right, "_m").select(compatibility().alias("reason"), (F.col("_n") * F.col("_k")).alias("pairs"))
+    return g.groupBy("reason", (~F.col("reason").endswith("_mismatch")).alias("ok")).agg(F.sum("pairs").alias("pairs"))
+
+
+def equivalent_pairs(listings: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(listing, size) of one model with equivalent dimensions.
+
+    Volumes meet in buckets as wide as the tolerance, so model, inches and bucket are the key.
+    """
+    bucket = lambda c: F.floor(F.col(c) / D.dec(TOL_VOLUME)).cast("long")
+    left = listings.filter("_inches IS NOT NULL AND _w IS NOT NULL AND _t IS NOT NULL AND _v IS NOT NULL").select(ID, "_m", "_inches", "_w", "_t", "_v", bucket("_v").alias("_b"))
+    right = sizes.filter("_tin IS NOT NULL").select(
+        F.col("_m").alias("_sm"), "_tin", "_tw", "_tt", "_tv", "t_size_id", F.explode(F.array(bucket("_tv") - 1, bucket("_tv"), bucket("_tv") + 1)).alias("_sb"))
+    on = (F.col("_m") == F.col("_sm")) & (F.col("_inches") == F.col("_tin")) & (F.col("_b") == F.col("_sb"))
+    near = D.equivalent_dimensions(*[F.col(c) for c in ("_inches", "_w", "_t", "_v", "_tin", "_tw", "_tt", "_tv")])
+    return left.join(right, on & near).select(ID, "t_size_id")
+
+
+def policy_diff(listings: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Per brand: listings of models with sizes, and those exact under the older title policy and under the present one.
+
+    Semi-joins: a listing is kept when some size fits, and no pair becomes a row.
+    """
+    rows = listings.filter("brand_name IS NOT NULL")
+    evaluated = rows.join(sizes.select("_m").distinct(), "_m", "left_semi")
+    exact = same_inches_reason(T.contains_key(F.col("_st"), F.col("_tm"))).isin(*EXACT_REASONS)
+    after = _same_inches(rows.filter(F.col("brand_matches") & F.col("model_matches")), sizes, "left_semi", exact)
+    old = rows.select(
+        "brand_name", "_m", "_st", F.col("length").alias("_l"), F.col("volume").isNull().alias("_any_v"), D.parse_measurement("volume").alias("_pv"),
+        F.lower(F.trim(F.coalesce("construction", F.lit("")))).alias("_con"))
+    names = sizes.select(
+        F.col("_m").alias("_sm"), F.col("t_length").alias("_sl"), F.col("t_volume").isNull().alias("_any_sv"), F.col("_tv"), "_tm", T.phrase_key(T.model_family("model_name")).alias("_tf"),
+        T.blank("t_construction").alias("_any_con"), F.lower(F.trim(F.coalesce("t_construction", F.lit("")))).alias("_scon"))
+    named = T.contains_key(F.col("_st"), F.col("_tm")) | T.contains_key(F.col("_st"), F.col("_tf"))
+    fits = named & (F.col("_any_con") | (F.col("_con") == F.col("_scon"))) & (F.col("_any_v") | F.col("_any_sv") | D.within(F.col("_pv"), F.col("_tv"), TOL_VOLUME))
+    before = old.join(names, (F.col("_m") == F.col("_sm")) & F.col("_l").eqNullSafe(F.col("_sl")) & fits, "left_semi")
+    count = lambda df, kind: df.groupBy("brand_name").agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
+    g = count(evaluated, "evaluated").unionByName(count(before, "before_exact")).unionByName(count(after, "after_exact"))
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).alias(kind)
+    return g.groupBy("brand_name").agg(of("evaluated"), of("before_exact"), of("after_exact")).withColumn("net_exact", F.col("after_exact") - F.col("before_exact"))

@@ -114,39 +114,29 @@ def lk28(spark, sf):
     return L.link_model_fuzzy(rows, fx.models(spark, sf))
 
 
-def _pairs(spark, sf):
-    """Every listing with the sizes of its model and inches, ready for the match policy."""
+def _policy_sides(spark, sf):
+    """Listings of a known brand and the sizes of their true models; whether the model counts as matched depends on the listing alone."""
     inv = fx.inventory(spark, sf).filter("brand_id IS NOT NULL")
-    z = fx.sizes(spark, sf).select(
-        F.col("model_id").alias("true_model_id"), F.col("length_inches").alias("_li"), F.col("size_id").alias("t_size_id"), F.col("length").alias("t_length"),
-        F.col("width").alias("t_width"), F.col("thickness").alias("t_thickness"), F.col("volume").alias("t_volume"), F.col("construction").alias("t_construction"),
-        "model_name")
-    return inv.join(z, "true_model_id").withColumn("brand_matches", F.lit(True)).withColumn(
-        "model_matches", F.coalesce(F.col("model_id") == F.col("true_model_id"), F.lit(False)) | (F.col("true_size_id") % 2 == 0)
-    ).withColumn("strong_title", T.title_contains_phrase("title", "normalised_title", "model_name"))
+    left = L.policy_listings(inv, "true_model_id").withColumn("brand_matches", F.lit(True)).withColumn(
+        "model_matches", F.coalesce(F.col("model_id") == F.col("true_model_id"), F.lit(False)) | (F.col("true_size_id") % 2 == 0))
+    return left, L.policy_sizes(fx.sizes(spark, sf))
 
 
 def lk1(spark, sf):
-    p = L.classify_exact(_pairs(spark, sf))
-    return p.groupBy("reason", "exact").agg(F.count("*").alias("pairs"), F.countDistinct("inventory_id").alias("listings")).select(
-        "reason", F.col("exact").cast("int").alias("exact"), "pairs", "listings")
+    return L.outcome_counts(*_policy_sides(spark, sf)).withColumn("exact", F.col("exact").cast("int"))
 
 
 def lk2(spark, sf):
-    p = L.construction_compatible(_pairs(spark, sf))
-    return p.groupBy(F.col("compatibility").alias("reason"), F.col("compatible").cast("int").alias("ok")).agg(F.count("*").alias("pairs"))
+    return L.compatibility_counts(*_policy_sides(spark, sf)).withColumn("ok", F.col("ok").cast("int"))
 
 
 def lk3(spark, sf):
-    from stockloom.functions import dims as D
-    p = L.source_dimensions(_pairs(spark, sf))
-    eq = D.equivalent_dimensions(F.col("_inches"), F.col("_w"), F.col("_t"), F.col("_v"), D.length_inches("t_length"),
-                                 D.parse_measurement("t_width"), D.parse_measurement("t_thickness"), D.parse_measurement("t_volume"))
-    return p.filter(eq).select("inventory_id", "t_size_id")
+    inv = fx.inventory(spark, sf).filter("brand_id IS NOT NULL")
+    return L.equivalent_pairs(L.source_dimensions(inv).withColumn("_m", F.col("true_model_id")), L.policy_sizes(fx.sizes(spark, sf)))
 
 
 def lk20(spark, sf):
-    return L.policy_diff(_pairs(spark, sf).filter(F.col("brand_name").isNotNull()))
+    return L.policy_diff(*_policy_sides(spark, sf))
 
 
 QUERIES = {
