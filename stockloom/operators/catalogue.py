@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stockloom.functions import dims as D
 from stockloom.functions import text as T
 from stockloom.operators.dedupe import dedupe_first
+from stockloom.operators.health import raise_if_any
 from stockloom.operators.linkage import max_words, squash_quotes
 
 # --------------------------------------------------------------------------- browsing
@@ -65,9 +66,8 @@ def missing_guard(existing: DataFrame, incoming: DataFrame, most: int = 5, ratio
 
 
 def assert_no_regression(existing: DataFrame, incoming: DataFrame) -> None:
-    row = missing_guard(existing, incoming).first()
-    if row["blocked"]:
-        raise ValueError(f"{row['missing']} of {row['existing']} models would be removed")
+    """Raise if the load of any brand would take too many models away."""
+    raise_if_any(missing_guard(existing, incoming).filter("blocked"), "models would be removed")
 
 
 _SIGNATURE = ("model_id", "length", "width", "thickness", "volume", "construction", "fin_setup", "tail_shape")
@@ -287,33 +287,115 @@ def top_blockers(diagnosed: DataFrame) -> DataFrame:
     return g.withColumn("rank", F.row_number().over(w))
 
 
+#: Longest character runs of the variant index.
+GRAM = 4
+_DIMS = ("length", "width", "thickness")
+
+
+def _runs(text: Column, sizes: Sequence[int]) -> Column:
+    """Distinct substrings of the given sizes."""
+    def of(k: int) -> Column:
+        return F.when(F.char_length(text) >= k, F.transform(F.sequence(F.lit(1), F.char_length(text) - k + 1), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[of(k) for k in sizes]))
+
+
+def _token_runs(token: Column) -> Column:
+    """Runs that a text must hold to contain the token; none for tokens of one character."""
+    n = F.char_length(token)
+    return F.when(n >= GRAM, _runs(token, [GRAM])).when(n >= 2, F.array(token)).otherwise(F.array().cast("array<string>"))
+
+
+def _volume_forms(v: Column) -> Column:
+    """The texts that state a volume: shortest, one decimal, two decimals; empty if it is unknown."""
+    short = F.regexp_replace(F.regexp_replace(v.cast("string"), "0+$", ""), r"\.$", "")
+    forms = F.array_distinct(F.array(*[F.concat(x, F.lit("l")) for x in (short, v.cast("decimal(10,1)").cast("string"), v.cast("string"))]))
+    return F.when(v.isNull(), F.array().cast("array<string>")).otherwise(forms)
+
+
+def _rarest(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """(ask, product_id, gram): for every ask the key that the fewest variants of its product hold.
+
+    ``asked``: ask, product_id, kind, form, runs.  All runs of a form and all kinds must occur in
+    a match, but only one form of a kind: a form's key is its rarest run, a kind's keys are those
+    of all its forms, and the kind with the fewest variants is taken.
+    """
+    df = index.groupBy("product_id", "gram").agg(F.count("*").alias("df"))
+    each = asked.select("ask", "product_id", "kind", "form", F.explode("runs").alias("gram")).join(df, ["product_id", "gram"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    forms = each.groupBy("ask", "product_id", "kind", "form").agg(F.min(F.struct("df", "gram")).alias("b"))
+    kinds = forms.groupBy("ask", "product_id", "kind").agg(F.sum("b.df").alias("cost"), F.collect_list("b.gram").alias("grams"))
+    best = kinds.groupBy("ask", "product_id").agg(F.min(F.struct("cost", "kind", "grams")).alias("b"))
+    return best.select("ask", "product_id", F.explode("b.grams").alias("gram"))
+
+
 def match_variants(rows: DataFrame, variants: DataFrame) -> DataFrame:
     """Catalogue row → live variant of its product: all stated dimensions in the variant text,
-    else the only variant with that length."""
+    else the only variant with that length.
+
+    An index of character runs holds the variants of a product; a row, or rather its distinct
+    dimensions, looks its rarest run up there and tests containment on those few variants.
+    """
     squash = lambda c: F.translate(F.lower(F.coalesce(c, F.lit(""))), " \"", "")
-    r = rows.select("row_id", "product_id", *[squash(F.col(c)).alias(f"_{c}") for c in ("length", "width", "thickness")], F.col("volume").cast("decimal(10,2)").alias("_v"))
-    v = variants.select("product_id", "variant_id", squash(F.col("variant_text")).alias("_text"))
-    j = r.join(v, "product_id")
-    short = F.regexp_replace(F.regexp_replace(F.col("_v").cast("string"), "0+$", ""), r"\.$", "")
-    vol = F.col("_v").isNull() | F.col("_text").contains(F.concat(short, F.lit("l"))) | F.col("_text").contains(F.concat(F.col("_v").cast("decimal(10,1)").cast("string"), F.lit("l"))) | F.col("_text").contains(F.concat(F.col("_v").cast("string"), F.lit("l")))
-    full = (F.col("_text") != "") & vol
-    for c in ("length", "width", "thickness"):
-        full = full & F.col("_text").contains(F.col(f"_{c}"))
-    by_length = (F.col("_length") != "") & F.col("_text").contains(F.col("_length"))
-    j = j.withColumn("_full", full).withColumn("_bl", by_length)
-    g = j.groupBy("row_id").agg(F.min(F.when(F.col("_full"), F.col("variant_id"))).alias("f"), F.min(F.when(F.col("_bl"), F.col("variant_id"))).alias("l"), F.sum(F.col("_bl").cast("long")).alias("n"))
-    pick = F.coalesce("f", F.when(F.col("n") == 1, F.col("l")))
-    return g.select("row_id", pick.alias("variant_id"), F.when(F.col("f").isNotNull(), "dimensions").otherwise("only_length").alias("how")).filter("variant_id IS NOT NULL")
+    r = rows.select("row_id", "product_id", *[squash(F.col(c)).alias(f"_{c}") for c in _DIMS], F.col("volume").cast("decimal(10,2)").alias("_v"))
+    r = r.withColumn("ask", F.concat_ws("\u0001", *[f"_{c}" for c in _DIMS], F.coalesce(F.col("_v").cast("string"), F.lit("?"))))
+    v = variants.select("product_id", "variant_id", squash(F.col("variant_text")).alias("_text")).filter("_text <> ''")
+    index = v.withColumn("gram", F.explode(F.concat(F.array(F.lit("")), _runs(F.col("_text"), range(2, GRAM + 1)))))
+    part = lambda kind, form, runs: F.struct(F.lit(kind).alias("kind"), form.alias("form"), runs.alias("runs"))
+
+    asks = r.select("product_id", "ask", *[f"_{c}" for c in _DIMS], "_v").distinct()
+    tokens = F.array(part(9, F.lit(""), F.array(F.lit(""))), *[part(i, F.col(f"_{c}"), _token_runs(F.col(f"_{c}"))) for i, c in enumerate(_DIMS)])
+    both = F.concat(tokens, F.transform(_volume_forms(F.col("_v")), lambda f: part(3, f, _token_runs(f))))
+    asked = asks.select("ask", "product_id", F.explode(both).alias("p")).select("ask", "product_id", "p.*")
+    met = _rarest(asked, index).join(index, ["product_id", "gram"]).join(asks, ["product_id", "ask"])
+    text = F.col("_text")
+    fits = F.col("_v").isNull() | F.exists(_volume_forms(F.col("_v")), lambda f: text.contains(f))
+    for c in _DIMS:
+        fits = fits & text.contains(F.col(f"_{c}"))
+    full = met.filter(fits).groupBy("product_id", "ask").agg(F.min("variant_id").alias("f"))
+
+    # which variants hold a length depends on the length alone
+    lengths = r.filter("_length <> ''").select("product_id", F.col("_length").alias("ask")).distinct()
+    asked = lengths.select("ask", "product_id", F.explode(F.array(part(9, F.lit(""), F.array(F.lit(""))), part(0, F.col("ask"), _token_runs(F.col("ask"))))).alias("p")).select("ask", "product_id", "p.*")
+    holds = _rarest(asked, index).join(index, ["product_id", "gram"]).filter(text.contains(F.col("ask")))
+    only = holds.groupBy("product_id", F.col("ask").alias("_length")).agg(F.min("variant_id").alias("l"), F.count("*").alias("n")).filter("n = 1")
+    out = r.join(full, ["product_id", "ask"], "left").join(only, ["product_id", "_length"], "left")
+    return out.select("row_id", F.coalesce("f", "l").alias("variant_id"), F.when(F.col("f").isNotNull(), "dimensions").otherwise("only_length").alias("how")).filter("variant_id IS NOT NULL")
+
+
+def _masks(df: DataFrame) -> list[int]:
+    """Which combinations of stated fields occur: at most 16 numbers."""
+    return sorted(r[0] for r in df.select("_mask").distinct().collect())
 
 
 def stock_dimension_pairs(stock: DataFrame, dims: DataFrame, tol: str = "0.15") -> DataFrame:
-    """Stock rows and dimension rows of a model that agree wherever both state a value."""
-    d = dims.select("model_id", F.col("size_id").alias("dim_id"), *[F.col(c).alias(f"_{c}") for c in ("length", "width", "thickness")], F.col("volume").cast(D.DEC).alias("_volume"))
-    j = stock.join(d, "model_id")
-    ok = F.coalesce(F.abs(F.col("volume").cast(D.DEC) - F.col("_volume")) <= D.dec(tol), F.lit(True))
-    for c in ("length", "width", "thickness"):
-        ok = ok & (T.blank(c) | T.blank(f"_{c}") | (F.trim(F.col(c)) == F.trim(F.col(f"_{c}"))))
-    return j.filter(ok).drop("_length", "_width", "_thickness", "_volume")
+    """Stock rows and dimension rows of a model that agree wherever both state a value.
+
+    A missing value matches anything, so it cannot be a join key.  But which fields both sides
+    state follows from their masks: every row is dealt out once for each mask that the other
+    side has, keyed by the model, both masks and the fields that both state, the volume in
+    buckets as wide as its tolerance.  Every pair meets under exactly one key.
+    """
+    bucket = lambda c: F.floor(F.col(c) / D.dec(tol)).cast("long")
+
+    def stated(df: DataFrame) -> DataFrame:
+        df = df.withColumns({f"_k_{c}": F.when(~T.blank(c), F.trim(F.col(c).cast("string"))) for c in _DIMS}).withColumn("_k_volume", F.col("volume").cast(D.DEC))
+        return df.withColumn("_mask", sum((F.when(F.col(f"_k_{c}").isNotNull(), 1 << i).otherwise(0) for i, c in enumerate((*_DIMS, "volume"))), F.lit(0)))
+
+    def dealt(df: DataFrame, others: list[int]) -> DataFrame:
+        df = df.withColumn("_other", F.explode(F.array(*[F.lit(m) for m in others]))).withColumn("_both", F.col("_mask").bitwiseAND(F.col("_other")))
+        held = lambda i, c: F.when(F.col("_both").bitwiseAND(F.lit(1 << i)) != 0, F.col(c))
+        return df.withColumn("_key", F.concat_ws("\u0001", *[held(i, f"_k_{c}") for i, c in enumerate(_DIMS)])).withColumn("_vol", held(3, "_k_volume"))
+
+    left, right = stated(stock), stated(dims.select("model_id", F.col("size_id").alias("dim_id"), *_DIMS, "volume"))
+    left_masks, right_masks = _masks(left), _masks(right)
+    if not left_masks or not right_masks:
+        return stock.withColumn("dim_id", F.lit(None).cast(dims.schema["size_id"].dataType)).filter("false")
+    left = dealt(left, right_masks).withColumn("_b", F.coalesce(bucket("_vol"), F.lit(-9)))
+    right = dealt(right, left_masks)
+    right = right.withColumn("_b", F.explode(F.when(F.col("_vol").isNull(), F.array(F.lit(-9).cast("long"))).otherwise(F.array(bucket("_vol") - 1, bucket("_vol"), bucket("_vol") + 1))))
+    right = right.select(F.col("model_id").alias("_dm"), "dim_id", F.col("_mask").alias("_dmask"), F.col("_other").alias("_smask"), F.col("_key").alias("_dkey"), F.col("_b").alias("_db"), F.col("_vol").alias("_dvol"))
+    on = ((F.col("model_id") == F.col("_dm")) & (F.col("_mask") == F.col("_smask")) & (F.col("_other") == F.col("_dmask")) & (F.col("_key") == F.col("_dkey")) & (F.col("_b") == F.col("_db"))
+          & F.coalesce(F.abs(F.col("_vol") - F.col("_dvol")) <= D.dec(tol), F.lit(True)))
+    return left.join(right, on).select(*stock.columns, "dim_id")
 
 
 def prefer_stock(stock: DataFrame, fallback: DataFrame, keys: Sequence[str]) -> DataFrame:
