@@ -13,8 +13,8 @@ so of a part of u shingles, each that comes first is common with a chance of at
 ``1 - n / (4 u)``, and the first ``MISS / ln(4 u / n)`` miss a link with a chance below
 exp(-MISS) ~ 1e-14, that of a collision of hashes.  That many are kept of the part that has
 half of the set or more, after all of a smaller part before it.  The bound holds whatever the
-texts are and however often they occur: which shingles are frequent follows from the first
-hash alone, and the order inside a part from the second alone.  ``miss=None`` keeps the whole
+texts are and however often they occur: which shingles are frequent follows from the texts
+and ids sampled, and the order inside a part from the second hash alone.  ``miss=None`` keeps the whole
 prefix, at about three times the rows.
 
 *Skipping between answers.*  In every list the members are first compared with one pivot, the
@@ -32,8 +32,11 @@ common have met already.  A parity bitmap of 512 bits bounds the symmetric diffe
 from below and drops pairs without reading their sets.  What remains is verified on the
 whole sets.
 
-Frequent shingles are those at least ``max(HOT_ROWS, rows / MAX_HOT)`` lists rows share, hence at most
-``MAX_HOT``.  Null and empty texts, and texts without words, have an empty set and link with
+Frequent shingles are those that at least ``max(HOT_ROWS, rows / MAX_HOT)`` of the documents of
+a sample (one in ``SAMPLED``, by hash of the id) hold, hence at most ``MAX_HOT``.  They only
+decide the order of the lists, and so the cost, never the links.
+
+Null and empty texts, and texts without words, have an empty set and link with
 nothing.  Texts of fewer than five words have one shingle, their whole sequence.  Rows of one
 id are separate documents that report the same smallest id if linked; a null id never names
 a component unless all its ids are null.  Other columns are ignored.
@@ -53,7 +56,8 @@ from stockloom.llm.components import components
 
 WIDTH = 5
 MISS = 32.0
-HOT_ROWS = 16
+#: One in so many documents is counted to find frequent shingles, and how many of the counted ones hold such a shingle.
+SAMPLED, HOT_ROWS = 16, 3
 #: Ratio of the sizes in a block of a list.
 BLOCK = 1.05
 MAX_HOT = 1_000_000
@@ -133,13 +137,14 @@ def _longs(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles that the least first hashes of many sets hold, at most ``MAX_HOT`` of them."""
+    """Shingles that several documents of a sample hold, at most ``MAX_HOT`` of them."""
 
     def task(batch):
-        values = [s[: prefix_size(len(s), len(s))] for s in shingle_sets(*utf8(batch))]
+        values = shingle_sets(*utf8(batch))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64))], names=["token"])
 
-    counts = saved(map_slices(docs, task, "token long").groupBy("token").agg(F.count("*").alias("rows")).filter("rows > 1"))
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)
+    counts = saved(map_slices(sample, task, "token long").groupBy("token").agg(F.count("*").alias("rows")).filter(F.col("rows") >= HOT_ROWS))
     total = counts.agg(F.sum("rows")).first()[0] or 0
     least = max(HOT_ROWS, math.ceil(total / MAX_HOT))
     found = counts.filter(F.col("rows") >= least).select("token").toArrow().column(0).to_numpy()
