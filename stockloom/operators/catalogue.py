@@ -11,7 +11,8 @@ from stockloom.functions import dims as D
 from stockloom.functions import text as T
 from stockloom.operators.dedupe import dedupe_first
 from stockloom.operators.health import raise_if_any
-from stockloom.operators.linkage import max_words, squash_quotes
+from stockloom.operators.linkage import squash_quotes
+from stockloom.operators.names import names_in
 
 # --------------------------------------------------------------------------- browsing
 
@@ -418,8 +419,7 @@ def match_catalogue(inv: DataFrame, catalogue: DataFrame, threshold: int = 65) -
     c = catalogue.select(F.col("size_id").alias("record_id"), T.text_key("model_name").alias("run"), F.col("length").alias("_l"), F.col("volume").cast(D.DEC).alias("_v"),
                          T.text_key("construction").alias("_c"), T.text_key("fin_setup").alias("_f"))
     i = inv.select("inventory_id", T.text_key("title").alias("_t"), "length", F.col("volume").cast(D.DEC).alias("volume"), T.text_key("construction").alias("con"), T.text_key("fin_setup").alias("fin"))
-    words = max_words(c, F.col("run"))
-    i = i.select("*", F.explode_outer(T.word_ngrams("_t", words)).alias("run"))
+    i = i.join(names_in(i, "_t", c.select("run").distinct(), "run"), "_t")
     bucket = lambda v: F.floor(v / D.dec("0.15")).cast("long")
     by_length = i.join(c, [i.run == c.run, i.length == c._l]).drop("run")
     near = c.withColumn("_b", F.explode(F.array(bucket(F.col("_v")) - 1, bucket(F.col("_v")), bucket(F.col("_v")) + 1)))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from stockloom.functions import dims as D
 from stockloom.functions import text as T
 from stockloom.functions.fixed_values import GENERIC_MODELS, TOL_THICKNESS, TOL_VOLUME, TOL_WIDTH
+from stockloom.operators.names import leading_names, names_in
 from stockloom.session import saved
 
 ID = "inventory_id"
@@ -33,27 +34,21 @@ def max_words(df: DataFrame, key: Column) -> int:
 def resolve_brand(listings: DataFrame, aliases: DataFrame) -> DataFrame:
     """Add ``parsed_brand_id`` and ``parsed_brand`` from the stated brand, else from the title.
 
-    A title names a brand when it starts with an alias (after an optional "surfboards").
-    One lookup join per alias length in words, longest first: no explode, no regrouping.
-    ``aliases`` has alias, brand_id, brand_name.
+    A title names a brand when it starts with an alias (after an optional "surfboards").  Two
+    lookups, however long the aliases are: the stated brand, and the title's first word, under
+    which the aliases lie with the longest first.  ``aliases`` has alias, brand_id, brand_name.
     """
     both = aliases.select(T.text_key("alias").alias("key"), "brand_id", "brand_name").unionByName(
         aliases.select(T.text_key("brand_name").alias("key"), "brand_id", "brand_name")
     )
     table = both.filter("key <> ''").groupBy("key").agg(F.min(F.struct("brand_id", "brand_name")).alias("_hit"))
-    n = max_words(table, F.col("key"))
     title = F.regexp_replace(T.text_key("title"), r"^surfboards?\s+", "")
-    w = F.col("_w")
-    out = listings.withColumn("_w", F.split(title, " ")).withColumn("_k0", T.text_key("brand_name"))
-    for k in range(1, n + 1):
-        out = out.withColumn(f"_k{k}", F.when(F.size(w) >= k, F.array_join(F.slice(w, 1, k), " ")))
-    for k in range(0, n + 1):
-        t = table.select(F.col("key").alias(f"_k{k}"), F.col("_hit").alias(f"_h{k}"))
-        out = out.join(t, f"_k{k}", "left")
-    hit = F.coalesce(F.col("_h0"), *[F.col(f"_h{k}") for k in range(n, 0, -1)])
-    return out.withColumn("parsed_brand_id", hit["brand_id"]).withColumn("parsed_brand", hit["brand_name"]).drop(
-        "_w", *[f"_k{k}" for k in range(n + 1)], *[f"_h{k}" for k in range(n + 1)]
-    )
+    out = listings.withColumn("_tkey", title).withColumn("_first", F.substring_index("_tkey", " ", 1)).withColumn("_stated_key", T.text_key("brand_name"))
+    out = out.join(table.select(F.col("key").alias("_stated_key"), F.col("_hit").alias("_own")), "_stated_key", "left").join(leading_names(table, "key", "_hit"), "_first", "left")
+    padded = F.concat("_tkey", F.lit(" "))
+    begins = F.get(F.filter("_names", lambda n: padded.startswith(F.concat(n["key"], F.lit(" ")))), F.lit(0))["value"]
+    hit = F.coalesce(F.col("_own"), begins)
+    return out.withColumn("parsed_brand_id", hit["brand_id"]).withColumn("parsed_brand", hit["brand_name"]).drop("_tkey", "_first", "_stated_key", "_own", "_names")
 
 
 def reconcile_brands(listings: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -61,14 +56,13 @@ def reconcile_brands(listings: DataFrame, aliases: DataFrame) -> DataFrame:
 
     ``aliases`` has alias, brand_id, position.  Adds ``reconciled_brand_id`` and ``changed``.
     """
-    a = aliases.select(T.text_key("alias").alias("run"), F.col("brand_id").alias("_b"), "position")
-    n = max_words(aliases, T.text_key("alias"))
-    runs = F.array_union(T.word_ngrams(T.text_key("title"), n), T.word_ngrams(T.text_key("normalised_title"), n))
-    hits = (
-        listings.select(ID, F.explode_outer(runs).alias("run")).join(a, "run")
-        .groupBy(ID).agg(F.max_by("_b", "position").alias("reconciled_brand_id"))
-    )
-    out = listings.join(hits, ID, "left")
+    a = aliases.select(T.text_key("alias").alias("_alias"), F.struct("position", "brand_id").alias("_b"))
+    keyed = listings.withColumn("_t1", T.text_key("title")).withColumn("_t2", T.text_key("normalised_title"))
+    texts = keyed.select(F.col("_t1").alias("_text")).unionByName(keyed.select(F.col("_t2").alias("_text")))
+    best = names_in(texts, "_text", a, "_alias").groupBy("_text").agg(F.max("_b").alias("_b"))
+    of = lambda c: best.select(F.col("_text").alias(c), F.col("_b").alias(f"{c}_b"))
+    out = keyed.join(of("_t1"), "_t1", "left").join(of("_t2"), "_t2", "left")
+    out = out.withColumn("reconciled_brand_id", F.greatest("_t1_b", "_t2_b")["brand_id"]).drop("_t1", "_t2", "_t1_b", "_t2_b")
     old = F.col("brand_id")
     return out.withColumn(
         "changed", F.col("reconciled_brand_id").isNotNull() & ~old.eqNullSafe(F.col("reconciled_brand_id"))
@@ -165,13 +159,10 @@ def longest_first(candidates: DataFrame, name: str = "model_name", ident: str =
 
 def contained_models(listings: DataFrame, brands: DataFrame, models: DataFrame) -> DataFrame:
     """(listing, model) pairs whose title names both the model and its brand as whole words."""
-    m = (
-        models.drop("brand_name").join(brands, "brand_id")
-        .select("model_id", "model_name", "brand_id", T.text_key("model_name").alias("run"), T.text_key("alias").alias("brand_key"))
-    )
-    n = max_words(models, T.text_key("model_name"))
-    t = listings.select(ID, T.text_key("title").alias("_t")).withColumn("run", F.explode_outer(T.word_ngrams("_t", n)))
-    return t.join(m, "run").filter(T.contains_key(F.col("_t"), F.col("brand_key"))).select(ID, "brand_id", "model_id", "model_name")
+    m = models.drop("brand_name").join(brands, "brand_id").select("model_id", "model_name", "brand_id", T.text_key("model_name").alias("_name"), T.text_key("alias").alias("brand_key"))
+    t = listings.select(ID, T.text_key("title").alias("_t"))
+    named = names_in(t, "_t", m, "_name").filter(T.contains_key(F.col("_t"), F.col("brand_key")))
+    return t.join(named, "_t").select(ID, "brand_id", "model_id", "model_name")
 
 
 def link_by_contains(listings: DataFrame, brands: DataFrame, models: DataFrame) -> DataFrame:
