@@ -8,7 +8,7 @@ one title, or the sizes of one model and length.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -248,46 +248,82 @@ def size_candidates(listings: DataFrame, sizes: DataFrame, model: str = "model_i
 _TIERS = (("exact", "0"), ("plus_minus_0_05", "0.05"), ("plus_minus_0_10", "0.10"), ("plus_minus_0_20", "0.20"))
 
 
+#: What a size link depends on.
+_INPUT = ("_mid", "_inches", "_w", "_t", "_c")
+
+
+def _same(a: str, b: str, columns: Sequence[str]) -> Column:
+    on = F.lit(True)
+    for c in columns:
+        on = on & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return on
+
+
+def _fits() -> Column:
+    """Width, thickness and construction agree wherever the listing states them."""
+    return (
+        (F.col("_w").isNull() | D.within(F.col("_w"), F.col("_sw"), TOL_WIDTH))
+        & (F.col("_t").isNull() | D.within(F.col("_t"), F.col("_st"), TOL_THICKNESS))
+        & (F.coalesce("_c", F.lit("")).eqNullSafe("") | F.col("_c").eqNullSafe(F.col("_sc")))
+    )
+
+
+def _by_length(inputs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Per input without its volume: sizes of the length, those that fit, the one if there is one."""
+    groups = sizes.groupBy("_mid", "_sin", "_sw", "_st", "_sc").agg(F.count("*").alias("_k"), F.min("_sid").alias("_sid"))
+    i, g = inputs.select(*_INPUT).distinct(), groups.withColumnRenamed("_mid", "_gm")
+    p = i.join(g, (F.col("_mid") == F.col("_gm")) & (F.col("_inches") == F.col("_sin"))).withColumn("_ok", _fits())
+    return p.groupBy(*_INPUT).agg(
+        F.sum("_k").alias("_sizes"), F.sum(F.when(F.col("_ok"), F.col("_k")).otherwise(0)).alias("_fitting"),
+        F.min(F.when(F.col("_ok"), F.col("_sid"))).alias("_one"), F.max("_ok").alias("has_family"))
+
+
+def _by_volume(inputs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Per input: tier, candidates and the chosen size of the narrowest tier that holds a size.
+
+    Volumes meet in buckets as wide as the widest tier.
+    """
+    widest = _TIERS[-1][1]
+    bucket = lambda c: F.floor(F.col(c) / D.dec(widest)).cast("long")
+    i = inputs.filter("_v IS NOT NULL").withColumn("_b", bucket("_v"))
+    z = sizes.filter("_sv IS NOT NULL").withColumn("_sb", F.explode(F.array(bucket("_sv") - 1, bucket("_sv"), bucket("_sv") + 1))).withColumnRenamed("_mid", "_zm")
+    delta = F.abs(F.col("_v") - F.col("_sv"))
+    p = i.join(z, (F.col("_mid") == F.col("_zm")) & (F.col("_inches") == F.col("_sin")) & (F.col("_b") == F.col("_sb")) & (delta <= D.dec(widest)))
+    tier = F.lit(len(_TIERS) - 1)
+    for n, (_, tol) in reversed(list(enumerate(_TIERS[:-1]))):
+        tier = F.when(delta <= D.dec(tol), F.lit(n)).otherwise(tier)
+    p = p.select(*_INPUT, "_v", "_sid", delta.alias("_d"), tier.alias("_tier"), _fits().alias("_ok"))
+    per_tier = p.groupBy(*_INPUT, "_v", "_tier").agg(
+        F.count("*").alias("_n"), F.sum(F.col("_ok").cast("long")).alias("_k"), F.min(F.when(F.col("_ok"), F.struct("_sid", "_d"))).alias("_s"))
+    return per_tier.groupBy(*_INPUT, "_v").agg(F.min(F.struct("_tier", "_n", "_k", "_s")).alias("_best"))
+
+
 def link_sizes(listings: DataFrame, sizes: DataFrame, model: str = "model_id") -> DataFrame:
     """One row per listing with candidates: the chosen size, if unique, and the family flag.
 
     The narrowest volume tier that holds a size decides; width, thickness and construction
     then narrow it and exactly one size must remain.  The family flag ignores the volume.
-    Everything is one aggregation over the candidate pairs, combined before the shuffle.
+    Sizes are looked for once per distinct model, dimensions and construction; the listings, whose
+    dimensions are parsed before they are dealt out by id, read that shuffle twice.
     """
-    c = size_candidates(listings, sizes, model)
-    delta = F.abs(F.col("_v") - F.col("_sv"))
-    tier = F.when(F.col("_v").isNull(), F.lit(len(_TIERS)))
-    for i, (_, tol) in enumerate(_TIERS):
-        tier = tier.when(delta <= D.dec(tol), F.lit(i))
-    rest = (
-        (F.col("_w").isNull() | D.within(F.col("_w"), F.col("_sw"), TOL_WIDTH))
-        & (F.col("_t").isNull() | D.within(F.col("_t"), F.col("_st"), TOL_THICKNESS))
-        & (F.coalesce("_c", F.lit("")).eqNullSafe("") | F.col("_c").eqNullSafe(F.col("_sc")))
-    )
-    c = c.select(ID, "_sid", delta.alias("_d"), tier.alias("_tier"), rest.alias("_ok"))
-    aggs = [F.max("_ok").alias("has_family")]
-    names = [name for name, _ in _TIERS] + ["length_only_no_retailer_volume"]
-    for i in range(len(names)):
-        here = F.col("_tier") == i
-        aggs += [
-            F.sum(here.cast("long")).alias(f"_n{i}"),
-            F.sum((here & F.col("_ok")).cast("long")).alias(f"_k{i}"),
-            F.min(F.when(here & F.col("_ok"), F.struct("_sid", "_d"))).alias(f"_s{i}"),
-        ]
-    g = c.groupBy(ID).agg(*aggs)
-    pick = n = t = None
-    for i, name in enumerate(names):
-        cond = F.col(f"_n{i}") > 0
-        chosen = F.when(F.col(f"_k{i}") == 1, F.col(f"_s{i}"))
-        pick = F.when(cond, chosen) if pick is None else pick.when(cond, chosen)
-        n = F.when(cond, F.col(f"_n{i}")) if n is None else n.when(cond, F.col(f"_n{i}"))
-        t = F.when(cond, F.lit(name)) if t is None else t.when(cond, F.lit(name))
-    return g.select(ID, pick.alias("_p"), n.alias("candidate_count"), t.alias("tolerance"), "has_family").select(
-        ID, F.col("_p._sid").alias("linked_size_id"), F.col("_p._d").cast("double").alias("volume_delta"),
-        F.when(F.col("_p").isNotNull(), F.col("tolerance")).alias("tolerance"),
-        F.when(F.col("_p").isNotNull(), F.col("candidate_count")).alias("candidate_count"), "has_family",
-    )
+    lst = with_constructions(source_dimensions(listings.filter(F.col(model).isNotNull()))).select(
+        ID, F.col(model).alias("_mid"), "_inches", "_w", "_t", "_v", source_construction().alias("_c")).filter("_inches IS NOT NULL").repartition(F.col(ID))
+    # first(ID) keeps the columns of both reads alike, so that the shuffle is reused
+    inputs = lst.groupBy(*_INPUT, "_v").agg(F.first(ID).alias("_example"))
+    z = prepare_sizes(sizes)
+    i = inputs.alias("i")
+    i = i.join(_by_length(inputs, z).alias("l"), _same("i", "l", _INPUT)).select("i.*", "_sizes", "_fitting", "_one", "has_family").alias("i")
+    i = i.join(_by_volume(inputs, z).alias("v"), _same("i", "v", [*_INPUT, "_v"]), "left").select("i.*", "_best")
+    unknown = F.col("_v").isNull()
+    names = F.array(*[F.lit(name) for name, _ in _TIERS])
+    best = F.col("_best")
+    pick = F.when(unknown & (F.col("_fitting") == 1), F.col("_one")).when(best["_k"] == 1, best["_s"]["_sid"])
+    i = i.select(
+        *_INPUT, "_v", pick.alias("linked_size_id"), F.when(best["_k"] == 1, best["_s"]["_d"]).cast("double").alias("volume_delta"),
+        F.when(pick.isNotNull(), F.when(unknown, F.lit("length_only_no_retailer_volume")).otherwise(F.get(names, best["_tier"]))).alias("tolerance"),
+        F.when(pick.isNotNull(), F.when(unknown, F.col("_sizes")).otherwise(best["_n"])).alias("candidate_count"), "has_family")
+    return lst.alias("a").join(i.alias("b"), _same("a", "b", [*_INPUT, "_v"])).select(
+        ID, "linked_size_id", "volume_delta", "tolerance", "candidate_count", "has_family")
 
 
 def has_size_family(listings: DataFrame, sizes: DataFrame, model: str = "model_id") -> DataFrame:
@@ -336,12 +372,13 @@ def apply_links(inventory: DataFrame, updates: DataFrame) -> DataFrame:
 
 def project_links(
     inventory: DataFrame, aliases: DataFrame, alias_texts: Sequence[str], models: DataFrame, sizes: DataFrame,
-    supported: Sequence[str] | None = None, apply_ambiguous: bool = False,
+    supported: Sequence[str] | None = None, apply_ambiguous: bool = False, keep: Callable[[DataFrame], DataFrame] = saved,
 ) -> DataFrame:
     """Listings with everything the linker would set.
 
-    The named listings are written once; several joins read them.  Models are looked for once
-    per distinct (brand, titles, hint), since titles repeat.
+    Several joins read the named and the linked listings; ``keep`` decides how (a stored table by
+    default, ``lambda df: df`` to plan everything as one job).  Models are looked for once per
+    distinct (brand, titles, hint), since titles repeat.
 
     Adds new_brand_id, new_model_id, new_size_id, hint, ambiguous, candidate_count,
     has_family and effective_model_id.  Ambiguous models are left out unless asked for.
@@ -353,14 +390,14 @@ def project_links(
     named = named.withColumn("new_brand_id", F.when(F.col("brand_id").isNull(), F.col("parsed_brand_id")))
     named = with_hint(named, alias_texts)
     inputs = [F.coalesce("brand_id", "new_brand_id"), F.coalesce("title", F.lit("")), F.coalesce("normalised_title", F.lit("")), F.coalesce("hint", F.lit(""))]
-    named = saved(named.withColumn("_input", F.when(F.col("model_id").isNull(), F.sha2(F.to_json(F.struct(*inputs)), 256))))
+    named = keep(named.withColumn("_input", F.when(F.col("model_id").isNull(), F.sha2(F.to_json(F.struct(*inputs)), 256))))
     distinct = named.filter("_input IS NOT NULL").groupBy(F.col("_input").alias(ID)).agg(
         F.first(F.coalesce("brand_id", "new_brand_id")).alias("brand_id"), *[F.first(c).alias(c) for c in ("title", "normalised_title", "hint")])
     best = select_model(model_candidates(distinct, models)).select(
         F.col(ID).alias("_input"), "linked_model_id", "linked_model", "ambiguous", "candidate_count")
     take = F.lit(True) if apply_ambiguous else ~F.col("ambiguous")
     linked = named.join(best, "_input", "left").drop("_input").withColumn("new_model_id", F.when(take, F.col("linked_model_id")))
-    linked = saved(linked.withColumn("effective_model_id", F.coalesce("model_id", "new_model_id")))
+    linked = keep(linked.withColumn("effective_model_id", F.coalesce("model_id", "new_model_id")))
     chosen = link_sizes(linked.filter("size_id IS NULL"), sizes, "effective_model_id").select(
         ID, F.col("linked_size_id").alias("new_size_id"), "has_family")
     return linked.join(chosen, ID, "left")
