@@ -17,8 +17,8 @@ texts are and however often they occur: which shingles are frequent follows from
 and ids sampled, and the order inside a part from the second hash alone.  ``miss=None`` keeps the whole
 prefix, at about three times the rows.
 
-*Skipping between answers.*  In every list the members are first compared with one pivot, the
-member whose lists are the longest, which stands in the middle of a group of copies.  The
+*Skipping between answers.*  In every long list the members are first compared with one pivot, the
+member whose lists are the longest on average, which stands in the middle of a group of copies.  The
 links found so contract near copies into clusters; members of one cluster have their answer
 and are not compared again.  Jaccard distance is a metric, so two members whose distances to
 the pivot differ by more than 0.25 are skipped as well.
@@ -58,6 +58,8 @@ WIDTH = 5
 MISS = 32.0
 #: One in so many documents is counted to find frequent shingles, and how many of the counted ones hold such a shingle.
 SAMPLED, HOT_ROWS = 16, 3
+#: Members of a list that has a pivot; in shorter ones all members may meet, once the clusters are known.
+PIVOT_FROM = 16
 #: Ratio of the sizes in a block of a list.
 BLOCK = 1.05
 MAX_HOT = 1_000_000
@@ -235,14 +237,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # lists with their pivot; lists of one member have nothing to compare
     rows = classes.select("cid", "n", "sig", F.posexplode("sig").alias("pos", "token")).select(
-        "cid", "n", "pos", "token", F.get("sig", F.col("pos") - 1).alias("p1"), F.get("sig", F.col("pos") - 2).alias("p2"))
+        "cid", "n", F.size("sig").alias("lists"), "pos", "token", F.get("sig", F.col("pos") - 1).alias("p1"), F.get("sig", F.col("pos") - 2).alias("p2"))
     shared = rows.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1")
     met = saved(rows.join(shared, "token"))
-    central = met.groupBy("cid").agg(F.sum("members").alias("central"))
+    central = met.groupBy("cid").agg((F.sum("members") / F.first("lists")).alias("central"))
     pivots = met.select("token", "cid").join(central, "cid").groupBy("token").agg(F.max(F.struct("central", "cid")).alias("p")).select("token", F.col("p.cid").alias("pivot"))
-    lists = saved(met.drop("members").join(pivots, "token"))
+    lists = saved(met.drop("lists").join(pivots, "token"))
 
-    pivot_pairs = (lists.filter("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b"), "n").distinct()
+    pivot_pairs = (lists.filter((F.col("members") >= PIVOT_FROM) & (F.col("cid") != F.col("pivot"))).select(F.col("cid").alias("a"), F.col("pivot").alias("b"), "n").distinct()
                    .join(classes.select(F.col("cid").alias("b"), F.col("n").alias("m")), "b").filter("3 * greatest(n, m) <= 4 * least(n, m)").select("a", "b"))
     compared = verified(docs, pivot_pairs, classes)
     linked = _enough(F.col("common"), F.col("n_a"), F.col("n_b"))
