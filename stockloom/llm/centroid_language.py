@@ -7,19 +7,21 @@ the language of the centroid with the largest cosine; each centroid also remembe
 distance that ``1 - REJECT`` of its training texts keep, and a text farther away is marked as
 rejected (it keeps its nearest language in ``lang_pred``).
 
-The fit takes at most ``SAMPLE`` labelled documents, those with the smallest hash of the id among
-the documents with a label that training may use, so it does not depend on partitions.
+The fit takes at most ``SAMPLE`` labelled documents, as many of every language (at least one, should
+there be more languages than that), those with the smallest hash of the id among the documents
+with that label that training may use; so it does not depend on partitions, and a rare language
+is learned as well.
 Vectors, frequencies and centroids come from that sample; every whole document is scored.
 
 Null texts and texts without a letter are ``und`` with score 0.  Without any labelled document
-all are ``und``.  Other columns are ignored.
+all are ``und``.  A null id is not held out and never trained on.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.llm.common import map_slices, train_remainder, utf8
@@ -98,11 +100,17 @@ def fit(x: np.ndarray, languages: list[str]) -> Model | None:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, held: int = 2) -> Model | None:
-    """Fit on the sample; ids first, so that only sampled texts are turned into counts."""
+    """Fit on a sample of every language: ``SAMPLE`` rows over all languages, evenly, and one of each at least.
+
+    Ids come first, so that only sampled texts are turned into counts; of rows that repeat an id
+    no more are taken.
+    """
     doc_id = F.col(id_col).cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     fair = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (train_remainder(F.col("doc_id"), modulus) != held))
-    ids = fair.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    each = max(1, SAMPLE // max(1, fair.select("lang").distinct().count()))
+    first = lambda df, *order: df.withColumn("_rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", *order))).filter(F.col("_rn") <= each).drop("_rn")
+    ids = first(fair.select("doc_id", "lang").distinct())
 
     def task(batch):
         kept, counts = [], []
@@ -110,18 +118,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             if has_letter(text):
                 kept.append(lang)
                 hit = np.flatnonzero(own)
-                counts.append(np.concatenate([hit, np.minimum(own[hit], 65535)]).astype(np.uint16).tobytes())
+                counts.append(np.concatenate([hit, own[hit]]).astype(np.uint32).tobytes())
         return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array(counts, pa.binary())], names=["lang", "counts"])
 
-    # at most SAMPLE ids, so the broadcast is bounded
-    got = map_slices(fair.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang"), task, "lang string, counts binary").toArrow()
+    # at most SAMPLE ids, or one a language, so the broadcast is bounded
+    picked = first(fair.join(F.broadcast(ids), ["doc_id", "lang"]), F.xxhash64("text"))
+    got = map_slices(picked.select("doc_id", "text", "lang"), task, "lang string, counts binary").toArrow()
     if not got.num_rows:
         return None
     rows = sorted(zip(got.column("lang").to_pylist(), got.column("counts").to_pylist()))
     del got
     x = np.zeros((len(rows), DIMENSIONS), np.float32)
     for i, (_, packed) in enumerate(rows):
-        hit, count = np.frombuffer(packed, np.uint16).reshape(2, -1)
+        hit, count = np.frombuffer(packed, np.uint32).reshape(2, -1)
         x[i, hit] = np.log1p(count.astype(np.float32))
     return fit(x, [lang for lang, _ in rows])
 
@@ -152,4 +161,4 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 def op4_centroid_language(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return predict(docs, train(docs)).select("doc_id", (train_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return predict(docs, train(docs)).select("doc_id", F.coalesce(train_remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

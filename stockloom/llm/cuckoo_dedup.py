@@ -142,6 +142,20 @@ class LiveIndex:
         self.filter.delete(digest)
         return True
 
+    def retire(self, digest: bytes, size: int, doc_id: int | None, rows: int) -> bool:
+        """Take rows of one document out of its group; whether that document was the one that stays and others are left."""
+        entry = self._verified(digest, size)
+        if entry is None:
+            return False
+        if entry[3] <= rows:
+            self.remove(digest, size)
+            return False
+        entry[3] -= rows
+        if entry[2] != doc_id:
+            return False
+        entry[2] = None
+        return True
+
     def entries(self):
         for bucket in self.content.values():
             yield from bucket
@@ -189,31 +203,45 @@ def build_index(rows: DataFrame) -> DataFrame:
     return one.mapInArrow(_collapse, _INDEX).repartition(parts, "digest").mapInArrow(_collapse, _INDEX)
 
 
-def update_index(index: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
-    """A stored index after insertions (rows as of ``digests``) and deletions (``digest``, ``size`` of retired texts).
+def update_index(index: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """A stored index after deletions and insertions, both given as rows of ``digests``.
 
-    Deletions apply to what the index held before; a text that is deleted and added again is live.
-    A deletion of an unknown digest changes nothing.
+    A deletion names a document: its group loses one row for each, and leaves the index and its
+    filter with the last one.  If the document that stays is deleted, the next largest id of
+    ``rows`` (the digests of all documents before the update) takes its place; without ``rows``
+    that is an error.  Deletions apply to what the index held before; a text that is deleted and
+    added again is live.  Deletions of unknown digests change nothing.
     """
     kind = F.lit(0).cast("long").alias("kind")
-    rows = index.select(kind, "digest", "size", "keep_id", "group_size")
+    changes = index.select(kind, "digest", "size", "keep_id", "group_size")
     if removed is not None:
-        rows = rows.unionByName(removed.select(F.lit(1).cast("long").alias("kind"), "digest", "size", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size")))
+        gone = removed.select("digest", "size", F.col("doc_id").alias("keep_id"))
+        # one row a digest and id, however many rows of one id go
+        changes = changes.unionByName(gone.groupBy("digest", "size", "keep_id").agg(F.count("*").alias("group_size")).select(F.lit(1).cast("long").alias("kind"), "digest", "size", "keep_id", "group_size"))
     if added is not None:
-        rows = rows.unionByName(build_index(added).select(F.lit(2).cast("long").alias("kind"), "digest", "size", "keep_id", "group_size"))
+        changes = changes.unionByName(build_index(added).select(F.lit(2).cast("long").alias("kind"), "digest", "size", "keep_id", "group_size"))
 
     def task(batches):
-        shard = LiveIndex()
+        shard, lost = LiveIndex(), set()
         for batch in batches:
             for what, digest, size, keep, count in zip(*(c.to_pylist() for c in batch.columns)):
-                if what == 1:
-                    shard.remove(digest, size)
-                else:
+                if what != 1:
                     shard.add(digest, size, keep, count)
-        yield from _emit(shard)
+                elif shard.retire(digest, size, keep, count):
+                    lost.add(digest)
+        for part in _emit(shard):
+            yield part.append_column("lost", pa.array([d in lost for d in part.column(0).to_pylist()], pa.bool_()))
 
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "digest").sortWithinPartitions("kind").mapInArrow(task, _INDEX)
+    out = changes.repartition(parts, "digest").sortWithinPartitions("kind").mapInArrow(task, f"{_INDEX}, lost boolean")
+    if removed is None:
+        return out.drop("lost")
+    if rows is None:
+        return out.withColumn("keep_id", F.when(F.col("lost"), F.raise_error("a document that stays was deleted: pass rows")).otherwise(F.col("keep_id"))).drop("lost")
+    gone = removed.select("digest", F.col("doc_id").alias("_gone")).distinct()
+    left = rows.select("digest", "doc_id").join(gone, (rows["digest"] == gone["digest"]) & rows["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    next_id = left.groupBy("digest").agg(F.max("doc_id").alias("_next"))
+    return out.join(next_id, "digest", "left").withColumn("keep_id", F.when(F.col("lost"), F.greatest("keep_id", "_next")).otherwise(F.col("keep_id"))).select("digest", "size", "keep_id", "group_size")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,9 +2,10 @@
 
 The automaton holds the word sequences of all templates.  A text is streamed through it: at
 every word the automaton knows the longest stretch that ends there and occurs in some
-template.  Stretches of at least ``MIN_WORDS`` words that cannot grow are kept, chained per
-template when they keep its order and lie close together, and a chain that covers enough of
-the template is a span with a label.  Words that no template has cannot be part of a match,
+template.  Stretches of at least ``MIN_WORDS`` words that cannot grow are kept, at every place
+that a template has them.  Per template the chains of stretches that keep its order and lie close
+together are found by dynamic programming, those that cover most first; a chain that covers
+enough of the template is a span with a label.  Words that no template has cannot be part of a match,
 and runs of template words shorter than ``MIN_WORDS`` cannot hold a kept one; both are skipped
 in arrays before the automaton sees them.
 
@@ -15,6 +16,8 @@ read, and other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,6 +48,27 @@ TEMPLATES = {
     "gpl-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
              "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "cc-by-nc": "This work is licensed under the Creative Commons Attribution NonCommercial 4.0 International License.",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+                    "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+                    "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+                    "following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE "
+                    "COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+                    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+           "above copyright notice and this permission notice appear in all copies.",
+    "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+             "file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "lgpl-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+                "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+              "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "cc-by": "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit "
+             "http://creativecommons.org/licenses/by/4.0/.",
+    "cc-by-sa": "This work is licensed under the Creative Commons Attribution ShareAlike 4.0 International License. To view a copy of this license, visit "
+                "http://creativecommons.org/licenses/by-sa/4.0/.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+                 "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
 MIN_WORDS = 4
@@ -68,20 +92,20 @@ def word_ids(text: str) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Generalised: one automaton of all sequences, with each state's first end in every sequence."""
+    """Generalised: one automaton of all sequences, with each state's ends in every sequence."""
 
     def __init__(self, sequences: list[list[int]]):
         self.length, self.link, self.step = [0], [-1], [{}]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, set[int]]] = [{}]
         for k, sequence in enumerate(sequences):
             last = 0
             for i, symbol in enumerate(sequence):
                 last = self._extend(last, symbol)
-                self.ends[last].setdefault(k, i + 1)
+                self.ends[last].setdefault(k, set()).add(i + 1)
         for state in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
             above = self.ends[self.link[state]]
-            for k, end in self.ends[state].items():
-                above[k] = min(end, above.get(k, end))
+            for k, ends in self.ends[state].items():
+                above.setdefault(k, set()).update(ends)
 
     def _state(self, length: int, link: int, step: dict) -> int:
         self.length.append(length)
@@ -165,23 +189,48 @@ class Scanner:
         """Kept matches of one run: template, start and end in the text, start and end in the template."""
         out = []
         for start, length, state in self.automaton.maximal_matches(symbols, MIN_WORDS):
-            for k, end in self.automaton.ends[state].items():
-                out.append((k, first + start, first + start + length, end - length, end))
+            for k, ends in self.automaton.ends[state].items():
+                out.extend((k, first + start, first + start + length, end - length, end) for end in ends)
         return out
 
     def chains(self, matches: list[tuple[int, int, int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Label, text span and coverage of chains in template order."""
+        """Label, text span and coverage of the chains of every template, each match in one of them at most.
+
+        A match follows another one that ends before it, in the text and in the template, at most
+        ``GAP_WORDS`` words of text earlier; it adds the template words that the other had not
+        reached.  The chain that covers most is taken first, then the best among the rest of the text.
+        """
         out = []
         matches.sort()
-        k, start, end, at, covered = -1, 0, 0, 0, 0
-        for m in [*matches, (len(self.labels), 0, 0, 0, 0)]:
-            if m[0] == k and m[1] - end <= GAP_WORDS and m[4] > at and m[2] > end:
-                covered += m[4] - max(at, m[3])
-                end, at = m[2], m[4]
-                continue
-            if k >= 0:
-                out.append((self.labels[k], start, end, covered / self.sizes[k]))
-            k, start, end, at, covered = m[0], m[1], m[2], m[4], m[4] - m[3]
+        at = 0
+        while at < len(matches):
+            k, stop = matches[at][0], at
+            while stop < len(matches) and matches[stop][0] == k:
+                stop += 1
+            own, at = matches[at:stop], stop
+            covered, before, low = [], [], 0
+            for i, (_, start, end, t_start, t_end) in enumerate(own):
+                # matches are sorted by start, and none is longer than the template
+                while own[low][1] < start - GAP_WORDS - self.sizes[k]:
+                    low += 1
+                best, link = t_end - t_start, -1
+                for j in range(low, i):
+                    _, _, e, _, te = own[j]
+                    if start - e <= GAP_WORDS and te < t_end and e < end and covered[j] + t_end - max(te, t_start) > best:
+                        best, link = covered[j] + t_end - max(te, t_start), j
+                covered.append(best)
+                before.append(link)
+            used: list[tuple[int, int]] = []
+            for i in sorted(range(len(own)), key=lambda i: (-covered[i], own[i][1])):
+                j, first = i, own[i][1]
+                while j >= 0:
+                    first, j = own[j][1], before[j]
+                span = first, own[i][2]
+                place = bisect_left(used, span)
+                if (place and used[place - 1][1] > span[0]) or (place < len(used) and used[place][0] < span[1]):
+                    continue
+                used.insert(place, span)
+                out.append((self.labels[k], *span, covered[i] / self.sizes[k]))
         return out
 
 

@@ -7,12 +7,12 @@ is normalised, and a linear hinge-loss model is fitted by dual coordinate descen
 become scores by a logistic curve fitted on the training margins.
 
 The fit takes at most ``SAMPLE`` labelled documents, those with the smallest hash of the id
-among the labelled documents that training may use; ratios, weights and curve come from
-them.  Every whole document is scored.
+among the labelled documents that training may use, and at most ``MOST`` indicators of each;
+ratios, weights and curve come from them.  Every whole document is scored.
 
 Null and empty texts have no n-gram and get the score of the bias.  Without labels of both
 classes every score is 0.5, which accepts.  Conflicting labels of one id count as
-separate examples.  Other columns are ignored.
+separate examples.  A null id is not held out and never trained on.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from stockloom.llm.common import hashed_words, map_slices, mix, train_remainder, utf8
 
 SAMPLE = 8000
+#: Indicators of a training row; longer texts give those of the least hashes.
+MOST = 4096
 EPOCHS = 25
 COST = 1.0
 ACCEPT = 0.3
@@ -155,19 +157,31 @@ def fit(x: list[np.ndarray], labels: np.ndarray) -> Model | None:
     return model
 
 
+def _few(hit: np.ndarray) -> np.ndarray:
+    """At most ``MOST`` indicators of a training row, those of the least hashes."""
+    if len(hit) <= MOST:
+        return hit.astype(np.int32)
+    return np.sort(hit[np.argsort(mix(hit.astype(np.uint64)), kind="stable")[:MOST]]).astype(np.int32)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 5, held: int = 0) -> Model | None:
-    """Fit on the sample of labelled documents whose id has another remainder than ``held``."""
+    """Fit on the sample of labelled documents whose id has another remainder than ``held``.
+
+    At most ``SAMPLE`` labels, at most ``SAMPLE`` documents that carry them (an id may repeat), and
+    at most ``MOST`` indicators of each reach the driver, whatever the texts are.
+    """
     named = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
     fair = named.filter(train_remainder(F.col("doc_id"), modulus) != held).distinct()
     sample = fair.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(SAMPLE)
 
     def task(batch):
-        hits = [h.astype(np.int32) for h in indicator_rows(*utf8(batch))]
+        hits = [_few(h) for h in indicator_rows(*utf8(batch))]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([h.tobytes() for h in hits], pa.binary())], names=["doc_id", "label", "hits"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # at most SAMPLE rows of two numbers, so the broadcast is bounded
-    got = map_slices(plain.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label"), task, "doc_id long, label int, hits binary").toArrow()
+    met = map_slices(plain.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label"), task, "doc_id long, label int, hits binary")
+    got = met.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "hits").limit(SAMPLE).toArrow()
     rows = sorted(zip(got.column("doc_id").to_pylist(), got.column("label").to_pylist(), got.column("hits").to_pylist()))
     return fit([np.frombuffer(r[2], np.int32) for r in rows], np.array([r[1] for r in rows]))
 
@@ -198,4 +212,4 @@ def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
 def op1_quality_nbsvm(spark, sf_dir) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score(docs, train(docs, labels)).select("doc_id", (train_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+    return score(docs, train(docs, labels)).select("doc_id", F.coalesce(train_remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -26,13 +26,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.llm.common import LOWER_TABLE, map_slices, runs, span_hashes, utf8
+from stockloom.llm.common import LOWER_TABLE, map_slices, runs, saved, span_hashes, utf8
+from stockloom.llm.middle_cuts import MultibyteIndex
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(
@@ -278,11 +280,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fi
         data, rows = utf8(batch)
         numbers, starts, ends, firsts = features(data, rows)
         hex_a, hex_b = _hex_runs(data, rows)
+        index = MultibyteIndex(data)
         kept = []
         for k, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-            raw, at, i, j = data[rows[k]:rows[k + 1]].tobytes(), int(rows[k]), int(firsts[k]), int(firsts[k + 1])
-            secrets = [(at + len((text or "")[:s[3]].encode()), at + len((text or "")[:s[4]].encode())) for s in base_spans(text or "", raw)]
-            inside = (hex_a >= rows[k]) & (hex_a < rows[k + 1])
+            raw, i, j = data[rows[k]:rows[k + 1]].tobytes(), int(firsts[k]), int(firsts[k + 1])
+            found = base_spans(text or "", raw)
+            first = int(index.chars(rows[k]))
+            secrets = list(zip(*(index.bytes(first + np.array([s[c] for s in found], np.int64)).tolist() for c in (3, 4))))
+            inside = slice(*np.searchsorted(hex_a, rows[k:k + 2]))
             tags = _tags(starts[i:j], ends[i:j], secrets + list(zip(hex_a[inside].tolist(), hex_b[inside].tolist())))
             shapes = (numbers[i:j, 0] // 3) % 7
             unknown = (tags == 0) & ((shapes == 4) | (shapes == 5)) & (numbers[i:j, 0] // 21 >= 3)
@@ -295,7 +300,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fi
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["doc_id", "hit", "numbers", "tags"])
 
     # at most SAMPLE ids, so the broadcast is bounded; windows of each kind are bounded too
-    windows = map_slices(plain.join(F.broadcast(ids), "doc_id").select("doc_id", "text"), task, "doc_id long, hit int, numbers binary, tags binary")
+    windows = saved(map_slices(plain.join(F.broadcast(ids), "doc_id").select("doc_id", "text"), task, "doc_id long, hit int, numbers binary, tags binary"))
     order = [F.xxhash64("doc_id", "numbers"), "doc_id", "numbers", "tags"]
     rows = [r for hit in (1, 0) for r in windows.filter(F.col("hit") == hit).orderBy(*order).limit(WINDOWS // (2 - hit) // 2).toArrow().to_pylist()]
     field = Field()
@@ -321,19 +326,24 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
             if text and (found := base_spans(text, whole[bounds[k]:bounds[k + 1]])):
                 base[k] = [s[:3] for s in found]
 
-        def points(k: int, a: int, b: int) -> tuple[int, int]:
-            first = len(whole[bounds[k]:a].decode())
-            return first, first + len(whole[a:b].decode())
+        index = MultibyteIndex(data)
 
-        for a, b in zip(*map(np.ndarray.tolist, _hex_runs(data, rows))):
-            k = int(np.searchsorted(rows, a, "right")) - 1
-            first, last = points(k, a, b)
+        def points(k: np.ndarray, a: np.ndarray, b: np.ndarray):
+            """Code-point offsets of byte spans inside their rows."""
+            origin = index.chars(rows[k])
+            return zip(k.tolist(), (index.chars(a) - origin).tolist(), (index.chars(b) - origin).tolist())
+
+        hex_a, hex_b = _hex_runs(data, rows)
+        for k, first, last in points(np.searchsorted(rows, hex_a, "right") - 1, hex_a, hex_b):
             base.setdefault(k, []).append((first, 2, last))
+        # of the base spans that start before a point, how far the farthest reaches
+        reach = {k: (sorted(s[0] for s in spans), np.maximum.accumulate([e for _, e in sorted((s[0], s[2]) for s in spans)]).tolist()) for k, spans in base.items()}
+        tagged = np.array(shared.value.tagged(numbers, row_of), np.int64).reshape(-1, 2)
         added: dict[int, list] = {}
-        for i, j in shared.value.tagged(numbers, row_of):
-            k = int(row_of[i])
-            first, last = points(k, int(starts[i]), int(ends[j - 1]))
-            if all(last <= s[0] or s[2] <= first for s in base.get(k, ())):
+        for k, first, last in points(row_of[tagged[:, 0]], starts[tagged[:, 0]], ends[tagged[:, 1] - 1]):
+            begins, reached = reach.get(k, ((), ()))
+            before = bisect_left(begins, last)
+            if not before or reached[before - 1] <= first:
                 added.setdefault(k, []).append((first, 3, last))
         n = len(all_texts)
         counts = np.zeros((3, n), np.int64)

@@ -2,14 +2,18 @@
 
 Documents fall into cells by source, language and topic; a cell's mass is its tokens.
 Raking scales the cells in turn until their sums meet the target share of every source,
-language and topic.  Default targets flatten the present shares (share ** exponent).
+language and topic.  The caller may give target shares of any of the three; the others flatten
+the present shares (share ** exponent).  A category without a given share gets none.  Where the
+targets cannot be met on the cells that occur, ``mix_gap`` says by how much the worst marginal
+is off, and ``most_gap`` makes that an error.
 
 Each cell's factor is its raked share over its present share.  A document is sampled with
 probability min(1, c * factor), where c makes the expected tokens ``RATE`` of all tokens;
 cells that reach 1 are kept whole and the rest is calibrated without them.  The draw is a hash
 of the id, so it repeats and does not depend on partitions.
 
-Only cells (combinations that occur) are shuffled after the first aggregation, never documents.
+Only cells (combinations that occur) are shuffled after the first aggregation, never documents, and
+no step gathers all cells in one task: sums over everything are aggregates of one number.
 A null source or language is a category of its own; null and empty texts weigh 0 tokens and
 take the probability of their cell, and a cell of mass 0 is sampled with probability ``RATE``.
 Rows of one id are drawn alike.  Columns of the input keep their names; those added start
@@ -29,7 +33,9 @@ TOLERANCE = 1e-10
 SWEEPS = 5
 MAX_ROUNDS = 12
 DIMS = tuple(EXPONENTS)
-ADDED = (*DIMS, "mix_tokens", "mix_factor", "mix_probability", "mix_selected")
+ADDED = (*DIMS, "mix_tokens", "mix_factor", "mix_probability", "mix_selected", "mix_gap")
+#: Rounds until no further cell reaches probability 1; every round but the last adds one at least.
+MAX_SCALES = 200
 
 
 def topic(text: Column) -> Column:
@@ -38,58 +44,77 @@ def topic(text: Column) -> Column:
             .when(text.contains("@"), "contact").otherwise("prose"))
 
 
-def with_cells(docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def with_cells(docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_of: Column | None = None) -> DataFrame:
     """Documents with their cell and token weight (stretches between spaces)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     spaces = F.char_length(text) - F.char_length(F.replace(text, F.lit(" "), F.lit("")))
     return docs.select(
-        "*", F.coalesce(F.col(source_col), F.lit("(none)")).alias("mix_source"), F.coalesce(F.col(lang_col), F.lit("(none)")).alias("mix_lang"), topic(text).alias("mix_topic"),
+        "*", F.coalesce(F.col(source_col), F.lit("(none)")).alias("mix_source"), F.coalesce(F.col(lang_col), F.lit("(none)")).alias("mix_lang"), F.coalesce(topic(text) if topic_of is None else topic_of.cast("string"), F.lit("(none)")).alias("mix_topic"),
         F.when(text == "", 0).otherwise(spaces + 1).cast("long").alias("mix_tokens"))
 
 
-def flattened_targets(cells: DataFrame, exponents: dict[str, float] = EXPONENTS) -> DataFrame:
-    """Cells with a target share per dimension: present share ** exponent, made to sum to one."""
+def with_targets(cells: DataFrame, targets: dict[str, DataFrame] | None = None, exponents: dict[str, float] = EXPONENTS) -> DataFrame:
+    """Cells with a target share per dimension, made to sum to one over the categories that occur.
+
+    ``targets`` maps a dimension to a table (value, share); shares below zero and null count as zero.
+    """
     for dim, exponent in exponents.items():
         shares = cells.groupBy(dim).agg(F.pow(F.sum("mass"), F.lit(exponent)).alias("_part"))
-        shares = shares.withColumn("_all", F.sum("_part").over(Window.partitionBy(F.lit(1))))
-        cells = cells.join(shares.select(dim, (F.col("_part") / F.col("_all")).alias(f"{dim}_target")), dim)
+        if targets and dim in targets:
+            given = targets[dim].groupBy(F.coalesce(F.col("value").cast("string"), F.lit("(none)")).alias(dim)).agg(F.sum("share").cast("double").alias("_given"))
+            shares = shares.join(given, dim, "left").select(dim, F.greatest(F.coalesce("_given", F.lit(0.0)), F.lit(0.0)).alias("_part"))
+        total = shares.agg(F.sum("_part")).first()[0]
+        if total is not None and total <= 0:
+            raise ValueError(f"no category of {dim} that occurs has a target share")
+        cells = cells.join(shares.select(dim, (F.col("_part") / F.lit(total)).alias(f"{dim}_target")), dim)
     return cells
 
 
-def rake(cells: DataFrame, dims: tuple[str, ...] = DIMS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``share`` of cells scaled until every marginal meets ``<dim>_target``; needs ``mass`` and the targets.
+def rake(cells: DataFrame, dims: tuple[str, ...] = DIMS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
+    """``share`` of cells scaled until every marginal meets ``<dim>_target``, and the largest gap that is left.
 
-    Stops when no marginal is off by more than ``tolerance``, or after ``MAX_ROUNDS`` rounds of
-    ``SWEEPS`` sweeps where the targets cannot be met on the cells that occur.
+    Needs ``mass`` and the targets.  Stops when no marginal is off by more than ``tolerance``, or
+    after ``MAX_ROUNDS`` rounds of ``SWEEPS`` sweeps where the targets cannot be met.
     """
-    everything = Window.partitionBy(F.lit(1))
-    current = cells.withColumn("share", F.col("mass") / F.sum("mass").over(everything))
+    total = cells.agg(F.sum("mass")).first()[0]
+    current, worst = cells.withColumn("share", F.col("mass") / F.lit(total)), 0.0
     for _ in range(MAX_ROUNDS):
         for _ in range(SWEEPS):
             for dim in dims:
-                current = current.withColumn("share", F.col("share") * F.col(f"{dim}_target") / F.sum("share").over(Window.partitionBy(dim)))
+                held = F.sum("share").over(Window.partitionBy(dim))
+                current = current.withColumn("share", F.when(held > 0, F.col("share") * F.col(f"{dim}_target") / held).otherwise(0.0))
         current = saved(current)
         off = None
         for dim in dims:
             gap = current.groupBy(dim).agg(F.abs(F.sum("share") - F.first(f"{dim}_target")).alias("gap")).agg(F.max("gap").alias("gap"))
             off = gap if off is None else off.unionByName(gap)
-        worst = off.agg(F.max("gap")).first()[0]
-        if worst is None or worst <= tolerance:
+        worst = off.agg(F.max("gap")).first()[0] or 0.0
+        if worst <= tolerance:
             break
-    return current
+    return current, float(worst)
 
 
 def calibrated(raked: DataFrame, rate: float = RATE, dims: tuple[str, ...] = DIMS) -> DataFrame:
-    """``factor`` and ``probability`` of every cell; one row per cell, so one ordered pass over cells."""
-    everything = Window.partitionBy(F.lit(1))
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("factor"), *dims)
-    cells = raked.withColumn("total", F.sum("mass").over(everything)).withColumn("factor", F.col("share") * F.col("total") / F.col("mass"))
-    passed = cells.withColumn("above", F.coalesce(F.sum("mass").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn(
-        "below", F.sum(F.col("mass") * F.col("factor")).over(order.rowsBetween(0, Window.unboundedFollowing))).withColumn("place", F.row_number().over(order))
-    scale = (F.lit(rate) * F.col("total") - F.col("above")) / F.col("below")
-    fits = passed.withColumn("scale", scale).withColumn("fits", F.col("scale") * F.col("factor") <= 1)
-    chosen = F.min_by(F.when(F.col("fits"), F.col("scale")), F.when(F.col("fits"), F.col("place"))).over(everything)
-    return fits.withColumn("c", F.coalesce(chosen, F.lit(1e300))).select(*dims, "mass", "share", "factor", F.least(F.lit(1.0), F.col("c") * F.col("factor")).alias("probability"))
+    """``factor`` and ``probability`` of every cell.
+
+    With probability min(1, c * factor), c is raised until the cells below 1 make up for those that
+    are kept whole; in every round the cells at 1 can only grow, and two sums tell the next c.
+    """
+    total = raked.agg(F.sum("mass")).first()[0]
+    cells = raked.withColumn("factor", F.col("share") * F.lit(total) / F.col("mass"))
+    c, whole = 0.0, -1
+    for _ in range(MAX_SCALES):
+        full = F.col("factor") * F.lit(c) >= 1
+        row = cells.agg(F.sum(full.cast("long")).alias("n"), F.sum(F.when(full, F.col("mass")).otherwise(0)).alias("above"),
+                        F.sum(F.when(full, 0.0).otherwise(F.col("mass") * F.col("factor"))).alias("below")).first()
+        if row["n"] is None or row["n"] == whole:
+            break
+        whole = row["n"]
+        if not row["below"] or row["below"] <= 0:
+            c = 1e300
+            break
+        c = max(0.0, (rate * float(total) - float(row["above"])) / row["below"])
+    return cells.select(*dims, "mass", "share", "factor", F.least(F.lit(1.0), F.lit(c) * F.col("factor")).alias("probability"))
 
 
 def draw(doc_id: Column, seed: str = "mix") -> Column:
@@ -98,15 +123,23 @@ def draw(doc_id: Column, seed: str = "mix") -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(2**32)
 
 
-def mix(docs: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """Documents with mix_source, mix_lang, mix_topic, mix_tokens, mix_factor, mix_probability, mix_selected."""
+def mix(docs: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
+        targets: dict[str, DataFrame] | None = None, topic_of: Column | None = None, most_gap: float | None = None) -> DataFrame:
+    """Documents with mix_source, mix_lang, mix_topic, mix_tokens, mix_factor, mix_probability, mix_selected, mix_gap.
+
+    ``targets``: tables (value, share) for mix_source, mix_lang or mix_topic.  ``topic_of`` is the topic
+    as a column; by default it follows from the text.
+    """
     docs = docs.drop(*ADDED)
-    rows = with_cells(docs, text_col, source_col, lang_col)
+    rows = with_cells(docs, text_col, source_col, lang_col, topic_of)
     cells = saved(rows.groupBy(*DIMS).agg(F.sum("mix_tokens").alias("mass")))
-    table = saved(calibrated(rake(flattened_targets(cells.filter("mass > 0"))), rate).select(*DIMS, F.col("factor").alias("mix_factor"), F.col("probability").alias("mix_probability")))
+    raked, gap = rake(with_targets(cells.filter("mass > 0"), targets))
+    if most_gap is not None and gap > most_gap:
+        raise ValueError(f"the targets cannot be met: a marginal is off by {gap}")
+    table = saved(calibrated(raked, rate).select(*DIMS, F.col("factor").alias("mix_factor"), F.col("probability").alias("mix_probability")))
     joined = rows.join(table, list(DIMS), "left")
     chance = F.coalesce("mix_probability", F.lit(rate))
-    return joined.select(*docs.columns, *DIMS, "mix_tokens", "mix_factor", chance.alias("mix_probability"), (draw(F.col(id_col)) < chance).alias("mix_selected"))
+    return joined.select(*docs.columns, *DIMS, "mix_tokens", "mix_factor", chance.alias("mix_probability"), (draw(F.col(id_col)) < chance).alias("mix_selected"), F.lit(gap).alias("mix_gap"))
 
 
 def op6_source_raking(spark, sf_dir) -> DataFrame:

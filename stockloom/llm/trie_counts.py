@@ -11,7 +11,9 @@ without a piece costs one token per UTF-8 byte (byte fallback).  Equal scores ta
 tokens.  Scores come with the vocabulary; ``zipf_scores`` makes log-probabilities from ranks.
 
 Null and empty texts count 0.  Whole texts are counted.  A trie is emptied when it reaches
-``NODES`` nodes; that bounds a worker's memory and changes no result.
+``NODES`` nodes, and a pre-token of more than ``LONG`` characters (text without spaces) shares no
+prefixes: the same recurrence runs over a window of scores as long as the longest piece.  Both
+bound a worker's memory and change no result.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from stockloom.llm.common import map_slices, texts
 
 MARK = "▁"
 NODES = 300_000
+LONG = 2_000
 #: Score of one fallback byte, below every piece.
 BYTE_SCORE = -20.0
 
@@ -63,6 +66,8 @@ class Trie:
 
     def count_of(self, word: str) -> int:
         """Tokens of a pre-token."""
+        if len(word) > LONG:
+            return self._rolled(word)
         found = self.words.get(word)
         if found is None:
             if len(self.best) >= NODES:
@@ -70,6 +75,28 @@ class Trie:
             found = self.words[word] = self._insert(word)
         return found
 
+    def _rolled(self, word: str) -> int:
+        """Tokens of a long pre-token: scores of the last ``longest`` prefixes only."""
+        scores, suffixes, keep = self.scores, self.suffixes, self.longest + 1
+        best, count = [0.0] * keep, [0] * keep
+        for i, symbol in enumerate(word):
+            size, before = len(symbol.encode()), i % keep
+            top, least = best[before] + size * BYTE_SCORE, count[before] + size
+            start = i
+            while start >= 0 and i - start < self.longest:
+                piece = word[start:i + 1]
+                if piece not in suffixes:
+                    break
+                score = scores.get(piece)
+                if score is not None:
+                    at = start % keep
+                    total, tokens = best[at] + score, count[at] + 1
+                    if total > top or total == top and tokens < least:
+                        top, least = total, tokens
+                start -= 1
+            best[(i + 1) % keep], count[(i + 1) % keep] = top, least
+        return count[len(word) % keep]
+
     def _insert(self, word: str) -> int:
         following, best, count, scores, suffixes = self.next, self.best, self.count, self.scores, self.suffixes
         node, path = 0, [0]

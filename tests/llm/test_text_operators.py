@@ -99,9 +99,28 @@ def test_index_updates(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b"), (4, None)], "doc_id long, text string")
     index = build_index(digests(docs))
     added = digests(spark.createDataFrame([(9, "c"), (10, "b")], "doc_id long, text string"))
-    gone = digests(spark.createDataFrame([(0, "a"), (0, "unknown")], "doc_id long, text string"))
+    gone = digests(spark.createDataFrame([(1, "a"), (0, "unknown"), (3, "b")], "doc_id long, text string"))
     got = {(r.keep_id, r.group_size) for r in update_index(index, added, gone).collect()}
-    assert got == {(10, 2), (4, 1), (9, 1)}
+    assert got == {(2, 1), (10, 1), (4, 1), (9, 1)}
+
+
+def test_deleting_the_document_that_stays(spark):
+    rng = random.Random(15)
+    rows = [(i, f"t{rng.randint(0, 30)}") for i in range(200)] + [(7, "t1"), (None, "t2"), (None, "t2")]
+    gone = rng.sample(rows, 120) + [(None, "t2")]
+    schema = "doc_id long, text string"
+    live = digests(spark.createDataFrame(rows, schema))
+    got = sorted(((r.keep_id, r.group_size, bytes(r.digest)) for r in update_index(build_index(live), None, digests(spark.createDataFrame(gone, schema)), live).collect()), key=str)
+    dead = {(i, t) for i, t in gone}
+    groups = {}
+    for t in {t for _, t in rows}:
+        size = sum(u == t for _, u in rows) - sum(u == t for _, u in gone)
+        if size > 0:
+            ids = [i for i, u in rows if u == t and (i, t) not in dead and i is not None]
+            groups[hashlib.sha256(t.encode()).digest()] = (max(ids, default=None), size)
+    assert got == sorted(((k, n, d) for d, (k, n) in groups.items()), key=str)
+    with pytest.raises(Exception, match="pass rows"):
+        update_index(build_index(live), None, live.filter("doc_id = 199")).collect()
 
 
 # --- set join ---------------------------------------------------------------------------
@@ -149,18 +168,32 @@ def test_prefix_never_exceeds_the_exact_one():
 def test_next_document_across_ranges(spark):
     rng = random.Random(2)
     ids = sorted(rng.sample(range(-5000, 10**9), 300))
-    rows = spark.createDataFrame([(i, f"t{i}") for i in ids], "k long, text string").repartition(7)
-    got = {r.k: r.next_text for r in scaled_sketch.with_next(rows, "k", ["text"], ["text"]).collect()}
+    rows = spark.createDataFrame([(i, f"t{i}") for i in ids], "k long, text string").repartition(7).withColumn("s", F.md5("text"))
+    got = {r.k: r.next_text for r in scaled_sketch.with_next(rows, "k", "s", ["text"]).collect()}
     assert got == {a: f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1])}
 
 
+def test_next_document_of_hot_and_extreme_ids(spark):
+    rng = random.Random(9)
+    rows = [(i, f"t{i}") for i in rng.sample(range(10**6), 60)] + [(77, f"hot{i}") for i in range(200)] + [(None, f"none{i}") for i in range(90)]
+    rows += [(2**63 - 1, "last"), (2**63 - 1, "lasting"), (-(2**63), "first"), (2**63 - 2, "nearly")]
+    rng.shuffle(rows)
+    got = sorted((r.doc_id if r.doc_id is not None else -(2**63) - 1, r.n_chars, r.edited_sha256) for r in scaled_sketch.edit_likeness(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    order = sorted(rows, key=lambda r: (r[0] if r[0] is not None else -(2**63), hashlib.md5(r[1].encode()).hexdigest()))
+    want = []
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        want.append((i if i is not None else -(2**63) - 1, len(t), hashlib.sha256((t[: len(t) - half] + u[:half]).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
 def test_sketches_merge_and_estimate(spark):
     rng = random.Random(4)
     a, b = sentence(rng, 4000), sentence(rng, 400)
     rows = spark.createDataFrame([(1, a), (2, b), (3, a + " " + b)], "doc_id long, text string")
     s = {r.doc_id: set(r.sketch) for r in scaled_sketch.fingerprints(rows).collect()}
     assert len(s[1] & s[2]) == 0 and s[1] <= s[3] and s[2] <= s[3] and len(s[3] - s[1] - s[2]) <= 4
-    assert 350 < len(s[1]) < 650
+    assert 1850 < len(s[1]) < 2150
 
 
 def test_short_sketches_merge(spark):
@@ -172,15 +205,25 @@ def test_short_sketches_merge(spark):
         return {hashlib.md5(" ".join(w[i:i + 5]).encode()).hexdigest()[:16] for i in range(max(1, len(w) - 4))}
 
     def plain(hashes):
-        return sorted({h for h in hashes if h < "2"} or {min(hashes)})
+        return sorted(h for h in hashes if h < "8")
 
     texts = [sentence(rng, n) for n in range(5, 31) for _ in range(4)]
     pairs = list(zip(texts, texts[1:]))
     rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
     got = {r.i: r.m for r in rows.select("i", scaled_sketch.merge(scaled_sketch.sketch(F.col("a")), scaled_sketch.sketch(F.col("b"))).alias("m")).collect()}
     assert got == {i: plain(hashes(a) | hashes(b)) for i, (a, b) in enumerate(pairs)}
-    kept = [any(h < "2" for h in hashes(t)) for t in texts]
-    assert {(x, y) for x, y in zip(kept, kept[1:])} == {(x, y) for x in (True, False) for y in (True, False)}
+
+
+def test_short_texts_inside_longer_ones(spark):
+    """A contained text has containment 1 as soon as it keeps a hash; 0.5 ** n keep none."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        inner = sentence(rng, 9)
+        rows.append((i, inner, sentence(rng, 40) + " " + inner + " " + sentence(rng, 40)))
+    df = spark.createDataFrame(rows, "i int, a string, b string").select(scaled_sketch.sketch(F.col("a")).alias("a"), scaled_sketch.sketch(F.col("b")).alias("b"))
+    got = df.select(F.size("a").alias("n"), scaled_sketch.containment(F.col("a"), F.col("b")).alias("c")).collect()
+    assert all(r.c == (1.0 if r.n else 0.0) for r in got) and sum(r.n == 0 for r in got) < 30
 
 
 # --- licences ---------------------------------------------------------------------------
@@ -209,8 +252,8 @@ def test_matching_statistics_against_brute_force():
         got = list(automaton.maximal_matches(text, 3))
         assert [(a, n) for a, n, _ in got] == right
         for a, n, state in got:
-            for k, end in automaton.ends[state].items():
-                assert sequences[k][end - n:end] == text[a:a + n]
+            for k, ends in automaton.ends[state].items():
+                assert sorted(ends) == [e for e in range(n, 31) if sequences[k][e - n:e] == text[a:a + n]]
 
 
 def test_template_spans(spark):
