@@ -115,6 +115,75 @@ def coverage_status(no_stock_pct: Column, supported: Column) -> Column:
     return F.when(supported <= 0, "grey").when(no_stock_pct < 20, "green").when(no_stock_pct <= 40, "yellow").otherwise("red")
 
 
+# --------------------------------------------------------------------------- one pass for every report
+#
+# Every report above is a sum, a maximum or a distinct count over the same active rows.  States per
+# (region, source, brand) hold what these need and merge: counts add up, times keep the latest, and
+# distinct models are bitmaps joined by "or".  One scan makes the states, and reports read them.
+
+
+def metric_states(rows: DataFrame, keys: Sequence[str], available: Column, times: Sequence[str] = ("checked_at",), models_of: Column | None = None) -> DataFrame:
+    """States of active rows per region, ``keys`` and range of 32,768 model ids.
+
+    ``models_of`` tells which rows' models are remembered; all by default.
+    """
+    family = F.col("model_id").isNotNull() & ~T.blank("construction") & ~T.blank("length")
+    used = F.lower(F.coalesce("title", F.lit(""))).contains("used") if "title" in rows.columns else F.lit(False)
+    model = F.col("model_id") if models_of is None else F.when(models_of, F.col("model_id"))
+    live = rows.filter("is_active").withColumn("region_code", region_or_null("region_code")).withColumn("_model", model)
+    return live.groupBy("region_code", *keys, F.bitmap_bucket_number("_model").alias("bucket")).agg(
+        *_metric_columns(available), _n(family).alias("family_rows"), _n(used).alias("used_rows"), F.max(F.coalesce(*times)).alias("latest_refresh"),
+        F.bitmap_construct_agg(F.bitmap_bit_position("_model")).alias("models"))
+
+
+def _merged() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ("active_rows", "available_rows", "linked_model_rows", "linked_size_rows")]
+
+
+def region_metrics_of(states: DataFrame, source: str) -> DataFrame:
+    """``region_metrics`` from states."""
+    return states.groupBy("region_code").agg(*_merged(), F.countDistinct(source).alias("source_count"), F.max("latest_refresh").alias("latest_refresh"))
+
+
+def source_metrics_of(states: DataFrame, dim: str) -> DataFrame:
+    """``source_metrics`` from states."""
+    return states.groupBy("region_code", dim).agg(*_merged(), F.max("latest_refresh").alias("latest_refresh"))
+
+
+def supported_counts_of(states: DataFrame, supported: Sequence[str]) -> DataFrame:
+    """``supported_counts`` from states."""
+    s = F.coalesce(F.col("brand_name").isin(*supported), F.lit(False))
+    of = lambda c, x: F.sum(F.when(c, F.col(x)).otherwise(0))
+    return states.groupBy("region_code").agg(of(s, "active_rows").alias("supported_rows"), of(~s, "active_rows").alias("unsupported_rows"), of(s, "used_rows").alias("used_supported_rows"))
+
+
+def linkage_metrics_of(states: DataFrame, supported: Sequence[str]) -> DataFrame:
+    """``linkage_metrics`` from states."""
+    r, s, b = F.col("region_code"), F.col("retailer_name"), F.col("brand_name")
+    g = states.filter(b.isin(*supported)).groupingSets([[r], [r, s], [r, b]], r, s, b).agg(
+        F.grouping_id().alias("gid"), F.sum("active_rows").alias("supported_rows"), F.sum("linked_model_rows").alias("model_rows"),
+        F.sum("family_rows").alias("family_rows"), F.sum("linked_size_rows").alias("size_rows"))
+    level = F.when(F.col("gid") == 3, "region").when(F.col("gid") == 1, "retailer").otherwise("brand")
+    return g.select(level.alias("level"), "region_code", "retailer_name", "brand_name", "supported_rows", "model_rows", "family_rows", "size_rows",
+                    *[D.pct(F.col(f"{x}_rows"), F.col("supported_rows")).alias(f"{x}_pct") for x in ("model", "family", "size")])
+
+
+def coverage_gaps_of(models: DataFrame, retail: DataFrame, direct: DataFrame, regions: Sequence[str]) -> DataFrame:
+    """``coverage_gaps`` from the states of the supported brands: unions of bitmaps instead of sets of ids."""
+    of = lambda df, side: df.filter("bucket IS NOT NULL").groupBy("region_code", "bucket").agg(F.bitmap_or_agg("models").alias("m")).withColumn("side", F.lit(side))
+    # a bucket has one bitmap a side
+    ranges = of(retail, "r").unionByName(of(direct, "d")).groupBy("region_code", "bucket").agg(
+        *[F.coalesce(F.max(F.when(F.col("side") == x, F.bitmap_count("m"))), F.lit(0)).alias(x) for x in "rd"], F.bitmap_count(F.bitmap_or_agg("m")).alias("a"))
+    both = ranges.groupBy("region_code").agg(*[F.sum(c).alias(f"n{c}") for c in "rda"])
+    total = models.select("model_id").distinct().agg(F.count("*").alias("supported_models")).select(
+        "supported_models", F.explode(F.array(*[F.lit(r) for r in regions])).alias("region_code"))
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    gap = lambda c: F.greatest(F.lit(0), F.col("supported_models") - z(c))
+    return total.join(both, "region_code", "left").select(
+        "region_code", "supported_models", gap("nr").alias("no_retail"), gap("nd").alias("no_direct"), gap("na").alias("no_stock_anywhere"),
+        (z("na") - z("nr")).alias("only_direct"), (z("na") - z("nd")).alias("only_retail"), D.pct(gap("na"), F.col("supported_models")).alias("no_stock_pct"))
+
+
 # --------------------------------------------------------------------------- statuses
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stockloom.functions.status import in_order
+from stockloom.functions.status import in_order, is_available_status
 from stockloom.operators import events as ev
 from stockloom.operators import health as H
 from stockloom.plans import fixtures as fx
 from stockloom.plans.fixtures import sql
+from stockloom.session import checkpointed
 
 S = fx.SUPPORTED
 NOW = "2001-11-30 00:00:00"
@@ -101,22 +102,47 @@ def ob1(spark, sf):
     return _matrix(spark, sf).groupBy("region_code", "color", "label").agg(F.count("*").alias("sources"))
 
 
-def _overview(spark, sf):
-    return H.region_overview(_rm(spark, sf), _dm(spark, sf), _link(spark, sf), _gaps(spark, sf), _now())
+class _States:
+    """Both fact tables read once each; what every report of a dashboard needs."""
+
+    def __init__(self, spark, sf):
+        self.retail = checkpointed(H.metric_states(fx.inventory(spark, sf), ["retailer_id", "retailer_name", "brand_name"], is_available_status("stock_status")))
+        live = F.col("is_available")
+        self.direct = checkpointed(H.metric_states(_direct(spark, sf), ["brand_id", "brand_name"], live, models_of=live))
+        self.models, self.expected = fx.models(spark, sf).filter(F.col("brand_name").isin(*S)), _expect(spark, sf)
+
+    def overview(self):
+        named = lambda df: df.filter(F.col("brand_name").isin(*S))
+        gaps = H.coverage_gaps_of(self.models, named(self.retail), named(self.direct), fx.REGIONS)
+        return H.region_overview(H.region_metrics_of(self.retail, "retailer_id"), H.region_metrics_of(self.direct, "brand_id"), self.linkage(), gaps, _now())
+
+    def linkage(self):
+        return H.linkage_metrics_of(self.retail, S)
+
+    def catalogue(self):
+        h = (F.col("brand_id") % 2 == 0).cast("long")
+        return self.direct.select("region_code", "brand_id").distinct().groupBy("region_code").agg(F.count("*").alias("brands"), F.sum(h).alias("healthy_brands"))
 
+    def retailers(self):
+        return H.retailer_health(H.source_matrix(self.expected, H.source_metrics_of(self.retail, "retailer_name"), "retailer_name", _now()), self.linkage())
 
-def _catalogue(spark, sf):
-    h = (F.col("brand_id") % 2 == 0).cast("long")
-    return fx.direct(spark, sf).select("region_code", "brand_id").distinct().groupBy("region_code").agg(
-        F.count("*").alias("brands"), F.sum(h).alias("healthy_brands"))
+    def brands(self):
+        x = self.direct.select("region_code", "brand_name").distinct().withColumn("applicability", F.lit("expected"))
+        return H.source_matrix(x, H.source_metrics_of(self.direct, "brand_name"), "brand_name", _now())
+
+
+def _overview(spark, sf):
+    return _States(spark, sf).overview()
 
 
 def ob6(spark, sf):
-    return H.region_readiness(_overview(spark, sf), _catalogue(spark, sf))
+    s = _States(spark, sf)
+    return H.region_readiness(s.overview(), s.catalogue())
 
 
 def ob7(spark, sf):
-    return H.inventory_counts(_rm(spark, sf), _dm(spark, sf), H.supported_counts(fx.inventory(spark, sf), S))
+    s = _States(spark, sf)
+    return H.inventory_counts(H.region_metrics_of(s.retail, "retailer_id"), H.region_metrics_of(s.direct, "brand_id"), H.supported_counts_of(s.retail, S))
 
 
 def ob7b(spark, sf):
@@ -153,14 +179,9 @@ def ob10(spark, sf):
     return _jobs(spark, sf).select("job_name", "region_code", "age_hours", "color", "consecutive_failures")
 
 
-def _brands(spark, sf):
-    m = H.source_metrics(_direct(spark, sf), "brand_name", available=F.col("is_available"))
-    x = fx.direct(spark, sf).select("region_code", "brand_name").distinct().withColumn("applicability", F.lit("expected"))
-    return H.source_matrix(x, m, "brand_name", _now())
-
-
 def ob9(spark, sf):
-    return H.alerts(_overview(spark, sf), _rh(spark, sf), _brands(spark, sf), _jobs(spark, sf)).groupBy(
+    s = _States(spark, sf)
+    return H.alerts(s.overview(), s.retailers(), s.brands(), _jobs(spark, sf)).groupBy(
         "region_code", "category", "alert_group", "color", "severity").agg(F.count("*").alias("alerts"))
 
 
