@@ -90,14 +90,15 @@ def test_scores_from_the_model_by_hand(spark):
 
 def test_training_rows_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(quality_nbsvm, "SAMPLE", 10)
-    monkeypatch.setattr(quality_nbsvm, "MOST", 50)
     seen = {}
-    monkeypatch.setattr(quality_nbsvm, "fit", lambda x, y: seen.update(n=len(x), most=max(map(len, x))))
+    monkeypatch.setattr(quality_nbsvm, "fit", lambda x, y: seen.update(n=len(x)))
     rng = random.Random(4)
     a, b = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5][:2]
     docs = spark.createDataFrame([(a, sentence(rng, 400)) for _ in range(100)] + [(b, sentence(rng, 400))], "doc_id long, text string")
     quality_nbsvm.train(docs, spark.createDataFrame([(a, 1), (b, 0)], "doc_id long, quality int"))
-    assert seen["n"] <= 10 and seen["most"] <= 50
+    assert seen["n"] <= 10
+    few = quality_nbsvm._few(np.arange(0, 10**5, 3))
+    assert len(few) == quality_nbsvm.MOST and (np.diff(few) > 0).all() and set(few.tolist()) <= set(range(0, 10**5, 3))
 
 
 # --- language -----------------------------------------------------------------------------
