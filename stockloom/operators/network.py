@@ -263,14 +263,19 @@ def governance(health: DataFrame, active: DataFrame, disabled: dict[str, str]) -
 def expand_categories(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Root categories and all their descendants, however deep.
 
-    ``edges``: category_id, parent_id.  Every round joins only the newest level, drops what
-    is known already (cycles end) and cuts its lineage; it ends at an empty level.
+    ``edges``: category_id, parent_id; a category may have several parents.  Path doubling: in round
+    k every category that is not known yet points to its ancestors 2^k levels up, and is known
+    as soon as one of them is.  So the rounds are logarithmic in the depth; a cycle that
+    reaches no root ends after as many rounds as would span all categories.
     """
-    level = checkpointed(roots.select("category_id").distinct())
-    seen = level
-    while True:
-        nxt = edges.join(level.select(F.col("category_id").alias("parent_id")), "parent_id").select("category_id").distinct()
-        level = checkpointed(nxt.join(seen, "category_id", "left_anti"))
-        if level.isEmpty():
-            return seen
-        seen = checkpointed(seen.unionByName(level))
+    known = checkpointed(roots.select("category_id").distinct())
+    up = edges.select("category_id", F.col("parent_id").alias("up")).filter("up IS NOT NULL").distinct()
+    up = checkpointed(up.join(known, "category_id", "left_anti"))
+    span, most = 1, 2 * up.count()
+    while span <= most and not up.isEmpty():
+        found = up.join(known.select(F.col("category_id").alias("up")), "up", "left_semi").select("category_id").distinct()
+        known = checkpointed(known.unionByName(found))
+        above = up.select(F.col("category_id").alias("up"), F.col("up").alias("_next"))
+        up = checkpointed(up.join(above, "up").select("category_id", F.col("_next").alias("up")).distinct().join(known, "category_id", "left_anti"))
+        span *= 2
+    return known
