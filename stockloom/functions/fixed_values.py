@@ -185,3 +185,35 @@ IMAGE_PREFERRED_TERMS = (
     "golden-child", "sub-xero", "surfboard", "board", "main",
 )
 IMAGE_TITLE_STOPS = ("the", "and", "with", "fcs", "fcsii", "fcs2", "pu", "eps")
+
+# fixed values: regional listings, first pattern decides
+REGIONAL_CONSTRUCTION_RX = (
+    ("PU", r"(?i)(?<![a-z0-9])pu(?![a-z0-9])"),
+    ("EPS", r"(?i)(?<![a-z0-9])eps(?![a-z0-9])"),
+    ("Epoxy", r"(?i)(?<![a-z0-9])epoxy(?![a-z0-9])"),
+    ("Carbon", r"(?i)(?<![a-z0-9])carbon(?![a-z0-9])"),
+    ("Spine-Tek", r"(?i)spine\s*-?\s*tek"),
+)
+REGIONAL_FIN_RX = (
+    ("FCS II", r"(?i)(?<![a-z0-9])fcs\s*(?:ii|2|ll)(?![a-z0-9])"),
+    ("FCS", r"(?i)(?<![a-z0-9])fcs(?![a-z0-9])"),
+    ("Futures", r"(?i)(?<![a-z0-9])futures?(?![a-z0-9])"),
+    ("Twin", r"(?i)(?<![a-z0-9])twin(?:\s*fin)?(?![a-z0-9])"),
+    ("Thruster", r"(?i)(?<![a-z0-9])(?:tri\s*fin|thruster)(?![a-z0-9])"),
+    ("2 Fin", r"(?i)(?<![a-z0-9])2\s*fin(?![a-z0-9])"),
+)
+REGIONAL_LENGTH_RX = (
+    r"\b([4-9]|1[0-2])\s*['’]\s*(\d{1,2})\s*(?:''|\"|”|in)?\b",
+    r"(?i)\b([4-9]|1[0-2])\s*ft\s*(\d{1,2})\s*(?:\"|”|in)?\b",
+    r"\b([4-9]|1[0-2])\.(\d{1,2})\b",
+)
+REGIONAL_VOLUME_RX = r"(?i)(?:\b(?:volume|vol\.?)\s*[:\-]?\s*)?\b((?:1[5-9]|[2-7]\d|8[0-5])(?:[\.,]\d{1,2})?)\s*(?:l|ltr|litre|litres)\b"
+# fixed values: what is taken out of a title, one after the other, to leave the model
+REGIONAL_RESIDUE_RX = (
+    r"(?i)\bsurfboards?\b",
+    r"(?i)\b(?:[4-9]|1[0-2])\s*['’]\s*\d{1,2}\s*(?:''|\"|”|in)?\b",
+    REGIONAL_VOLUME_RX,
+    r"(?i)\bpu\b|\beps\b|\bepoxy\b|\bcarbon\b|spine\s*-?\s*tek",
+    r"(?i)\bfcs\s*(?:ii|2|ll)?\b|\bfutures?\b|\btwin(?:\s*fin)?\b|\btri\s*fin\b|\bthruster\b",
+    r"(?i)\b(?:white|black|blue|red|orange|color|sand)\b",
+)

@@ -217,6 +217,19 @@ def source_matrix(expectations: DataFrame, metrics: DataFrame, source: str, now:
                     *[z(c) for c in ("active_rows", "available_rows", "linked_model_rows", "linked_size_rows")], "latest_refresh")
 
 
+def source_grid(expectations: DataFrame, metrics: DataFrame, source: str, regions: Sequence[str], now: Column) -> DataFrame:
+    """Every known source in every listed region, also where it has neither expectation nor metrics.
+
+    Sources are those of either table; blank and unknown ones are left out.  The list of
+    regions is short and repeats each source, so no cross join is planned.
+    """
+    named = lambda df: df.select(source).filter(~T.blank(source) & (F.col(source) != "<unknown>"))
+    cells = named(expectations).unionByName(named(metrics)).distinct().select(source, F.explode(F.array(*[F.lit(r) for r in regions])).alias("region_code"))
+    known = expectations.select(source, "region_code", "applicability")
+    j = cells.join(known, [source, "region_code"], "left").withColumn("applicability", F.coalesce("applicability", F.lit("not_applicable")))
+    return source_matrix(j.select(source, "region_code", "applicability"), metrics.filter(F.col("region_code").isin(*regions) & F.col(source).isNotNull()), source, now)
+
+
 def region_overview(retail: DataFrame, direct: DataFrame, linkage: DataFrame, gaps: DataFrame, now: Column) -> DataFrame:
     """One row per region with its four statuses and the worst of the first three.
 

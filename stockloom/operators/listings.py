@@ -214,15 +214,69 @@ def normalise_listings(df: DataFrame, aliases: Sequence[str]) -> DataFrame:
     return d.withColumn("model_key", T.tolerant_model_key(T.model_hint("title", brand, aliases))).drop("_td", "_key")
 
 
-def normalise_regional(df: DataFrame, region: str, currency: str) -> DataFrame:
-    """Regional rows: decimal price, stock text, availability and the importable flag."""
-    d = df.withColumn("price_amount", D.parse_price("price")).withColumn("currency", F.lit(currency))
-    known = F.when(T.blank("stock_status"), F.lit(None).cast("boolean")).otherwise(is_available_status("stock_status"))
-    d = d.withColumn("is_available", known).withColumn("volume", D.parse_measurement("volume"))
-    status = F.when(F.col("is_available"), "In Stock").when(~F.col("is_available"), "Out of Stock").otherwise("Unknown")
-    d = d.withColumn("stock_text", status)
-    importable = (F.col("region_code") == region) & F.col("price_amount").isNotNull() & ~T.blank("title") & (~T.blank("length") | F.col("volume").isNotNull())
-    return d.withColumn("importable", F.coalesce(importable, F.lit(False)))
+def _spaced(c: Column) -> Column:
+    """Single spaces, NULL when nothing is left."""
+    return F.nullif(F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"\s+", " ")), F.lit(""))
+
+
+def regional_brand(stated: Column, title: Column, brands: Sequence[str]) -> Column:
+    """The stated brand without "surfboards", else the longest known brand that the title names."""
+    own = _spaced(F.regexp_replace(stated, r"(?i)\bsurfboards?\b", ""))
+    named = [F.when(F.lower(title).rlike(rf"(?<![a-z0-9]){re.escape(b.lower())}(?![a-z0-9])"), F.lit(b)) for b in sorted(brands, key=lambda b: (-len(b), b))]
+    return F.coalesce(own, *named) if named else own
+
+
+def regional_model(title: Column, brand: Column) -> Column:
+    """What is left of a title without brand, length, volume, construction, fins and colour."""
+    quoted = F.concat(F.lit("\\Q"), brand, F.lit("\\E"))
+    left = F.when(brand.isNull(), title).otherwise(F.regexp_replace(title, F.concat(F.lit("(?i)(?<![a-z0-9])"), quoted, F.lit(r"(?:\s+Surfboards?)?(?![a-z0-9])")), F.lit(" ")))
+    for rx in V.REGIONAL_RESIDUE_RX:
+        left = F.regexp_replace(left, rx, " ")
+    return _spaced(F.regexp_replace(left, r"[-|_/]+", " "))
+
+
+def _first_length(text: Column) -> Column:
+    """Feet and inches of the first pattern whose first match lies between 4 and 12 feet, up to 12 inches."""
+    found = []
+    for rx in V.REGIONAL_LENGTH_RX:
+        feet, inches = (F.regexp_extract(text, rx, i).try_cast("int") for i in (1, 2))
+        found.append(F.when(feet.between(4, 12) & inches.between(0, 12), F.concat(feet.cast("string"), F.lit("'"), inches.cast("string"))))
+    return F.coalesce(*found)
+
+
+def _first_named(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
+    return F.coalesce(*[F.when(text.rlike(rx), F.lit(name)) for name, rx in patterns])
+
+
+def normalise_regional(df: DataFrame, region: str, currency: str, brands: Sequence[str] = ()) -> DataFrame:
+    """Regional rows: decimal price, currency as stated (else the region's), brand and model, dimensions
+    from the texts where none are stated, stock text, availability and the importable flag.
+
+    A row is importable with retailer slug and name, the region, title, url, price, the region's
+    currency, a stock statement and a length or volume.  Columns that are absent count as empty.
+    """
+    have = set(df.columns)
+    col = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
+    stated = lambda c: _spaced(col(c))
+    title = F.coalesce(stated("title"), F.lit(""))
+    text = F.concat_ws(" ", *[stated(c) for c in ("title", "brand_name", "vendor", "sku", "snippet")])
+    brand = regional_brand(F.coalesce(stated("brand_name"), stated("vendor")), title, brands)
+    flag = col("is_available").cast("boolean")
+    known = F.coalesce(F.when(~T.blank("stock_status"), is_available_status("stock_status")), flag)
+    d = df.withColumn("_text", text).withColumn("_title", title).withColumn("_brand", brand).withColumn("_known", known)
+    d = d.withColumns({
+        "price_amount": D.parse_price("price"), "currency": F.coalesce(stated("currency"), F.lit(currency)), "model_name": regional_model(F.col("_title"), F.col("_brand")),
+        "length": F.coalesce(stated("length"), _first_length(F.col("_text"))),
+        "volume": F.coalesce(D.parse_measurement("volume"), F.replace(F.nullif(F.regexp_extract("_text", V.REGIONAL_VOLUME_RX, 1), F.lit("")), F.lit(","), F.lit(".")).try_cast(D.DEC)),
+        "construction": F.coalesce(stated("construction"), _first_named(F.col("_text"), V.REGIONAL_CONSTRUCTION_RX)),
+        "fin_setup": F.coalesce(stated("fin_setup"), _first_named(F.col("_text"), V.REGIONAL_FIN_RX)),
+        "stock_text": F.when(F.col("_known"), "In Stock").when(~F.col("_known"), "Out of Stock").otherwise("Unknown"),
+    }).withColumn("brand_name", F.col("_brand")).withColumn("is_available", F.col("_known"))
+    needs = F.col("_known").isNotNull()
+    for c in ("retailer_slug", "retailer_name", "title", "product_url"):
+        needs = needs & stated(c).isNotNull()
+    needs = needs & (F.col("region_code") == region) & F.col("price_amount").isNotNull() & (F.col("currency") == currency) & (F.col("length").isNotNull() | F.col("volume").isNotNull())
+    return d.withColumn("importable", F.coalesce(needs, F.lit(False))).drop("_text", "_title", "_brand", "_known")
 
 
 def assert_region(df: DataFrame, region: str) -> None:

@@ -109,16 +109,87 @@ def dealer_summary(dealers: DataFrame, links: DataFrame, top: int = 5) -> DataFr
     return per.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
-def coverage_candidates(candidates: DataFrame, overrides: DataFrame, discovery: DataFrame) -> DataFrame:
-    """Status and priority per site: override, else discovery result, else a default ladder."""
-    c = candidates.withColumn("_s", site_key("website"))
-    o = overrides.select(site_key("website").alias("_s"), F.col("status").alias("_o"))
-    r = discovery.select(site_key("website").alias("_s"), F.col("status").alias("_d"), "products")
-    j = c.join(o, "_s", "left").join(r, "_s", "left")
-    default = F.when(F.col("_s").isNull(), "missing_site").when(F.col("platform").isin("shopify", "woocommerce", "bigcommerce"), "ready_to_probe").otherwise("manual_review")
-    j = j.withColumn("status", F.coalesce("_o", "_d", default))
-    pri = F.when(F.col("status").startswith("ready") & (F.coalesce("products", F.lit(0)) >= 10), 1).when(F.col("status").startswith("ready"), 2).when(F.col("status") == "manual_review", 3).otherwise(4)
-    return j.withColumn("priority", pri).withColumn("decided_by", F.when(F.col("_o").isNotNull(), "override").when(F.col("_d").isNotNull(), "discovery").otherwise("default")).drop("_s", "_o", "_d")
+# fixed values: priority of a coverage status before the candidate's own priority is taken off
+COVERAGE_PRIORITIES = {
+    "ready_bigcommerce": 88, "ready_shopify": 70, "ready_woocommerce": 66, "ready_neto_maropost": 63, "ready_opencart": 58, "ready_custom_high_value": 74,
+    "duplicate_shell": 0, "manual_review": 40, "blocked": 15, "catalogue_only": 10, "no_online_boards": 8, "shaper_only": 5, "distributor_only": 5,
+    "closed_or_redirected": 0, "unsupported": 0,
+}
+OPEN_STATUSES = ("Candidate", "Known but disabled", "Configured but inactive")
+
+
+def dealer_status_counts(scored: DataFrame, regions: Sequence[str], high: int = 4) -> DataFrame:
+    """One row per listed region: dealers, and those running, candidates, open ones of a high score, for manual review.
+
+    ``scored`` comes from ``score_dealers``; a region without dealers has zeros.
+    """
+    s = F.col("status")
+    counts = scored.groupBy("region_code").agg(
+        F.count("*").alias("total_discovered"), F.count_if(s == "Already running").alias("already_running"), F.count_if(s == "Candidate").alias("candidates"),
+        F.count_if(s.isin(*OPEN_STATUSES) & (F.col("score") >= high)).alias("high_priority"), F.count_if(s == "Manual review").alias("manual_review"))
+    listed = scored.sparkSession.range(1).select(F.explode(F.array(*[F.lit(r) for r in regions])).alias("region_code"))
+    return listed.join(counts, "region_code", "left").fillna(0)
+
+
+def top_candidates(scored: DataFrame, n: int = 10) -> DataFrame:
+    """Per region the ``n`` best open dealers: by score, manufacturers, name."""
+    w = Window.partitionBy("region_code").orderBy(F.desc("score"), F.desc("manufacturers"), "dealer_name", "dealer_group")
+    return scored.filter(F.col("status").isin(*OPEN_STATUSES)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
+def manufacturer_regions(dealers: DataFrame, links: DataFrame) -> DataFrame:
+    """Dealers of every manufacturer by region, and its total."""
+    per = dealers.select("dealer_group", "region_code").join(links, "dealer_group").groupBy("manufacturer", "region_code").agg(F.count("*").alias("dealers"))
+    total = per.groupBy("manufacturer").agg(F.sum("dealers").alias("dealer_count"))
+    return per.join(total, "manufacturer")
+
+
+def _default_status() -> Column:
+    """Status of a candidate that neither an override nor a discovery result decides; first rule wins."""
+    said = lambda *words: F.coalesce(*[F.when(F.col("_why").contains(w), True) for w in words], F.lit(False))
+    typed = lambda *names: F.coalesce(F.exists("retailer_types", lambda t: F.lower(t).isin(*names)), F.lit(False))
+    p, g, d = F.col("_found_platform"), F.col("_governance"), F.col("_detection")
+    return (
+        F.when(F.col("_running"), "already_running").when(typed("shaper_direct", "brand_retail"), "shaper_only").when(typed("distributor"), "distributor_only")
+        .when(said("domain unavailable", "domain for sale"), "closed_or_redirected").when(said("no online surfboard inventory"), "no_online_boards")
+        .when(said("distributor"), "distributor_only").when(said("shaper"), "shaper_only")
+        .when(said("clothing", "accessory", "not suitable", "does not sell hardboard", "not a surfboard retailer"), "unsupported")
+        .when(g == "stock_status_review", "manual_review").when(d == "blocked", "blocked").when(p == "shopify", "ready_shopify").when(p == "woocommerce", "ready_woocommerce")
+        .when(p == "bigcommerce", "ready_bigcommerce").when(p == "neto_maropost", "ready_neto_maropost").when(p.isin("opencart", "ecwid"), "ready_opencart")
+        .when(p.isin("magento", "squarespace"), "ready_custom_high_value").when(d.isin("failed", "needs_review") | g.isin("endpoint_review", "parser_review"), "manual_review").otherwise("unsupported"))
+
+
+def coverage_candidates(candidates: DataFrame, overrides: DataFrame, discovery: DataFrame, running: DataFrame, detection: DataFrame) -> DataFrame:
+    """Status, platform and priority (0 to 99) per candidate: override, else discovery result, else a ladder
+    over what runs, its governance and what was detected.
+
+    All tables meet by site and have one row a site.  ``candidates``: website, priority (1 is best),
+    retailer_types; ``overrides``: status, platform, running, priority_score; ``discovery``: status,
+    platform, priority_score; ``running``: enabled, governance_reason, governance_status, platform,
+    available; ``detection``: platform, status.
+    """
+    def side(df: DataFrame, **columns: str) -> DataFrame:
+        return df.select(site_key("website").alias("_s"), *[F.col(c).alias(name) for name, c in columns.items()]).filter("_s IS NOT NULL")
+
+    low = lambda c: F.lower(T.clean(c))
+    said = lambda c: F.when(~T.blank(c), F.trim(F.col(c)))
+    j = candidates.withColumn("_s", site_key("website"))
+    j = j.join(side(overrides, _o="status", _op="platform", _or="running", _os="priority_score"), "_s", "left")
+    j = j.join(side(discovery, _d="status", _dp="platform", _ds="priority_score"), "_s", "left")
+    j = j.join(side(running, _on="enabled", _r="governance_reason", _g="governance_status", _rp="platform", _n="available"), "_s", "left")
+    j = j.join(side(detection, _tp="platform", _t="status"), "_s", "left")
+    j = j.withColumns({"_running": F.coalesce("_on", F.lit(False)), "_why": low("_r"), "_governance": low("_g"), "_detection": low("_t"), "_found_platform": F.lower(F.coalesce(said("_tp"), said("_rp"), F.lit("")))})
+    j = j.withColumn("status", F.coalesce(said("_o"), said("_d"), _default_status()))
+    platform = F.lower(F.coalesce(said("_op"), said("_dp"), said("_tp"), said("_rp"), F.lit("unknown")))
+    j = j.withColumn("platform", F.when(platform == "ecwid", "opencart").otherwise(platform)).withColumn("already_running", F.coalesce("_or", "_running"))
+    base = F.create_map(*[F.lit(x) for kv in COVERAGE_PRIORITIES.items() for x in kv])
+    own = F.greatest(F.lit(0), F.coalesce(F.element_at(base, F.col("status")), F.lit(0)) - (F.coalesce("priority", F.lit(3)) - 1) * 3)
+    default = (
+        F.when(F.col("status") == "already_running", F.least(F.lit(99), F.lit(40) + F.floor(F.coalesce("_n", F.lit(0)) / 80)))
+        .when(F.col("status") == "parked_live", 18).when(F.col("status") == "parked_manual", 5).otherwise(own))
+    score = F.coalesce("_os", F.when(F.col("_ds") != 0, F.col("_ds")), default).cast("int")
+    decided = F.when(said("_o").isNotNull(), "override").when(said("_d").isNotNull(), "discovery").otherwise("default")
+    return j.withColumn("priority_score", score).withColumn("decided_by", decided).drop(*[c for c in j.columns if c.startswith("_")])
 
 
 def activation_status(df: DataFrame, country: str, supported: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from stockloom.session import checkpointed
 
 S = fx.SUPPORTED
 NOW = "2001-11-30 00:00:00"
+_GRID = ("AFRICA", "ASIA", "EUROPE", "NOWHERE")
 
 
 def _now():
@@ -98,6 +99,11 @@ def jn17(spark, sf):
     return _ts(_matrix(spark, sf))
 
 
+def jn17g(spark, sf):
+    m = H.source_metrics(fx.inventory(spark, sf), "retailer_name")
+    return _ts(H.source_grid(_expect(spark, sf), m, "retailer_name", _GRID, _now()))
+
+
 def ob1(spark, sf):
     return _matrix(spark, sf).groupBy("region_code", "color", "label").agg(F.count("*").alias("sources"))
 
@@ -213,7 +219,7 @@ def ob14(spark, sf):
 
 QUERIES = {
     "ag3_region_metrics": ag3, "ag4_retailer_metrics": ag4, "ag4_brand_metrics": ag4b, "ag5_link_health": ag5, "ag6_supported_counts": ag6,
-    "ag7_linkage_metrics": _link, "ag8_availability_health": ag8, "jn10_region_leakage": jn10, "st1_coverage_gaps": _gaps, "jn17_source_matrix": jn17,
+    "ag7_linkage_metrics": _link, "ag8_availability_health": ag8, "jn10_region_leakage": jn10, "st1_coverage_gaps": _gaps, "jn17_source_matrix": jn17, "jn17_source_grid": jn17g,
     "ob1_source_status": ob1, "ob5_region_overview": _overview, "ob6_region_readiness": ob6, "ob7_inventory_counts": ob7, "ob7_search_quality": ob7b,
     "ob8_retailer_health": ob8, "tk5_order_by_severity": tk5, "tk4_order_regions": tk4, "ob10_job_health": ob10, "ob9_alerts": ob9, "ob11_region_health": ob11,
     "ob15_pipeline_stages": ob15, "ob12_minimums": ob12, "ob13_failure_budget": ob13, "ob14_protected": ob14,
@@ -309,6 +315,10 @@ count(DISTINCT size_id) FILTER ({_AV}) AS live_sizes, count(DISTINCT retailer_id
 count(*) FILTER ({_AV} AND price IS NULL) AS live_without_price FROM inventory WHERE is_active GROUP BY ALL"""),
     "jn10_region_leakage": sql("inventory retailers", """SELECT 'ASIA' AS region_code, region_code AS retailer_region, count(*) AS rows FROM inventory WHERE true_size_id % 19 = 0 AND region_code <> 'ASIA' GROUP BY 2"""),
     "st1_coverage_gaps": h("SELECT * FROM gaps", "gaps"),
+    "jn17_source_grid": h(f"""SELECT region_code, retailer_name, applicability, {_color("applicability", 'latest', 'active_rows')} AS color, {_color("applicability", 'latest', 'active_rows', 'label')} AS label,
+coalesce(active_rows,0) AS active_rows, coalesce(available_rows,0) AS available_rows, coalesce(linked_model_rows,0) AS linked_model_rows, coalesce(linked_size_rows,0) AS linked_size_rows, {_D}
+FROM (SELECT g.region_code, s.retailer_name, coalesce(e.applicability, 'not_applicable') AS applicability, m.* EXCLUDE (region_code, retailer_name) FROM (SELECT retailer_name FROM e UNION SELECT retailer_name FROM rs) s
+CROSS JOIN (SELECT unnest({list(_GRID)}) AS region_code) g LEFT JOIN e ON e.region_code = g.region_code AND e.retailer_name = s.retailer_name LEFT JOIN rs m ON m.region_code = g.region_code AND m.retailer_name = s.retailer_name)""", "rs", "e"),
     "jn17_source_matrix": h(f"SELECT * EXCLUDE (latest), {_D} FROM matrix", "rs", "e", "matrix"),
     "ob1_source_status": h("SELECT region_code, color, label, count(*) AS sources FROM matrix GROUP BY ALL", "rs", "e", "matrix"),
     "ob5_region_overview": h("SELECT * FROM ov", "rm", "dm", "link", "gaps", "ov"),

@@ -64,12 +64,23 @@ def tx9(spark, sf):
         F.col("volume").cast("double").alias("volume"), "construction", "model_key")
 
 
-def tx10(spark, sf):
+def _tx10(spark, sf):
     k = F.col("true_size_id")
     text = F.when(k % 3 == 0, F.concat(F.lit("€ "), F.format_number("price", 2))).when(
         k % 3 == 1, F.concat(F.regexp_replace(F.col("price").cast("int").cast("string"), r"(\d)(\d{3})$", "$1.$2"), F.lit(",00 EUR"))).otherwise("POA")
-    i = fx.inventory(spark, sf).withColumn("price", text)
-    return ls.normalise_regional(i, "EUROPE", "EUR").select("inventory_id", F.col("price_amount").cast("double").alias("price_amount"), "stock_text", F.col("importable").cast("int").alias("importable"))
+    i = fx.inventory(spark, sf).withColumn("price", text).withColumns({
+        "retailer_slug": F.when(k % 23 != 0, F.concat(F.lit("shop_"), "retailer_id")), "retailer_name": F.when(k % 29 != 0, F.col("retailer_name")),
+        "currency": F.when(k % 9 == 0, "USD").when(k % 9 < 5, " EUR "), "is_available": F.when(k % 4 == 0, F.col("is_active")), "brand_name": F.when(k % 6 == 0, F.concat("brand_name", F.lit(" Surfboards"))).otherwise(F.col("brand_name"))})
+    return ls.normalise_regional(i.drop("brand_id"), "EUROPE", "EUR", fx.BRANDS)
+
+
+def tx10(spark, sf):
+    return _tx10(spark, sf).select(
+        "inventory_id", F.col("price_amount").cast("double").alias("price_amount"), "stock_text", "currency", F.col("importable").cast("int").alias("importable"))
+
+
+def tx10r(spark, sf):
+    return _tx10(spark, sf).select("inventory_id", "brand_name", "model_name", "length", F.col("volume").cast("double").alias("volume"), "construction", "fin_setup")
 
 
 def ag13(spark, sf):
@@ -127,7 +138,7 @@ def tx13(spark, sf):
 
 
 QUERIES = {"pf4_score_listings": pf4, "pf5_price_check": pf5, "pf6_classify_candidates": pf6, "pf7_guard_catalogue": pf7, "pf8_reject_reasons": pf8,
-           "pf9_excluded_product_type": pf9, "pf10_exclude_retailers": pf10, "pf11_fallback_exclusions": pf11, "tx9_normalise_listings": tx9, "tx10_normalise_regional": tx10,
+           "pf9_excluded_product_type": pf9, "pf10_exclude_retailers": pf10, "pf11_fallback_exclusions": pf11, "tx9_normalise_listings": tx9, "tx10_normalise_regional": tx10, "tx10_regional_names": tx10r,
            "ag13_retailer_quality": ag13, "ag13_retailer_quality_totals": ag13t, "ag14_inventory_quality": ag14, "ag20_funnel": ag20, "ag21_import_report": ag21, "ag21_recommendation": ag21r,
            "st6_union_feeds": st6, "ag22_build_catalogue": ag22, "tx13_direct_rows": tx13}
 
@@ -206,8 +217,14 @@ ORACLE = {
 CASE WHEN title LIKE '% PU' THEN 'pu' ELSE lower(construction) END AS construction, {key('hint')} AS model_key FROM (SELECT *, coalesce(length, regexp_extract(title, '[0-9]+''[0-9]+')) AS l,
 coalesce(width, nullif(regexp_extract(title, {_TD}, 2),'')) AS w, coalesce(thickness, nullif(regexp_extract(title, {_TD}, 3),'')) AS t, coalesce(CAST(volume AS VARCHAR), nullif(regexp_extract(title, {_TD}, 4),'')) AS v,
 CASE WHEN title LIKE '% Surfboards - %' THEN split_part(title,' - ',2) ELSE trim(regexp_replace(regexp_replace(regexp_replace(title,'^Brand#[0-9]+\\s*',''),'^[0-9]+''[0-9]+\\s*',''),'\\bPU\\b.*$','')) END AS hint FROM inventory)"""),
-    "tx10_normalise_regional": sql("inventory", f"""SELECT inventory_id, pa AS price_amount, CASE WHEN stock_status IS NULL THEN 'Unknown' WHEN {_AV} THEN 'In Stock' ELSE 'Out of Stock' END AS stock_text,
-(region_code = 'EUROPE' AND pa IS NOT NULL AND (length IS NOT NULL OR volume IS NOT NULL))::INT AS importable FROM (SELECT *, CASE WHEN true_size_id % 3 <> 2 THEN price END AS pa FROM inventory)"""),
+    "tx10_normalise_regional": sql("inventory", f"""SELECT inventory_id, pa AS price_amount, CASE WHEN av THEN 'In Stock' WHEN NOT av THEN 'Out of Stock' ELSE 'Unknown' END AS stock_text, cu AS currency,
+(true_size_id % 23 <> 0 AND true_size_id % 29 <> 0 AND region_code = 'EUROPE' AND product_url IS NOT NULL AND pa IS NOT NULL AND cu = 'EUR' AND av IS NOT NULL)::INT AS importable FROM (SELECT *, CASE WHEN true_size_id % 3 <> 2 THEN price END AS pa,
+CASE WHEN true_size_id % 9 = 0 THEN 'USD' ELSE 'EUR' END AS cu, CASE WHEN stock_status IS NOT NULL THEN {_AV} WHEN true_size_id % 4 = 0 THEN is_active END AS av FROM inventory)"""),
+    "tx10_regional_names": sql("inventory", r"""SELECT inventory_id, b AS brand_name, nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t0, '\bsurfboards?\b', ' ', 'gi'),
+'\b(?:[4-9]|1[0-2])\s*[''’]\s*\d{1,2}\s*(?:''''|"|”|in)?\b', ' ', 'gi'), '(?:\b(?:volume|vol\.?)\s*[:-]?\s*)?\b((?:1[5-9]|[2-7]\d|8[0-5])(?:[.,]\d{1,2})?)\s*(?:l|ltr|litre|litres)\b', ' ', 'gi'), '\bpu\b|\beps\b|\bepoxy\b|\bcarbon\b|spine\s*-?\s*tek', ' ', 'gi'),
+'\bfcs\s*(?:ii|2|ll)?\b|\bfutures?\b|\btwin(?:\s*fin)?\b|\btri\s*fin\b|\bthruster\b', ' ', 'gi'), '\b(?:white|black|blue|red|orange|color|sand)\b', ' ', 'gi'), '[-|_/]+', ' ', 'g'), '\s+', ' ', 'g')), '') AS model_name,
+coalesce(length, regexp_extract(title, '[0-9]+''[0-9]+')) AS length, CAST(coalesce(volume, CAST(nullif(regexp_extract(title, '([0-9.]+)L$', 1), '') AS DECIMAL(10,2))) AS DOUBLE) AS volume, coalesce(construction, CASE WHEN title LIKE '% PU' THEN 'PU' END) AS construction, fin_setup
+FROM (SELECT *, CASE WHEN brand_name IS NULL AND title LIKE 'Brand#%' THEN regexp_replace(title, '^Brand#[0-9]+(\s+Surfboards?)?', ' ', 'i') ELSE title END AS t0, coalesce(brand_name, nullif(regexp_extract(title, '^Brand#[0-9]+'), '')) AS b FROM inventory)"""),
     "ag13_retailer_quality": sql("inventory", f"""SELECT *, CASE WHEN raw=0 THEN 'failed' WHEN verified=0 OR available=0 THEN 'poor' WHEN ratio0 < 0.02 THEN 'poor' WHEN ratio0 < 0.08 THEN 'review' ELSE 'healthy' END AS health
 FROM (SELECT retailer_id, count(*) AS raw, count(*) FILTER (true_size_id % 12 = 0) AS verified, count(size_id) AS normalised, count(*) FILTER (size_id IS NOT NULL AND {_AV}) AS available,
 count(size_id) - count(DISTINCT CASE WHEN size_id IS NOT NULL THEN coalesce(product_url || '|', '') || coalesce(length,'') END) AS duplicates,

@@ -8,6 +8,9 @@ from stockloom.operators import network as nw
 from stockloom.plans import fixtures as fx
 from stockloom.plans.fixtures import sql
 
+_WHY = ("", "Domain for sale", "No online surfboard inventory", "A distributor", "Shaper", "Clothing only", "", "accessory shop", "Not suitable", "", "")
+_PLATFORMS = ("shopify", "woocommerce", "", "BigCommerce", "neto_maropost", "ecwid", "squarespace", "wix", "opencart")
+_R = ("AU", "US", "EU", "ID", "CA", "UK", "JP", "NZ", "BR", "ZA", "MX", "PR", "HI")
 _C = ("Australia", "France", "USA", "Japan", "Nowhere", "United States")
 
 
@@ -52,21 +55,44 @@ def ag15(spark, sf):
 
 
 def ag16(spark, sf):
-    return nw.dealer_summary(_merged(spark, sf), nw.dealer_manufacturers(_dealers(spark, sf)), 3).select("region_code", "manufacturer", "dealers", "rank")
+    return nw.dealer_summary(_merged(spark, sf), nw.dealer_manufacturers(_dealers(spark, sf))).select("region_code", "manufacturer", "dealers", "rank")
 
 
-def pf19(spark, sf):
+def _scored(spark, sf):
     k = F.col("sources")
     d = _merged(spark, sf).withColumns({"known": k % 4 != 1, "blocked": k % 7 == 0, "running": k % 5 == 0, "configured": k % 3 == 0, "enabled": k % 2 == 0, "dealer_type": F.when(F.col("manufacturers") == 1, "distributor")})
-    return nw.score_dealers(d, ["AU", "US"], ["EU"]).select("dealer_group", "status", "score")
+    return nw.score_dealers(d, ["AU", "US"], ["EU"])
+
+
+def pf19(spark, sf):
+    return _scored(spark, sf).select("dealer_group", "status", "score")
+
+
+def ag16s(spark, sf):
+    return nw.dealer_status_counts(_scored(spark, sf), _R)
+
+
+def ag16t(spark, sf):
+    return nw.top_candidates(_scored(spark, sf)).select("region_code", "dealer_group", "status", "score", "manufacturers", "rank")
+
+
+def ag16m(spark, sf):
+    return nw.manufacturer_regions(_merged(spark, sf), nw.dealer_manufacturers(_dealers(spark, sf))).select("manufacturer", "region_code", "dealers", "dealer_count")
 
 
 def pf20(spark, sf):
-    d = _dealers(spark, sf).withColumn("platform", F.when(F.col("dealer_id") % 2 == 0, "shopify").otherwise("wix"))
-    site = lambda lo, hi: spark.range(lo, hi).select(F.concat(F.lit("https://d"), "id", F.lit(".example.com")).alias("website"), F.col("id"))
-    s = _merged(spark, sf).filter("website IS NOT NULL").select("website", F.regexp_extract("website", r"D(\d+)\.", 1).cast("int").alias("n"))
-    return nw.coverage_candidates(d, s.filter("n < 20").select("website", F.lit("blocked").alias("status")), s.filter("n >= 10 AND n < 60").select("website", F.lit("ready").alias("status"), "n").withColumnRenamed("n", "products")).select(
-        "dealer_id", "status", "priority", "decided_by")
+    d = _dealers(spark, sf)
+    k = F.col("dealer_id")
+    kind = F.when(k % 31 == 0, F.array(F.lit("Shaper_Direct"))).when(k % 37 == 0, F.array(F.lit("shop"), F.lit("distributor"))).when(k % 2 == 0, F.array(F.lit("shop")))
+    c = d.withColumn("priority", F.when(k % 6 != 0, k % 6)).withColumn("retailer_types", kind)
+    n = F.col("n")
+    site = _merged(spark, sf).filter("website IS NOT NULL").select("website", F.regexp_extract("website", r"D(\d+)\.", 1).cast("int").alias("n"))
+    text = lambda names, by: F.element_at(F.array(*[F.lit(x) for x in names]), (n % by + 1).cast("int"))
+    overrides = site.filter("n < 12").select("website", F.when(n < 8, text(("blocked", "parked_live", "parked_manual"), 3)).alias("status"), F.when(n % 2 == 0, "ECWID").alias("platform"), F.when(n == 3, True).alias("running"), F.when(n % 4 == 0, n).alias("priority_score"))
+    discovery = site.filter("n >= 10 AND n < 60").select("website", F.when(n % 2 == 0, "ready_shopify").otherwise(" ").alias("status"), F.when(n % 3 == 0, "Shopify").alias("platform"), F.when(n % 5 != 0, n % 10).alias("priority_score"))
+    running = site.filter("n % 3 <> 0").select("website", (n % 4 == 0).alias("enabled"), text(_WHY, 11).alias("governance_reason"), text(("", "stock_status_review", "parser_review"), 3).alias("governance_status"), F.lit("magento").alias("platform"), (n * 40).alias("available"))
+    detection = site.filter("n % 5 <> 0").select("website", text(_PLATFORMS, 9).alias("platform"), text(("ok", "blocked", "failed", "ok"), 4).alias("status"))
+    return nw.coverage_candidates(c, overrides, discovery, running, detection).select("dealer_id", "status", "platform", "priority_score", "decided_by", F.col("already_running").cast("int").alias("already_running"))
 
 
 def pf12(spark, sf):
@@ -150,7 +176,7 @@ def tx20(spark, sf):
     return nw.expand_categories(p, p.filter("category_id = 5 OR category_id = 11").select("category_id"))
 
 
-QUERIES = {"tx15_keys": tx15, "tx16_infer_region": tx16, "tx19_dealer_rows": tx19, "jn16_match_retailer": jn16, "ag15_merge_dealers": ag15, "ag16_dealer_summary": ag16, "pf19_score_dealers": pf19,
+QUERIES = {"tx15_keys": tx15, "tx16_infer_region": tx16, "tx19_dealer_rows": tx19, "jn16_match_retailer": jn16, "ag15_merge_dealers": ag15, "ag16_dealer_summary": ag16, "ag16_status_counts": ag16s, "ag16_top_candidates": ag16t, "ag16_manufacturers": ag16m, "pf19_score_dealers": pf19,
            "pf20_coverage_candidates": pf20, "pf12_activation_status": pf12, "pf13_build_targets": pf13, "pf13_target_sites": pf13s, "pf15_score_location": pf15, "pf16_candidate_names": pf16,
            "ag17_group_entities": ag17, "pf24_review_entities": pf24, "pf24_clean_seed": pf24s, "pf17_classify_discovery": pf17, "ag25_group_by_site": ag25, "ag23_governance": ag23, "tx20_expand_categories": tx20}
 
@@ -166,6 +192,9 @@ def n(body: str) -> str:
     return sql("", body, d0=_D0, d=_D, m=_M, nm=_NM)
 
 
+_PF19 = """SELECT dealer_group, region_code, dealer_name, manufacturers, status, CASE status WHEN 'Blocked' THEN 1 WHEN 'Already running' THEN 5 WHEN 'Known but disabled' THEN CASE WHEN region_code IN ('AU','US') THEN 4 ELSE 3 END WHEN 'Configured but inactive' THEN 4
+ELSE greatest(1, least(5, 1 + CASE WHEN region_code IN ('AU','US') THEN 2 WHEN region_code = 'EU' THEN 1 ELSE 0 END + (manufacturers >= 2)::INT + (site IS NOT NULL)::INT - (manufacturers = 1)::INT)) END AS score FROM (SELECT *, CASE WHEN sources % 7 = 0 THEN 'Blocked' WHEN sources % 5 = 0 THEN 'Already running'
+WHEN sources % 3 = 0 AND sources % 2 = 0 THEN 'Configured but inactive' WHEN sources % 3 = 0 THEN 'Known but disabled' WHEN sources % 4 = 1 AND site IS NOT NULL THEN 'Candidate' ELSE 'Manual review' END AS status FROM m)"""
 _TG = """SELECT id AS retailer_id, site, CASE WHEN site IS NULL THEN 'missing_website' WHEN mk % 4 = 1 AND contains(site,'1') THEN NULL WHEN mk % 4 = 0 THEN 'platform_unknown' WHEN mk % 4 = 1 THEN 'unsupported_platform' END AS excluded,
 country, CASE WHEN mk % 4 = 0 THEN NULL WHEN mk % 4 = 1 THEN 'unknown' ELSE 'shopify' END AS platform, (mk % 4 = 1 AND contains(site,'1'))::INT AS approved FROM (SELECT *, min(id) OVER (PARTITION BY site) AS mk FROM d)"""
 ORACLE = {
@@ -175,12 +204,25 @@ ORACLE = {
     "jn16_match_retailer": n("SELECT id AS dealer_id, coalesce(a.s_suppkey, b.s_suppkey) AS retailer_id FROM d LEFT JOIN supplier a ON a.s_suppkey % 2 = 0 AND d.site = 'd' || a.s_suppkey || '.example.com' LEFT JOIN supplier b ON b.s_suppkey = d.id % 400"),
     "ag15_merge_dealers": n("SELECT dealer_group, dealer_name, city, region_code, manufacturers, sources FROM m"),
     "ag16_dealer_summary": n("""SELECT region_code, manufacturer, dealers, rank FROM (SELECT *, row_number() OVER (PARTITION BY region_code ORDER BY dealers DESC, manufacturer) AS rank FROM (SELECT m.region_code, d.manufacturer, count(DISTINCT m.dealer_group) AS dealers
-FROM m JOIN d ON d.g = m.dealer_group GROUP BY ALL)) WHERE rank <= 3"""),
-    "pf19_score_dealers": n("""SELECT dealer_group, status, CASE status WHEN 'Blocked' THEN 1 WHEN 'Already running' THEN 5 WHEN 'Known but disabled' THEN CASE WHEN region_code IN ('AU','US') THEN 4 ELSE 3 END WHEN 'Configured but inactive' THEN 4
-ELSE greatest(1, least(5, 1 + CASE WHEN region_code IN ('AU','US') THEN 2 WHEN region_code = 'EU' THEN 1 ELSE 0 END + (manufacturers >= 2)::INT + (site IS NOT NULL)::INT - (manufacturers = 1)::INT)) END AS score FROM (SELECT *, CASE WHEN sources % 7 = 0 THEN 'Blocked' WHEN sources % 5 = 0 THEN 'Already running'
-WHEN sources % 3 = 0 AND sources % 2 = 0 THEN 'Configured but inactive' WHEN sources % 3 = 0 THEN 'Known but disabled' WHEN sources % 4 = 1 AND site IS NOT NULL THEN 'Candidate' ELSE 'Manual review' END AS status FROM m)"""),
-    "pf20_coverage_candidates": n("""SELECT id AS dealer_id, status, CASE WHEN status LIKE 'ready%' AND coalesce(p,0) >= 10 THEN 1 WHEN status LIKE 'ready%' THEN 2 WHEN status = 'manual_review' THEN 3 ELSE 4 END AS priority, decided_by FROM (SELECT id, CASE WHEN q < 20 THEN 'blocked' WHEN q >= 10 AND q < 60 THEN 'ready'
-WHEN q IS NULL THEN 'missing_site' WHEN id % 2 = 0 THEN 'ready_to_probe' ELSE 'manual_review' END AS status, CASE WHEN q < 20 THEN 'override' WHEN q >= 10 AND q < 60 THEN 'discovery' ELSE 'default' END AS decided_by, CASE WHEN q >= 10 AND q < 60 THEN q END AS p FROM (SELECT id, CASE WHEN site IS NOT NULL THEN id % 250 END AS q FROM d))"""),
+FROM m JOIN d ON d.g = m.dealer_group GROUP BY ALL)) WHERE rank <= 5"""),
+    "pf19_score_dealers": n(f"SELECT dealer_group, status, score FROM ({_PF19})"),
+    "ag16_status_counts": n(f"""SELECT r AS region_code, count(dealer_group) AS total_discovered, count(*) FILTER (status = 'Already running') AS already_running, count(*) FILTER (status = 'Candidate') AS candidates,
+count(*) FILTER (status IN ('Candidate','Known but disabled','Configured but inactive') AND score >= 4) AS high_priority, count(*) FILTER (status = 'Manual review') AS manual_review
+FROM (SELECT unnest({list(_R)}) AS r) LEFT JOIN ({_PF19}) ON region_code = r GROUP BY 1"""),
+    "ag16_top_candidates": n(f"""SELECT region_code, dealer_group, status, score, manufacturers, row_number() OVER (PARTITION BY region_code ORDER BY score DESC, manufacturers DESC, dealer_name, dealer_group) AS rank FROM ({_PF19})
+WHERE status IN ('Candidate','Known but disabled','Configured but inactive') QUALIFY rank <= 10"""),
+    "ag16_manufacturers": n("""SELECT manufacturer, region_code, dealers, sum(dealers) OVER (PARTITION BY manufacturer)::BIGINT AS dealer_count FROM (SELECT d.manufacturer, m.region_code, count(DISTINCT m.dealer_group) AS dealers FROM m JOIN d ON d.g = m.dealer_group GROUP BY ALL)"""),
+    "pf20_coverage_candidates": n(f"""SELECT dealer_id, status, CASE WHEN pl = 'ecwid' THEN 'opencart' ELSE pl END AS platform, coalesce(os, nullif(ds, 0), CASE status WHEN 'already_running' THEN least(99, 40 + av // 80) WHEN 'parked_live' THEN 18 WHEN 'parked_manual' THEN 5
+ELSE greatest(0, CASE status {" ".join(f"WHEN '{k}' THEN {v}" for k, v in nw.COVERAGE_PRIORITIES.items())} ELSE 0 END - (coalesce(pr, 3) - 1) * 3) END)::INT AS priority_score, dby AS decided_by, coalesce(orun, run)::INT AS already_running FROM (SELECT *, coalesce(o, d0, CASE
+WHEN run THEN 'already_running' WHEN dealer_id % 31 = 0 THEN 'shaper_only' WHEN dealer_id % 37 = 0 THEN 'distributor_only' WHEN contains(why, 'domain unavailable') OR contains(why, 'domain for sale') THEN 'closed_or_redirected'
+WHEN contains(why, 'no online surfboard inventory') THEN 'no_online_boards' WHEN contains(why, 'distributor') THEN 'distributor_only' WHEN contains(why, 'shaper') THEN 'shaper_only' WHEN contains(why, 'clothing') OR contains(why, 'accessory')
+OR contains(why, 'not suitable') OR contains(why, 'does not sell hardboard') OR contains(why, 'not a surfboard retailer') THEN 'unsupported' WHEN gov = 'stock_status_review' THEN 'manual_review' WHEN det = 'blocked' THEN 'blocked'
+WHEN fp IN ('shopify','woocommerce','bigcommerce','neto_maropost') THEN 'ready_' || fp WHEN fp IN ('opencart','ecwid') THEN 'ready_opencart' WHEN fp IN ('magento','squarespace') THEN 'ready_custom_high_value'
+WHEN det = 'failed' OR gov = 'parser_review' THEN 'manual_review' ELSE 'unsupported' END) AS status, CASE WHEN o IS NOT NULL THEN 'override' WHEN d0 IS NOT NULL THEN 'discovery' ELSE 'default' END AS dby,
+lower(coalesce(op, dp, nullif(tp, ''), rp, 'unknown')) AS pl FROM (SELECT *, lower(coalesce(nullif(tp, ''), rp, '')) AS fp FROM (SELECT id AS dealer_id, nullif(id % 6, 0) AS pr, CASE WHEN q < 8 THEN (['blocked','parked_live','parked_manual'])[q % 3 + 1] END AS o, CASE WHEN q < 12 AND q % 2 = 0 THEN 'ecwid' END AS op,
+CASE WHEN q = 3 THEN true END AS orun, CASE WHEN q < 12 AND q % 4 = 0 THEN q END AS os, CASE WHEN q >= 10 AND q < 60 AND q % 2 = 0 THEN 'ready_shopify' END AS d0, CASE WHEN q >= 10 AND q < 60 AND q % 3 = 0 THEN 'shopify' END AS dp, CASE WHEN q >= 10 AND q < 60 AND q % 5 <> 0 THEN q % 10 END AS ds,
+coalesce(q % 3 <> 0 AND q % 4 = 0, false) AS run, CASE WHEN q % 3 <> 0 THEN lower(({list(_WHY)})[q % 11 + 1]) ELSE '' END AS why, CASE WHEN q % 3 <> 0 THEN (['','stock_status_review','parser_review'])[q % 3 + 1] ELSE '' END AS gov, CASE WHEN q % 3 <> 0 THEN 'magento' END AS rp, CASE WHEN q % 3 <> 0 THEN q * 40 ELSE 0 END AS av,
+CASE WHEN q % 5 <> 0 THEN ({list(_PLATFORMS)})[q % 9 + 1] END AS tp, CASE WHEN q % 5 <> 0 THEN (['ok','blocked','failed','ok'])[q % 4 + 1] ELSE '' END AS det FROM (SELECT id, CASE WHEN site IS NOT NULL THEN id % 250 END AS q FROM d))))"""),
     "pf12_activation_status": n("""SELECT id AS dealer_id, CASE WHEN reason = 'supported_retailer' THEN 'active' ELSE 'excluded' END AS status, reason FROM (SELECT id, CASE WHEN country <> 'Australia' THEN 'foreign_country' WHEN id % 11 = 0 THEN 'manufacturer_or_brand' WHEN id % 4 <> 0 AND id % 13 = 0 THEN 'not_hardboard_retailer'
 WHEN id % 5 = 0 THEN 'platform_unknown' WHEN id % 5 = 1 THEN 'unsupported_platform_wix' WHEN site IS NULL THEN 'missing_website' ELSE 'supported_retailer' END AS reason FROM d)"""),
     "pf13_build_targets": n(f"SELECT retailer_id, site, excluded FROM ({_TG})"),

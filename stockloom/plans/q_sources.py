@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from stockloom.plans import fixtures as fx
 from stockloom.plans.fixtures import sql
+from stockloom.session import shared_folder
 from stockloom.sources import feeds as fd
 from stockloom.sources import pages as pg
 from stockloom.sources import sinks as sk
@@ -104,6 +107,15 @@ def sc7(spark, sf):
     return sk.replace_scope(i, new, ["region_code"]).groupBy("region_code").agg(F.count("*").alias("rows"), F.sum("price").alias("total"))
 
 
+def sc7o(spark, sf):
+    """A table partitioned by region in the shared folder, and one region of it loaded anew."""
+    i = _small(spark, sf)
+    path = f"{shared_folder(spark).rstrip('/')}/stockloom-{uuid.uuid4().hex}"
+    i.write.partitionBy("region_code").parquet(path)
+    sk.replace_region(i.filter("true_size_id % 2 = 0").withColumn("price", F.col("price") + 1), path, "ASIA")
+    return spark.read.parquet(path).groupBy("region_code").agg(F.count("*").alias("rows"), F.sum("price").alias("total"))
+
+
 def sc8(spark, sf):
     i = _small(spark, sf)
     new = i.filter((F.col("region_code") == "ASIA") & (F.col("true_size_id") % 2 == 0)).withColumn("price", F.col("price") + 1)
@@ -163,7 +175,7 @@ def sc14r(spark, sf):
 
 
 QUERIES = {"sc1_unwrap_feed": sc1, "sc2_flatten_variants": sc2, "sc3_attribute_variants": sc3, "sc4_jsonld_products": sc4, "sc5_cards": sc5, "sc6_category_links": sc6, "sc15_size_options": sc15,
-           "pf14_detect_platform": pf14, "pf18_detect_shells": pf18, "pf23_candidate_lines": pf23, "sc7_replace_region": sc7, "sc8_replace_scope": sc8, "sc9_upsert": sc9, "sc10_deactivate_then_load": sc10,
+           "pf14_detect_platform": pf14, "pf18_detect_shells": pf18, "pf23_candidate_lines": pf23, "sc7_replace_region": sc7, "sc7_region_overwrite": sc7o, "sc8_replace_scope": sc8, "sc9_upsert": sc9, "sc10_deactivate_then_load": sc10,
            "sc11_rollback_plan": sc11, "sc12_report_rows": sc12, "sc13_reject_audit": sc13, "sc14_conform": sc14, "sc14_conform_report": sc14r}
 
 _VIS = "trim(regexp_replace(replace(regexp_replace(regexp_replace({0}, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&amp;', '&'), '\\s+', ' ', 'g'))"
@@ -187,6 +199,7 @@ WHEN contains(lower(html),'enß') THEN 'woocommerce' ELSE 'unknown' END AS p FRO
     "pf23_candidate_lines": """SELECT DISTINCT url, line FROM (SELECT url, trim(regexp_replace(l, '\\s+', ' ', 'g')) AS line FROM (SELECT url, unnest(regexp_split_to_array(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', E'\\n', 'g'), '(?s)<[^>]+>', E'\\n', 'g'), '[\\r\\n]+')) AS l FROM pages))
 WHERE length(line) BETWEEN 4 AND 120 AND regexp_matches(lower(line), 'the|que')""",
     "sc7_replace_region": sql("inventory", "SELECT region_code, count(*) AS rows, sum(price) + CASE WHEN region_code = 'ASIA' THEN count(*) ELSE 0 END AS total FROM inventory GROUP BY 1"),
+    "sc7_region_overwrite": sql("inventory", "SELECT region_code, count(*) AS rows, sum(price) + CASE WHEN region_code = 'ASIA' THEN count(*) ELSE 0 END AS total FROM inventory WHERE region_code <> 'ASIA' OR true_size_id % 2 = 0 GROUP BY 1"),
     "sc8_replace_scope": sql("inventory", """SELECT region_code, retailer_id, count(*) AS rows, sum(CASE WHEN region_code='ASIA' THEN price + 1 ELSE price END) AS total FROM inventory i WHERE region_code <> 'ASIA' OR true_size_id % 2 = 0
 OR NOT EXISTS (SELECT 1 FROM inventory j WHERE j.region_code = 'ASIA' AND j.retailer_id = i.retailer_id AND j.true_size_id % 2 = 0) GROUP BY ALL"""),
     "sc9_upsert": sql("direct", """SELECT CASE WHEN k % 3 <> 0 THEN id END AS inventory_id, product_url, region_code, price + 1 AS price, CASE WHEN k % 3 <> 0 THEN 'update' ELSE 'insert' END AS action FROM st""", st=_ST),

@@ -15,8 +15,14 @@ from stockloom.functions import text as T
 
 
 def replace_region(df: DataFrame, path: str, region: str) -> None:
-    """Replace one region's partition; other partitions are not touched."""
-    df.filter(F.col("region_code") == region).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("region_code").parquet(path)
+    """Replace one region's partition; other partitions are not touched.
+
+    A load without a row of the region is refused: it would leave the old rows in place.
+    """
+    rows = df.filter(F.col("region_code") == region)
+    if rows.isEmpty():
+        raise ValueError(f"no rows of {region} to load")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("region_code").parquet(path)
 
 
 def replace_scope(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
