@@ -363,9 +363,19 @@ def region_health(retail: DataFrame, direct: DataFrame, states: DataFrame, now:
     return j.withColumn("status", worst_level(F.col("inventory_status"), F.col("direct_status"))).drop("retail_latest", "direct_latest")
 
 
-def pipeline_stages(overview: DataFrame, jobs: DataFrame) -> DataFrame:
+def _catalogue_stage(jobs: DataFrame, name: str) -> DataFrame:
+    """The stage of the global catalogue job: its colour, and its latest success as the issue; grey without such a job."""
+    g = jobs.filter((F.upper("expected_region") == "GLOBAL") & (F.col("job_name") == name)).agg(
+        F.min_by("color", "region_code").alias("color"), F.min_by("latest_success", "region_code").alias("at"), F.count("*").alias("n"))
+    said = F.when(F.col("n") == 0, "No recent global catalogue execution").when(F.col("at").isNull(), "No recent global catalogue success").otherwise(
+        F.concat(F.lit("Last success "), F.date_format("at", "yyyy-MM-dd")))
+    kept = F.when(F.col("color") == "yellow", "; canonical truth preserved").otherwise("")
+    return g.select(F.lit("global_catalogue").alias("stage"), F.coalesce("color", F.lit("grey")).alias("color"), F.col("n").alias("metric"), F.lit(None).cast("string").alias("worst_region"), F.concat(said, kept).alias("issue"))
+
+
+def pipeline_stages(overview: DataFrame, jobs: DataFrame, catalogue_job: str | None = None) -> DataFrame:
     """Per stage: the worst colour over regions, rows handled, and of a yellow or red stage the first
-    region by name that has the colour, with the issue in words."""
+    region by name that has the colour, with the issue in words; the global catalogue job is a stage of its own."""
     stages = [("retailer_inventory", "retailer_status", "retail_rows"), ("manufacturer_direct", "direct_status", "direct_rows"),
               ("search_linkage", "search_status", "supported_rows"), ("coverage", "coverage_status", "no_stock_anywhere")]
     each = F.array(*[F.struct(F.lit(s).alias("stage"), F.col(c).alias("color"), F.col(m).cast("long").alias("metric")) for s, c, m in stages])
@@ -375,9 +385,10 @@ def pipeline_stages(overview: DataFrame, jobs: DataFrame) -> DataFrame:
         F.max(F.struct(severity("color").alias("s"), F.col("color").alias("c"))).alias("w"), F.sum("metric").alias("metric"),
         F.min(F.struct((-severity("color")).alias("s"), F.col("region_code").alias("r"))).alias("i"))
     bad = F.col("w.c").isin("yellow", "red")
-    return worst.select(
+    out = worst.select(
         "stage", F.col("w.c").alias("color"), "metric", F.when(bad, F.col("i.r")).alias("worst_region"),
         F.when(bad, F.concat_ws(": ", "i.r", "w.c")).otherwise("All expected regions are healthy.").alias("issue"))
+    return out if catalogue_job is None else out.unionByName(_catalogue_stage(jobs, catalogue_job))
 
 
 # --------------------------------------------------------------------------- guards

@@ -326,19 +326,48 @@ def inventory_quality(df: DataFrame) -> DataFrame:
                   F.countDistinct("retailer_name").alias("retailers"), F.countDistinct("brand_name").alias("brands"))
 
 
-def import_report(df: DataFrame, known_models: DataFrame) -> DataFrame:
-    """Counts per retailer of importable, matched and review rows; expects ``reject_reasons``."""
+def canonical_match(df: DataFrame, known_models: DataFrame) -> DataFrame:
+    """Add ``brand_matched``, ``model_matched``, ``review_reasons`` and ``importable`` to rows with ``reject_reasons``."""
     m = known_models.select("brand_name", T.text_key("model_name").alias("_mk")).distinct()
     b = known_models.select(F.col("brand_name").alias("_b")).distinct()
     d = df.withColumn("_mk", T.text_key("model_name")).join(m.withColumn("_m", F.lit(True)), ["brand_name", "_mk"], "left")
     d = d.join(b, F.col("brand_name") == F.col("_b"), "left")
-    ok, brand, model = F.size("reject_reasons") == 0, F.col("_b").isNotNull(), F.coalesce("_m", F.lit(False))
+    d = d.withColumn("brand_matched", F.col("_b").isNotNull()).withColumn("model_matched", F.coalesce("_m", F.lit(False)))
+    reasons = F.array_compact(F.array(F.when(~F.col("brand_matched"), "unknown_brand"), F.when(~F.col("model_matched"), "unknown_model")))
+    return d.withColumn("review_reasons", reasons).withColumn("importable", F.size("reject_reasons") == 0).drop("_mk", "_m", "_b")
+
+
+def import_report(df: DataFrame, known_models: DataFrame) -> DataFrame:
+    """Counts per retailer of importable, matched and review rows; expects ``reject_reasons``."""
+    d = canonical_match(df, known_models)
+    ok, brand, model = F.col("importable"), F.col("brand_matched"), F.col("model_matched")
     n = lambda c, a: F.sum(c.cast("long")).alias(a)
     name = F.coalesce("retailer_name", F.lit("<missing>")).alias("retailer_name")
     return d.groupBy(name).agg(F.count("*").alias("rows"), n(ok, "importable"), n(~ok, "rejected"), n(ok & brand & model, "matched"),
                                           n(ok & ~(brand & model), "review"), n(~brand, "unknown_brand"), n(~model, "unknown_model"))
 
 
+def import_reasons(df: DataFrame, known_models: DataFrame) -> DataFrame:
+    """kind (reject or review), retailer_name, reason, rows: reject reasons per retailer and in all, review reasons in all (retailer NULL)."""
+    d = canonical_match(df, known_models).withColumn("retailer_name", F.coalesce("retailer_name", F.lit("<missing>")))
+    reject = d.select("retailer_name", F.explode("reject_reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("rows"))
+    by_retailer = d.select("retailer_name", F.explode("reject_reasons").alias("reason")).groupBy("retailer_name", "reason").agg(F.count("*").alias("rows"))
+    review = d.select(F.explode("review_reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("rows"))
+    nobody = F.lit(None).cast("string").alias("retailer_name")
+    out = by_retailer.select(F.lit("reject").alias("kind"), "retailer_name", "reason", "rows")
+    return out.unionByName(reject.select(F.lit("reject").alias("kind"), nobody, "reason", "rows")).unionByName(review.select(F.lit("review").alias("kind"), nobody, "reason", "rows"))
+
+
+def import_unknown(df: DataFrame, known_models: DataFrame, n: int = 50) -> DataFrame:
+    """kind (brand or model), name, rows: the ``n`` most frequent brands and models that the catalogue lacks."""
+    d = canonical_match(df, known_models)
+    said = lambda c, other: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(other))
+    brand = d.filter(~F.col("brand_matched")).groupBy(said("brand_name", "missing").alias("name")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "name").limit(n)
+    both = F.concat_ws(" / ", said("brand_name", "missing_brand"), said("model_name", "missing_model"))
+    model = d.filter(~F.col("model_matched")).groupBy(both.alias("name")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "name").limit(n)
+    return brand.select(F.lit("brand").alias("kind"), "name", "rows").unionByName(model.select(F.lit("model").alias("kind"), "name", "rows"))
+
+
 def recommendation(report: DataFrame) -> DataFrame:
     s = report.agg(F.sum("importable").alias("i"), F.sum("rejected").alias("r"), F.sum("review").alias("v"))
     return s.select(F.when((F.col("r") > 0) & (F.col("i") == 0), "Needs major work").when(F.col("v") > 0, "Raw import ready, canonical review required")

@@ -220,6 +220,31 @@ def target_sites(targets: DataFrame) -> DataFrame:
     return live.groupBy("site").agg(F.min("retailer_id").alias("first_retailer"), F.countDistinct("country").alias("locations"), F.max("platform").alias("platform"), F.max("approved").alias("approved"))
 
 
+def site_locations(targets: DataFrame) -> DataFrame:
+    """The shops of every active site, one row each: a site may have many."""
+    return targets.filter("excluded IS NULL").select("site", "retailer_id", "country").distinct()
+
+
+def merge_targets(sites: DataFrame, existing: DataFrame, approved: DataFrame, platforms: Sequence[str]) -> DataFrame:
+    """Generated sites together with the targets that were there before.
+
+    ``existing``: website, platform, status, priority, one row a site.  A site of both keeps what only
+    the old target has and takes the rest anew.  An old target that was not generated is preserved
+    if it is active (or says nothing), has a known platform, and so would not be left out.  A new
+    site is only activated when approved, unless there were no targets at all.
+    """
+    e = existing.select(site_key("website").alias("site"), F.col("platform").alias("_p"), F.lower(T.clean("status")).alias("_s"), F.col("priority").alias("_r")).filter("site IS NOT NULL").withColumn("_old", F.lit(True))
+    a = approved.select("site").distinct().withColumn("_approved", F.lit(True))
+    first = e.limit(1).count() == 0
+    j = sites.withColumn("_new", F.lit(True)).join(e, "site", "full").join(a, "site", "left")
+    new, old = F.coalesce("_new", F.lit(False)), F.coalesce("_old", F.lit(False))
+    fit = F.col("_s").isin("", "active") & (F.lower(T.clean("_p")).isin(*platforms) | F.coalesce("_approved", F.lit(False)))
+    action = F.when(new & old, "merged").when(new, "new").when(old & fit, "preserved")
+    active = F.when(F.col("action") == "new", F.coalesce("_approved", F.lit(False)) | F.lit(first)).otherwise(True)
+    j = j.withColumn("action", action).filter("action IS NOT NULL").withColumn("active", active)
+    return j.withColumn("platform", F.coalesce("platform", "_p")).withColumn("priority", F.col("_r")).drop("_p", "_s", "_r", "_old", "_new", "_approved")
+
+
 def score_location(df: DataFrame, text: str, signals: Sequence[str], antisignals: Sequence[str]) -> DataFrame:
     """Signals for and against a place in a text; likely, mixed or unknown."""
     padded = F.concat(F.lit(" "), F.lower(T.clean(text)), F.lit(" "))

@@ -198,7 +198,7 @@ def ob11(spark, sf):
 
 
 def ob15(spark, sf):
-    return H.pipeline_stages(_overview(spark, sf), _jobs(spark, sf))
+    return H.pipeline_stages(_overview(spark, sf), _jobs(spark, sf), "svc0")
 
 
 def ob12(spark, sf):
@@ -357,7 +357,9 @@ JOIN (SELECT region AS region_code, arg_max(status, (ts, event_id)) AS last_stat
 FROM (SELECT stage, arg_max(color, sv) AS color, sum(metric)::BIGINT AS metric, min_by(region_code, (-sv, region_code)) AS r FROM (SELECT *, CASE color WHEN 'red' THEN 3 WHEN 'yellow' THEN 2 WHEN 'green' THEN 1 ELSE 0 END AS sv FROM (
 SELECT region_code, 'retailer_inventory' AS stage, retailer_status AS color, retail_rows AS metric FROM ov UNION ALL SELECT region_code, 'manufacturer_direct', direct_status, direct_rows FROM ov
 UNION ALL SELECT region_code, 'search_linkage', search_status, supported_rows FROM ov UNION ALL SELECT region_code, 'coverage', coverage_status, no_stock_anywhere FROM ov
-UNION ALL SELECT region_code, 'jobs', color, 1 FROM jobs)) GROUP BY stage)""", "rm", "dm", "link", "gaps", "ov", "st", "jobs"),
+UNION ALL SELECT region_code, 'jobs', color, 1 FROM jobs)) GROUP BY stage)
+UNION ALL SELECT 'global_catalogue', coalesce(arg_min(color, region_code), 'grey'), count(*), NULL, CASE WHEN count(*) = 0 THEN 'No recent global catalogue execution' ELSE coalesce('Last success ' || strftime(arg_min(latest_success, region_code), '%Y-%m-%d'), 'No recent global catalogue success') END
+|| CASE WHEN arg_min(color, region_code) = 'yellow' THEN '; canonical truth preserved' ELSE '' END FROM jobs WHERE job_name = 'svc0'""", "rm", "dm", "link", "gaps", "ov", "st", "jobs"),
     "ob12_minimums": sql("inventory retailers", "SELECT retailer_id, 620 AS minimum, count(inventory_id) AS rows FROM retailers LEFT JOIN inventory USING (retailer_id) GROUP BY 1 HAVING count(inventory_id) < 620"),
     "ob13_failure_budget": sql("inventory", """SELECT *, CASE WHEN accepted <= 0 OR failures > budget THEN 'hard' ELSE 'soft' END AS verdict FROM (SELECT *, least(20, greatest(1, ceil(accepted*0.01)))::BIGINT AS budget FROM (
 SELECT retailer_id, count(size_id) AS accepted, count(*) FILTER (true_size_id % 1000 = 7) AS failures FROM inventory GROUP BY 1)) WHERE failures > 0"""),

@@ -105,11 +105,24 @@ def ag20(spark, sf):
     return ls.funnel(i, i.filter("length IS NOT NULL"), i.filter("model_id IS NOT NULL"), i.filter("size_id IS NOT NULL"), "retailer_name")
 
 
-def _reported(spark, sf):
+def _import_rows(spark, sf):
+    """Regional rows with their model's name, some of it blank, and a catalogue of three brands."""
     r = _regional(spark, sf)
     m = fx.models(spark, sf)
     r = r.join(m.select(F.col("model_id").alias("true_model_id"), "model_name"), "true_model_id")
-    return ls.import_report(ls.reject_reasons(r, "EUROPE", "EUR"), m.filter(F.col("brand_id") < 3))
+    return ls.reject_reasons(r, "EUROPE", "EUR"), m.filter(F.col("brand_id") < 3)
+
+
+def _reported(spark, sf):
+    return ls.import_report(*_import_rows(spark, sf))
+
+
+def ag21w(spark, sf):
+    return ls.import_reasons(*_import_rows(spark, sf))
+
+
+def ag21u(spark, sf):
+    return ls.import_unknown(*_import_rows(spark, sf))
 
 
 def ag21(spark, sf):
@@ -139,7 +152,7 @@ def tx13(spark, sf):
 
 QUERIES = {"pf4_score_listings": pf4, "pf5_price_check": pf5, "pf6_classify_candidates": pf6, "pf7_guard_catalogue": pf7, "pf8_reject_reasons": pf8,
            "pf9_excluded_product_type": pf9, "pf10_exclude_retailers": pf10, "pf11_fallback_exclusions": pf11, "tx9_normalise_listings": tx9, "tx10_normalise_regional": tx10, "tx10_regional_names": tx10r,
-           "ag13_retailer_quality": ag13, "ag13_retailer_quality_totals": ag13t, "ag14_inventory_quality": ag14, "ag20_funnel": ag20, "ag21_import_report": ag21, "ag21_recommendation": ag21r,
+           "ag13_retailer_quality": ag13, "ag13_retailer_quality_totals": ag13t, "ag14_inventory_quality": ag14, "ag20_funnel": ag20, "ag21_import_report": ag21, "ag21_import_reasons": ag21w, "ag21_import_unknown": ag21u, "ag21_recommendation": ag21r,
            "st6_union_feeds": st6, "ag22_build_catalogue": ag22, "tx13_direct_rows": tx13}
 
 
@@ -236,6 +249,11 @@ FROM (SELECT retailer_id, count(*) FILTER (retailer_id % 4 <> 0) AS raw, count(*
 count(size_id) - count(DISTINCT CASE WHEN size_id IS NOT NULL THEN coalesce(product_url || '|', '') || coalesce(length, '') END) AS duplicates FROM inventory GROUP BY 1) WHERE raw > 0 OR verified > 0)"""),
     "ag14_inventory_quality": sql("inventory", """SELECT count(*) AS rows, count(length) AS with_length, count(width) AS with_width, count(thickness) AS with_thickness, count(volume) AS with_volume, count(price) AS with_price,
 count(image_url) AS with_image_url, count(construction) AS with_construction, count(DISTINCT retailer_name) AS retailers, count(DISTINCT brand_name) AS brands FROM inventory"""),
+    "ag21_import_reasons": sql("inventory", f"""SELECT * FROM (WITH x AS (SELECT coalesce(rname, '<missing>') AS retailer_name, string_split({_REASONS}, ',') AS r, coalesce(i.brand_name IN ('Maker 0','Maker 1','Maker 2'), false) AS kb FROM ({_REG}) i),
+y AS (SELECT retailer_name, unnest(r) AS reason FROM x) SELECT 'reject' AS kind, retailer_name, reason, count(*) AS rows FROM y WHERE reason <> '' GROUP BY ALL UNION ALL SELECT 'reject', NULL, reason, count(*) FROM y WHERE reason <> '' GROUP BY reason
+UNION ALL SELECT 'review', NULL, reason, count(*) FROM (SELECT unnest(['unknown_brand','unknown_model']) AS reason FROM x WHERE NOT kb) GROUP BY reason)"""),
+    "ag21_import_unknown": sql("inventory models", f"""SELECT * FROM (WITH x AS (SELECT coalesce(i.brand_name, 'missing') AS b, coalesce(i.brand_name, 'missing_brand') || ' / ' || m.model_name AS bm FROM ({_REG}) i JOIN models m ON m.model_id = i.true_model_id WHERE coalesce(i.brand_name IN ('Maker 0','Maker 1','Maker 2'), false) = false)
+(SELECT 'brand' AS kind, b AS name, count(*) AS rows FROM x GROUP BY b ORDER BY rows DESC, name LIMIT 50) UNION ALL (SELECT 'model', bm AS name, count(*) AS rows FROM x GROUP BY bm ORDER BY rows DESC, name LIMIT 50))"""),
     "ag20_funnel": sql("inventory", "SELECT retailer_name, count(*) AS discovered, count(length) AS normalised, count(model_id) AS imported, count(size_id) AS stored, round(count(size_id)*100.0/count(*),2) AS kept_pct FROM inventory GROUP BY 1"),
     "ag21_import_report": sql("inventory", _IMP, reg=_REG),
     "ag21_recommendation": sql("inventory", "SELECT CASE WHEN sum(rejected) > 0 AND sum(importable) = 0 THEN 'Needs major work' WHEN sum(review) > 0 THEN 'Raw import ready, canonical review required' ELSE 'Ready for SQL importer' END AS recommendation FROM (" + _IMP + ")", reg=_REG),

@@ -116,6 +116,22 @@ def pf13s(spark, sf):
     return nw.target_sites(_targets(spark, sf)).select("site", "first_retailer", "locations", "platform", F.col("approved").cast("int").alias("approved"))
 
 
+def pf13l(spark, sf):
+    return nw.site_locations(_targets(spark, sf))
+
+
+def pf13m(spark, sf):
+    """Every third site was a target before, as were sites that no dealer has any more."""
+    n = F.regexp_extract("site", r"d(\d+)\.", 1).cast("int")
+    t = _targets(spark, sf)
+    known = nw.target_sites(t).select("site").filter(n % 3 == 0)
+    gone = t.filter("site IS NOT NULL").select(F.concat(F.lit("gone-"), "site").alias("site")).distinct()
+    old = known.unionByName(gone).withColumn("n", n).select(F.concat(F.lit("http://www."), "site", F.lit("/")).alias("website"), F.when(F.col("n") % 4 == 0, "wix").when(F.col("n") % 4 != 3, "Shopify").alias("platform"),
+                                                           F.when(F.col("n") % 5 == 0, "Paused").when(F.col("n") % 5 != 4, " Active").alias("status"), (F.col("n") % 7).alias("priority"))
+    approved = nw.target_sites(t).filter("platform = 'unknown'").select("site")
+    return nw.merge_targets(nw.target_sites(t), old, approved, ["shopify", "woocommerce"]).select("site", "action", F.col("active").cast("int").alias("active"), "platform", "priority", "locations")
+
+
 def pf15(spark, sf):
     d = fx.table(spark, sf, "documents").select("doc_id", "text")
     return nw.score_location(d, "text", [" the ", " that "], [" de ", "und "]).select("doc_id", "signals", "antisignals", "location_status")
@@ -177,7 +193,7 @@ def tx20(spark, sf):
 
 
 QUERIES = {"tx15_keys": tx15, "tx16_infer_region": tx16, "tx19_dealer_rows": tx19, "jn16_match_retailer": jn16, "ag15_merge_dealers": ag15, "ag16_dealer_summary": ag16, "ag16_status_counts": ag16s, "ag16_top_candidates": ag16t, "ag16_manufacturers": ag16m, "pf19_score_dealers": pf19,
-           "pf20_coverage_candidates": pf20, "pf12_activation_status": pf12, "pf13_build_targets": pf13, "pf13_target_sites": pf13s, "pf15_score_location": pf15, "pf16_candidate_names": pf16,
+           "pf20_coverage_candidates": pf20, "pf12_activation_status": pf12, "pf13_build_targets": pf13, "pf13_target_sites": pf13s, "pf13_site_locations": pf13l, "pf13_merge_targets": pf13m, "pf15_score_location": pf15, "pf16_candidate_names": pf16,
            "ag17_group_entities": ag17, "pf24_review_entities": pf24, "pf24_clean_seed": pf24s, "pf17_classify_discovery": pf17, "ag25_group_by_site": ag25, "ag23_governance": ag23, "tx20_expand_categories": tx20}
 
 _D0 = """SELECT c_custkey AS id, c_custkey AS k, 'Dealer & Co ' || (c_custkey % 400) || ' Surf Shop' AS dealer_name, CASE WHEN c_custkey % 3 <> 0 THEN 'd' || (c_custkey % 250) || '.example.com' END AS site, 'City ' || (c_custkey % 10) AS city,
@@ -227,6 +243,11 @@ CASE WHEN q % 5 <> 0 THEN ({list(_PLATFORMS)})[q % 9 + 1] END AS tp, CASE WHEN q
 WHEN id % 5 = 0 THEN 'platform_unknown' WHEN id % 5 = 1 THEN 'unsupported_platform_wix' WHEN site IS NULL THEN 'missing_website' ELSE 'supported_retailer' END AS reason FROM d)"""),
     "pf13_build_targets": n(f"SELECT retailer_id, site, excluded FROM ({_TG})"),
     "pf13_target_sites": n(f"SELECT site, min(retailer_id) AS first_retailer, count(DISTINCT country) AS locations, max(platform) AS platform, max(approved) AS approved FROM ({_TG}) WHERE excluded IS NULL GROUP BY site"),
+    "pf13_site_locations": n(f"SELECT DISTINCT site, retailer_id, country FROM ({_TG}) WHERE excluded IS NULL"),
+    "pf13_merge_targets": n(f"""SELECT * FROM (WITH t AS ({_TG}), g AS (SELECT site, count(DISTINCT country) AS locations, max(platform) AS platform, CAST(regexp_extract(site, 'd([0-9]+)', 1) AS INT) AS q FROM t WHERE excluded IS NULL GROUP BY site),
+o AS (SELECT site, q FROM g WHERE q % 3 = 0 UNION ALL SELECT DISTINCT 'gone-' || site, CAST(regexp_extract(site, 'd([0-9]+)', 1) AS INT) FROM t WHERE site IS NOT NULL)
+SELECT coalesce(g.site, o.site) AS site, CASE WHEN o.site IS NULL THEN 'new' WHEN g.site IS NOT NULL THEN 'merged' ELSE 'preserved' END AS action, (o.site IS NOT NULL OR g.platform = 'unknown')::INT AS active,
+coalesce(g.platform, CASE WHEN o.q % 4 = 0 THEN 'wix' WHEN o.q % 4 <> 3 THEN 'Shopify' END) AS platform, o.q % 7 AS priority, g.locations FROM g FULL JOIN o ON g.site = o.site WHERE g.site IS NOT NULL OR (o.q % 5 <> 0 AND o.q % 4 IN (1, 2)))"""),
     "pf15_score_location": """SELECT *, CASE WHEN signals > 0 AND antisignals = 0 THEN 'likely' WHEN signals > 0 THEN 'mixed' ELSE 'unknown' END AS location_status FROM (SELECT doc_id, contains(p,' the ')::INT + contains(p,' that ')::INT AS signals, contains(p,' de ')::INT + contains(p,'und ')::INT AS antisignals
 FROM (SELECT doc_id, ' ' || lower(trim(coalesce(text,''))) || ' ' AS p FROM documents))""",
     "pf16_candidate_names": n("SELECT DISTINCT name FROM nm WHERE name LIKE 'Wave%'"),
