@@ -141,8 +141,8 @@ LENGTH_RX = r"(?i)\b(?:[4-9]|1[0-2])\s*(?:'|’|ft)\s*\d{0,2}\b"
 DECIMAL_LENGTH_RX = r"\b(?:[4-9]|1[0-2])\.(?:0|1|2|3|4|5|6|7|8|9|10|11|12)\b"
 COMPACT_LENGTH_RX = r"\b(?:[4-9]|1[0-2])(?:0|1|2|3|4|5|6|7|8|9|10|11|12)\b"
 FULL_DIMENSION_RX = (
-    r"(?i)\b(?:[4-9]|1[0-2])\s*(?:'|’|ft)\s*\d{0,2}\s*(?:\"|in)?\s*[x*]\s*"
-    r"\d{1,2}(?:\s+\d{1,2}/\d{1,2})?(?:\.\d+)?\s*(?:\"|in)?\s*[x*]\s*"
+    r"(?i)\b(?:[4-9]|1[0-2])\s*(?:'|’|ft)\s*\d{0,2}\s*(?:\"|in)?\s*[xX*]\s*"
+    r"\d{1,2}(?:\s+\d{1,2}/\d{1,2})?(?:\.\d+)?\s*(?:\"|in)?\s*[xX*]\s*"
     r"\d(?:\s+\d{1,2}/\d{1,2})?(?:\.\d+)?"
 )
 LITRE_RX = r"(?i)\b(?:1[5-9]|[2-7]\d|8[0-5])(?:\.\d{1,2})?\s*(?:l|ltr|litre|litres)\b"

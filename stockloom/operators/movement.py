@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockloom.functions.fixed_values import SNAPSHOT_STATUSES
@@ -44,6 +44,43 @@ def write_snapshot(df: DataFrame, path: str) -> None:
     )
 
 
+def _bucket_columns(df: DataFrame) -> DataFrame:
+    return df.withColumns({f"_k_{k}": F.coalesce(F.col(k).cast("string"), F.lit("")) for k in KEYS})
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int = 64) -> None:
+    """Store snapshots so that comparing two dates needs no shuffle.
+
+    ``table`` holds the rows, dealt into buckets by movement key and salt; ``table``_keys the
+    distinct keys of every date, given to all salts, in the same buckets.  Both are partitioned
+    by date, and only the dates present in ``df`` are replaced.
+    """
+    names = [f"_k_{k}" for k in KEYS] + ["_salt"]
+    salted = _bucket_columns(df).withColumn("_salt", F.pmod(F.xxhash64("inventory_id", "price"), F.lit(SALTS)).cast("int"))
+    keys = _bucket_columns(df).select("snapshot_date", *names[:-1]).distinct().withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    spark = df.sparkSession
+    for rows, name in ((salted, table), (keys, f"{table}_keys")):
+        out = rows.repartition(buckets, *names).write.option("partitionOverwriteMode", "dynamic")
+        if spark.catalog.tableExists(name):
+            rows.select(*spark.table(name).columns).repartition(buckets, *names).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").insertInto(name)
+        else:
+            out.mode("overwrite").partitionBy("snapshot_date").bucketBy(buckets, *names).sortBy(*names).option("path", f"{path}/{name}").saveAsTable(name)
+
+
+def bucketed_deltas(spark: SparkSession, table: str, previous: Column, current: Column) -> DataFrame:
+    """Events between two stored dates: anti joins of buckets with buckets."""
+    names = [f"_k_{k}" for k in KEYS] + ["_salt"]
+    at = lambda name, date: spark.table(name).filter(F.col("snapshot_date") == date)
+
+    def against(mine: Column, other: Column) -> DataFrame:
+        rows = at(table, mine).join(at(f"{table}_keys", other).select(*names), names, "left_anti")
+        return rows.withColumn("previous_date", previous).withColumn("current_date", current).drop(*names, "snapshot_date")
+
+    none = F.lit(None)
+    gone = _event(against(previous, current), "SOLD_OUT", F.col("price"), none.cast("double"), F.col("stock_status"), none.cast("string"))
+    return gone.unionByName(_event(against(current, previous), "NEW_STOCK", none.cast("double"), F.col("price"), none.cast("string"), F.col("stock_status")))
+
+
 def snapshot_dates(snapshots: DataFrame) -> DataFrame:
     """One row: the latest date and the one before it."""
     two = snapshots.select("snapshot_date").distinct().orderBy(F.desc("snapshot_date")).limit(2)

@@ -42,6 +42,15 @@ def ev3(spark, sf):
     return _shape(mv.all_deltas(fx.snapshots(spark, sf)))
 
 
+def ev3b(spark, sf):
+    """The events of the latest two dates, from tables that are bucketed by movement key."""
+    s = fx.snapshots(spark, sf)
+    dates = mv.snapshot_dates(s).first()
+    table, both = f"movement_{uuid.uuid4().hex}", (dates["previous_date"], dates["current_date"])
+    mv.write_bucketed(s.filter(F.col("snapshot_date").isin(*both)), table, f"{shared_folder(spark)}/{table}", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _shape(mv.bucketed_deltas(spark, table, *[F.lit(d).cast("date") for d in both]))
+
+
 def _one_side(kind):
     def run(spark, sf):
         return _shape(mv.latest_deltas(fx.snapshots(spark, sf)).filter(F.col("event_type") == kind))
@@ -92,7 +101,7 @@ def wn1(spark, sf):
 
 
 QUERIES = {
-    "jn2_denormalise": jn2, "ev1_snapshot": ev1, "ev2_snapshot_dates": ev2, "ev3_all_deltas": ev3,
+    "jn2_denormalise": jn2, "ev1_snapshot": ev1, "ev2_snapshot_dates": ev2, "ev3_all_deltas": ev3, "ev3_bucketed_deltas": ev3b,
     "ev10_stream_movement": ev10, "jn4_sold_out": _one_side("SOLD_OUT"), "jn5_new_stock": _one_side("NEW_STOCK"), "ag9_delta_counts": ag9,
     "ag10_delta_summary": ag10, "tk2_movement_by_retailer": _by("retailer_name"), "tk2_movement_by_brand": _by("brand_name"),
     "tk3_latest_events": tk3, "jn6_latest_vs_previous": jn6, "wn1_inventory_drop": wn1,
@@ -134,6 +143,7 @@ WHERE is_active AND product_url IS NOT NULL AND (stock_status IS NULL OR lower(t
     "ev2_snapshot_dates": sql("snapshots", """SELECT CAST(max(snapshot_date) AS VARCHAR) AS "current_date",
 CAST((SELECT max(snapshot_date) FROM snapshots WHERE snapshot_date < (SELECT max(snapshot_date) FROM snapshots)) AS VARCHAR) AS previous_date FROM snapshots"""),
     "ev3_all_deltas": _d(f"SELECT {_EV} FROM deltas"), "ev10_stream_movement": _d(f"SELECT {_EV} FROM deltas"),
+    "ev3_bucketed_deltas": _d(f"SELECT {_EV} FROM deltas WHERE {_LATEST}"),
     "jn4_sold_out": _d(f"SELECT {_EV} FROM deltas WHERE event_type = 'SOLD_OUT' AND {_LATEST}"),
     "jn5_new_stock": _d(f"SELECT {_EV} FROM deltas WHERE event_type = 'NEW_STOCK' AND {_LATEST}"),
     "ag9_delta_counts": _d("""SELECT CAST(event_date AS VARCHAR) AS event_date, count(*) FILTER (event_type='SOLD_OUT') AS sold_out,
