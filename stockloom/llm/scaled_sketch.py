@@ -41,7 +41,7 @@ def sketch(text: Column) -> Column:
 
     def of_hashes(hashes: Column) -> Column:
         kept = F.filter(hashes, lambda h: h < f"{FRACTION:x}")
-        return F.array_sort(F.array_distinct(F.transform(kept, lambda h: F.substring(h, 1, 16))))
+        return F.sort_array(F.array_distinct(F.transform(kept, lambda h: F.substring(h, 1, 16))))
 
     def of_words(words: Column) -> Column:
         places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (WIDTH - 1)))
@@ -53,7 +53,7 @@ def sketch(text: Column) -> Column:
 
 def merge(*sketches: Column) -> Column:
     """Sketch of the shingles of several texts taken together."""
-    return F.array_sort(F.array_distinct(F.flatten(F.array(*sketches))))
+    return F.sort_array(F.array_distinct(F.flatten(F.array(*sketches))))
 
 
 def containment(a: Column, b: Column, equal: Column | bool = True) -> Column:
@@ -74,12 +74,16 @@ def _range_of(key: Column, split: Column, starts: list[int], last: int, hot: lis
     return (i * parts + F.greatest(F.lit(0), F.least(fine, F.lit(parts - 1)))).cast("long")
 
 
-def with_next(rows: DataFrame, key: str, split: str, carried: list[str]) -> DataFrame:
-    """Rows with ``next_<column>`` of the row that follows by ``key``, then ``split`` (hex text); the first follows the last."""
+def with_next(rows: DataFrame, key: str, split: str, carried: list[str], made: dict[str, Column] | None = None) -> DataFrame:
+    """Rows with ``next_<column>`` of the row that follows by ``key``, then ``split`` (hex text); the first follows the last.
+
+    ``made`` are columns that are computed behind the shuffle, once for a row and its neighbour.
+    """
+    made = made or {}
     spark = rows.sparkSession
     edge = rows.agg(F.min(key), F.max(key), F.percentile_approx(key, [k / COARSE for k in range(1, COARSE)], 10_000)).first()
     if edge[0] is None:
-        return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
+        return (rows.withColumns(made) if made else rows).select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
     often = {a for a, b in zip([edge[0], *edge[2]], [*edge[2], edge[1]]) if a == b}
     starts = sorted({edge[0], *edge[2], *(h + 1 for h in often if h < edge[1])})
     parts = max(1, -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // len(starts)))
@@ -93,6 +97,8 @@ def with_next(rows: DataFrame, key: str, split: str, carried: list[str]) -> Data
     own = at(place, 0)
     placed = rows.join(F.broadcast(heads), (rows[key] == heads["first_k"]) & (rows[split] == heads["first_s"]), "left").withColumn(
         "_at", F.explode(F.when(F.col("into").isNull(), F.array(own)).otherwise(F.array(own, at(F.col("into"), 1)))))
+    if made:
+        placed = placed.repartition(F.col("_at.range")).withColumns(made)
     window = Window.partitionBy("_at.range").orderBy("_at.ghost", key, split)
     return placed.select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in carried]).filter("_at.ghost = 0").drop("first_k", "first_s", "into", "_at")
 
@@ -107,11 +113,11 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(
         "doc_id", F.coalesce("doc_id", F.lit(_LOWEST)).alias("_key"), "text", F.md5(F.col("text").cast("binary")).alias("_split"))
     half = F.floor(F.char_length("text") / 2).cast("int")
-    edited = with_next(rows, "_key", "_split", ["text"]).select(
-        "doc_id", "text", "next_text", F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
+    edited = with_next(rows, "_key", "_split", ["text", "sketch"], {"sketch": sketch(F.col("text"))}).select(
+        "doc_id", "text", "next_text", "sketch", "next_sketch", F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
     both = edited.select(
-        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text")).alias("sketch"),
-        sketch(F.col("next_text")).alias("next_sketch"), sketch(F.col("edited")).alias("edited_sketch"), (F.col("text") == F.col("edited")).alias("same_edited"), (F.col("text") == F.col("next_text")).alias("same_next"))
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch",
+        sketch(F.col("edited")).alias("edited_sketch"), (F.col("text") == F.col("edited")).alias("same_edited"), (F.col("text") == F.col("next_text")).alias("same_next"))
     return both.select(
         "doc_id", "n_chars", "edited_sha256", F.array_join("sketch", ",").alias("fingerprint"), F.array_join("edited_sketch", ",").alias("edited_fingerprint"),
         containment(F.col("sketch"), F.col("edited_sketch"), F.col("same_edited")).alias("near_edited"),
