@@ -217,3 +217,16 @@ REGIONAL_RESIDUE_RX = (
     r"(?i)\bfcs\s*(?:ii|2|ll)?\b|\bfutures?\b|\btwin(?:\s*fin)?\b|\btri\s*fin\b|\bthruster\b",
     r"(?i)\b(?:white|black|blue|red|orange|color|sand)\b",
 )
+
+# fixed values: words that betray an unclean model name, first match decides
+PARSING_ISSUES = (
+    ("construction_suffix", r"\b(?:pu|eps|hyfi|carbotune|futureflex|helium|ibolic|volcanic|easy rider|x series)\b"),
+    ("colour_suffix", r"\b(?:white|black|blue|red|green|clear|sand|grey|gray)\b"),
+    ("tail_or_fin_suffix", r"\b(?:squash|swallow|round pin|fcs|fcs 2|futures|thruster)\b"),
+    ("size_left_in_model", r"\b[4-9]\s*(?:ft|feet)\s*\d+\b"),
+)
+
+# fixed values: signs that a hint is not a clean model name
+HINT_LENGTH_RX = r"\b[4-9]\s*['’]\s*\d"
+HINT_COLOUR_RX = r"\b(?:white|black|blue|red|orange|pink|sand|grey|gray|coral|mustard|burgundy|cream|taupe|olive|mint|colour|color)\b"
+HINT_CONSTRUCTION_RX = r"\b(?:pu|eps|pe|tet|lct|futures|fcs|hyfi|helium|ibolic|volcanic|carbon wrap|spine tek|ecoskin|polish|\d+f)\b"

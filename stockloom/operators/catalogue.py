@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stockloom.functions import dims as D
 from stockloom.functions import text as T
+from stockloom.functions.fixed_values import HINT_COLOUR_RX, HINT_CONSTRUCTION_RX, HINT_LENGTH_RX, PARSING_ISSUES
 from stockloom.operators.dedupe import dedupe_first
 from stockloom.operators.health import raise_if_any
 from stockloom.operators.linkage import squash_quotes
@@ -154,15 +155,6 @@ def coverage_counts(inv: DataFrame) -> DataFrame:
     return inv.groupBy("brand_name", "region_code").agg(F.count("*").alias("rows"))
 
 
-# fixed values: words that betray an unclean model name, first match decides
-PARSING_ISSUES = (
-    ("construction_suffix", r"\b(?:pu|eps|hyfi|carbotune|futureflex|helium|ibolic|volcanic|easy rider|x series)\b"),
-    ("colour_suffix", r"\b(?:white|black|blue|red|green|clear|sand|grey|gray)\b"),
-    ("tail_or_fin_suffix", r"\b(?:squash|swallow|round pin|fcs|fcs 2|futures|thruster)\b"),
-    ("size_left_in_model", r"\b[4-9]\s*(?:ft|feet)\s*\d+\b"),
-)
-
-
 def parity_audit(direct: DataFrame, models: DataFrame) -> DataFrame:
     """Model names of one region's direct rows against the catalogue of their brand.
 
@@ -198,12 +190,12 @@ def gap_analysis(projected: DataFrame, models: DataFrame, sizes: DataFrame) -> D
     m = m.withColumn("_c", F.replace("_k", F.lit(" "), F.lit("")))
     for k in ("_k", "_t", "_c"):
         p = p.join(m.select("_b", k).filter(F.col(k) != "").distinct().withColumn(f"_has{k}", F.lit(True)), ["_b", k], "left")
-    # fixed values: signs that a hint is not a clean model name, first match decides
+    # first match decides
     failure = (
-        F.when(F.col("_k") == "", "model_parse_empty").when(F.col("hint").rlike(r"\b[4-9]\s*['’]\s*\d"), "length_left_in_model")
+        F.when(F.col("_k") == "", "model_parse_empty").when(F.col("hint").rlike(HINT_LENGTH_RX), "length_left_in_model")
         .when(F.col("_k").contains("surfboard"), "brand_or_product_type_left_in_model")
-        .when(F.col("_k").rlike(r"\b(?:white|black|blue|red|orange|pink|sand|grey|gray|coral|mustard|burgundy|cream|taupe|olive|mint|colour|color)\b"), "colour_left_in_model")
-        .when(F.col("_k").rlike(r"\b(?:pu|eps|pe|tet|lct|futures|fcs|hyfi|helium|ibolic|volcanic|carbon wrap|spine tek|ecoskin|polish|\d+f)\b"), "construction_or_fin_left_in_model")
+        .when(F.col("_k").rlike(HINT_COLOUR_RX), "colour_left_in_model")
+        .when(F.col("_k").rlike(HINT_CONSTRUCTION_RX), "construction_or_fin_left_in_model")
         .when((F.size(F.split("_k", " ")) > 8) | F.col("hint").rlike(r"[+|]"), "merchandising_title_not_reduced")
         .when(F.col("_k").rlike(r"\bby\s+[a-z]"), "shaper_suffix_left_in_model").when(~F.col("_k").rlike("[a-z]"), "model_parse_empty"))
     model_gap = (
