@@ -95,10 +95,8 @@ def jn9(spark, sf):
 
 
 def wn4(spark, sf):
-    s = fx.sizes(spark, sf).select("model_id", "length", F.col("size_id").alias("sid"), F.col("volume").alias("sv"))
-    c = _true_model(spark, sf).select("inventory_id", "model_id", "length", "volume").join(s, ["model_id", "length"])
-    d = F.abs(F.col("volume") - F.col("sv")).cast("double")
-    return L.nearest_volume(c, "inventory_id", d, "sid").select("inventory_id", "sid", F.round("delta", 2).alias("delta"))
+    s = fx.sizes(spark, sf).withColumnRenamed("size_id", "sid")
+    return L.nearest_volume(_true_model(spark, sf), s, ["model_id", "length"], "sid").select("inventory_id", "sid", F.round("delta", 2).alias("delta"))
 
 
 def lk23(spark, sf):
