@@ -105,11 +105,20 @@ def latest_consent(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.max("ts").alias("ts"))
 
 
+def _left_join_known(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Left join by ``key``; rows without one get a key each that nothing has, or they would all be dealt to one task."""
+    spread = F.when(F.col(key).isNull(), F.xxhash64(*rows.columns)).otherwise(F.lit(0).cast("long"))
+    mine = rows.withColumn("_key", F.struct(F.col(key).alias("k"), spread.alias("spread")))
+    theirs = other.filter(F.col(key).isNotNull()).withColumn("_key", F.struct(F.col(key).alias("k"), F.lit(0).cast("long").alias("spread"))).drop(key)
+    return mine.join(theirs, "_key", "left").drop("_key")
+
+
 def saved_items(items: DataFrame, sizes: DataFrame, models: DataFrame, brands: DataFrame) -> DataFrame:
     """Saved items with names: the item's own model, else the model of its size."""
     s = sizes.select("size_id", F.col("model_id").alias("_size_model"), "length")
-    j = items.join(s, "size_id", "left").withColumn("model_id", F.coalesce("model_id", "_size_model")).drop("_size_model")
-    return j.join(models.select("model_id", "brand_id", "model_name"), "model_id", "left").join(brands, "brand_id", "left")
+    j = _left_join_known(items, s, "size_id").withColumn("model_id", F.coalesce("model_id", "_size_model")).drop("_size_model")
+    named = models.select("model_id", "brand_id", "model_name").join(brands, "brand_id", "left")
+    return _left_join_known(j, named, "model_id")
 
 
 def profile_strength(df: DataFrame, fields: Sequence[str | Sequence[str]], required: Sequence[str | Sequence[str]], partial: int = 3) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from stockloom.operators import events as ev
 from stockloom.operators import linkage as lk
 
 
@@ -52,3 +53,14 @@ def test_listings_that_have_a_model(shuffled):
     out = lk.project_links(_listings(shuffled), a, ["Maker"], m, z, keep=lambda df: keep(df.repartition(8)) if not kept else keep(df))
     assert largest_share(kept[1]) < 0.5
     assert {(r.effective_model_id, r.new_model_id, r.new_size_id) for r in out.collect()} == {(5, None, 9)}
+
+
+def test_saved_items_without_size_or_model(shuffled):
+    rows = [(f"i{i}", 1 if i % 40 == 0 else None, 7 if i % 40 == 1 else 8 if i % 40 == 2 else None) for i in range(800)]
+    items = shuffled.createDataFrame(rows, "item_id string, size_id long, model_id long").repartition(8)
+    z = shuffled.createDataFrame([(1, 7, "6'0"), (2, None, "5'0"), (None, 7, "5'1")], "size_id long, model_id long, length string")
+    m = shuffled.createDataFrame([(7, 3, "ray"), (9, 3, "other"), (None, 3, "none")], "model_id long, brand_id int, model_name string")
+    df = ev.saved_items(items, z, m, shuffled.createDataFrame([(3, "Maker")], "brand_id int, brand_name string"))
+    assert largest_share(df) < 0.5
+    got = Counter((r.model_id, r.length, r.brand_id, r.model_name, r.brand_name) for r in df.collect())
+    assert got == {(7, "6'0", 3, "ray", "Maker"): 20, (7, None, 3, "ray", "Maker"): 20, (8, None, None, None, None): 20, (None, None, None, None, None): 740}
